@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 from collections.abc import Callable
 
+from fieldloom.plans.ship import ship_package
 from fieldloom.sources.derived import Tables, twin_sql
 
 _AREAS = (
@@ -29,7 +30,11 @@ def query(name: str, sql: str | None = None, ctes: str = ""):
     def wrap(fn):
         if name in _QUERIES:
             raise ValueError(f"duplicate query {name}")
-        _QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir))
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(Tables(spark, sf_dir))
+
+        _QUERIES[name] = run
         if sql is not None:
             _TWINS[name] = twin_sql(sql, ctes)
         return fn
