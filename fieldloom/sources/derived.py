@@ -185,7 +185,8 @@ class Tables:
         names = _needs(text)
         # Braces that are not table marks belong to literals.
         safe = _MARK.sub(lambda m: m[0] if m[1] in _TABLES else "{{" + m[1] + "}}", text)
-        safe = re.sub(r"\$\{\{(\w+)\}\}", r"${{\1}}", safe)
+        if not names:
+            return self.spark.sql(text)
         return self.spark.sql(safe, **{n: getattr(self, n) for n in names})
 
 
