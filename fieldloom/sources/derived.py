@@ -22,7 +22,7 @@ SQL: dict[str, str] = {
                r_name AS display_name,
                CASE WHEN r_regionkey % 2 = 0 THEN r_name || ' (EN)' END AS display_name_en,
                CASE WHEN r_regionkey % 2 = 0 THEN 'base,topics,contents' ELSE 'base,funding,contact' END AS group_list,
-               '# $project_name' || chr(10) || chr(10) || '**Institution:** ${institution}' || chr(10) || chr(10)
+               '# $project_name' || chr(10) || chr(10) || '**Institution:** $' || '{institution}' || chr(10) || chr(10)
                  || '## Beschreibung' || chr(10) || '$short_description costs $$5, $unknown_field' || chr(10)
                  || '$source_url ($crawled_at)' AS template,
                r_regionkey <> 4 AS is_active FROM {region}""",
