@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalog.registry import query
 from fieldloom.operators import records as r
+from fieldloom.plans.order import attach_row
 
 _VALUE = "validated_result IS NOT NULL AND validated_result <> ''"
 _NOTBLANK = "trim(coalesce(validated_result, '')) <> ''"
@@ -135,8 +136,7 @@ def profiles_needing_translation(t):
     FROM fx_profile p JOIN fx_translation x USING (profile_id)""")
 def translated_profiles(t):
     kept, skipped = r.translated_profiles(t.fx_profile, t.fx_translation)
-    # ``skipped`` is a single row, attached by a constant key.
-    return kept.select("profile_id", "translated_markdown", F.lit(1).alias("k")).join(skipped.withColumn("k", F.lit(1)), "k").drop("k")
+    return attach_row(kept.select("profile_id", "translated_markdown"), skipped)
 
 
 @query("has_translation", """SELECT DISTINCT source_id FROM fx_extraction JOIN fx_prompt USING (prompt_id)

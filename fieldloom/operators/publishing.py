@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldloom.functions import markdown as md, text as tx
+from fieldloom.plans.order import attach_row
 
 # Fields that carry the title and the description of a record.
 TITLE_FIELDS = ["project_name", "service_name"]
@@ -176,8 +177,8 @@ def institution_filter(items: DataFrame, wanted: str) -> DataFrame:
     near = (name != "") & (name.contains(wanted) | F.lit(wanted).contains(name))
     choice = items.where((name == wanted) | near).agg(
         F.coalesce(F.min(F.when(name == wanted, name)), F.min(F.when(near, name))).alias("_choice"))
-    joined = items.withColumn("_k", F.lit(1)).join(choice.withColumn("_k", F.lit(1)), "_k")
-    return joined.where(F.col("_choice").isNull() | (name == F.col("_choice"))).drop("_k", "_choice")
+    joined = attach_row(items, choice)
+    return joined.where(F.col("_choice").isNull() | (name == F.col("_choice"))).drop("_choice")
 
 
 # --- site tables -------------------------------------------------------------
@@ -241,7 +242,7 @@ def generation_stats(manifest: DataFrame, profiles: DataFrame) -> DataFrame:
     pages = manifest.agg(
         F.count(F.lit(1)).alias("pages"), F.count_if(F.col("kind") == "category").alias("categories"), F.count_if(F.col("kind") == "detail").alias("profiles"))
     live = profiles.where("published").agg(F.count(F.lit(1)).alias("_live"))
-    joined = pages.withColumn("_k", F.lit(1)).join(live.withColumn("_k", F.lit(1)), "_k")
+    joined = attach_row(pages, live)
     return joined.select("pages", "categories", "profiles", (F.col("_live") - F.col("profiles")).alias("skipped"))
 
 

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldloom.functions import text as tx
+from fieldloom.plans.order import attach_row
 
 # Points per field that contains a term, and for an empty query.
 FIELD_POINTS = [("title", 10), ("institution", 8), ("_variants", 7), ("description", 3), ("fulltext", 1)]
@@ -77,15 +78,14 @@ def relevance_percent(results: DataFrame, by: list[str] | None = None) -> DataFr
     The maximum is aggregated and joined back, which spreads over tasks where a
     window over all rows would not.
     """
-    keys = by or ["_k"]
-    rows = results if by else results.withColumn("_k", F.lit(1))
-    best = rows.groupBy(*keys).agg(F.max("relevance").alias("_max"))
+    best = F.max("relevance").alias("_max")
+    rows = results.join(results.groupBy(*by).agg(best), by) if by else attach_row(results, results.agg(best))
     share = F.when(F.col("_max") > 0, F.floor(F.col("relevance") * 100 / F.col("_max") + 0.5)).otherwise(0)
-    return rows.join(best, keys).withColumn("percent", share.cast("int")).drop("_max", "_k")
+    return rows.withColumn("percent", share.cast("int")).drop("_max")
 
 
 def matching_terms(texts: DataFrame, terms: DataFrame, limit: int = MAX_COMPILED_TERMS) -> DataFrame:
-    """(id, term) for every distinct term contained in ``text``.
+    """Rows of ``texts`` without ``text``, once per distinct term the text contains.
 
     Up to ``limit`` terms become one automaton per task, which reads a text once
     for all terms.  A larger set is joined on a leading gram of the term and then
@@ -96,37 +96,36 @@ def matching_terms(texts: DataFrame, terms: DataFrame, limit: int = MAX_COMPILED
     head = [r["term"] for r in distinct.limit(limit + 1).collect()]
     if len(head) <= limit:
         return _scan_terms(texts, head)
-    grams = lambda n: F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
-    all_grams = F.array()
-    for n in (1, 2, 3):
-        all_grams = F.concat(all_grams.cast("array<string>"), F.when(F.length("text") >= n, grams(n)).otherwise(F.array().cast("array<string>")))
-    left = texts.select("id", "text", F.explode(F.array_distinct(all_grams)).alias("_gram"))
+    keep = [c for c in texts.columns if c != "text"]
+    none = F.array().cast("array<string>")
+
+    def grams(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
+        return F.when(F.length("text") >= n, cut).otherwise(none)
+
+    left = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))))
     right = distinct.select("term", F.substring("term", 1, 3).alias("_gram"))
-    return left.join(right, "_gram").where(F.col("text").contains(F.col("term"))).select("id", "term")
+    return left.join(right, "_gram").where(F.col("text").contains(F.col("term"))).select(*keep, "term")
 
 
 def _scan_terms(texts: DataFrame, words: list[str]) -> DataFrame:
-    schema = f"id {texts.schema['id'].dataType.simpleString()}, term string"
-    if not words:
-        return texts.sparkSession.createDataFrame([], schema)
-    shared = texts.sparkSession.sparkContext.broadcast(words)
+    kept = [f for f in texts.schema.fields if f.name != "text"]
+    names = [f.name for f in kept]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", term string"
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import ahocorasick
 
         machine = ahocorasick.Automaton()
-        for word in shared.value:
+        for word in words:
             machine.add_word(word, word)
         machine.make_automaton()
         for batch in batches:
-            ids, hits = [], []
-            for key, text in zip(batch["id"], batch["text"]):
-                found = {word for _, word in machine.iter(text)} if text else ()
-                ids.extend([key] * len(found))
-                hits.extend(found)
-            yield pd.DataFrame({"id": pd.Series(ids, dtype=batch["id"].dtype), "term": hits})
+            found = [sorted({w for _, w in machine.iter(t)}) if words and t else [] for t in batch["text"]]
+            hits = batch[names].assign(term=found).explode("term")
+            yield hits[hits["term"].notna()]
 
-    return texts.select("id", "text").mapInPandas(scan, schema)
+    return texts.select(*names, "text").mapInPandas(scan, schema)
 
 
 def batch_search(items: DataFrame, queries: DataFrame) -> DataFrame:
@@ -135,18 +134,24 @@ def batch_search(items: DataFrame, queries: DataFrame) -> DataFrame:
     ``queries``: query_id, query.  Repeated terms of a query count repeatedly.
     """
     low = _lowered(items)
-    text = F.concat_ws(" ", *["_l_" + n for n in ("title", "description", "institution", "category", "fulltext", "_variants")])
+    points = dict(FIELD_POINTS) | {"category": 0}
+    fields = F.array(*[F.struct(F.lit(p).alias("points"), F.col("_l_" + n).alias("text"), F.lit(n == "title").alias("is_title")) for n, p in points.items()])
+    texts = low.select("id", F.explode(fields).alias("f")).select("id", "f.points", F.when(F.col("f.is_title"), F.col("f.text")).alias("title"), "f.text")
     words = queries.select("query_id", tx.words(F.col("query")).alias("_w"))
     wanted = words.select("query_id", F.explode("_w").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
     sizes = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    hits = matching_terms(low.select("id", text.alias("text")), wanted)
-    scored = hits.join(low, "id").select("id", "term", _points(F.col("term")).alias("points"))
-    met = scored.join(wanted, "term").groupBy("query_id", "id").agg(
+    term, title = F.col("term"), F.col("title")
+    extra = F.when(title == term, TITLE_EQUAL).otherwise(0) + F.when(title.startswith(term), TITLE_PREFIX).otherwise(0)
+    hits = matching_terms(texts, wanted).groupBy("id", "term").agg(F.sum(F.col("points") + extra).alias("points"))
+    met = hits.join(wanted, "term").groupBy("query_id", "id").agg(
         F.count(F.lit(1)).alias("met"), F.sum(F.col("points") * F.col("times")).alias("relevance"))
     found = met.join(sizes, "query_id").where("met = needed").select("query_id", "id", "relevance")
-    # A query without terms lists every item: each item carries the same key.
-    blank = words.where(F.size("_w") == 0).select("query_id", F.lit("").alias("_key"))
-    everything = items.select("id", F.lit("").alias("_key")).join(blank, "_key").select("query_id", "id", F.lit(EMPTY_QUERY).cast("long").alias("relevance"))
+    # A query without terms lists every item.  Both sides carry a salt, so the
+    # listing is spread over tasks.
+    salts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blank = words.where(F.size("_w") == 0).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
+    salted = items.select("id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"))
+    everything = salted.join(blank, "_salt").select("query_id", "id", F.lit(EMPTY_QUERY).cast("long").alias("relevance"))
     return found.unionByName(everything)
 
 

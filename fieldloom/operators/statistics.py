@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldloom.functions import text as tx
+from fieldloom.plans.order import attach_row
 from fieldloom.operators.records import SOURCE_STATES, fan_out_extract, has_value, translation_state
 
 
@@ -59,8 +60,7 @@ def public_statistics(categories: DataFrame, sources: DataFrame, now: Column) ->
     by_name = public_categories(categories, sources).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("display_name", "completed")))).alias("by_category")
     )
-    one = F.lit(1).alias("_k")
-    return totals.select("*", one).join(by_name.select("*", one), "_k").drop("_k")
+    return attach_row(totals, by_name)
 
 
 def admin_categories(categories: DataFrame, sources: DataFrame, mapping: DataFrame) -> DataFrame:

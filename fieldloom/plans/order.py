@@ -33,6 +33,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Add the columns of a frame that a global aggregate proves to be one row."""
+    left, right = df.withColumn("_k", F.lit(1)), one_row.withColumn("_k", F.lit(1))
+    return left.join(F.broadcast(right), "_k").drop("_k")
+
+
 def sorted_blocks(df: DataFrame, keys: list[Column], blocks: int | None = None) -> DataFrame:
     """Add ``_block`` and ``_pos``: range block and position inside it.
 
@@ -56,7 +62,7 @@ def global_rank(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFr
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return (
-        placed.join(starts, "_block")
+        placed.join(F.broadcast(starts), "_block")
         .withColumn(name, F.col("_start") + F.col("_pos") + 1)
         .drop("_block", "_pos", "_start")
     )
