@@ -19,6 +19,7 @@ _AREAS = (
     "changes",
     "configuration",
     "jobs",
+    "streams",
 )
 _QUERIES: dict[str, Callable] = {}
 _TWINS: dict[str, str] = {}
