@@ -7,6 +7,7 @@ ratio runs in Arrow batches.
 
 from __future__ import annotations
 
+import heapq
 import re
 from difflib import SequenceMatcher
 
@@ -45,37 +46,83 @@ def name_similarity(text: Column, name: Column) -> Column:
     return F.greatest(native_similarity(text, name), rough)
 
 
+def matched_length(a: str, b: str) -> int:
+    """Characters difflib matches between two texts: the longest common piece
+    (leftmost in ``a``, then in ``b``), and the same left and right of it.
+
+    Pieces are found by substring tests, which is several times faster than
+    difflib on names.  Long texts go to difflib, which ignores popular letters there.
+    """
+    if len(b) >= 200:
+        return sum(m.size for m in SequenceMatcher(None, a, b).get_matching_blocks())
+    total, todo = 0, [(a, b)]
+    while todo:
+        left, right = todo.pop()
+        size, at = 0, 0
+        for i in range(len(left)):
+            while i + size < len(left) and left[i : i + size + 1] in right:
+                size, at = size + 1, i
+            if size >= len(left) - i:
+                break
+        if size:
+            j = right.find(left[at : at + size])
+            total += size
+            if at and j:
+                todo.append((left[:at], right[:j]))
+            if at + size < len(left) and j + size < len(right):
+                todo.append((left[at + size :], right[j + size :]))
+    return total
+
+
 class NameBlock:
     """A bounded set of names prepared for exact best-k lookups."""
 
     def __init__(self, entity_ids, names):
         self.ids = np.asarray(entity_ids)
         self.names = list(names)
-        self.lengths = np.array([len(n) for n in self.names], dtype=np.int32)
+        self.lengths = np.array([len(n) for n in self.names], dtype=np.int64)
         self.letters = {c: i for i, c in enumerate(sorted({c for n in self.names for c in n}))}
-        self.counts = np.zeros((len(self.names), len(self.letters)), dtype=np.int16)
+        # One column per place in the name; the last letter index pads short names.
+        self.codes = np.full((int(self.lengths.max()), len(self.names)), len(self.letters), dtype=np.intp)
         self.words, self.posting = [], {}
         for row, name in enumerate(self.names):
-            for c in name:
-                self.counts[row, self.letters[c]] += 1
+            self.codes[: len(name), row] = [self.letters[c] for c in name]
             found = set(_WORD.findall(name))
             self.words.append(len(found))
             for word in found:
                 self.posting.setdefault(word, []).append(row)
 
+    def common(self, needle: str) -> np.ndarray:
+        """Length of the longest common subsequence with every name.
+
+        Matched pieces form a common subsequence, so this bounds ``matched_length``.
+        Bit i of a word stands for letter i of the needle; longer needles are cut into
+        words, whose lengths add up to an upper bound.
+        """
+        total = np.zeros(len(self.names), dtype=np.int64)
+        for start in range(0, len(needle), 63):
+            piece = needle[start : start + 63]
+            masks = np.zeros(len(self.letters) + 1, dtype=np.uint64)
+            for i, c in enumerate(piece):
+                if c in self.letters:
+                    masks[self.letters[c]] |= np.uint64(1 << i)
+            full = np.uint64((1 << len(piece)) - 1)
+            state = np.full(len(self.names), full, dtype=np.uint64)
+            for codes in self.codes:
+                hit = state & masks[codes]
+                state = ((state + hit) | (state - hit)) & full
+            total += len(piece) - np.bitwise_count(state).astype(np.int64)
+        return np.minimum(total, self.lengths)
+
     def best(self, needle: str, k: int) -> list[tuple[int, float]]:
         """The k entities of the block closest to ``needle``, ties by entity id.
 
-        Letters in common cap the ratio, so names are visited by falling cap and
-        the visit ends once no remaining cap reaches the k-th best score.
+        The common subsequence caps the ratio, so names are visited by falling cap
+        and the visit ends once no remaining cap reaches the k-th best score.
         """
         if not needle:
             return [(int(e), 0.0) for e in sorted(set(self.ids.tolist()))[:k]]
-        own = np.zeros(len(self.letters), dtype=np.int16)
-        for c in needle:
-            if c in self.letters:
-                own[self.letters[c]] += 1
-        common = np.minimum(self.counts, own).sum(axis=1, dtype=np.int64)
+        common = self.common(needle)
         native = np.zeros(len(self.names))
         mine = set(_WORD.findall(needle))
         shared: dict[int, int] = {}
@@ -84,7 +131,7 @@ class NameBlock:
                 shared[row] = shared.get(row, 0) + 1
         for row, n in shared.items():
             native[row] = 0.7 * (n / (len(mine) + self.words[row] - n))
-        # Containment needs every letter of the shorter name.
+        # Containment makes the shorter name the whole common subsequence.
         for row in np.flatnonzero(common == np.minimum(self.lengths, len(needle))):
             name = self.names[row]
             if name == needle:
@@ -94,19 +141,17 @@ class NameBlock:
         cap = np.maximum(native, 0.6 * (2.0 * common / (self.lengths + len(needle))))
         order = np.lexsort((self.ids, -cap))
         scores: dict[int, float] = {}
-        matcher = SequenceMatcher(None, needle, "")
-        bound, since = -1.0, 0
-        for row in order:
-            if cap[row] < bound:
+        bound, since, width = -1.0, 0, len(needle)
+        for row, top, score, entity in zip(order.tolist(), cap[order].tolist(), native[order].tolist(), self.ids[order].tolist()):
+            if top < bound:
                 break
-            score = native[row]
-            if cap[row] > score:
-                matcher.set_seq2(self.names[row])
-                score = max(score, 0.6 * matcher.ratio())
-            entity = int(self.ids[row])
+            # A ratio cannot lift an entity that already scores its cap.
+            if top > score and top > scores.get(entity, -1.0):
+                name = self.names[row]
+                score = max(score, 0.6 * (2.0 * matched_length(needle, name) / (width + len(name))))
             if score > scores.get(entity, -1.0):
-                scores[entity] = float(score)
+                scores[entity] = score
                 since += 1
-            if len(scores) >= k and since >= 16:
-                bound, since = sorted(scores.values(), reverse=True)[k - 1], 0
+            if since >= 32 and len(scores) >= k:
+                bound, since = heapq.nlargest(k, scores.values())[-1], 0
         return sorted(scores.items(), key=lambda item: (-item[1], item[0]))[:k]
