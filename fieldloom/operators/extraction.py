@@ -148,7 +148,7 @@ def rule_model(batch: pd.DataFrame) -> pd.DataFrame:
     texts, reasons = [], []
     for message in batch["message"]:
         ground, _, task = message.partition("\n\nAufgabe:\n")
-        if task.startswith("Check "):
+        if task.startswith("Check"):
             value = task.partition(": ")[2]
             texts.append(f"QUALITY: HIGH\nSCORE: 0.9\nNOTES: -\nRESULT: {value}")
         else:
