@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fieldloom.catalog.registry import query
-from fieldloom.functions import markdown as md, render, text as tx, web
+from fieldloom.functions import filters, markdown as md, render, text as tx, web
 from fieldloom.operators import publishing as p, records as r
 
 _INST = """coalesce(list_filter(list_transform(list_filter(string_split({md}, chr(10))[1:{n}], lambda x: contains(x, 'Institution') AND contains(x, ':')),
@@ -78,6 +78,12 @@ def linked_institutions(t):
     return t.fx_profile.select("profile_id", md.linkify_institutions(F.col("markdown_content"), "/kb").alias("markdown_content"))
 
 
+@query("template_filters", f"""SELECT profile_id, {_title('markdown_content')} AS title, {_inst('markdown_content', 15)} AS institution, regexp_replace(markdown_content, '<[^>]+>', '', 'g') AS plain FROM fx_profile""")
+def template_filters(t):
+    filters.register_filters(t.spark)
+    return t.fx_profile.selectExpr("profile_id", "get_title(markdown_content) AS title", "get_institution(markdown_content) AS institution", "striptags(markdown_content) AS plain")
+
+
 @query("profile_html")
 def profile_html(t):
     return t.fx_profile.select("profile_id", render.markdown_to_html("markdown_content").alias("html_content"))
@@ -127,10 +133,6 @@ def detail_context(t):
     return out.select("source_id", F.array_join(F.transform(F.map_entries("fields"), entry), ";").alias("fields"))
 
 
-def _filled(token: str, name: str) -> str:
-    return f"replace({token}, coalesce(max(v) FILTER (internal_name = '{name}'), '-'))"
-
-
 @query("rendered_profiles", f"""SELECT s.source_id, '# ' || coalesce(a, '-') || chr(10) || chr(10) || '**Institution:** ' || coalesce(b, '-') || chr(10) || chr(10) || '## Beschreibung' || chr(10)
     || coalesce(d, '-') || ' costs $5, -' || chr(10) || s.url || ' (' || strftime(coalesce(s.crawled_at, TIMESTAMP '2024-06-01 00:00:00'), '%Y-%m-%d') || ')' AS markdown_content
     FROM fx_source s JOIN fx_category c ON c.category_id = s.category_id LEFT JOIN (SELECT source_id, max(v) FILTER (internal_name = 'project_name') AS a,

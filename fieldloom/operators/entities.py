@@ -29,11 +29,10 @@ def name_index(entities: DataFrame, variants: DataFrame) -> DataFrame:
 def exact_entity_match(mentions: DataFrame, index: DataFrame) -> DataFrame:
     """``mentions`` (text, entity_type) with the equal entity, if any.
 
-    The same name repeats over many records, so distinct names are matched once.
+    The index has one row per key, so a plain left join keeps the row count; a small
+    index is broadcast, a large one is joined with skewed keys split.
     """
-    keyed = mentions.withColumn("key", name_key(F.col("text")))
-    hits = keyed.select("entity_type", "key").distinct().join(index, ["entity_type", "key"])
-    out = keyed.join(hits, ["entity_type", "key"], "left")
+    out = mentions.withColumn("key", name_key(F.col("text"))).join(index, ["entity_type", "key"], "left")
     return out.select(
         *mentions.columns, "entity_id", "canonical_name", F.when(F.col("entity_id").isNotNull(), 1.0).alias("confidence"),
         F.when(F.col("entity_id").isNotNull(), "auto_link").alias("action"),

@@ -1,0 +1,15 @@
+"""Use every core on an input that arrives in too few pieces."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Redistribute a plain file scan that has fewer partitions than there are cores.
+
+    A file with one row group is read by one task, and text work behind it would stay
+    there.  An input with enough partitions, as any large one, is returned unchanged.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

@@ -11,11 +11,16 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.plans.spread import spread_scan
+
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
 ).split()
 
+# Tables whose rows hold long texts.
+TEXTS = {"pages", "documents"}
+
 SQL: dict[str, str] = {
     "fx_category": """
         SELECT CAST(r_regionkey + 1 AS BIGINT) AS category_id, lower(r_name) AS internal_name,
@@ -41,9 +46,12 @@ SQL: dict[str, str] = {
          (7, 'contact_email', 'Contact', 'contact', NULL, 0.4, false, NULL, false))
          AS p(prompt_id, internal_name, display_name, field_group, entity_type, required_confidence,
               translatable, translation_context, is_active)""",
-    "fx_category_prompt": """
-        SELECT c.category_id, p.prompt_id, 10 * p.prompt_id AS display_order
-        FROM {fx_category} c JOIN {fx_prompt} p ON (c.category_id + p.prompt_id) % 4 <> 0""",
+    # Every category leaves out the fields whose number completes it to a multiple of 4.
+    "fx_category_prompt": " UNION ALL ".join(
+        f"SELECT CAST(r_regionkey + 1 AS BIGINT) AS category_id, CAST({p} AS BIGINT) AS prompt_id, CAST({10 * p} AS BIGINT) AS display_order "
+        f"FROM {{region}} WHERE (r_regionkey + 1 + {p}) % 4 <> 0"
+        for p in range(1, 8)
+    ),
     "fx_source": """
         SELECT o_orderkey AS source_id,
                'https://host' || CAST(o_custkey % 50 AS STRING) || '.example.org/p/' || CAST(o_orderkey AS STRING) AS url,
@@ -176,6 +184,8 @@ class Tables:
         if name not in self._built:
             if name in BASE:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+                if name in TEXTS:
+                    df = spread_scan(df)
             else:
                 df = self.sql(SQL[name])
             self._built[name] = df
