@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -162,26 +162,27 @@ def call_model(df: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame],
     """Run ``model_fn`` over Arrow batches; adds <prefix>_text, _reason and _error.
 
     ``model_fn`` gets a frame with ``message`` and returns ``text`` and ``finish_reason``
-    per row.  A batch that raises becomes error rows instead of a failed job.
+    per row.  Only messages travel to Python.  A batch that raises becomes error rows
+    instead of a failed job.  Answers may differ from call to call, so Spark is told
+    not to repeat or move the call.
     """
-    names = df.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
-    schema += f", {prefix}_text string, {prefix}_reason string, {prefix}_error string"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            asked = batch[message].notna()
-            text = pd.Series([None] * len(batch), index=batch.index, dtype=object)
-            reason, error = text.copy(), text.copy()
-            if asked.any():
-                try:
-                    got = model_fn(batch.loc[asked, [message]].rename(columns={message: "message"}))
-                    text[asked], reason[asked] = got["text"].to_numpy(), got["finish_reason"].to_numpy()
-                except Exception as problem:
-                    error[asked] = str(problem)
-            yield batch[names].assign(**{f"{prefix}_text": text, f"{prefix}_reason": reason, f"{prefix}_error": error})
-
-    return df.mapInPandas(run, schema)
+
+    def ask(messages: pd.Series) -> pd.DataFrame:
+        out = pd.DataFrame({"text": None, "reason": None, "error": None}, index=messages.index, dtype=object)
+        asked = messages.notna()
+        if asked.any():
+            try:
+                got = model_fn(messages[asked].to_frame("message"))
+                out.loc[asked, "text"] = got["text"].to_numpy()
+                out.loc[asked, "reason"] = got["finish_reason"].to_numpy()
+            except Exception as problem:
+                out.loc[asked, "error"] = str(problem)
+        return out
+
+    ask.__annotations__ = {"messages": pd.Series, "return": pd.DataFrame}
+    answer = F.pandas_udf(ask, "text string, reason string, error string").asNondeterministic()
+    called = df.withColumn("_answer", answer(F.col(message)))
+    return called.select(*df.columns, *[F.col(f"_answer.{c}").alias(f"{prefix}_{c}") for c in ("text", "reason", "error")])
 
 
 def run_extraction(jobs: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame] = rule_model) -> DataFrame:

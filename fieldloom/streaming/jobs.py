@@ -10,7 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldloom.functions.html import with_markdown
 from fieldloom.operators import capture, changes, jobs, records
-from fieldloom.streaming.sinks import VersionedTable, run_available, utc_instant, utc_wall
+from fieldloom.streaming.sinks import ChangeLog, run_available, utc_instant, utc_wall
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
@@ -30,29 +30,27 @@ def capture_stream(pages: DataFrame, sources: DataFrame, mapping: DataFrame, pro
     one folder per batch, so a repeated batch replaces its own jobs only.
     """
     spark = pages.sparkSession
-    table = VersionedTable(spark, f"{folder}/sources", sources.schema)
-    table.advance(0, lambda _: sources)
+    log = ChangeLog(spark, f"{folder}/sources", sources.schema)
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         # A page may arrive twice; the larger body wins.
         checked = capture.read_pages(batch.select("url", "html")).groupBy("url").agg(
             F.max_by(F.struct("html", "error"), F.length(F.coalesce("html", F.lit("")))).alias("p")).select("url", "p.html", "p.error")
-        text = with_markdown(checked)
-        known = sources.select("source_id", "url")
-        parts = text.where("error IS NULL").join(known, "url").select(
-            "source_id", F.lit(0).alias("pos"), "url", "title", "markdown", F.length("markdown").alias("html_size"))
+        text = with_markdown(checked).join(sources.select("source_id", "url"), "url")
+        parts = text.where("error IS NULL").select("source_id", F.lit(0).alias("pos"), "url", "title", "markdown", F.length("markdown").alias("html_size"))
         good = capture.consolidate_pages(parts, F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
-        results = text.join(known, "url").select("source_id", "error").join(good, "source_id", "left").select(
+        results = text.select("source_id", "error").join(good, "source_id", "left").select(
             "source_id", F.col("error").isNull().alias("success"), F.col("markdown_content").alias("markdown"),
             F.col("markdown_size").cast("long").alias("size"), F.col("pages_crawled").alias("pages"), now.alias("finished_at"), "error")
-        results = results.persist()
-        table.advance(batch_id + 1, lambda old: capture.apply_crawl_results(old, results))
-        fresh = table.current()[1].join(results.where("success").select("source_id"), "source_id", "left_semi")
+        touched = sources.join(results.select("source_id"), "source_id", "left_semi")
+        log.put(batch_id, capture.apply_crawl_results(touched, results))
+        fresh = log.rows().where((F.col("batch") == batch_id) & (F.col("status") == "crawled"))
         records.fan_out_extract(fresh, mapping, prompts).write.mode("overwrite").parquet(f"{folder}/jobs/batch={batch_id}")
-        results.unpersist()
 
     run_available(pages, folder, on_batch)
-    return table.current()[1], spark.read.schema("source_id long, prompt_id long").parquet(f"{folder}/jobs")
+    made = spark.read.schema("source_id long, prompt_id long").parquet(f"{folder}/jobs")
+    # A source captured again in a later batch asks for the same jobs once.
+    return changes.upsert(sources, log.latest(["source_id"]), ["source_id"]), made.select("source_id", "prompt_id").distinct()
 
 
 # --- job state -----------------------------------------------------------------
@@ -61,9 +59,9 @@ def capture_stream(pages: DataFrame, sources: DataFrame, mapping: DataFrame, pro
 def job_state_stream(events: DataFrame, folder: str) -> DataFrame:
     """Latest state per job, updated batch by batch; arrival order does not matter."""
     state = jobs.job_state(events)
-    table = VersionedTable(events.sparkSession, f"{folder}/jobs", state.schema)
-    run_available(state, folder, lambda batch, n: table.advance(n, lambda old: changes.upsert(old, batch, ["job_id"])), mode="update")
-    return table.current()[1]
+    log = ChangeLog(events.sparkSession, f"{folder}/jobs", state.schema)
+    run_available(state, folder, lambda batch, n: log.put(n, batch), mode="update")
+    return log.latest(["job_id"])
 
 
 # --- outage episodes -------------------------------------------------------------
@@ -73,18 +71,20 @@ def outage_stream(calls: DataFrame, folder: str, threshold: int = 10, timeout_se
     """Episodes over a call stream.  Calls of a batch are sorted in time; batches follow arrival."""
     spark = calls.sparkSession
     key = calls.schema["service_id"].dataType.simpleString()
-    states = VersionedTable(spark, f"{folder}/states", f"service_id {key}, kind int, a long, b long")
-    episodes = VersionedTable(spark, f"{folder}/episodes", f"service_id {key}, opened_us long, closed_us long, failed_probes long, refused_calls long")
+    states = ChangeLog(spark, f"{folder}/states", f"service_id {key}, kind int, a long, b long")
+    parts = ChangeLog(spark, f"{folder}/parts", f"service_id {key}, opened_us long, closed_us long, failed_probes long, refused_calls long")
 
     def on_batch(batch: DataFrame, n: int) -> None:
-        # Episodes are stored first: the old states stay current until both are done.
-        parts, ends = jobs.outage_episodes(batch, threshold, timeout_seconds, start=states.current()[1])
-        episodes.advance(n, lambda old: old.unionByName(parts).groupBy("service_id", "opened_us").agg(
-            F.max("closed_us").alias("closed_us"), F.sum("failed_probes").alias("failed_probes"), F.sum("refused_calls").alias("refused_calls")))
-        states.advance(n, lambda old: changes.upsert(old, ends, ["service_id"]))
+        # Only earlier batches count, so a batch that runs again starts from the same states.
+        begin = states.latest(["service_id"], before=n)
+        found, ends = jobs.outage_episodes(batch, threshold, timeout_seconds, start=begin)
+        parts.put(n, found)
+        states.put(n, ends)
 
     run_available(calls, folder, on_batch)
-    return episodes.current()[1]
+    # An episode may span batches; each holds its own part.
+    return parts.rows().groupBy("service_id", "opened_us").agg(
+        F.max("closed_us").alias("closed_us"), F.sum("failed_probes").alias("failed_probes"), F.sum("refused_calls").alias("refused_calls"))
 
 
 # --- silent sources --------------------------------------------------------------
@@ -160,21 +160,13 @@ def index_stream(profile_changes: DataFrame, folder: str, build: Callable[[DataF
     item_schema = build(empty).schema
     schema = "id string, version_ts timestamp, live boolean, " + ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in item_schema.fields if f.name != "id")
-    table = VersionedTable(spark, f"{folder}/index", schema)
+    log = ChangeLog(spark, f"{folder}/index", schema)
 
     def on_batch(batch: DataFrame, n: int) -> None:
-        last = batch.groupBy("source_id").agg(F.max_by(F.struct(*names), "version_ts").alias("p")).select("source_id", "p.*").persist()
+        last = batch.groupBy("source_id").agg(F.max_by(F.struct(*names), "version_ts").alias("p")).select("source_id", "p.*")
         marks = last.select(F.col("source_id").cast("string").alias("id"), "version_ts", F.col("published").alias("live"))
-        new = marks.join(build(last.where("published")), "id", "left")
-
-        def merge(old: DataFrame) -> DataFrame:
-            # An older version that arrives late must not replace a newer one.
-            seen = old.select("id", F.col("version_ts").alias("_seen"))
-            newer = new.join(seen, "id", "left").where("_seen IS NULL OR version_ts >= _seen").drop("_seen")
-            return changes.upsert(old, newer.select(*old.columns), ["id"])
-
-        table.advance(n, merge)
-        last.unpersist()
+        log.put(n, marks.join(build(last.where("published")), "id", "left"))
 
     run_available(profile_changes, folder, on_batch)
-    return table.current()[1].where("live").drop("live", "version_ts")
+    # An older version that arrives late stays behind the newer one.
+    return log.latest(["id"], order=("version_ts", "batch")).where("live").drop("live", "version_ts")

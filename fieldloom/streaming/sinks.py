@@ -1,15 +1,12 @@
-"""Versioned tables for foreachBatch: a batch writes a new version, then the pointer.
-
-Everything lies in the shared checkpoint folder.  A batch that is run again either
-finds its number in the pointer and stops, or writes the same version again.
-"""
+"""Tables written by foreachBatch, below the shared checkpoint folder."""
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from fieldloom.plans.order import ensure_checkpoint_dir
 
@@ -32,30 +29,42 @@ def work_folder(spark: SparkSession) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-class VersionedTable:
-    """Parquet versions of one table with a pointer to the current one."""
+class ChangeLog:
+    """Changed rows of a table, one folder per batch.
+
+    A batch costs what it changes, not what the table holds, and a batch that runs again
+    replaces its own folder.  The table is the latest row per key; ``compacted`` starts a
+    new log from it when many batches have piled up.
+    """
 
     def __init__(self, spark: SparkSession, root: str, schema):
-        self.spark, self.root, self.schema = spark, root, schema
+        self.spark, self.root = spark, root
+        self.schema = spark.createDataFrame([], schema).schema
+
+    def put(self, batch_id: int, rows: DataFrame) -> None:
+        rows.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.root}/batch={batch_id}")
 
-    def current(self) -> tuple[int, DataFrame]:
+    def rows(self, before: int | None = None) -> DataFrame:
+        """All changes with their ``batch``, optionally of earlier batches only."""
+        full = T.StructType([*self.schema.fields, T.StructField("batch", T.LongType())])
         try:
-            row = self.spark.read.schema("batch bigint").json(f"{self.root}/pointer").first()
-        except Exception as problem:
+            out = self.spark.read.schema(full).parquet(self.root)
+        except AnalysisException as problem:
             if "PATH_NOT_FOUND" not in str(problem):
                 raise
-            row = None
-        if row is None:
-            return -1, self.spark.createDataFrame([], self.schema)
-        return row["batch"], self.spark.read.schema(self.schema).parquet(f"{self.root}/batch-{row['batch']}")
-
-    def advance(self, batch_id: int, build: Callable[[DataFrame], DataFrame]) -> None:
-        done, now = self.current()
-        if done >= batch_id:
-            return
-        build(now).write.mode("overwrite").parquet(f"{self.root}/batch-{batch_id}")
-        pointer = self.spark.range(1).select(F.lit(batch_id).cast("bigint").alias("batch"))
-        pointer.coalesce(1).write.mode("overwrite").json(f"{self.root}/pointer")
+            out = self.spark.createDataFrame([], full)
+        return out if before is None else out.where(F.col("batch") < before)
+
+    def latest(self, keys: list[str], order: tuple[str, ...] = ("batch",), before: int | None = None) -> DataFrame:
+        """Newest row per key; partial aggregation keeps frequent keys cheap."""
+        values = [n for n in self.schema.names if n not in keys]
+        newest = F.max_by(F.struct(*values), F.struct(*order))
+        return self.rows(before).groupBy(*keys).agg(newest.alias("_row")).select(*keys, "_row.*").select(*self.schema.names)
+
+    def compacted(self, root: str, keys: list[str], order: tuple[str, ...] = ("batch",)) -> "ChangeLog":
+        fresh = ChangeLog(self.spark, root, self.schema)
+        fresh.put(0, self.latest(keys, order))
+        return fresh
 
 
 def run_available(df: DataFrame, folder: str, on_batch: Callable[[DataFrame, int], None], mode: str = "append") -> None:

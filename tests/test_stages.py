@@ -13,7 +13,7 @@ from fieldloom.functions import markdown as md
 from fieldloom.operators import capture, changes, configuration, extraction, jobs, publishing, records
 from fieldloom.sources import config, sinks
 from fieldloom.streaming import jobs as streams
-from fieldloom.streaming.sinks import VersionedTable
+from fieldloom.streaming.sinks import ChangeLog
 
 JOB_SCHEMA = "source_id long, prompt_id long, markdown string, extract_prompt string, validate_prompt string, context map<string,string>"
 
@@ -151,12 +151,16 @@ def test_job_state_stream_in_any_order(spark, tmp_path):
 
 
 def test_batch_that_runs_again_changes_nothing(spark, tmp_path):
-    table = VersionedTable(spark, str(tmp_path / "t"), "id long")
-    more = spark.createDataFrame([(1,)], "id long")
-    for _ in range(2):
-        table.advance(0, lambda old: old.unionByName(more))
-    table.advance(1, lambda old: old.unionByName(more))
-    assert table.current()[0] == 1 and table.current()[1].count() == 2
+    log = ChangeLog(spark, str(tmp_path / "t"), "id long, v string")
+    assert log.rows().count() == 0
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, v string")
+    log.put(0, rows((1, "a"), (2, "a")))
+    log.put(1, rows((1, "b")))
+    log.put(1, rows((1, "b")))
+    want = [(1, "b"), (2, "a")]
+    assert sorted(map(tuple, log.latest(["id"]).collect())) == want
+    assert sorted(map(tuple, log.latest(["id"], before=1).collect())) == [(1, "a"), (2, "a")]
+    assert sorted(map(tuple, log.compacted(str(tmp_path / "u"), ["id"]).latest(["id"]).collect())) == want
 
 
 def test_index_stream_keeps_the_newest_version(spark, tmp_path):
