@@ -50,7 +50,7 @@ _TITLE = """trim(replace(replace(replace(replace(replace(
     FROM (SELECT page_id, url, CASE WHEN page_id % 10 = 3 THEN ' ' ELSE html END AS html FROM pages)""")
 def read_pages(t):
     pages = t.pages.withColumn("html", F.when(F.col("page_id") % 10 == 3, " ").otherwise(F.col("html")))
-    return capture.read_pages(pages).select("page_id", "url", F.length("html").alias("size"), "error")
+    return capture.read_pages(pages).select("page_id", "url", F.length("html").cast("long").alias("size"), "error")
 
 
 @query("page_titles", f"SELECT page_id, {_TITLE} AS title FROM pages")
@@ -101,7 +101,7 @@ def subpage_plan(t):
         F.posexplode(web.page_links(F.col("url"), F.col("html"))).alias("pos", "link"),
     )
     best = capture.select_subpages(parsed, max_pages=5)
-    return best.select("page_id", "title", "link", "score", web.page_type(F.col("link")).alias("page_type"), "rank")
+    return best.select("page_id", "title", "link", "score", web.page_type(F.col("link")).alias("page_type"), F.col("rank").cast("long").alias("rank"))
 
 
 _RAW_URL = """CASE page_id % 6 WHEN 0 THEN '  ' || url || chr(10) WHEN 1 THEN regexp_replace(url, '^https?://', '')

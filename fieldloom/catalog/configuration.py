@@ -76,8 +76,8 @@ def sync_stats(t):
     return g.sync_stats(prompts=_synced(t, False), mappings=g.sync_mapping(t.cfg_mapping, t.sql(_DECLARED_MAP)))
 
 
-@query("exported_categories", """SELECT c.category_id, to_json({'category': {'internal_name': any_value(c.internal_name), 'display_name': any_value(c.display_name)}, 'prompts': list({'internal_name': p.internal_name,
-    'display_name': p.display_name, 'field_group': p.field_group, 'output_format': p.field_type, 'prompt_template': p.extract_prompt} ORDER BY m.display_order, m.prompt_id)}) AS json
+@query("exported_categories", """SELECT c.category_id, CAST(to_json({'category': {'internal_name': any_value(c.internal_name), 'display_name': any_value(c.display_name)}, 'prompts': list({'internal_name': p.internal_name,
+    'display_name': p.display_name, 'field_group': p.field_group, 'output_format': p.field_type, 'prompt_template': p.extract_prompt} ORDER BY m.display_order, m.prompt_id)}) AS VARCHAR) AS json
     FROM cfg_category c JOIN cfg_mapping m USING (category_id) JOIN cfg_prompt p ON p.prompt_id = m.prompt_id GROUP BY c.category_id""")
 def exported_categories(t):
     return g.export_category(t.cfg_category, t.cfg_mapping, t.cfg_prompt)

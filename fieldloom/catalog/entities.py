@@ -61,7 +61,7 @@ def entity_candidates(t):
     FROM (SELECT l_partkey % 50 AS mention, l_suppkey AS entity_id, max(l_discount) AS score FROM lineitem GROUP BY ALL)) WHERE rank <= 50""")
 def top_k_candidates(t):
     scores = t.lineitem.groupBy((F.col("l_partkey") % 50).alias("mention"), F.col("l_suppkey").alias("entity_id")).agg(F.max("l_discount").alias("score"))
-    return top_k(scores, "mention", 50)
+    return top_k(scores, "mention", 50).withColumn("rank", F.col("rank").cast("long"))
 
 
 _PAIRS = """SELECT p_partkey, p_name || ' ' || p_brand AS text, CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN p_brand || ' ' || p_name

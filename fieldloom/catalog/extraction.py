@@ -142,7 +142,7 @@ _PROMPT_SQL = x.TRANSLATION_PROMPT.replace("'", "''").replace("{source_language}
     "{text}", "' || validated_result || '")
 
 
-@query("translation_prompts", f"SELECT extraction_id, '{_PROMPT_SQL}' AS prompt, length(validated_result) * 2 AS max_tokens, NULL AS error FROM ({_TO_TRANSLATE})")
+@query("translation_prompts", f"SELECT extraction_id, '{_PROMPT_SQL}' AS prompt, length(validated_result) * 2 AS max_tokens, NULL::VARCHAR AS error FROM ({_TO_TRANSLATE})")
 def translation_prompts(t):
     rows = r.pending_translation_batch(t.fx_extraction, t.fx_prompt, force=True).join(t.fx_prompt.select("prompt_id", "display_name", "translation_context"), "prompt_id")
     rows = rows.join(t.fx_source.select("source_id", "category_id"), "source_id").join(

@@ -270,19 +270,19 @@ def generation_stats(t):
     return p.generation_stats(_manifest(t), t.fx_profile)
 
 
-@query("structured_data", f"""SELECT source_id, to_json({{'@context': 'https://schema.org', '@type': 'Article', 'headline': {_title('markdown_content')}, 'description': substr(regexp_replace(html, '<[^>]+>', '', 'g'), 1, 200),
+@query("structured_data", f"""SELECT source_id, CAST(to_json({{'@context': 'https://schema.org', '@type': 'Article', 'headline': {_title('markdown_content')}, 'description': substr(regexp_replace(html, '<[^>]+>', '', 'g'), 1, 200),
     'url': 'https://kb.example.org/details/' || source_id || '.html', 'datePublished': strftime(coalesce(published_at, generated_at), '%Y-%m-%dT%H:%M:%S'),
-    'author': {{'@type': 'Organization', 'name': coalesce(nullif({_inst('markdown_content', 15)}, ''), 'Hochschule')}}}}) AS json
+    'author': {{'@type': 'Organization', 'name': coalesce(nullif({_inst('markdown_content', 15)}, ''), 'Hochschule')}}}}) AS VARCHAR) AS json
     FROM (SELECT *, '<p class="x">' || replace(markdown_content, chr(10), '<br>') || '</p>' AS html FROM fx_profile) WHERE published""")
 def structured_data(t):
     rows = t.fx_profile.withColumn("html_content", F.expr("""'<p class="x">' || replace(markdown_content, chr(10), '<br>') || '</p>'"""))
-    return p.structured_data(rows, "https://kb.example.org").withColumn("json", F.col("json").cast("string"))
+    return p.structured_data(rows, "https://kb.example.org")
 
 
-@query("record_json", """SELECT extraction_id, to_json({'extraction_id': extraction_id, 'validated_result': validated_result, 'final_confidence': final_confidence, 'extracted_at': strftime(extracted_at, '%Y-%m-%dT%H:%M:%S'),
+@query("record_json", """SELECT extraction_id, CAST(to_json({'extraction_id': extraction_id, 'validated_result': validated_result, 'final_confidence': final_confidence, 'extracted_at': strftime(extracted_at, '%Y-%m-%dT%H:%M:%S'),
     'source': {'source_id': s.source_id, 'url': s.url, 'status': s.status, 'created_at': strftime(s.created_at, '%Y-%m-%dT%H:%M:%S'),
       'category': CASE WHEN c.category_id IS NOT NULL THEN {'category_id': c.category_id, 'internal_name': c.internal_name, 'display_name': c.display_name} END},
-    'prompt': {'prompt_id': f.prompt_id, 'internal_name': f.internal_name, 'field_group': f.field_group}}) AS json
+    'prompt': {'prompt_id': f.prompt_id, 'internal_name': f.internal_name, 'field_group': f.field_group}}) AS VARCHAR) AS json
     FROM fx_extraction e JOIN fx_source s USING (source_id) JOIN fx_prompt f ON f.prompt_id = e.prompt_id LEFT JOIN fx_category c ON c.category_id = s.category_id""")
 def record_json(t):
     return p.record_json(t.fx_extraction, t.fx_prompt, t.fx_source, t.fx_category)

@@ -178,7 +178,7 @@ def recovery_counts(t):
     return s.recovery_plan(t.fx_source, t.fx_category_prompt, t.fx_prompt, t.fx_extraction)[1]
 
 
-@query("requeue_failed", "SELECT source_id, 'pending' AS status, NULL AS error_message FROM fx_source WHERE status = 'failed'")
+@query("requeue_failed", "SELECT source_id, 'pending' AS status, NULL::VARCHAR AS error_message FROM fx_source WHERE status = 'failed'")
 def requeue_failed(t):
     return s.reset_failed(t.fx_source).select("source_id", "status", "error_message")
 

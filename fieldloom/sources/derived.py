@@ -116,7 +116,7 @@ SQL: dict[str, str] = {
     "fx_review": """
         SELECT extraction_id AS review_id, extraction_id, validated_result AS raw_text, 'university' AS entity_type,
                CASE WHEN extraction_id % 3 <> 0 THEN CAST(right(validated_result, 4) AS BIGINT) END AS suggestion_id,
-               CASE WHEN extraction_id % 5 <> 0 THEN 0.75 END AS confidence,
+               CASE WHEN extraction_id % 5 <> 0 THEN CAST(0.75 AS DOUBLE) END AS confidence,
                CASE source_id % 3 WHEN 0 THEN 'pending' WHEN 1 THEN 'reviewed' ELSE 'ignored' END AS status
         FROM {fx_extraction} WHERE prompt_id = 2 AND validated_result LIKE 'Supplier#%'""",
     "fx_job": """
