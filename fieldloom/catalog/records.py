@@ -207,7 +207,7 @@ def fully_extracted(t):
 @query("unassigned_prompts", """SELECT prompt_id, internal_name FROM cfg_prompt WHERE is_active
     AND prompt_id NOT IN (SELECT prompt_id FROM cfg_mapping WHERE category_id = 3)""")
 def unassigned_prompts(t):
-    return r.unassigned_prompts(t.cfg_category, t.cfg_mapping, t.cfg_prompt, 3).select("prompt_id", "internal_name")
+    return r.unassigned_prompts(t.cfg_mapping, t.cfg_prompt, 3).select("prompt_id", "internal_name")
 
 
 @query("sources_without_profile", """SELECT source_id, url FROM fx_source WHERE status = 'completed'

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from fieldloom.functions import answers, text as tx, web
+from fieldloom.functions import answers, web
 from fieldloom.operators.records import content_hash, fan_out_extract
 from fieldloom.operators.statistics import n_rows
 

@@ -211,7 +211,7 @@ def fully_extracted(sources, mapping, prompts, extractions) -> DataFrame:
     return ready.join(open_ones, "source_id", "left_anti")
 
 
-def unassigned_prompts(categories: DataFrame, mapping: DataFrame, prompts: DataFrame, category_id: int) -> DataFrame:
+def unassigned_prompts(mapping: DataFrame, prompts: DataFrame, category_id: int) -> DataFrame:
     taken = mapping.where(F.col("category_id") == category_id).select("prompt_id")
     return prompts.where("is_active").join(taken, "prompt_id", "left_anti")
 

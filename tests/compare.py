@@ -74,8 +74,6 @@ def check(spark, con, sf_dir, name, fn, sql) -> str | None:
 
 def main(argv):
     sf_dir = os.environ.get("SF_DIR", "/root/testdata/sf0.001")
-    import importlib
-
     from fieldloom.catalog import registry
 
     areas = [a for a in argv if a in registry._AREAS]
