@@ -187,3 +187,22 @@ def test_stuck_watch_drops_keys_that_move_on(spark, tmp_path):
 def test_stuck_limit_is_strict(spark, now, want):
     df = spark.sql("SELECT 1L AS source_id, 'extracting' AS status, TIMESTAMP_NTZ '2024-01-01 00:00:00' AS updated_at, '' AS error_message")
     assert [r[0] for r in records.stuck_extracting(df, F.expr(f"TIMESTAMP_NTZ '{now}'")).collect()] == want
+
+
+def test_capture_stream_with_failed_and_unknown_pages(spark, tmp_path):
+    body = "<html><head><title>T</title></head><body><p>text</p></body></html>"
+    parts = [[("https://h/1", body), ("https://h/2", " "), ("https://h/9", body)], [("https://h/1", body), ("https://h/3", body)]]
+    df = spark.createDataFrame(parts[0], "url string, html string")
+    write_files(df, str(tmp_path / "in"), parts)
+    schema = ("source_id long, url string, status string, category_id long, markdown_content string, markdown_size long, pages_crawled long, "
+              "crawled_at timestamp_ntz, error_message string")
+    sources = spark.createDataFrame([(i, f"https://h/{i}", "pending", 1, None, None, None, None, None) for i in (1, 2, 3, 4)], schema)
+    mapping = spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "category_id long, prompt_id long")
+    prompts = spark.createDataFrame([(1, True), (2, True), (3, False)], "prompt_id long, is_active boolean")
+    pages = streams.file_stream(spark, str(tmp_path / "in"), files_per_batch=1)
+    table, made = streams.capture_stream(pages, sources, mapping, prompts, str(tmp_path / "work"), F.expr("TIMESTAMP_NTZ '2024-06-01 00:00:00'"))
+    got = {r["source_id"]: r for r in table.collect()}
+    assert {k: r["status"] for k, r in got.items()} == {1: "crawled", 2: "failed", 3: "crawled", 4: "pending"}
+    assert got[2]["error_message"] == "empty page" and got[1]["category_id"] == 1
+    assert got[1]["markdown_content"].endswith("## Page-Type: PRIMARY\n\ntext\n") and "Crawl-Timestamp: 2024-06-01T00:00:00Z" in got[1]["markdown_content"]
+    assert sorted(map(tuple, made.collect())) == [(1, 1), (1, 2), (3, 1), (3, 2)]
