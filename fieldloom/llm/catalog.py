@@ -39,3 +39,10 @@ def op6_substring_dedup(read):
     from fieldloom.llm.repeats import repeated_words
 
     return repeated_words(read("documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@_query()
+def op1_minhash_near_dedup(read):
+    from fieldloom.llm.near_dedup import near_duplicates
+
+    return near_duplicates(read("documents"))
