@@ -46,3 +46,26 @@ def op1_minhash_near_dedup(read):
     from fieldloom.llm.near_dedup import near_duplicates
 
     return near_duplicates(read("documents"))
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@_query()
+def op8_token_files(read):
+    from fieldloom.llm.token_files import read_token_files, shared_folder, write_token_files
+
+    docs = read("documents")
+    folder = shared_folder(docs.sparkSession, "token-files")
+    write_token_files(docs, folder, tokenizer_path("word_bpe_49k.json"))
+    return read_token_files(docs.sparkSession, folder)
+
+
+@_query()
+def op10_mixture_packing(read):
+    from fieldloom.llm.packing import pack_documents
+
+    return pack_documents(read("documents"), tokenizer_path("byte_bpe_50k.json"))
