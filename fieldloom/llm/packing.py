@@ -1,12 +1,14 @@
 """Sequences of a fixed size with a controlled mixture of sources.
 
-Deficit round robin: every window credits each source with its target share of the
-tokens; a source spends what it has been credited from its queue of documents, cut
-freely, and carries the rest.  Room that a drained source leaves goes to the largest
-deficits.  Documents are dealt to parts by a hash, so a source with a third of all rows is
-spread over all parts; what each source is owed at the start of a part follows from the
-token sums of the parts before it, so deficits carry on across parts.  The tail of a
-part becomes sequences of a power of two, which need no padding.
+Deficit round robin: every window credits each source with its share of the tokens; a
+source spends what it has been credited from its queue of documents, cut freely, and
+carries the rest to the next window.  Room that a drained source leaves goes to the
+largest deficits.  Documents are dealt to parts by a hash, so a source with a third of
+all rows is spread over all parts.  What each source is owed at the start of a part
+follows from the token sums of the parts before it.  That debt is settled evenly over the
+windows of the part, not by its first windows alone, and what the part's queues cannot
+settle is owed to the next part.  The tail of a part becomes sequences of a power of two,
+which need no padding.
 
 Defined cases: a null text is empty and is the end id alone; a null source is a queue of
 its own; every row is a document, also if it repeats an id or has none; an empty table
@@ -32,14 +34,28 @@ LEAST_PIECE = 32
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def fill_windows(queues: np.ndarray, shares: np.ndarray, owed: np.ndarray, window: int = WINDOW, least: int = LEAST_PIECE):
+def credit_rates(queues: np.ndarray, shares: np.ndarray, owed: np.ndarray, given: bool) -> np.ndarray:
+    """Credit of each source for a token of the part.
+
+    A source should spend its share of the part and what it is owed.  With ``given``
+    shares it is credited just that, until its queue is drained.  Otherwise all queues are to
+    drain together, so the part leaves it owed the difference to its queue.
+    """
+    total = max(int(queues.sum()), 1)
+    wanted = shares * total + owed
+    left_owed = np.zeros(len(queues)) if given else wanted - queues
+    rates = np.maximum(wanted - left_owed, 0)
+    return rates / max(rates.sum(), 1e-300)
+
+
+def fill_windows(queues: np.ndarray, rates: np.ndarray, window: int = WINDOW, least: int = LEAST_PIECE):
     """(window number, source, tokens) of each cut, window by window; ``queues`` are token counts."""
-    left, deficit = queues.astype(np.int64), owed.astype(float)
+    left, deficit = queues.astype(np.int64), np.zeros(len(queues))
     numbers, sources, cuts = [], [], []
     total, number = int(left.sum()), 0
     while total:
         room = window if total >= window else 1 << (total.bit_length() - 1)
-        deficit += shares * room
+        deficit += rates * room
         take = np.clip(np.floor(deficit), 0, left).astype(np.int64)
         take[(take < least) & (take < left)] = 0
         order = np.argsort(-deficit, kind="stable")
@@ -63,7 +79,7 @@ def fill_windows(queues: np.ndarray, shares: np.ndarray, owed: np.ndarray, windo
     return np.concatenate(numbers), np.concatenate(sources), np.concatenate(cuts)
 
 
-def _pack_part(docs: pa.Table, mixture: pa.Table, window: int, width: str) -> pa.Table:
+def _pack_part(docs: pa.Table, mixture: pa.Table, window: int, width: str, given: bool) -> pa.Table:
     if not docs.num_rows:
         return pa.table({c.split()[0]: pa.array([], pa.int64()) for c in PIECES.split(", ")})
     part = docs.column("part")[0].as_py()
@@ -79,9 +95,8 @@ def _pack_part(docs: pa.Table, mixture: pa.Table, window: int, width: str) -> pa
     tokens = np.concatenate([ids[i] for i in order]).astype("<u4").tobytes()
     del ids
     queues = np.bincount(source, weights=lengths, minlength=len(names)).astype(np.int64)
-    windows, of, cuts = fill_windows(
-        queues, mixture.column("share").to_numpy(), mixture.column("owed").to_numpy(), window
-    )
+    rates = credit_rates(queues, mixture.column("share").to_numpy(), mixture.column("owed").to_numpy(), given)
+    windows, of, cuts = fill_windows(queues, rates, window)
     # Places of the cuts: in their window, and among all tokens with the queues end to end.
     first = np.searchsorted(windows, windows)
     ends = np.cumsum(cuts)
@@ -160,6 +175,6 @@ def pack_documents(
     )
 
     def pack(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _pack_part(left, right, window, width)
+        return _pack_part(left, right, window, width, targets is not None)
 
     return encoded.groupBy("part").cogroup(mixture.groupBy("part")).applyInArrow(pack, PIECES)
