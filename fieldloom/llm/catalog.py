@@ -69,3 +69,10 @@ def op10_mixture_packing(read):
     from fieldloom.llm.packing import pack_documents
 
     return pack_documents(read("documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+@_query()
+def op7_benchmark_decontamination(read):
+    from fieldloom.llm.decontamination import contaminated_documents
+
+    return contaminated_documents(read("documents"), read("benchmark"))
