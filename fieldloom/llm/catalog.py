@@ -76,3 +76,24 @@ def op7_benchmark_decontamination(read):
     from fieldloom.llm.decontamination import contaminated_documents
 
     return contaminated_documents(read("documents"), read("benchmark"))
+
+
+@_query(
+    """
+    WITH v AS (
+      SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
+      FROM embeddings
+      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    ), s AS (
+      SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+    ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
+    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """
+)
+def op3_maxscore_search(read):
+    from fieldloom.llm.topk import scaled, search
+
+    table = read("embeddings")
+    vectors = table.select(table["vec_id"].cast("long").alias("vec_id"), scaled(table["embedding"]).alias("vector"))
+    return search(vectors.where("vec_id % 20 = 0"), vectors)

@@ -1,95 +1,155 @@
 """Token ids of whole texts by a public tokenizer file.
 
-A text is cut before each white-space character that stands alone.  The tokenizers' own
-splitting never joins characters across such a place, so the ids of the pieces, joined,
-are the ids of the text.  Pieces repeat, and a bounded memo keeps their ids.  A text
-with runs of white space, other white space or an added token's string is encoded whole.
+A text is cut before white space that follows another character, and before ASCII
+punctuation, but for the apostrophe, that follows an ASCII letter or digit.  The
+tokenizers' own splitting never joins characters across such a place, so the ids of the
+pieces, joined, are the ids of the text.  Pieces repeat: they are told apart by a 64-bit
+hash, and a bounded memo keeps the ids of each.  A text with white space beyond ASCII or
+with an added token's string is one piece.
 """
 
 from __future__ import annotations
 
 import os
 import re
-from collections.abc import Iterable, Iterator
-from itertools import islice
+from collections.abc import Iterator
 
 import numpy as np
-
-#: Distinct pieces that a Python worker remembers; beyond it the memo starts anew.
-MEMO_PIECES = 900_000
-#: Texts whose unknown pieces are encoded together, and their characters at most.
-TOGETHER, TOGETHER_CHARS = 1_000, 2_000_000
-
-_RUN = ("  ", "\n ", " \n", "\n\n", "\t", "\r", "\x0b", "\x0c")
-_OTHER_SPACE = "[\x1c-\x1f\x85\xa0  -     　]"
+import pyarrow as pa
+
+from fieldloom.llm.hashing import span_hashes, text_chunks
+
+#: Distinct pieces, and their ids, that a Python worker remembers; beyond it the memo starts anew.
+MEMO_PIECES, MEMO_IDS = 1_000_000, 8_000_000
+#: Bytes of text whose unknown pieces are encoded together.
+TOGETHER_BYTES = 2 << 20
+
+#: Texts to put after each piece; the first that keeps these pieces apart is used.
+_BORDERS, _PROBE = (" \x01", " \x01 "), (" foo", ",", "bar", "\n", "\nFoo", " \n\nfoo's", "9", ".;", " ")
+_SPACE, _ALNUM, _PUNCTUATION, _RARE = (np.zeros(256, dtype=bool) for _ in range(4))
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+for _c in range(33, 127):
+    (_ALNUM if chr(_c).isalnum() else _PUNCTUATION)[_c] = True
+_PUNCTUATION[ord("'")] = False
+#: First bytes of white space beyond ASCII, separators 28-31 and the border.
+_RARE[[1, 28, 29, 30, 31, 0xC2, 0xE1, 0xE2, 0xE3]] = True
+_OTHER_SPACE = "[\x01\x1c-\x1f\x85\xa0  -     　]"
 _ENCODERS: dict[str, Encoder] = {}
 
 
 class Encoder:
-    """``many(texts)`` gives the ids of each text as little-endian unsigned 32-bit integers."""
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        added = self.tokenizer.get_added_tokens_decoder()
-        self.added = [t.content for t in added.values()]
+        self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.other_space = re.compile(_OTHER_SPACE)
-        self.border = next(((i, t.content) for i, t in added.items()), None)
-        self.memo: dict[str, bytes] = {}
-
-    def whole(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-
-    def _short(self, pieces: list[str]) -> list[bytes]:
-        """Many pieces as one text, with an added token, which no piece holds, as the border."""
+        self.border = None
+        probe = [self._whole(p) for p in _PROBE]
+        for text in _BORDERS:
+            ids = self._whole(text)
+            self.border = (text, int(ids[-1]), len(ids)) if len(ids) else None
+            if self.border and all(map(np.array_equal, np.split(*self._split(list(_PROBE))), probe)):
+                break
+            self.border = None
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slots: dict[int, int] = {}
+        self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.starts: list[int] = []
+        self.lengths: list[int] = []
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def _short(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids end to end, number of each piece): one text with a border after each piece."""
         if self.border is None:
-            return self.whole(pieces)
-        number, content = self.border
-        ids = np.frombuffer(self.whole([content.join(pieces)])[0], dtype="<u4")
-        ends = np.append(np.flatnonzero(ids == number), len(ids))
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        data = ids.tobytes()
-        return [data[a:b] for a, b in zip((4 * starts).tolist(), (4 * ends).tolist(), strict=True)]
-
-    def _pieces(self, text: str) -> list[str] | None:
-        """Pieces that follow a space, which they lack, or begin with a line break."""
-        if any(run in text for run in _RUN) or any(a in text for a in self.added):
-            return None
-        if not text.isascii() and self.other_space.search(text):
-            return None
-        return text.replace("\n", " \n").split(" ")
-
-    def _together(self, texts: list[str]) -> Iterator[bytes]:
-        pieces = [self._pieces(t) for t in texts]
-        used: set[str] = set()
-        for p in pieces:
-            used.update(p[1:] if p else ())
-        memo = self.memo
-        fresh = [p for p in used if p not in memo]
-        if len(memo) + len(fresh) > MEMO_PIECES:
-            memo.clear()
-            fresh = list(used)
-        if fresh:
-            memo.update(zip(fresh, self._short([p if p[:1] == "\n" else " " + p for p in fresh]), strict=True))
-        firsts = iter(self._short([p[0] for p in pieces if p]) if any(pieces) else ())
-        get = {p: memo[p] for p in used}.__getitem__  # small, so it stays in the processor's cache
-        for text, p in zip(texts, pieces, strict=True):
-            yield next(firsts) + b"".join(map(get, islice(p, 1, None))) if p else self.whole([text])[0]
-
-    def many(self, texts: Iterable[str]) -> Iterator[bytes]:
-        held: list[str] = []
-        size = 0
-        for text in texts:
-            if held and (len(held) >= TOGETHER or size + len(text) > TOGETHER_CHARS):
-                yield from self._together(held)
-                held, size = [], 0
-            held.append(text)
-            size += len(text)
-        if held:
-            yield from self._together(held)
+            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.concatenate(found), np.array([len(f) for f in found])
+        text, last, size = self.border
+        ids = self._whole("".join([p + text for p in pieces]))
+        ends = np.flatnonzero(ids == last) + 1
+        keep = np.ones(len(ids), dtype=bool)
+        for back in range(1, size + 1):
+            keep[ends - back] = False
+        return ids[keep], np.diff(ends, prepend=0) - size
+
+    def _split(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, counts = self._short(pieces)
+        return ids, np.cumsum(counts)[:-1]
+
+    def _learn(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)))
+        self.pool[self.used : self.used + len(ids)] = ids
+        first = len(self.starts)
+        self.starts.extend((self.used + np.cumsum(counts) - counts).tolist())
+        self.lengths.extend(counts.tolist())
+        self.slots.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self.used += len(ids)
+
+    def _alone(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
+        """Rows that must stay one piece."""
+        rows = set()
+        rare = np.flatnonzero(_RARE[data])
+        for row in np.unique(np.searchsorted(offsets, rare, side="right") - 1).tolist():
+            if self.other_space.search(data[offsets[row] : offsets[row + 1]].tobytes().decode()):
+                rows.add(row)
+        whole = data.tobytes()
+        for token in self.added:
+            at = whole.find(token)
+            while at >= 0:
+                rows.add(int(np.searchsorted(offsets, at, side="right")) - 1)
+                at = whole.find(token, at + 1)
+        return sorted(rows)
+
+    def _chunk(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all rows, bounds of each row)."""
+        space = _SPACE[data]
+        cut = np.zeros(len(data) + 1, dtype=bool)
+        cut[1:-1] = (space[1:] & ~space[:-1]) | (_PUNCTUATION[data[1:]] & _ALNUM[data[:-1]])
+        alone = self._alone(data, offsets)
+        for row in alone:
+            cut[offsets[row] : offsets[row + 1]] = False
+        cut[offsets] = True
+        cut[-1] = False
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        keys, first, index = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        if len(self.slots) + len(keys) > MEMO_PIECES or self.used > MEMO_IDS:
+            self._forget()
+        names = keys.tolist()
+        get = self.slots.get
+        slots = np.array([get(k, -1) for k in names], np.int64)
+        unknown = np.flatnonzero(slots < 0)
+        if len(unknown):
+            whole = set(offsets[alone].tolist())
+            text = data.tobytes()
+            spots = [(int(starts[f]), int(ends[f])) for f in first[unknown]]
+            if whole and any(a in whole for a, _ in spots):
+                found = [self._whole(text[a:b].decode()) if a in whole else self._short([text[a:b].decode()])[0] for a, b in spots]
+                ids, counts = np.concatenate(found), np.array([len(f) for f in found])
+            else:
+                ids, counts = self._short([text[a:b].decode() for a, b in spots])
+            before = len(self.starts)
+            self._learn([names[u] for u in unknown], ids, counts)
+            slots[unknown] = np.arange(before, before + len(unknown))
+        of_key = np.array([self.starts[s] for s in slots], np.int64), np.array([self.lengths[s] for s in slots], np.int64)
+        lengths = of_key[1][index]
+        ends_of = np.cumsum(lengths)
+        places = np.repeat(of_key[0][index] - (ends_of - lengths), lengths) + np.arange(ends_of[-1] if len(ends_of) else 0)
+        bounds = np.concatenate(([0], ends_of))[np.searchsorted(starts, offsets)]
+        return self.pool[places], bounds
+
+    def rows(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of each text of a column, as unsigned 32-bit integers; null counts as empty."""
+        for _, _, data, offsets in text_chunks(column, TOGETHER_BYTES):
+            ids, bounds = self._chunk(data, offsets)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                yield ids[a:b]
 
 
 def encoder(path: str) -> Encoder:

@@ -90,6 +90,11 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of the bytes of each span; spans of any length and order."""
+    return word_hashes(data, starts, ends)
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = False) -> np.ndarray:
     sums, inverse = _span_sums((_FOLDED if fold_case else _VALUES)[data], _BASE)
     return mix((sums[ends] - sums[starts]) * _powers(inverse, len(data) + 1)[starts])

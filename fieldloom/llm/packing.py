@@ -134,15 +134,14 @@ def pack_documents(
     units = units or 2 * partitions
     width = "<u2" if max(vocabulary(tokenizer) - 1, end_id) < 1 << 16 else "<u4"
     item = np.dtype(width).itemsize
-    end = np.array([end_id], "<u4").tobytes()
+    end = np.array([end_id], width).tobytes()
 
     def encode(batches):
         for batch in batches:
-            texts = (t or "" for t in batch.column("text").to_pylist())
             docs_of = batch.column("doc_id").to_pylist()
             entries = (
-                np.array([doc or 0, doc is None], "<i8").tobytes() + np.frombuffer(ids + end, "<u4").astype(width).tobytes()
-                for doc, ids in zip(docs_of, encoder(tokenizer).many(texts), strict=True)
+                np.array([doc or 0, doc is None], "<i8").tobytes() + ids.astype(width).tobytes() + end
+                for doc, ids in zip(docs_of, encoder(tokenizer).rows(batch.column("text")), strict=True)
             )
             yield pa.record_batch({"part": batch.column("part"), "source": batch.column("source"), "entry": pa.array(entries, pa.binary())})
 

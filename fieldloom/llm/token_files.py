@@ -38,10 +38,10 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def _shard_row(file: int, shard: int, docs: list, parts: list[bytes], levels: int) -> pa.RecordBatch:
-    ids = np.frombuffer(b"".join(parts), "<u4")
+def _shard_row(file: int, shard: int, docs: list, parts: list[np.ndarray], levels: int) -> pa.RecordBatch:
+    ids = np.concatenate(parts)
     matrix = WaveletMatrix.build(ids, levels)
-    ends = np.cumsum([len(p) // 4 for p in parts])
+    ends = np.cumsum([len(p) for p in parts])
     return pa.record_batch({
         "file": pa.array([file], pa.int32()), "shard": pa.array([shard], pa.int32()), "n": pa.array([len(ids)], pa.int64()),
         "docs": pa.array([docs], pa.list_(pa.int64())), "ends": pa.array([ends], pa.list_(pa.int64())),
@@ -53,18 +53,16 @@ def _shard_row(file: int, shard: int, docs: list, parts: list[bytes], levels: in
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Encode ``text`` by the tokenizer file and write shards in ascending ``doc_id`` order."""
     levels = max(1, int(max(vocabulary(tokenizer) - 1, end_id)).bit_length())
-    end = np.array([end_id], "<u4").tobytes()
 
     def shards(batches):
         from pyspark import TaskContext
 
         file, shard, held, parts, size = TaskContext.get().partitionId(), 0, [], [], 0
         for batch in batches:
-            texts = (t or "" for t in batch.column("text").to_pylist())
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).many(texts), strict=True):
+            for doc, ids in zip(batch.column("doc_id").to_pylist(), encoder(tokenizer).rows(batch.column("text")), strict=True):
                 held.append(doc)
-                parts.append(ids + end)
-                size += len(ids) // 4 + 1
+                parts.append(np.append(ids, np.uint32(end_id)))
+                size += len(ids) + 1
                 if size >= shard_ids:
                     yield _shard_row(file, shard, held, parts, levels)
                     shard, held, parts, size = shard + 1, [], [], 0
