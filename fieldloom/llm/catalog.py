@@ -97,3 +97,10 @@ def op3_maxscore_search(read):
     table = read("embeddings")
     vectors = table.select(table["vec_id"].cast("long").alias("vec_id"), scaled(table["embedding"]).alias("vector"))
     return search(vectors.where("vec_id % 20 = 0"), vectors)
+
+
+@_query()
+def op4_language_id(read):
+    from fieldloom.llm.language_id import identify_languages
+
+    return identify_languages(read("documents"))
