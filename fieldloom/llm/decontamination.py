@@ -111,7 +111,8 @@ def contaminated_documents(docs: DataFrame, benchmark: DataFrame, window: int =
     # The distinct lengths of short items: at most window - 1 numbers.
     short = sorted(r[0] for r in items.where(F.col("size") < window).select("size").distinct().collect())
     hashed = _fingerprints(benchmark.select(_hashes(F.col("text")).alias("hashes")), window, gram)
-    wanted = hashed.select(F.explode("prints").alias("print"))
+    # The outer form: the plain one would put the whole chain of arrays into a filter at the scan.
+    wanted = hashed.select(F.explode_outer("prints").alias("print")).where("print IS NOT NULL")
     for size in short:
         whole = hashed.where(F.size("hashes") == size).select(_short_print(F.col("hashes"), F.lit(1), size).alias("print"))
         wanted = wanted.unionByName(whole)
