@@ -104,3 +104,10 @@ def op4_language_id(read):
     from fieldloom.llm.language_id import identify_languages
 
     return identify_languages(read("documents"))
+
+
+@_query()
+def op5_toxicity(read):
+    from fieldloom.llm.toxicity import toxic_documents
+
+    return toxic_documents(read("documents"), read("labels"))
