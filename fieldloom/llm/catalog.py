@@ -111,3 +111,10 @@ def op5_toxicity(read):
     from fieldloom.llm.toxicity import toxic_documents
 
     return toxic_documents(read("documents"), read("labels"))
+
+
+@_query()
+def op2_html_extraction(read):
+    from fieldloom.llm.html_extraction import extract_pages
+
+    return extract_pages(read("pages"))
