@@ -118,3 +118,10 @@ def op2_html_extraction(read):
     from fieldloom.llm.html_extraction import extract_pages
 
     return extract_pages(read("pages"))
+
+
+@_query()
+def op9_pii(read):
+    from fieldloom.llm.pii import find_personal_data
+
+    return find_personal_data(read("documents"))
