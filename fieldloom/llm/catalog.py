@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fieldloom.llm import twins
 from fieldloom.plans.ship import ship_package
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,14 +35,14 @@ def oracle_sql() -> dict[str, str]:
     return dict(_TWINS)
 
 
-@_query()
+@_query(twins.REPEATED_WORDS)
 def op6_substring_dedup(read):
     from fieldloom.llm.repeats import repeated_words
 
     return repeated_words(read("documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@_query()
+@_query(twins.NEAR_DUPLICATES)
 def op1_minhash_near_dedup(read):
     from fieldloom.llm.near_dedup import near_duplicates
 
@@ -71,26 +72,14 @@ def op10_mixture_packing(read):
     return pack_documents(read("documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
-@_query()
+@_query(twins.CONTAMINATED)
 def op7_benchmark_decontamination(read):
     from fieldloom.llm.decontamination import contaminated_documents
 
     return contaminated_documents(read("documents"), read("benchmark"))
 
 
-@_query(
-    """
-    WITH v AS (
-      SELECT CAST(vec_id AS BIGINT) AS vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS e
-      FROM embeddings
-      WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-    ), s AS (
-      SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
-      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
-    ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
-    SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
-    """
-)
+@_query(twins.BEST_VECTORS)
 def op3_maxscore_search(read):
     from fieldloom.llm.topk import scaled, search
 
