@@ -17,10 +17,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from fieldloom.llm.hashing import span_hashes, text_chunks
+from fieldloom.llm.hashing import byte_values, span_hashes, text_chunks
 
-#: Distinct pieces, and their ids, that a Python worker remembers; beyond it the memo starts anew.
-MEMO_PIECES, MEMO_IDS = 1_000_000, 8_000_000
+#: Distinct pieces (20 bytes each), and their ids, that a Python worker remembers; beyond it the memo starts anew.
+MEMO_PIECES, MEMO_IDS = 2_500_000, 12_000_000
 #: Bytes of text whose unknown pieces are encoded together.
 TOGETHER_BYTES = 2 << 20
 
@@ -53,13 +53,15 @@ class Encoder:
             if self.border and all(map(np.array_equal, np.split(*self._split(list(_PROBE))), probe)):
                 break
             self.border = None
+        # Pieces that the tokenizer does not tell apart have one key.
+        same = [np.array_equal(self._whole(a), self._whole(b)) for a, b in ((" FooX", " foox"), ("\nfoo", " foo"))]
+        self.values = byte_values(*same)
         self._forget()
 
     def _forget(self) -> None:
-        self.slots: dict[int, int] = {}
+        self.keys = np.zeros(0, np.uint64)  # in order; the others belong to them
+        self.starts, self.lengths = np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts: list[int] = []
-        self.lengths: list[int] = []
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
@@ -81,14 +83,14 @@ class Encoder:
         ids, counts = self._short(pieces)
         return ids, np.cumsum(counts)[:-1]
 
-    def _learn(self, keys: list[int], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _learn(self, keys: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
         if self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate((self.pool[: self.used], np.zeros(max(len(self.pool), len(ids)), np.uint32)))
         self.pool[self.used : self.used + len(ids)] = ids
-        first = len(self.starts)
-        self.starts.extend((self.used + np.cumsum(counts) - counts).tolist())
-        self.lengths.extend(counts.tolist())
-        self.slots.update(zip(keys, range(first, first + len(keys)), strict=True))
+        at = np.searchsorted(self.keys, keys)
+        self.keys = np.insert(self.keys, at, keys)
+        self.starts = np.insert(self.starts, at, self.used + np.cumsum(counts) - counts)
+        self.lengths = np.insert(self.lengths, at, counts)
         self.used += len(ids)
 
     def _alone(self, data: np.ndarray, offsets: np.ndarray) -> list[int]:
@@ -118,26 +120,25 @@ class Encoder:
         cut[-1] = False
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data)) if len(starts) else starts
-        keys, first, index = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if len(self.slots) + len(keys) > MEMO_PIECES or self.used > MEMO_IDS:
+        keys, first, index = np.unique(span_hashes(data, starts, ends, self.values), return_index=True, return_inverse=True)
+        if len(self.keys) + len(keys) > MEMO_PIECES or self.used > MEMO_IDS:
             self._forget()
-        names = keys.tolist()
-        get = self.slots.get
-        slots = np.array([get(k, -1) for k in names], np.int64)
-        unknown = np.flatnonzero(slots < 0)
+        at = np.searchsorted(self.keys, keys)
+        known = at < len(self.keys)
+        known[known] = self.keys[at[known]] == keys[known]
+        unknown = np.flatnonzero(~known)
         if len(unknown):
             whole = set(offsets[alone].tolist())
             text = data.tobytes()
-            spots = [(int(starts[f]), int(ends[f])) for f in first[unknown]]
+            spots = list(zip(starts[first[unknown]].tolist(), ends[first[unknown]].tolist(), strict=True))
             if whole and any(a in whole for a, _ in spots):
                 found = [self._whole(text[a:b].decode()) if a in whole else self._short([text[a:b].decode()])[0] for a, b in spots]
                 ids, counts = np.concatenate(found), np.array([len(f) for f in found])
             else:
                 ids, counts = self._short([text[a:b].decode() for a, b in spots])
-            before = len(self.starts)
-            self._learn([names[u] for u in unknown], ids, counts)
-            slots[unknown] = np.arange(before, before + len(unknown))
-        of_key = np.array([self.starts[s] for s in slots], np.int64), np.array([self.lengths[s] for s in slots], np.int64)
+            self._learn(keys[unknown], ids, counts)
+            at = np.searchsorted(self.keys, keys)
+        of_key = self.starts[at], self.lengths[at].astype(np.int64)
         lengths = of_key[1][index]
         ends_of = np.cumsum(lengths)
         places = np.repeat(of_key[0][index] - (ends_of - lengths), lengths) + np.arange(ends_of[-1] if len(ends_of) else 0)

@@ -90,14 +90,22 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def byte_values(fold_case: bool = False, one_space: bool = False) -> np.ndarray:
+    """The hash value of each byte; A-Z as a-z, or all ASCII white space as one, if wanted."""
+    values = (_FOLDED if fold_case else _VALUES).copy()
+    if one_space:
+        values[_SPACE] = values[32]
+    return values
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each span; spans of any length and order."""
-    return word_hashes(data, starts, ends)
+    sums, inverse = _span_sums(values[data], _BASE)
+    return mix((sums[ends] - sums[starts]) * _powers(inverse, len(data) + 1)[starts])
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = False) -> np.ndarray:
-    sums, inverse = _span_sums((_FOLDED if fold_case else _VALUES)[data], _BASE)
-    return mix((sums[ends] - sums[starts]) * _powers(inverse, len(data) + 1)[starts])
+    return span_hashes(data, starts, ends, _FOLDED if fold_case else _VALUES)
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
