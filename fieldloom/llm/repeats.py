@@ -72,7 +72,7 @@ def _packed(part: int, buckets: int, hashes: np.ndarray, docs: np.ndarray) -> pa
     bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     names, starts = np.unique(bucket[order], return_index=True)
-    ends = np.append(starts[1:], len(order))
+    ends = np.append(starts, len(order))[1:]
     hashes, docs = hashes[order], docs[order]
     return pa.table({
         "bucket": pa.array(names, pa.int32()), "part": pa.array(np.full(len(names), part), pa.int32()),
@@ -96,7 +96,7 @@ def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _answers(parts: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> pa.Table:
     order = np.argsort(parts, kind="stable")
     names, starts = np.unique(parts[order], return_index=True)
-    ends = np.append(starts[1:], len(order))
+    ends = np.append(starts, len(order))[1:]
     hashes, docs = hashes[order], docs[order]
     return pa.table({
         "part": pa.array(names, pa.int32()),
