@@ -18,6 +18,11 @@ def _d(text: str) -> str:
     return re.sub(r"\{(\w+)\}", r"\1", text).replace("TIMESTAMP_NTZ", "TIMESTAMP")
 
 
+def _key(name: str, *parts: str) -> str:
+    """The key that a new row gets."""
+    return f"CAST('0x' || substr(md5(concat_ws('|', '{name}', {', '.join(parts)})), 1, 15) AS BIGINT)"
+
+
 _NEW_EX = """SELECT source_id + CASE WHEN source_id % 2 = 0 THEN 1000000 ELSE 0 END AS source_id, prompt_id, 'new ' || raw_result AS raw_result,
     'checked' AS validated_result, 0.5 AS final_confidence FROM {fx_extraction} WHERE source_id % 3 = 0"""
 
@@ -129,7 +134,7 @@ def entities_deleted_variants(t):
 _RENDERED = "SELECT source_id, 'text of ' || url AS markdown_content FROM {fx_source} WHERE status = 'completed'"
 
 
-@query("upserted_profiles", f"""SELECT coalesce(p.source_id, n.source_id) AS source_id, p.profile_id, CASE WHEN n.source_id IS NOT NULL THEN n.markdown_content ELSE p.markdown_content END AS markdown_content,
+@query("upserted_profiles", f"""SELECT coalesce(p.source_id, n.source_id) AS source_id, coalesce(p.profile_id, {_key("profile_id", "n.source_id")}) AS profile_id, CASE WHEN n.source_id IS NOT NULL THEN n.markdown_content ELSE p.markdown_content END AS markdown_content,
     coalesce(p.published, false) AS published, CASE WHEN n.source_id IS NOT NULL THEN {_DNOW} ELSE p.generated_at END AS generated_at, p.published_at
     FROM fx_profile p FULL JOIN ({_d(_RENDERED)}) n ON n.source_id = p.source_id""")
 def upserted_profiles(t):
@@ -170,7 +175,8 @@ def reextract_jobs(t):
     return _reextract(t)["jobs"]
 
 
-@query("reextract_kept", "SELECT extraction_id FROM fx_extraction WHERE source_id NOT IN (SELECT source_id FROM fx_source WHERE status IN ('completed', 'extracting'))")
+@query("reextract_kept", """SELECT extraction_id FROM fx_extraction
+    WHERE is_manual_edit OR source_id NOT IN (SELECT source_id FROM fx_source WHERE status IN ('completed', 'extracting'))""")
 def reextract_kept(t):
     return _reextract(t)["extractions"].select("extraction_id")
 
@@ -194,13 +200,13 @@ def moved_source_jobs(t):
 
 
 _RECHECK = """SELECT extraction_id, 'again ' || raw_result AS result, 'LOW' AS quality, CAST(extraction_id % 100 AS DOUBLE) / 100 AS score, '-' AS notes,
-    CASE WHEN extraction_id % 7 = 0 THEN 'refused' END AS error FROM {fx_extraction} WHERE validated_result IS NULL OR validated_result = ''"""
+    CASE WHEN extraction_id % 7 = 0 THEN 'refused' END AS error FROM {fx_extraction} WHERE validated_result IS NULL OR validated_result = '' OR is_manual_edit"""
 
 
 @query("revalidated", f"""SELECT e.extraction_id, CASE WHEN n.extraction_id IS NOT NULL THEN n.result ELSE e.validated_result END AS validated_result,
     CASE WHEN n.extraction_id IS NOT NULL THEN n.quality ELSE e.validation_quality END AS validation_quality, CASE WHEN n.extraction_id IS NOT NULL THEN n.score ELSE e.validation_score END AS validation_score,
     CASE WHEN n.extraction_id IS NOT NULL THEN least(coalesce(e.raw_confidence, 0.0), n.score) ELSE e.final_confidence END AS final_confidence
-    FROM fx_extraction e LEFT JOIN (SELECT * FROM ({_d(_RECHECK)}) WHERE error IS NULL) n ON n.extraction_id = e.extraction_id""")
+    FROM fx_extraction e LEFT JOIN (SELECT * FROM ({_d(_RECHECK)}) WHERE error IS NULL) n ON n.extraction_id = e.extraction_id AND NOT e.is_manual_edit""")
 def revalidated(t):
     return c.revalidate(t.fx_extraction, t.sql(_RECHECK)).select("extraction_id", "validated_result", "validation_quality", "validation_score", "final_confidence")
 
@@ -216,12 +222,12 @@ _CLEANED = f"""SELECT *, CASE WHEN trim(url) = '' THEN NULL WHEN trim(url) LIKE
 _FRESH = f"""SELECT min(request_id) FROM ({_CLEANED}) WHERE u IS NOT NULL AND u NOT IN (SELECT url FROM fx_source) GROUP BY u"""
 
 
-@query("registered_sources", f"SELECT request_id, u AS url, category_id, 'pending' AS status FROM ({_CLEANED}) WHERE request_id IN ({_FRESH})")
+@query("registered_sources", f"SELECT request_id, {_key('source_id', 'u')} AS source_id, u AS url, category_id, 'pending' AS status FROM ({_CLEANED}) WHERE request_id IN ({_FRESH})")
 def registered_sources(t):
     return c.register_sources(t.fx_source, t.sql(_REQUESTS))[0]
 
 
-@query("registered_jobs", f"SELECT request_id, u AS url, 'crawl' AS job_type, coalesce(rate_limit, 1.0) AS rate_limit FROM ({_CLEANED}) WHERE request_id IN ({_FRESH})")
+@query("registered_jobs", f"SELECT request_id, {_key('source_id', 'u')} AS source_id, u AS url, 'crawl' AS job_type, coalesce(rate_limit, 1.0) AS rate_limit FROM ({_CLEANED}) WHERE request_id IN ({_FRESH})")
 def registered_jobs(t):
     return c.register_sources(t.fx_source, t.sql(_REQUESTS))[1]
 
@@ -260,16 +266,16 @@ def edited_mapping(t):
 
 
 @query("retired_categories", """SELECT category_id, n AS sources, CASE WHEN n > 0 THEN 'deactivated' ELSE 'deleted' END AS action FROM (
-    SELECT c.category_id, count(o_orderkey) AS n FROM cfg_category c LEFT JOIN orders ON o_custkey % 1500 = c.category_id AND o_orderstatus = 'P' WHERE c.category_id % 2 = 0 GROUP BY ALL)""")
+    SELECT c.category_id, count(o_orderkey) AS n FROM cfg_category c LEFT JOIN orders ON o_custkey % 1500 = c.category_id WHERE c.category_id % 2 = 0 GROUP BY ALL)""")
 def retired_categories(t):
-    sources = t.orders.where("o_orderstatus = 'P'").select((F.col("o_custkey") % 1500).alias("category_id"))
+    sources = t.orders.select((F.col("o_custkey") % 1500).alias("category_id"))
     return c.retire_categories(t.cfg_category, t.cfg_category.where("category_id % 2 = 0"), sources)
 
 
 @query("deleted_prompts", """SELECT prompt_id, n AS extractions, CASE WHEN n > 0 THEN 'refused' ELSE 'deleted' END AS action FROM (
-    SELECT p.prompt_id, count(l_partkey) AS n FROM cfg_prompt p LEFT JOIN lineitem ON l_partkey = p.prompt_id AND l_linenumber = 7 AND l_discount > 0.08 WHERE p.prompt_id % 2 = 1 GROUP BY ALL)""")
+    SELECT p.prompt_id, count(l_partkey) AS n FROM cfg_prompt p LEFT JOIN lineitem ON l_partkey = p.prompt_id WHERE p.prompt_id % 2 = 1 GROUP BY ALL)""")
 def deleted_prompts(t):
-    used = t.lineitem.where("l_linenumber = 7 AND l_discount > 0.08").select(F.col("l_partkey").alias("prompt_id"))
+    used = t.lineitem.select(F.col("l_partkey").alias("prompt_id"))
     return c.delete_prompts(t.cfg_prompt, t.cfg_prompt.where("prompt_id % 2 = 1"), used)
 
 
@@ -288,7 +294,7 @@ def variant_conflicts(t):
     return c.add_variants(t.fx_variant, t.fx_entity, t.sql(_NEW_VARIANTS))[1]
 
 
-@query("regenerated_profiles", f"""SELECT s.source_id, '# ' || coalesce(a, '-') || chr(10) || chr(10) || '**Institution:** ' || coalesce(b, '-') || chr(10) || chr(10) || '## Beschreibung' || chr(10)
+@query("regenerated_profiles", f"""SELECT {_key('profile_id', 's.source_id')} AS profile_id, s.source_id, '# ' || coalesce(a, '-') || chr(10) || chr(10) || '**Institution:** ' || coalesce(b, '-') || chr(10) || chr(10) || '## Beschreibung' || chr(10)
     || coalesce(d, '-') || ' costs $5, -' || chr(10) || s.url || ' (' || strftime(coalesce(s.crawled_at, {_DNOW}), '%Y-%m-%d') || ')' AS markdown_content, false AS published, {_DNOW} AS generated_at
     FROM fx_source s JOIN fx_category c ON c.category_id = s.category_id LEFT JOIN (SELECT source_id, max(v) FILTER (internal_name = 'project_name') AS a,
       max(v) FILTER (internal_name = 'institution') AS b, max(v) FILTER (internal_name = 'short_description') AS d FROM ({_field_rows(_VEN)}) GROUP BY source_id) x ON x.source_id = s.source_id
@@ -296,3 +302,35 @@ def variant_conflicts(t):
 def regenerated_profiles(t):
     rendered = p.render_profiles(t.fx_extraction, t.fx_prompt, t.fx_source, _categories(t), F.expr(_NOW), "en")
     return c.regenerate_profiles(t.fx_source, rendered, F.expr(_NOW))
+
+
+_EDITS = """SELECT extraction_id, 'edit ' || CAST(k AS STRING) || ' of ' || CAST(extraction_id AS STRING) AS value, 'editor ' || CAST(k AS STRING) AS editor,
+    CASE WHEN k = 2 THEN TIMESTAMP_NTZ '2024-05-02 00:00:00' ELSE TIMESTAMP_NTZ '2024-05-01 00:00:00' END AS edited_at
+    FROM {fx_extraction} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE source_id % 7 < k"""
+
+
+@query("repeated_edits", f"""SELECT e.extraction_id, coalesce(n.value, e.validated_result) AS validated_result, e.is_manual_edit OR n.value IS NOT NULL AS is_manual_edit, n.editor AS edited_by
+    FROM fx_extraction e LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY extraction_id ORDER BY edited_at DESC, value DESC) AS r FROM ({_d(_EDITS)})) n
+    ON n.extraction_id = e.extraction_id AND n.r = 1""")
+def repeated_edits(t):
+    rows = t.fx_extraction.select("extraction_id", "validated_result", "is_manual_edit", F.lit(None).cast("string").alias("edited_by"), F.col("extracted_at").alias("updated_at"))
+    return c.apply_manual_edits(rows, t.sql(_EDITS)).drop("updated_at")
+
+
+@query("inserted_extractions", f"""SELECT coalesce(e.extraction_id, {_key("extraction_id", "n.source_id", "n.prompt_id")}) AS extraction_id
+    FROM fx_extraction e FULL JOIN ({_d(_NEW_EX)}) n ON n.source_id = e.source_id AND n.prompt_id = e.prompt_id""")
+def inserted_extractions(t):
+    """Twice the same new rows: each is inserted once, with a key."""
+    new = t.sql(_NEW_EX).withColumn("final_confidence", F.col("final_confidence").cast("double"))
+    return c.upsert_extractions(t.fx_extraction, new.unionByName(new)).select("extraction_id")
+
+
+_STEPS = """SELECT source_id, k AS at, CASE WHEN k = 1 THEN 'status' WHEN k = 2 THEN 'category_id' ELSE 'status' END AS name, CASE WHEN k = 1 THEN 'failed' WHEN k = 2 THEN '4' ELSE 'step 3' END AS value
+    FROM {fx_source} CROSS JOIN (SELECT 1 AS k UNION ALL SELECT 2 UNION ALL SELECT 3) WHERE source_id % 4 >= k"""
+
+
+@query("successive_updates", """SELECT source_id, CASE WHEN source_id % 4 = 3 THEN 'step 3' WHEN source_id % 4 >= 1 THEN 'failed' ELSE status END AS status,
+    CASE WHEN source_id % 4 >= 2 THEN 4 ELSE category_id END AS category_id FROM fx_source""")
+def successive_updates(t):
+    changes = t.sql(_STEPS).select("source_id", "at", F.create_map("name", "value").alias("values"))
+    return c.apply_updates(t.fx_source.select("source_id", "status", "category_id"), changes, "source_id")

@@ -8,6 +8,7 @@ from urllib.robotparser import RobotFileParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from fieldloom.operators.changes import last_change
 from fieldloom.functions import text as tx, web
 from fieldloom.plans.order import sorted_blocks
 
@@ -147,9 +148,11 @@ def consolidate_pages(pages: DataFrame, captured_at: Column, limit: int = 200_00
 def apply_crawl_results(sources: DataFrame, results: DataFrame) -> DataFrame:
     """New ``sources`` table after a capture run.
 
-    ``results``: source_id, success, markdown, size, pages, finished_at, error.
+    ``results``: source_id, success, markdown, size, pages, finished_at, error; the last result of a source counts.
     """
-    new = results.select("source_id", *[F.col(c).alias("_" + c) for c in ("success", "markdown", "size", "pages", "finished_at", "error")])
+    names = ("success", "markdown", "size", "pages", "finished_at", "error")
+    last = last_change(results.select("source_id", *names), ["source_id"], ("finished_at",))
+    new = last.select("source_id", *[F.col(c).alias("_" + c) for c in names])
     ok, bad = F.coalesce(F.col("_success"), F.lit(False)), F.coalesce(~F.col("_success"), F.lit(False))
 
     def pick(name, fresh):

@@ -1,7 +1,8 @@
 """State changes: the current table and a change set give the new table.
 
 Nothing is updated in place; a job writes the result as a new version (see
-``sources.sinks``).  Keys are unique, so the joins add no rows.
+``sources.sinks``).  Keys of a table are unique; a change set may name a key several
+times, and its last change counts, so the joins add no rows.
 """
 
 from __future__ import annotations
@@ -13,21 +14,44 @@ from fieldloom.operators.records import content_hash, fan_out_extract
 from fieldloom.operators.statistics import n_rows
 
 
-def _renamed(df: DataFrame, keys: list[str], prefix: str = "_n_") -> DataFrame:
+def last_change(changes: DataFrame, keys: list[str], order: tuple[str, ...] = ()) -> DataFrame:
+    """One row per key: the last by ``order``, ties and the default by all other columns."""
+    rest = [c for c in changes.columns if c not in keys]
+    if not rest:
+        return changes.distinct()
+    by = [*order, *[c for c in rest if c not in order and changes.schema[c].dataType.typeName() != "map"]]
+    last = F.max_by(F.struct(*rest), F.struct(*by)).alias("_last")
+    return changes.groupBy(*keys).agg(last).select(*keys, "_last.*").select(*changes.columns)
+
+
+def new_key(*parts: Column | str) -> Column:
+    """A 60-bit key of a natural key, the same on every run."""
+    digest = F.md5(F.concat_ws("|", *parts).cast("binary"))
+    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+
+
+def _renamed(df: DataFrame, keys: list[str], prefix: str = "_n_", order: tuple[str, ...] = ()) -> DataFrame:
+    df = last_change(df, keys, order)
     return df.select(*keys, *[F.col(c).alias(prefix + c) for c in df.columns if c not in keys], F.lit(True).alias("_new"))
 
 
-def upsert(current: DataFrame, new: DataFrame, keys: list[str], keep: Column | None = None, fixed: tuple[str, ...] = ()) -> DataFrame:
+def upsert(
+    current: DataFrame, new: DataFrame, keys: list[str], keep: Column | None = None, fixed: tuple[str, ...] = (), order: tuple[str, ...] = (),
+    primary: str | None = None,
+) -> DataFrame:
     """Insert or replace rows by key.
 
     ``keep`` marks current rows that must stay; ``fixed`` columns keep their current
-    value on replacement.  Columns absent from ``new`` become NULL on insert.
+    value on replacement.  ``primary`` names the primary key, which inserted rows get
+    from ``keys``; other columns absent from ``new`` become NULL on insert.
     """
-    joined = current.withColumn("_old", F.lit(True)).join(_renamed(new, keys), keys, "full")
+    joined = current.withColumn("_old", F.lit(True)).join(_renamed(new, keys, order=order), keys, "full")
     stays = F.col("_new").isNull() | (F.coalesce(keep, F.lit(False)) if keep is not None else F.lit(False))
     out = []
     for name in current.columns:
-        if name in keys or name not in new.columns:
+        if name == primary:
+            out.append(F.when(F.col("_old"), F.col(name)).otherwise(new_key(F.lit(primary), *keys)).alias(name))
+        elif name in keys or name not in new.columns:
             out.append(F.col(name))
         elif name in fixed:
             out.append(F.when(F.col("_old"), F.col(name)).otherwise(F.col("_n_" + name)).alias(name))
@@ -38,21 +62,23 @@ def upsert(current: DataFrame, new: DataFrame, keys: list[str], keep: Column | N
 
 def upsert_extractions(current: DataFrame, new: DataFrame, force: bool = False) -> DataFrame:
     """Edited rows win over new results unless ``force``."""
-    out = upsert(current, new, ["source_id", "prompt_id"], keep=None if force else F.col("is_manual_edit"))
+    out = upsert(current, new, ["source_id", "prompt_id"], keep=None if force else F.col("is_manual_edit"), primary="extraction_id")
     return out.withColumn("is_manual_edit", F.coalesce("is_manual_edit", F.lit(False)))
 
 
-def patch(current: DataFrame, changes: DataFrame, key: str, columns: dict[str, Column]) -> DataFrame:
-    """Set ``columns`` on rows whose key appears in ``changes`` (columns as '_n_<name>')."""
-    joined = current.join(_renamed(changes, [key]), key, "left")
-    hit = F.col("_new").isNotNull()
+def patch(
+    current: DataFrame, changes: DataFrame, key: str, columns: dict[str, Column], order: tuple[str, ...] = (), keep: Column | None = None
+) -> DataFrame:
+    """Set ``columns`` on rows whose key appears in ``changes`` (columns as '_n_<name>'), but for rows that ``keep`` marks."""
+    joined = current.join(_renamed(changes, [key], order=order), key, "left")
+    hit = F.col("_new").isNotNull() & (F.lit(True) if keep is None else ~F.coalesce(keep, F.lit(False)))
     return joined.select(*[F.when(hit, columns[c]).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in current.columns])
 
 
 def apply_manual_edits(extractions: DataFrame, edits: DataFrame) -> DataFrame:
     """``edits``: extraction_id, value, editor, edited_at."""
     return patch(extractions, edits, "extraction_id", {
-        "validated_result": F.col("_n_value"), "is_manual_edit": F.lit(True), "edited_by": F.col("_n_editor"), "updated_at": F.col("_n_edited_at")})
+        "validated_result": F.col("_n_value"), "is_manual_edit": F.lit(True), "edited_by": F.col("_n_editor"), "updated_at": F.col("_n_edited_at")}, order=("edited_at",))
 
 
 def review_errors(reviews: DataFrame, actions: DataFrame) -> DataFrame:
@@ -70,10 +96,11 @@ def apply_reviews(reviews: DataFrame, extractions: DataFrame, actions: DataFrame
     """New reviews and extractions.  ``actions``: review_id, action, entity_id, reviewer, at."""
     valid = actions.where((F.col("action") == "reject") | ((F.col("action") == "confirm") & F.col("entity_id").isNotNull()))
     status = F.when(F.col("_n_action") == "confirm", "reviewed").otherwise("ignored")
-    new_reviews = patch(reviews, valid, "review_id", {"status": status, "reviewed_by": F.col("_n_reviewer"), "reviewed_at": F.col("_n_at")})
-    links = valid.where("action = 'confirm'").join(reviews.select("review_id", "extraction_id", "confidence"), "review_id")
-    links = links.select("extraction_id", "entity_id", F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(1.0)).alias("confidence"))
-    linked = patch(extractions, links, "extraction_id", {"linked_entity_id": F.col("_n_entity_id"), "entity_confidence": F.col("_n_confidence")})
+    new_reviews = patch(reviews, valid, "review_id", {"status": status, "reviewed_by": F.col("_n_reviewer"), "reviewed_at": F.col("_n_at")}, order=("at",))
+    links = last_change(valid, ["review_id"], ("at",)).where("action = 'confirm'").join(reviews.select("review_id", "extraction_id", "confidence"), "review_id")
+    links = links.select("extraction_id", "entity_id", F.coalesce(F.nullif("confidence", F.lit(0.0)), F.lit(1.0)).alias("confidence"), "at", "review_id")
+    linked = patch(
+        extractions, links, "extraction_id", {"linked_entity_id": F.col("_n_entity_id"), "entity_confidence": F.col("_n_confidence")}, order=("at", "review_id"))
     return new_reviews, linked
 
 
@@ -125,7 +152,7 @@ def delete_entities(ids: DataFrame, entities, variants, extractions, reviews) ->
 def upsert_profiles(profiles: DataFrame, rendered: DataFrame, now: Column) -> DataFrame:
     """One profile per source; new ones start unpublished, old ones keep their flags."""
     new = rendered.select("source_id", "markdown_content", F.lit(False).alias("published"), now.alias("generated_at"))
-    return upsert(profiles, new, ["source_id"], fixed=("published",))
+    return upsert(profiles, new, ["source_id"], fixed=("published",), primary="profile_id")
 
 
 def upsert_translations(translations: DataFrame, profiles: DataFrame, rendered: DataFrame, language: str, now: Column) -> tuple[DataFrame, DataFrame]:
@@ -148,15 +175,22 @@ def restart_sources(sources, picked, mapping, prompts, message: str = "no prompt
     return out, fan_out_extract(chosen, mapping, prompts)
 
 
-def reextract_all(sources, extractions, profiles, mapping, prompts) -> dict[str, DataFrame]:
+def _without_results(picked, extractions, profiles, force: bool) -> dict[str, DataFrame]:
+    """Tables without the results of the picked sources; edited extractions stay unless ``force``."""
+    edited = F.lit(False) if force else F.coalesce("is_manual_edit", F.lit(False))
+    gone = picked.select("source_id", F.lit(True).alias("_gone")).distinct()
+    kept = extractions.join(gone, "source_id", "left").where(F.col("_gone").isNull() | edited).select(*extractions.columns)
+    return {"extractions": kept, "profiles": delete_cascade(picked, "source_id", profiles=profiles)["profiles"]}
+
+
+def reextract_all(sources, extractions, profiles, mapping, prompts, force: bool = False) -> dict[str, DataFrame]:
     """Drop results of completed and running sources and start them again."""
     picked = sources.where(F.col("status").isin("completed", "extracting"))
     new_sources, jobs = restart_sources(sources, picked, mapping, prompts)
-    kept = delete_cascade(picked, "source_id", extractions=extractions, profiles=profiles)
-    return {"sources": new_sources, "jobs": jobs, **kept}
+    return {"sources": new_sources, "jobs": jobs, **_without_results(picked, extractions, profiles, force)}
 
 
-def change_category(sources, changes, extractions, profiles, mapping, prompts, re_extract: bool = True) -> dict[str, DataFrame]:
+def change_category(sources, changes, extractions, profiles, mapping, prompts, re_extract: bool = True, force: bool = False) -> dict[str, DataFrame]:
     """``changes``: source_id, category_id.  Optionally extract again under the new category."""
     moved = patch(sources, changes, "source_id", {"category_id": F.col("_n_category_id")})
     if not re_extract:
@@ -165,20 +199,20 @@ def change_category(sources, changes, extractions, profiles, mapping, prompts, r
     active = mapping.join(prompts.where("is_active").select("prompt_id"), "prompt_id", "left_semi").select("category_id").distinct()
     runnable = picked.join(active, "category_id", "left_semi").select("source_id")
     restarted = patch(moved, runnable, "source_id", {"status": F.lit("crawled"), "error_message": F.lit(None).cast("string")})
-    kept = delete_cascade(picked, "source_id", extractions=extractions, profiles=profiles)
+    kept = _without_results(picked, extractions, profiles, force)
     jobs = fan_out_extract(picked.join(runnable, "source_id", "left_semi"), mapping, prompts)
     return {"sources": restarted, "jobs": jobs, **kept}
 
 
-def revalidate(extractions: DataFrame, results: DataFrame) -> DataFrame:
-    """Replace validation columns by new answers and recompute the confidence.
+def revalidate(extractions: DataFrame, results: DataFrame, force: bool = False) -> DataFrame:
+    """Replace validation columns by new answers and recompute the confidence; edited rows stay unless ``force``.
 
     ``results``: extraction_id, result, quality, score, notes, error.
     """
     good = results.where("error IS NULL").drop("error")
     return patch(extractions, good, "extraction_id", {
         "validated_result": F.col("_n_result"), "validation_quality": F.col("_n_quality"), "validation_score": F.col("_n_score"),
-        "final_confidence": answers.final_confidence(F.col("raw_confidence"), F.col("_n_score"))})
+        "final_confidence": answers.final_confidence(F.col("raw_confidence"), F.col("_n_score"))}, keep=None if force else F.col("is_manual_edit"))
 
 
 def revalidation_counts(results: DataFrame) -> DataFrame:
@@ -198,14 +232,22 @@ def register_sources(sources: DataFrame, requests: DataFrame) -> tuple[DataFrame
     fresh = first.join(sources.select(F.col("url").alias("_url")), "_url", "left_anti").select("request_id")
     accepted = valid.join(fresh, "request_id", "left_semi")
     taken = valid.join(fresh, "request_id", "left_anti").select("request_id", "url", F.lit("url already registered").alias("error"))
-    new = accepted.select("request_id", F.col("_url").alias("url"), "category_id", F.lit("pending").alias("status"))
-    jobs = accepted.select("request_id", F.col("_url").alias("url"), F.lit("crawl").alias("job_type"), F.coalesce("rate_limit", F.lit(1.0)).alias("rate_limit"))
+    key = new_key(F.lit("source_id"), F.col("_url")).alias("source_id")
+    new = accepted.select("request_id", key, F.col("_url").alias("url"), "category_id", F.lit("pending").alias("status"))
+    jobs = accepted.select("request_id", key, F.col("_url").alias("url"), F.lit("crawl").alias("job_type"), F.coalesce("rate_limit", F.lit(1.0)).alias("rate_limit"))
     return new, jobs, invalid.unionByName(taken)
 
 
 def apply_updates(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """Partial update: ``changes`` holds key and a map of column name to text value."""
-    joined = table.join(changes.select(key, F.col("values").alias("_v")), key, "left")
+    """Partial update: ``changes`` holds key and ``values``, a map of column name to text value.
+
+    With a column ``at`` the changes of a row follow each other: for every column the last value counts.
+    """
+    at = F.col("at") if "at" in changes.columns else F.lit(0)
+    each = changes.select(key, at.alias("_at"), F.explode("values").alias("_name", "_value"))
+    each = each.groupBy(key, "_name").agg(F.max_by(F.struct("_value"), F.struct("_at", "_value")).alias("_last"))
+    values = each.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_name", "_last._value"))).alias("_v"))  # at most one entry per column
+    joined = table.join(values, key, "left")
     out = []
     for field in table.schema.fields:
         name = field.name
@@ -269,4 +311,5 @@ def add_variants(variants: DataFrame, entities: DataFrame, new: DataFrame) -> tu
 def regenerate_profiles(sources: DataFrame, rendered: DataFrame, now: Column) -> DataFrame:
     """All profiles anew: one unpublished profile per completed source."""
     done = sources.where("status = 'completed'").select("source_id")
-    return rendered.join(done, "source_id", "left_semi").select("source_id", "markdown_content", F.lit(False).alias("published"), now.alias("generated_at"))
+    key = new_key(F.lit("profile_id"), F.col("source_id")).alias("profile_id")
+    return rendered.join(done, "source_id", "left_semi").select(key, "source_id", "markdown_content", F.lit(False).alias("published"), now.alias("generated_at"))

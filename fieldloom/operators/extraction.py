@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldloom.functions import answers, text as tx
+from fieldloom.operators.changes import last_change
 from fieldloom.plans.order import cut_lineage
 
 MAX_PROMPT, MAX_CONTEXT = 10_000, 200_000
@@ -256,7 +257,8 @@ def apply_translations(extractions: DataFrame, prompts: DataFrame, results: Data
     ``results``: extraction_id, answer.  Only rows that are due change.
     """
     flags = prompts.select("prompt_id", F.col("translatable").alias("_ok"))
-    joined = extractions.join(flags, "prompt_id", "left").join(results.select("extraction_id", "answer"), "extraction_id", "left")
+    last = last_change(results.select("extraction_id", "answer"), ["extraction_id"])
+    joined = extractions.join(flags, "prompt_id", "left").join(last, "extraction_id", "left")
     due = (F.col("validated_result") != "") & (F.lit(force) | F.coalesce(F.col("translation_status") == "pending", F.lit(True)))
     skip = F.coalesce(~F.col("_ok"), F.lit(False))
     joined = joined.withColumn("_a", answers.accept_translation(F.col("answer"), F.col("validated_result"))).withColumn(
