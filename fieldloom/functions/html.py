@@ -8,7 +8,8 @@ and ``1. item`` (nested by two spaces), back-ticks, fenced ``pre``, ``> `` quote
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Generator, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -31,10 +32,14 @@ _CLOSED_BY = {  # an opening tag of the set ends an open tag of the key
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "kids", "parent")
+    __slots__ = ("tag", "attrs", "kids", "parent", "holds_block")
 
     def __init__(self, tag: str, attrs: dict, parent: "Node | None"):
-        self.tag, self.attrs, self.parent, self.kids = tag, attrs, parent, []
+        self.tag, self.attrs, self.parent, self.kids, self.holds_block = tag, attrs, parent, [], False
+        if tag in _BLOCKS:
+            while parent is not None and not parent.holds_block:
+                parent.holds_block = True
+                parent = parent.parent
 
     def walk(self) -> Iterator["Node"]:
         stack = [self]
@@ -48,30 +53,28 @@ class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.here = Node("", {}, None)
-        self.depth = 0
+        self.open: Counter[str] = Counter()
 
     def handle_starttag(self, tag, attrs):
         if tag in _CLOSED_BY.get(self.here.tag, ()):
+            self.open[self.here.tag] -= 1
             self.here = self.here.parent
-            self.depth -= 1
         node = Node(tag, {k: v or "" for k, v in attrs}, self.here)
         self.here.kids.append(node)
-        # Very deep markup is kept flat so that rendering cannot exhaust the stack.
-        if tag not in _VOID and self.depth < 200:
+        if tag not in _VOID:
             self.here = node
-            self.depth += 1
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.here.kids.append(Node(tag, {k: v or "" for k, v in attrs}, self.here))
 
     def handle_endtag(self, tag):
-        node, up = self.here, 1
-        while node.parent is not None:
-            if node.tag == tag:
-                self.here = node.parent
-                self.depth -= up
+        while self.open[tag] > 0:
+            closed = self.here
+            self.here = closed.parent
+            self.open[closed.tag] -= 1
+            if closed.tag == tag:
                 return
-            node, up = node.parent, up + 1
 
     def handle_data(self, data):
         self.here.kids.append(data)
@@ -105,20 +108,40 @@ def main_content(root: Node) -> Node:
     return root
 
 
-def _inline(node: Node) -> str:
-    return re.sub(r"[ \t\r\n\f]+", " ", "".join(_spans(k) for k in node.kids))
+def _run(task: Generator):
+    """Value of a task that yields the tasks it needs; the depth of markup costs no stack."""
+    stack, value = [task], None
+    while stack:
+        try:
+            task = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(task)
+            value = None
+    return value
+
+
+def _joined(kids: list) -> Generator:
+    out = []
+    for kid in kids:
+        out.append(kid if isinstance(kid, str) else (yield _spans(kid)))
+    return "".join(out)
+
+
+def _inline(node: Node) -> Generator:
+    return re.sub(r"[ \t\r\n\f]+", " ", (yield _joined(node.kids)))
 
 
-def _spans(item) -> str:
-    if isinstance(item, str):
-        return item
+def _spans(item: Node) -> Generator:
     if item.tag in _DROPPED:
         return ""
     if item.tag == "br":
         return "\x00"
     if item.tag == "img":
         return f"![{item.attrs.get('alt', '')}]({item.attrs.get('src', '')})"
-    inner = "".join(_spans(k) for k in item.kids)
+    inner = yield _joined(item.kids)
     core = inner.strip()
     if not core:
         return inner
@@ -141,26 +164,33 @@ def _tidy(text: str) -> str:
     return "\n".join(part.strip() for part in text.split("\x00")).strip()
 
 
-def _has_block(node: Node) -> bool:
-    return any(n.tag in _BLOCKS for n in node.walk() if n is not node)
-
-
-def _list(node: Node, indent: int) -> list[str]:
+def _list(node: Node, indent: int) -> Generator:
+    """Lines of a list; what stands in it without being an item keeps its place, without a bullet."""
     lines, number = [], 1
-    for item in node.kids:
-        if not isinstance(item, Node) or item.tag != "li":
-            continue
-        bullet = f"{number}." if node.tag == "ol" else "*"
-        text = _tidy("".join(_spans(k) for k in item.kids if not (isinstance(k, Node) and k.tag in ("ul", "ol"))))
-        lines.append("  " * indent + f"{bullet} " + text.replace("\n", " "))
-        for kid in item.kids:
-            if isinstance(kid, Node) and kid.tag in ("ul", "ol"):
-                lines += _list(kid, indent + 1)
-        number += 1
+    waiting = list(reversed(node.kids))
+    while waiting:
+        item = waiting.pop()
+        if isinstance(item, str):
+            if text := _tidy(item):
+                lines.append("  " * indent + text.replace("\n", " "))
+        elif item.tag in ("ul", "ol"):
+            lines += yield _list(item, indent + 1)
+        elif item.tag == "li":
+            bullet = f"{number}." if node.tag == "ol" else "*"
+            inner = [k for k in item.kids if not (isinstance(k, Node) and k.tag in ("ul", "ol"))]
+            lines.append("  " * indent + f"{bullet} " + _tidy((yield _joined(inner))).replace("\n", " "))
+            for kid in item.kids:
+                if isinstance(kid, Node) and kid.tag in ("ul", "ol"):
+                    lines += yield _list(kid, indent + 1)
+            number += 1
+        elif item.holds_block and item.tag not in _DROPPED:
+            waiting.extend(reversed(item.kids))
+        elif text := _tidy((yield _spans(item))):
+            lines.append("  " * indent + text.replace("\n", " "))
     return lines
 
 
-def _blocks(node: Node) -> list[str]:
+def _blocks(node: Node) -> Generator:
     out, run = [], []
 
     def flush():
@@ -174,22 +204,22 @@ def _blocks(node: Node) -> list[str]:
             run.append(kid)
         elif kid.tag in _DROPPED or kid.tag in ("head", "title"):
             continue
-        elif kid.tag not in _BLOCKS and not _has_block(kid):
-            run.append(_spans(kid))
+        elif kid.tag not in _BLOCKS and not kid.holds_block:
+            run.append((yield _spans(kid)))
         else:
             flush()
-            out += _block(kid)
+            out += yield _block(kid)
     flush()
     return out
 
 
-def _block(node: Node) -> list[str]:
+def _block(node: Node) -> Generator:
     tag = node.tag
     if re.fullmatch(r"h[1-6]", tag):
-        text = _tidy(_inline(node)).replace("\n", " ")
+        text = _tidy((yield _inline(node))).replace("\n", " ")
         return ["#" * int(tag[1]) + " " + text] if text else []
     if tag in ("ul", "ol"):
-        lines = _list(node, 0)
+        lines = yield _list(node, 0)
         return ["\n".join(lines)] if lines else []
     if tag == "hr":
         return ["---"]
@@ -197,15 +227,23 @@ def _block(node: Node) -> list[str]:
         body = "".join(k if isinstance(k, str) else "".join(t for n in k.walk() for t in n.kids if isinstance(t, str)) for k in node.kids)
         return ["```\n" + body.strip("\n") + "\n```"]
     if tag == "blockquote":
-        return ["\n".join("> " + line for line in "\n\n".join(_blocks(node)).split("\n"))] if _blocks(node) else []
+        inner = yield _blocks(node)
+        return ["\n".join("> " + line for line in "\n\n".join(inner).split("\n"))] if inner else []
     if tag == "tr":
-        cells = [_tidy(_inline(c)).replace("\n", " ") for c in node.kids if isinstance(c, Node) and c.tag in ("td", "th")]
+        cells = []
+        for cell in node.kids:
+            if isinstance(cell, Node) and cell.tag in ("td", "th"):
+                cells.append(_tidy((yield _inline(cell))).replace("\n", " "))
         return ["| " + " | ".join(cells) + " |"] if cells else []
-    return _blocks(node)
+    return (yield _blocks(node))
+
+
+def markdown_of(root: Node) -> str:
+    return "\n\n".join(_run(_blocks(main_content(root))))
 
 
 def to_markdown(html: str) -> str:
-    return "\n\n".join(_blocks(main_content(parse(html))))
+    return markdown_of(parse(html))
 
 
 def title_text(root: Node) -> str:
@@ -221,11 +259,12 @@ def with_markdown(pages: DataFrame, html: str = "html") -> DataFrame:
 
     def convert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            roots = [parse(h) for h in batch[html].fillna("")]
-            yield batch[names].assign(
-                title=[title_text(r) for r in roots],
-                markdown=["\n\n".join(_blocks(main_content(r))) for r in roots],
-            )
+            titles, texts = [], []
+            for page in batch[html].fillna(""):  # one tree at a time
+                root = parse(page)
+                titles.append(title_text(root))
+                texts.append(markdown_of(root))
+            yield batch[names].assign(title=titles, markdown=texts)
 
     return pages.select(*[F.col(n) for n in names], html).mapInPandas(
         convert, schema + ", title string, markdown string"

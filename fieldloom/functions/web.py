@@ -97,10 +97,22 @@ def page_title(html: Column) -> Column:
     return strip(text)
 
 
+_QUIET = r"(?is)<!--.*?(?:-->|\z)|<(script|style)\b.*?(?:</\1\s*>|\z)"
+_HREF = r"(?is)<a(?=\s)(?:[^>\"']|\"[^\"]*\"|'[^']*')*?\shref\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]+)"
+_VALUE = r"(?is)\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))\z"
+
+
 def hrefs(html: Column) -> Column:
-    """Raw href values of anchor tags in document order."""
-    found = F.regexp_extract_all(html, F.lit(r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']*)[\"']"), F.lit(1))
-    return F.transform(found, lambda h: F.replace(strip(h), F.lit("&amp;"), F.lit("&")))
+    """Raw href values of anchor tags in document order; not those in comments, scripts and styles."""
+    found = F.regexp_extract_all(F.regexp_replace(html, _QUIET, " "), F.lit(_HREF), F.lit(0))
+
+    def value(tag):
+        text = strip(F.concat(*[F.regexp_extract(tag, _VALUE, i) for i in (1, 2, 3)]))
+        for entity, char in (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")):
+            text = F.replace(text, F.lit(entity), F.lit(char))
+        return text
+
+    return F.transform(found, value)
 
 
 def page_links(url: Column, html: Column) -> Column:
