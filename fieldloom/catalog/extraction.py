@@ -96,7 +96,18 @@ def response_scan(t):
     return x.read_responses(_responses(t))
 
 
-@query("parsed_validations")
+_ANSWER = """CASE WHEN turn % 3 = 2 THEN text ELSE 'Quality: high' || chr(10) || 'SCORE: ' || CAST(turn * CAST(0.4 AS DOUBLE) AS VARCHAR) || chr(10) || 'NOTES: -' || chr(10)
+    || 'RESULT:' || chr(10) || '- ' || replace(text, chr(10), chr(10) || '- ') END"""
+_LAST = "list_filter(parts, lambda p: starts_with(lower(p), '{0}' || chr(2)))[-1]"
+_LINE = f"trim(split_part(split_part({_LAST}, chr(2), 2), chr(10), 1))"
+
+
+@query("parsed_validations", f"""SELECT conv_id, turn, CASE WHEN a IS NULL OR a = '' THEN 'MEDIUM' ELSE coalesce(upper({_LINE.format("quality")}), 'MEDIUM') END AS quality,
+    CASE WHEN a IS NULL OR a = '' THEN 0.5 WHEN {_LINE.format("score")} IS NULL THEN 0.6 ELSE coalesce(greatest(0.0, least(1.0, TRY_CAST({_LINE.format("score")} AS DOUBLE))), 0.5) END::DOUBLE AS score,
+    CASE WHEN a IS NULL OR a = '' THEN 'Empty validation response' ELSE coalesce({_LINE.format("notes")}, '') END AS notes,
+    coalesce(list_filter(list_transform(list_filter(parts, lambda p: starts_with(lower(p), 'result' || chr(2))), lambda p: trim(split_part(p, chr(2), 2), ' ' || chr(10))), lambda v: v <> '')[-1], '') AS result
+    FROM (SELECT *, string_split(regexp_replace(array_to_string(list_filter(list_transform(string_split(a, chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)),
+      '(?im)^(quality|score|notes|result)\\s*:[ ]*', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS parts FROM (SELECT conv_id, turn, {_ANSWER} AS a FROM conversations))""")
 def parsed_validations(t):
     made = F.concat(F.lit("Quality: high\nSCORE: "), (F.col("turn") * 0.4).cast("string"), F.lit("\nNOTES: -\nRESULT:\n- "), F.replace("text", F.lit("\n"), F.lit("\n- ")))
     answer = F.when(F.col("turn") % 3 == 2, F.col("text")).otherwise(made)

@@ -61,7 +61,19 @@ def section_descriptions(t):
     return t.fx_profile.select("profile_id", md.section_description(F.col("markdown_content")).alias("description"))
 
 
-@query("profile_teasers")
+_BARE = "regexp_replace(regexp_replace(trim(x), '\\*+', '', 'g'), '\\[([^\\]]+)\\]\\([^)]+\\)', '\\1', 'g')"
+_IS_HEAD = "regexp_matches(x, '(?i)^##\\s*(Beschreibung|Description|Kurzbeschreibung)')"
+_IS_FACT = "(contains(x, ':') AND regexp_matches(x, 'Institution|URL|Datum|Status|Kategorie'))"
+
+
+@query("profile_teasers", f"""SELECT profile_id, CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(substring(t, 1, 197), ' [^ ]*$', '') || '...' END AS teaser FROM (
+    SELECT profile_id, array_to_string(list_filter(list_transform(CASE WHEN len(s) > 0 THEN s ELSE f END, lambda x: {_BARE}), lambda x: x <> ''), ' ') AS t FROM (
+    SELECT *, list_filter(list_concat(list_filter(lines[:gap - 1], lambda x: NOT starts_with(x, '#')), rest[:coalesce(nullif(list_position(list_transform(rest, lambda x: starts_with(x, '##') AND NOT {_IS_FACT}), true), 0) - 1, len(rest))]),
+        lambda x: NOT {_IS_FACT}) AS f,
+      list_filter(tail[:coalesce(nullif(list_position(list_transform(tail, lambda x: starts_with(x, '##') AND NOT {_IS_HEAD}), true), 0) - 1, len(tail))], lambda x: NOT {_IS_HEAD} AND {_BARE} <> '') AS s FROM (
+    SELECT *, lines[gap + 1:] AS rest, CASE WHEN start > 0 THEN lines[start + 1:] ELSE [] END AS tail FROM (
+    SELECT *, coalesce(nullif(list_position(list_transform(lines, lambda x: trim(x) = ''), true), 0), len(lines) + 1) AS gap, coalesce(list_position(list_transform(lines, lambda x: {_IS_HEAD}), true), 0) AS start
+    FROM (SELECT profile_id, string_split(coalesce(markdown_content, ''), chr(10)) AS lines FROM fx_profile)))))""")
 def profile_teasers(t):
     return t.fx_profile.select("profile_id", md.teaser("markdown_content").alias("teaser"))
 

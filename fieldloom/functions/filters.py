@@ -1,15 +1,13 @@
 """Template filters as SQL functions of a session.
 
-``date_text``, ``striptags``, ``get_title``, ``title_with_institution``, ``get_institution`` and
-``linkify_institutions`` are SQL expressions; ``markdown`` and ``get_description`` parse line by
-line and are Arrow functions.
+All are SQL expressions but ``markdown``, which parses line by line and is an Arrow function.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-from fieldloom.functions.markdown import teaser
+from fieldloom.functions.markdown import teaser_sql
 from fieldloom.functions.render import markdown_to_html
 
 _STRIP = r"regexp_replace({0}, r'(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$', '')"
@@ -31,6 +29,7 @@ FILTERS = {
         f"array_join(transform(split(text, '\\n'), x -> CASE WHEN x RLIKE {_LINE} AND {_PLAIN} NOT IN ('', '-', 'Nicht angegeben', 'N/A') "
         f"THEN regexp_extract(x, {_LINE}, 1) || '[' || {_NAME} || '](' || prefix || '/' || {_PAGE} || '?q=' || {_QUOTED} || ')' ELSE x END), '\\n')"
     ),
+    "get_description(text STRING)": teaser_sql("text"),
     "date_text(text STRING, pattern STRING)": (
         "coalesce(date_format(CASE WHEN text RLIKE '^[0-9]{4}-[0-9]{2}-[0-9]{2}T' THEN try_cast(substr(text, 1, 19) AS TIMESTAMP_NTZ) "
         "WHEN length(text) = 10 THEN try_cast(try_cast(text AS DATE) AS TIMESTAMP_NTZ) END, pattern), text, '')"
@@ -42,4 +41,3 @@ def register_filters(spark: SparkSession) -> None:
     for signature, body in FILTERS.items():
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {signature} RETURNS STRING RETURN {body}")
     spark.udf.register("markdown", markdown_to_html)
-    spark.udf.register("get_description", teaser)

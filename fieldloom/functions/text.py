@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Characters removed at the ends: Unicode white space and the separators 1C-1F.
-_EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
+EDGES = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 _SPACES = r"(?U)[\s\x1c-\x1f]+"
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, _EDGES, "")
+    return F.regexp_replace(col, EDGES, "")
 
 
 def not_blank(col: Column) -> Column:

@@ -73,8 +73,9 @@ def test_deep_markup_is_survived():
     ("", ("MEDIUM", 0.5, "Empty validation response", "")),
     ("RESULT: x\nNOTES: n\nRESULT:", ("MEDIUM", 0.6, "n", "x")),
 ])
-def test_read_validation(answer, want):
-    assert answers._read_validation(answer) == want
+def test_read_validation(spark, answer, want):
+    df = spark.createDataFrame([(answer,)], "t string")
+    assert tuple(df.select(answers.parse_validation(F.col("t"))).first()[0]) == want
 
 
 def test_response_confidence(spark):
@@ -114,8 +115,8 @@ def test_section_description(spark):
     ("# T\n# U\n\n", ""),
     ("## Beschreibung\n" + "word " * 80, ("word " * 39).strip() + "..."),
 ])
-def test_teaser(text, want):
-    assert md._teaser(text, 200) == want
+def test_teaser(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(md.teaser("t")).first()[0] == want
 
 
 def test_linkify(spark):
@@ -168,3 +169,30 @@ def test_name_similarity(spark):
     df = spark.createDataFrame(pairs, "a string, b string")
     got = [round(r[0], 6) for r in df.select(similarity.name_similarity(F.col("a"), F.col("b"))).collect()]
     assert got == [1.0, 0.8, round(0.7 * 2 / 3, 6), round(0.6 * 0.75, 6), 0.0]
+
+
+def test_validation_answers(spark):
+    texts = [
+        "Quality: high\nSCORE: 0.9\nNOTES: ok\nRESULT: a\n- b: c\n\n  d\nquality : low", "RESULT: x\nRESULT:\nSCORE: bad", "score: 7", "", None, " \n ", "no labels: here", "RESULT:\n\nNOTES:\nx",
+    ]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [tuple(r[0]) for r in df.select(answers.parse_validation(F.col("t"))).collect()]
+    assert got == [
+        ("LOW", 0.9, "ok", "a\n- b: c\nd"), ("MEDIUM", 0.5, "", "x"), ("MEDIUM", 1.0, "", ""), ("MEDIUM", 0.5, "Empty validation response", ""),
+        ("MEDIUM", 0.5, "Empty validation response", ""), ("MEDIUM", 0.6, "", ""), ("MEDIUM", 0.6, "", ""), ("MEDIUM", 0.6, "", ""),
+    ]
+
+
+def test_links_by_attribute(spark):
+    cases = {
+        """<a href="/it's-here">""": ["/it's-here"], '<a data-href="/wrong" href="/right">': ["/right"], "<a href=/unquoted>": ["/unquoted"],
+        """<!-- <a href="/c"> --><a title="x href=q" href='/y?a=1&amp;b=2'>""": ["/y?a=1&b=2"], "<script>'<a href=\"/s\">'</script><a HREF = \"/z\">": ["/z"],
+    }
+    df = spark.createDataFrame([(h,) for h in cases], "h string")
+    assert [r[0] for r in df.select(web.hrefs(F.col("h"))).collect()] == list(cases.values())
+
+
+def test_deep_and_nested_markup():
+    assert html.to_markdown("<ul><div><li>kept</li></div><li>a<ul><li>b</ul>text</ul>") == "* kept\n* atext\n  * b"
+    assert html.to_markdown("<blockquote>" * 100 + "x").endswith("> x")
+    assert html.to_markdown("<div>" * 205 + "a<script>var leak=1</script><nav>NAVLEAK</nav>") == "a"
