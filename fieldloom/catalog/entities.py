@@ -49,7 +49,10 @@ _NAMED = """SELECT s_suppkey AS entity_id, n_name || ' Institute ' || CAST(s_sup
 
 
 def _candidates(t):
-    return e.entity_candidates(t.sql(_SPELLED), t.sql(_NAMED), t.fx_variant)
+    """Candidates of one type for the mentions that no name equals."""
+    named = t.sql(_NAMED).withColumn("entity_type", F.lit("university"))
+    spelled = t.sql(_SPELLED).withColumn("entity_type", F.lit("university"))
+    return e.entity_candidates(e.unmatched_mentions(spelled, e.name_index(named, t.fx_variant)), named, t.fx_variant)
 
 
 @query("entity_candidates")
@@ -57,6 +60,15 @@ def entity_candidates(t):
     return _candidates(t)
 
 
+_UNMATCHED = """SELECT extraction_id, trim(coalesce(nullif(validated_result, ''), nullif(raw_result, ''))) AS text, 'university' AS entity_type FROM {fx_extraction} WHERE prompt_id = 2"""
+
+
+@query("unmatched_mentions", f"""SELECT m.* FROM ({_UNMATCHED.replace('{fx_extraction}', 'fx_extraction')}) m
+    WHERE NOT EXISTS (SELECT 1 FROM idx i WHERE i.entity_type = m.entity_type AND i.key = lower(trim(m.text)))""", _INDEX)
+def unmatched_mentions(t):
+    return e.unmatched_mentions(t.sql(_UNMATCHED), e.name_index(t.fx_entity, t.fx_variant))
+
+
 @query("top_k_candidates", """SELECT mention, entity_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY mention ORDER BY score DESC, entity_id) AS rank
     FROM (SELECT l_partkey % 50 AS mention, l_suppkey AS entity_id, max(l_discount) AS score FROM lineitem GROUP BY ALL)) WHERE rank <= 50""")
 def top_k_candidates(t):

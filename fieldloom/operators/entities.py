@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldloom.functions import answers, text as tx
 from fieldloom.functions.similarity import name_key
@@ -76,21 +76,29 @@ def auto_link_stats(outcomes: DataFrame, entities: DataFrame, variants: DataFram
     return counts.unionByName(total).unionByName(spare)
 
 
+def unmatched_mentions(mentions: DataFrame, index: DataFrame) -> DataFrame:
+    """``mentions`` (text, entity_type) that no entity of the type equals; only these need candidates."""
+    return mentions.withColumn("key", name_key(F.col("text"))).join(index, ["entity_type", "key"], "left_anti").select(*mentions.columns)
+
+
 def entity_candidates(mentions: DataFrame, entities: DataFrame, variants: DataFrame, k: int = 50, **blocks) -> DataFrame:
     """(text, entity_id, score, rank): the closest entities to offer for a mention.
 
-    An inventory of at most ``k`` entities is offered whole, in id order.
+    Mentions with an ``entity_type`` see entities of that type, others see all.  An
+    inventory of at most ``k`` entities is offered whole, in id order.
     """
-    names = entities.select("entity_id", name_key(F.coalesce("canonical_name", F.lit(""))).alias("name")).unionByName(
-        variants.join(entities.select("entity_id"), "entity_id", "left_semi").select("entity_id", name_key(F.col("variant_name")).alias("name")))
-    keyed = mentions.select("text", name_key(F.col("text")).alias("needle")).distinct()
-    found = closest_names(keyed.select("needle").distinct(), names, k, **blocks)
-    if entities.count() <= k:
-        from pyspark.sql import Window
-
-        whole = Window.partitionBy("needle").orderBy("entity_id")
-        found = found.withColumn("rank", F.row_number().over(whole))
-    return keyed.join(found, "needle").select("text", "entity_id", "score", "rank")
+    typed = "entity_type" in mentions.columns and "entity_type" in entities.columns
+    kind = F.coalesce(F.col("entity_type"), F.lit("")) if typed else F.lit("")
+    known = entities.select(kind.alias("entity_type"), "entity_id", "canonical_name")
+    names = known.select("entity_type", "entity_id", name_key(F.coalesce("canonical_name", F.lit(""))).alias("name")).unionByName(
+        variants.join(known, "entity_id").select("entity_type", "entity_id", name_key(F.col("variant_name")).alias("name")))
+    keyed = mentions.select("text", kind.alias("entity_type"), name_key(F.col("text")).alias("needle")).distinct()
+    found = closest_names(keyed.select("entity_type", "needle").distinct(), names, k, **blocks)
+    small = known.groupBy("entity_type").agg((F.count(F.lit(1)) <= k).alias("_whole"))
+    found = found.join(small, "entity_type").withColumn("_order", F.when(F.col("_whole"), 0.0).otherwise(-F.col("score")))
+    place = Window.partitionBy("entity_type", "needle").orderBy("_order", "entity_id")
+    best = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
+    return keyed.join(best, ["entity_type", "needle"]).select("text", "entity_id", "score", "rank")
 
 
 def resolve_model_name(answers_df: DataFrame, index: DataFrame) -> DataFrame:
@@ -148,7 +156,10 @@ def normalization_prompts(candidates: DataFrame, entities: DataFrame, variants:
 
     ``candidates``: text, entity_id, rank (at most k rows per mention).
     """
-    short = variants.groupBy("entity_id").agg(F.min_by("variant_name", "variant_name").alias("_v1"), F.array_sort(F.collect_set("variant_name")).alias("_v"))
+    # Three names of an entity are shown; more are not gathered.
+    first = Window.partitionBy("entity_id").orderBy("variant_name")
+    some = variants.select("entity_id", "variant_name").distinct().withColumn("_n", F.row_number().over(first)).where("_n <= 3")
+    short = some.groupBy("entity_id").agg(F.array_sort(F.collect_list("variant_name")).alias("_v"))
     lines = candidates.join(entities.select("entity_id", "canonical_name"), "entity_id").join(short, "entity_id", "left")
     also = F.when(F.size("_v") > 0, F.concat(F.lit(" (auch: "), F.array_join(F.slice("_v", 1, 3), ", "), F.lit(")"))).otherwise("")
     line = F.concat(F.lit("- "), F.col("canonical_name"), also)

@@ -2,15 +2,11 @@
 
 Items: id, title, description, institution, category, category_id, fulltext,
 entity_variants.  One query is a set of literals, so the scan stays native.  Many
-queries at once go through term matches: only (item, term) hits leave the scan,
-and they meet the queries by an equi-join.
+queries at once share one index of the items' tokens and are joined on their rarest term.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldloom.functions import text as tx
@@ -19,8 +15,6 @@ from fieldloom.plans.order import attach_row
 # Points per field that contains a term, and for an empty query.
 FIELD_POINTS = [("title", 10), ("institution", 8), ("_variants", 7), ("description", 3), ("fulltext", 1)]
 TITLE_EQUAL, TITLE_PREFIX, EMPTY_QUERY = 20, 5, 50
-# Largest set of distinct terms compiled into every task.
-MAX_COMPILED_TERMS = 50_000
 
 
 def split_terms(query: str) -> list[str]:
@@ -84,75 +78,56 @@ def relevance_percent(results: DataFrame, by: list[str] | None = None) -> DataFr
     return rows.withColumn("percent", share.cast("int")).drop("_max")
 
 
-def matching_terms(texts: DataFrame, terms: DataFrame, limit: int = MAX_COMPILED_TERMS) -> DataFrame:
-    """Rows of ``texts`` without ``text``, once per distinct term the text contains.
-
-    Up to ``limit`` terms become one automaton per task, which reads a text once
-    for all terms.  A larger set is joined on a leading gram of the term and then
-    verified, so nothing has to fit a task.
-    """
-    distinct = terms.select("term").where("term <> ''").distinct()
-    # One row more than the limit is enough to decide.
-    head = [r["term"] for r in distinct.limit(limit + 1).collect()]
-    if len(head) <= limit:
-        return _scan_terms(texts, head)
-    keep = [c for c in texts.columns if c != "text"]
+def _grams(token: Column) -> Column:
+    """Distinct runs of one to three characters."""
     none = F.array().cast("array<string>")
 
-    def grams(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length("text") - (n - 1)), lambda i: F.substring(F.col("text"), i, F.lit(n)))
-        return F.when(F.length("text") >= n, cut).otherwise(none)
-
-    left = texts.withColumn("_gram", F.explode(F.array_distinct(F.concat(grams(1), grams(2), grams(3)))))
-    right = distinct.select("term", F.substring("term", 1, 3).alias("_gram"))
-    return left.join(right, "_gram").where(F.col("text").contains(F.col("term"))).select(*keep, "term")
+    def of_size(n: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(token) - (n - 1)), lambda i: F.substring(token, i, F.lit(n)))
+        return F.when(F.length(token) >= n, cut).otherwise(none)
 
+    return F.array_distinct(F.concat(*(of_size(n) for n in (1, 2, 3))))
 
-def _scan_terms(texts: DataFrame, words: list[str]) -> DataFrame:
-    kept = [f for f in texts.schema.fields if f.name != "text"]
-    names = [f.name for f in kept]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + ", term string"
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
+def expand_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """(term, token, n): the tokens of a vocabulary (token, n) that contain each distinct term.
 
-        machine = ahocorasick.Automaton()
-        for word in words:
-            machine.add_word(word, word)
-        machine.make_automaton()
-        for batch in batches:
-            found = [sorted({w for _, w in machine.iter(t)}) if words and t else [] for t in batch["text"]]
-            hits = batch[names].assign(term=found).explode("term")
-            yield hits[hits["term"].notna()]
-
-    return texts.select(*names, "text").mapInPandas(scan, schema)
+    A term has no white space, so it lies within a token.  Tokens meet terms in the term's
+    rarest gram of up to three characters, so a frequent gram on both sides does not matter.
+    """
+    own = terms.select("term", F.explode(F.filter(_grams(F.col("term")), lambda g: F.length(g) == F.least(F.length("term"), F.lit(3)))).alias("gram"))
+    of_token = vocabulary.select("token", "n", F.explode(_grams(F.col("token"))).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
+    rarity = of_token.groupBy("gram").agg(F.count(F.lit(1)).alias("_tokens"))
+    rarest = own.join(rarity, "gram").groupBy("term").agg(F.min_by("gram", F.struct("_tokens", "gram")).alias("gram"))
+    return of_token.join(rarest, "gram").where(F.col("token").contains(F.col("term"))).select("term", "token", "n")
 
 
 def batch_search(items: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, id, relevance) for many queries in one pass over the items.
 
-    ``queries``: query_id, query.  Repeated terms of a query count repeatedly.
+    ``queries``: query_id, query.  Repeated terms of a query count repeatedly.  A query
+    without terms stands for every item: it gets one row with a NULL id.
+
+    Each item is found by the rarest term of a query; the other terms are tested on the
+    found items only, so a frequent term never meets all its items and queries.
     """
     low = _lowered(items)
-    points = dict(FIELD_POINTS) | {"category": 0}
-    fields = F.array(*[F.struct(F.lit(p).alias("points"), F.col("_l_" + n).alias("text"), F.lit(n == "title").alias("is_title")) for n, p in points.items()])
-    texts = low.select("id", F.explode(fields).alias("f")).select("id", "f.points", F.when(F.col("f.is_title"), F.col("f.text")).alias("title"), "f.text")
+    names = [n for n in low.columns if n.startswith("_l_")]
+    index = low.select("id", F.explode(F.array_distinct(tx.words(F.concat_ws(" ", *names)))).alias("token"))
+    vocabulary = index.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     words = queries.select("query_id", tx.words(F.col("query")).alias("_w"))
-    wanted = words.select("query_id", F.explode("_w").alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    sizes = wanted.groupBy("query_id").agg(F.count(F.lit(1)).alias("needed"))
-    term, title = F.col("term"), F.col("title")
-    extra = F.when(title == term, TITLE_EQUAL).otherwise(0) + F.when(title.startswith(term), TITLE_PREFIX).otherwise(0)
-    hits = matching_terms(texts, wanted).groupBy("id", "term").agg(F.sum(F.col("points") + extra).alias("points"))
-    met = hits.join(wanted, "term").groupBy("query_id", "id").agg(
-        F.count(F.lit(1)).alias("met"), F.sum(F.col("points") * F.col("times")).alias("relevance"))
-    found = met.join(sizes, "query_id").where("met = needed").select("query_id", "id", "relevance")
-    # A query without terms lists every item.  Both sides carry a salt, so the
-    # listing is spread over tasks.
-    salts = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blank = words.where(F.size("_w") == 0).select("query_id", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    salted = items.select("id", F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int").alias("_salt"))
-    everything = salted.join(blank, "_salt").select("query_id", "id", F.lit(EMPTY_QUERY).cast("long").alias("relevance"))
-    return found.unionByName(everything)
+    wanted = words.select("query_id", F.size(F.array_distinct("_w")).alias("_needed"), F.explode(F.array_distinct("_w")).alias("term"))
+    expanded = expand_terms(wanted.select("term").distinct(), vocabulary)
+    weights = expanded.groupBy("term").agg(F.sum("n").alias("_items"))
+    # A term that no token contains drops out here, and its query with it.
+    rarest = wanted.join(weights, "term").groupBy("query_id", "_needed").agg(
+        F.count(F.lit(1)).alias("_known"), F.min_by("term", F.struct("_items", "term")).alias("term")).where("_known = _needed")
+    found = rarest.select("query_id", "term").join(expanded.select("term", "token"), "term").join(index, "token").select("query_id", "id").distinct()
+    rows = found.join(low.select("id", *names), "id").join(words, "query_id")
+    total = F.aggregate("_w", F.lit(0).cast("long"), lambda acc, term: acc + _points(term))
+    hits = rows.where(F.forall("_w", _any_field)).select("query_id", "id", total.alias("relevance"))
+    blank = words.where(F.size("_w") == 0).select("query_id", F.lit(None).cast(items.schema["id"].dataType).alias("id"), F.lit(EMPTY_QUERY).cast("long").alias("relevance"))
+    return hits.unionByName(blank)
 
 
 def autocomplete(items: DataFrame, entities: DataFrame, variants: DataFrame, prefix: str, size: int = 8) -> DataFrame:

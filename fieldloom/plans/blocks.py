@@ -8,47 +8,45 @@ the work spreads over tasks whatever the sizes, and nothing is broadcast.
 
 from __future__ import annotations
 
-from math import ceil
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldloom.functions.similarity import NameBlock
 
 
-def _block(column: str, n: int):
-    return F.pmod(F.xxhash64(column), F.lit(n)).cast("int")
-
-
 def closest_names(mentions: DataFrame, names: DataFrame, k: int, block_mentions: int = 2_000, block_names: int = 20_000) -> DataFrame:
-    """(needle, entity_id, score): the k closest entities of each needle.
+    """(entity_type, needle, entity_id, score): the k closest entities of its type for each needle.
 
-    ``mentions``: needle (distinct).  ``names``: entity_id, name (lower case, trimmed).
-    An entity scores by its best name.  The block holding that name keeps the entity
-    among its own k best, so merging block results is exact.
+    ``mentions``: entity_type, needle (distinct).  ``names``: entity_type, entity_id, name
+    (lower case, trimmed).  An entity scores by its best name.  The block holding that name
+    keeps the entity among its own k best, so merging block results is exact.  The
+    numbers of blocks are columns of the plan; nothing is counted on the driver.
     """
-    spark = mentions.sparkSession
-    names = names.select("entity_id", "name").where("name <> ''").distinct()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    n_mentions, n_names = mentions.count(), names.count()
-    left = max(1, min(tasks, ceil(n_mentions / 50)), ceil(n_mentions / block_mentions))
-    right = max(1, ceil(n_names / block_names))
-    all_right = F.explode(F.sequence(F.lit(0), F.lit(right - 1)))
-    all_left = F.explode(F.sequence(F.lit(0), F.lit(left - 1)))
-    m = mentions.select("needle", _block("needle", left).alias("b"), all_right.alias("s"))
-    n = names.select("entity_id", "name", _block("name", right).alias("s"), all_left.alias("b"))
-
-    def match(some: pd.DataFrame, inventory: pd.DataFrame) -> pd.DataFrame:
+    tasks = max(int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    names = names.select("entity_type", "entity_id", "name").where("name <> ''").distinct()
+    needles = mentions.groupBy("entity_type").agg(F.count(F.lit(1)).alias("_needles"))
+    sizes = names.groupBy("entity_type").agg(F.count(F.lit(1)).alias("_names")).join(needles, "entity_type")
+    left = F.greatest(F.least(F.lit(tasks), F.ceil(F.col("_needles") / 50)), F.ceil(F.col("_needles") / block_mentions)).cast("int")
+    sizes = sizes.select("entity_type", left.alias("_left"), F.ceil(F.col("_names") / block_names).cast("int").alias("_right"))
+
+    def block(column: str, n: str):
+        return F.pmod(F.xxhash64(column), F.col(n)).cast("int")
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    m = mentions.join(sizes, "entity_type").select(F.col("entity_type").alias("t"), "needle", block("needle", "_left").alias("b"), every("_right").alias("s"))
+    n = names.join(sizes, "entity_type").select(F.col("entity_type").alias("t"), "entity_id", "name", block("name", "_right").alias("s"), every("_left").alias("b"))
+
+    def match(key, some: pd.DataFrame, inventory: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(some) and len(inventory):
-            block = NameBlock(inventory["entity_id"], inventory["name"])
+            prepared = NameBlock(inventory["entity_id"], inventory["name"])
             for needle in some["needle"]:
-                rows.extend((needle, entity, score) for entity, score in block.best(needle, k))
-        return pd.DataFrame(rows, columns=["needle", "entity_id", "score"])
+                rows.extend((key[0], needle, entity, score) for entity, score in prepared.best(needle, k))
+        return pd.DataFrame(rows, columns=["entity_type", "needle", "entity_id", "score"])
 
-    found = m.groupBy("b", "s").cogroup(n.groupBy("b", "s")).applyInPandas(match, "needle string, entity_id long, score double")
-    merged = found if right == 1 else found.groupBy("needle", "entity_id").agg(F.max("score").alias("score"))
-    return top_k(merged, "needle", k)
+    found = m.groupBy("t", "b", "s").cogroup(n.groupBy("t", "b", "s")).applyInPandas(
+        match, "entity_type string, needle string, entity_id long, score double")
+    return found.groupBy("entity_type", "needle", "entity_id").agg(F.max("score").alias("score"))
 
 
 def top_k(scores: DataFrame, mention: str, k: int) -> DataFrame:

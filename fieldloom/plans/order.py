@@ -9,23 +9,16 @@ crosses blocks.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
 def ensure_checkpoint_dir(spark) -> None:
-    """Use the cluster's shared checkpoint folder; fall back only on local mode."""
+    """Use the shared folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse, which is shared too."""
     sc = spark.sparkContext
     if sc.getCheckpointDir():
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        sc.setCheckpointDir(configured)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fieldloom-checkpoint-"))
-    else:
-        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    sc.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

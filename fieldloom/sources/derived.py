@@ -11,7 +11,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from fieldloom.plans.spread import spread_scan
 
 BASE = (
     "region nation customer supplier part orders lineitem events documents "
@@ -19,7 +18,6 @@ BASE = (
 ).split()
 
 # Tables whose rows hold long texts.
-TEXTS = {"pages", "documents"}
 
 SQL: dict[str, str] = {
     "fx_category": """
@@ -184,8 +182,6 @@ class Tables:
         if name not in self._built:
             if name in BASE:
                 df = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
-                if name in TEXTS:
-                    df = spread_scan(df)
             else:
                 df = self.sql(SQL[name])
             self._built[name] = df
