@@ -30,14 +30,17 @@ def capture_stream(pages: DataFrame, sources: DataFrame, mapping: DataFrame, pro
     one folder per batch, so a repeated batch replaces its own jobs only.
     """
     spark = pages.sparkSession
-    log = ChangeLog(spark, f"{folder}/sources", sources.schema)
+    log = ChangeLog(spark, f"{folder}/sources", sources.schema, keys=("source_id",))
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         # A page may arrive twice; the larger body wins.
         checked = capture.read_pages(batch.select("url", "html")).groupBy("url").agg(
             F.max_by(F.struct("html", "error"), F.length(F.coalesce("html", F.lit("")))).alias("p")).select("url", "p.html", "p.error")
-        text = with_markdown(checked).join(sources.select("source_id", "url"), "url")
-        parts = text.where("error IS NULL").select("source_id", F.lit(0).alias("pos"), "url", "title", "markdown", F.length("markdown").alias("html_size"))
+        # Parsed once: the batch is written and read back for its three uses.
+        parsed = with_markdown(checked.withColumn("html_size", F.length(F.coalesce("html", F.lit("")))))
+        parsed.join(sources.select("source_id", "url"), "url").write.mode("overwrite").parquet(f"{folder}/parsed/batch={batch_id}")
+        text = spark.read.parquet(f"{folder}/parsed/batch={batch_id}")
+        parts = text.where("error IS NULL").select("source_id", F.lit(0).alias("pos"), "url", "title", "markdown", "html_size")
         good = capture.consolidate_pages(parts, F.date_format(now, "yyyy-MM-dd'T'HH:mm:ss'Z'"))
         results = text.select("source_id", "error").join(good, "source_id", "left").select(
             "source_id", F.col("error").isNull().alias("success"), F.col("markdown_content").alias("markdown"),
@@ -59,7 +62,7 @@ def capture_stream(pages: DataFrame, sources: DataFrame, mapping: DataFrame, pro
 def job_state_stream(events: DataFrame, folder: str) -> DataFrame:
     """Latest state per job, updated batch by batch; arrival order does not matter."""
     state = jobs.job_state(events)
-    log = ChangeLog(events.sparkSession, f"{folder}/jobs", state.schema)
+    log = ChangeLog(events.sparkSession, f"{folder}/jobs", state.schema, keys=("job_id",))
     run_available(state, folder, lambda batch, n: log.put(n, batch), mode="update")
     return log.latest(["job_id"])
 
@@ -71,7 +74,7 @@ def outage_stream(calls: DataFrame, folder: str, threshold: int = 10, timeout_se
     """Episodes over a call stream.  Calls of a batch are sorted in time; batches follow arrival."""
     spark = calls.sparkSession
     key = calls.schema["service_id"].dataType.simpleString()
-    states = ChangeLog(spark, f"{folder}/states", f"service_id {key}, kind int, a long, b long")
+    states = ChangeLog(spark, f"{folder}/states", f"service_id {key}, kind int, a long, b long", keys=("service_id",))
     parts = ChangeLog(spark, f"{folder}/parts", f"service_id {key}, opened_us long, closed_us long, failed_probes long, refused_calls long")
 
     def on_batch(batch: DataFrame, n: int) -> None:
@@ -160,7 +163,7 @@ def index_stream(profile_changes: DataFrame, folder: str, build: Callable[[DataF
     item_schema = build(empty).schema
     schema = "id string, version_ts timestamp, live boolean, " + ", ".join(
         f"`{f.name}` {f.dataType.simpleString()}" for f in item_schema.fields if f.name != "id")
-    log = ChangeLog(spark, f"{folder}/index", schema)
+    log = ChangeLog(spark, f"{folder}/index", schema, keys=("id",), order=("version_ts", "batch"))
 
     def on_batch(batch: DataFrame, n: int) -> None:
         last = batch.groupBy("source_id").agg(F.max_by(F.struct(*names), "version_ts").alias("p")).select("source_id", "p.*")

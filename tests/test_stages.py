@@ -160,7 +160,17 @@ def test_batch_that_runs_again_changes_nothing(spark, tmp_path):
     want = [(1, "b"), (2, "a")]
     assert sorted(map(tuple, log.latest(["id"]).collect())) == want
     assert sorted(map(tuple, log.latest(["id"], before=1).collect())) == [(1, "a"), (2, "a")]
-    assert sorted(map(tuple, log.compacted(str(tmp_path / "u"), ["id"]).latest(["id"]).collect())) == want
+
+
+def test_folded_changes_give_the_same_table(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, v string")
+    log = ChangeLog(spark, str(tmp_path / "t"), "id long, v string", keys=("id",), compact_every=2)
+    for n in (0, 1, 1, 2, 3, 4):
+        log.put(n, rows((n % 2, f"v{n}"), (10 + n, "x")))
+    want = sorted([(0, "v4"), (1, "v3"), *((10 + n, "x") for n in range(5))])
+    assert sorted(map(tuple, log.latest(["id"]).collect())) == want
+    assert log.rows().count() < 12 and log.rows().where("batch = 4").count() == 2
+    assert sorted(map(tuple, log.latest(["id"], before=2).collect())) == [(0, "v0"), (1, "v1"), (10, "x"), (11, "x")]
 
 
 def test_index_stream_keeps_the_newest_version(spark, tmp_path):
