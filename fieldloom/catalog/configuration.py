@@ -70,10 +70,36 @@ def synced_mapping(t):
     return g.sync_mapping(t.cfg_mapping, t.sql(_DECLARED_MAP), force=True)
 
 
-@query("sync_stats", f"""SELECT 'prompts' AS "table", action, count(*) AS n FROM ({_sync_sql(False)}) WHERE action <> 'kept' GROUP BY ALL
+_DECLARED_CATEGORIES = """SELECT CASE WHEN s_suppkey % 3 = 0 THEN 'new_' || CAST(s_suppkey AS STRING) ELSE lower(s_name) END AS internal_name, 'Declared ' || CAST(s_suppkey AS STRING) AS display_name
+    FROM {supplier} WHERE s_suppkey % 2 = 0"""
+
+
+def _category_sql(force: bool) -> str:
+    take = "n.internal_name IS NOT NULL" if force else "n.internal_name IS NOT NULL AND o.internal_name IS NULL"
+    return f"""SELECT coalesce(o.internal_name, n.internal_name) AS internal_name, CASE WHEN {take} THEN n.display_name ELSE o.display_name END AS display_name,
+        CASE WHEN o.internal_name IS NULL THEN 'created' WHEN n.internal_name IS NULL THEN 'kept' ELSE '{"updated" if force else "skipped"}' END AS action
+        FROM (SELECT lower(s_name) AS internal_name, 'Category ' || s_suppkey AS display_name FROM supplier) o FULL JOIN ({_d(_DECLARED_CATEGORIES)}) n ON n.internal_name = o.internal_name"""
+
+
+def _synced_categories(t, force):
+    current = t.supplier.select(F.lower("s_name").alias("internal_name"), F.concat(F.lit("Category "), F.col("s_suppkey").cast("string")).alias("display_name"))
+    return g.sync_categories(current, t.sql(_DECLARED_CATEGORIES), force)
+
+
+@query("synced_categories", _category_sql(False))
+def synced_categories(t):
+    return _synced_categories(t, False)
+
+
+@query("forced_category_sync", _category_sql(True))
+def forced_category_sync(t):
+    return _synced_categories(t, True)
+
+
+@query("sync_stats", f"""SELECT 'categories' AS "table", action, count(*) AS n FROM ({_category_sql(False)}) WHERE action <> 'kept' GROUP BY ALL UNION ALL SELECT 'prompts' AS "table", action, count(*) AS n FROM ({_sync_sql(False)}) WHERE action <> 'kept' GROUP BY ALL
     UNION ALL SELECT 'mappings', 'created', count(*) FROM ({_d(_DECLARED_MAP)}) d WHERE NOT EXISTS (SELECT 1 FROM cfg_mapping m WHERE m.category_id = d.category_id AND m.prompt_id = d.prompt_id)""")
 def sync_stats(t):
-    return g.sync_stats(prompts=_synced(t, False), mappings=g.sync_mapping(t.cfg_mapping, t.sql(_DECLARED_MAP)))
+    return g.sync_stats(categories=_synced_categories(t, False), prompts=_synced(t, False), mappings=g.sync_mapping(t.cfg_mapping, t.sql(_DECLARED_MAP)))
 
 
 @query("exported_categories", """SELECT c.category_id, CAST(to_json({'category': {'internal_name': any_value(c.internal_name), 'display_name': any_value(c.display_name)}, 'prompts': list({'internal_name': p.internal_name,

@@ -236,6 +236,28 @@ def category_listing(t):
     return p.category_listing(t.fx_profile, t.fx_source, "title").select("category_id", "profile_id", "title", "generated_at")
 
 
+def _placed(order: str) -> str:
+    return f"""SELECT category_id, profile_id, row_number() OVER (PARTITION BY category_id ORDER BY generated_at {order}, profile_id) AS place
+        FROM fx_profile JOIN (SELECT source_id, category_id FROM fx_source) USING (source_id) WHERE published"""
+
+
+def _listed(t, order: str):
+    """Place of each profile in its category's list, read from the order of the listing."""
+    rows = p.category_listing(t.fx_profile, t.fx_source, order).select("category_id", "profile_id", F.monotonically_increasing_id().alias("_at"))
+    first = rows.groupBy("category_id").agg(F.sort_array(F.collect_list(F.struct("_at", "profile_id"))).alias("_l"))
+    return first.select("category_id", F.posexplode("_l").alias("place", "_p")).select("category_id", "_p.profile_id", (F.col("place") + 1).cast("long").alias("place"))
+
+
+@query("newest_listing", _placed("DESC"))
+def newest_listing(t):
+    return _listed(t, "newest")
+
+
+@query("oldest_listing", _placed("ASC"))
+def oldest_listing(t):
+    return _listed(t, "oldest")
+
+
 @query("institution_filter", f"""SELECT profile_id, institution FROM (SELECT profile_id, {_inst('markdown_content', 20, True)} AS institution FROM fx_profile)
     WHERE institution = (SELECT min(institution) FROM (SELECT {_inst('markdown_content', 20, True)} AS institution FROM fx_profile) WHERE institution <> '' AND contains('Inst 1 of somewhere', institution))""")
 def institution_filter(t):
@@ -276,8 +298,15 @@ def site_manifest(t):
     return _manifest(t)
 
 
+@query("original_manifest", f"""SELECT * FROM (VALUES ('index.html', 'home', 'home'), ('suche.html', 'search', 'search'), ('impressum.html', 'imprint', 'imprint'), ('api.html', 'api', 'api')) m(path, kind, title)
+    UNION ALL SELECT internal_name || '/index.html', 'category', display_name FROM fx_category WHERE is_active
+    UNION ALL SELECT 'details/' || source_id || '.html', 'detail', {_title('markdown_content')} FROM fx_profile JOIN (SELECT source_id FROM fx_source) USING (source_id) WHERE published""")
+def original_manifest(t):
+    return p.site_manifest(t.fx_category, t.fx_profile, t.fx_source, t.fx_translation)
+
+
 @query("generation_stats", f"""SELECT count(*) AS pages, count(*) FILTER (kind = 'category') AS categories, count(*) FILTER (kind = 'detail') AS profiles,
-    (SELECT count(*) FROM fx_profile WHERE published) - count(*) FILTER (kind = 'detail') AS skipped FROM ({_MANIFEST})""")
+    (SELECT count(*) FROM fx_profile WHERE published) - count(*) FILTER (kind = 'detail') AS skipped, count(*) FILTER (coalesce(title, '') = '') AS errors FROM ({_MANIFEST})""")
 def generation_stats(t):
     return p.generation_stats(_manifest(t), t.fx_profile)
 

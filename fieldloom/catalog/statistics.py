@@ -130,6 +130,13 @@ def homepage_counts(t):
     return s.homepage_counts(t.fx_category, t.fx_source, t.fx_profile).select("category_id", "internal_name", "profiles")
 
 
+@query("english_homepage_counts", """SELECT c.category_id, c.display_name || ' (en)' AS display_name, count(*) AS profiles FROM fx_category c
+    JOIN fx_source f ON f.category_id = c.category_id JOIN fx_profile p ON p.source_id = f.source_id WHERE p.published GROUP BY ALL""")
+def english_homepage_counts(t):
+    named = t.fx_category.withColumn("display_name_en", F.concat("display_name", F.lit(" (en)")))
+    return s.homepage_counts(named, t.fx_source, t.fx_profile, "en").select("category_id", "display_name", "profiles")
+
+
 @query("category_institutions", """SELECT DISTINCT f.category_id, e.validated_result AS institution FROM fx_extraction e JOIN fx_prompt p USING (prompt_id)
     JOIN fx_source f ON f.source_id = e.source_id JOIN fx_profile d ON d.source_id = f.source_id
     WHERE p.internal_name = 'institution' AND trim(e.validated_result) <> '' AND d.published""")

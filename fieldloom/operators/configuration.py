@@ -49,7 +49,15 @@ def sync_prompts(current: DataFrame, declared: DataFrame, force: bool = False) -
     Without ``force`` an existing prompt still takes translatable, display_name_en and
     entity_type, so that a corrected flag always arrives.
     """
-    always = {"translatable", "display_name_en", "entity_type"}
+    return _synced(current, declared, force, {"translatable", "display_name_en", "entity_type"})
+
+
+def sync_categories(current: DataFrame, declared: DataFrame, force: bool = False) -> DataFrame:
+    """Categories after a sync with the ``action`` per row; an existing one changes with ``force`` only."""
+    return _synced(current, declared, force, set())
+
+
+def _synced(current: DataFrame, declared: DataFrame, force: bool, always: set[str]) -> DataFrame:
     new = declared.select("internal_name", *[F.col(c).alias("_n_" + c) for c in declared.columns if c != "internal_name"], F.lit(True).alias("_new"))
     joined = current.withColumn("_old", F.lit(True)).join(new, "internal_name", "full")
     action = (

@@ -238,12 +238,13 @@ def site_manifest(categories, profiles, sources, translations, language: str = "
 
 
 def generation_stats(manifest: DataFrame, profiles: DataFrame) -> DataFrame:
-    """pages, categories, profiles and published profiles left out."""
+    """pages, categories, profiles, published profiles left out, and pages in error: those without a title."""
     pages = manifest.agg(
-        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("kind") == "category").alias("categories"), F.count_if(F.col("kind") == "detail").alias("profiles"))
+        F.count(F.lit(1)).alias("pages"), F.count_if(F.col("kind") == "category").alias("categories"), F.count_if(F.col("kind") == "detail").alias("profiles"),
+        F.count_if(F.coalesce(F.col("title"), F.lit("")) == "").alias("errors"))
     live = profiles.where("published").agg(F.count(F.lit(1)).alias("_live"))
     joined = attach_row(pages, live)
-    return joined.select("pages", "categories", "profiles", (F.col("_live") - F.col("profiles")).alias("skipped"))
+    return joined.select("pages", "categories", "profiles", (F.col("_live") - F.col("profiles")).alias("skipped"), "errors")
 
 
 def structured_data(profiles: DataFrame, base: str) -> DataFrame:

@@ -152,9 +152,13 @@ def prompts_by_group(prompts: DataFrame) -> DataFrame:
     return prompts.groupBy("field_group").agg(n_rows())
 
 
-def homepage_counts(categories: DataFrame, sources: DataFrame, profiles: DataFrame) -> DataFrame:
+def homepage_counts(categories: DataFrame, sources: DataFrame, profiles: DataFrame, language: str = "de") -> DataFrame:
+    """Published profiles per category; the English page leaves empty categories out and shows English names."""
     live = profiles.where("published").select("source_id").join(sources.select("source_id", "category_id"), "source_id")
-    return with_count(categories, "category_id", live, "profiles")
+    counted = with_count(categories, "category_id", live, "profiles")
+    if language != "en":
+        return counted
+    return counted.where("profiles > 0").withColumn("display_name", F.coalesce("display_name_en", "display_name"))
 
 
 def category_institutions(extractions, prompts, sources, profiles) -> DataFrame:
