@@ -20,9 +20,9 @@ import pyarrow as pa
 from fieldloom.llm.hashing import byte_values, span_hashes, text_chunks
 
 #: Distinct pieces (20 bytes each), and their ids, that a Python worker remembers; beyond it the memo starts anew.
-MEMO_PIECES, MEMO_IDS = 2_500_000, 12_000_000
-#: Bytes of text whose unknown pieces are encoded together.
-TOGETHER_BYTES = 2 << 20
+MEMO_PIECES, MEMO_IDS = 1_500_000, 6_000_000
+#: Bytes of text that are cut together, and unknown pieces that are encoded together; both bound a worker's memory.
+TOGETHER_BYTES, TOGETHER_PIECES = 1 << 20, 10_000
 
 #: Texts to put after each piece; the first that keeps these pieces apart is used.
 _BORDERS, _PROBE = (" \x01", " \x01 "), (" foo", ",", "bar", "\n", "\nFoo", " \n\nfoo's", "9", ".;", " ")
@@ -135,7 +135,10 @@ class Encoder:
                 found = [self._whole(text[a:b].decode()) if a in whole else self._short([text[a:b].decode()])[0] for a, b in spots]
                 ids, counts = np.concatenate(found), np.array([len(f) for f in found])
             else:
-                ids, counts = self._short([text[a:b].decode() for a, b in spots])
+                found = [
+                    self._short([text[a:b].decode() for a, b in spots[i : i + TOGETHER_PIECES]]) for i in range(0, len(spots), TOGETHER_PIECES)
+                ]
+                ids, counts = (np.concatenate([f[i] for f in found]) for i in (0, 1))
             self._learn(keys[unknown], ids, counts)
             at = np.searchsorted(self.keys, keys)
         of_key = self.starts[at], self.lengths[at].astype(np.int64)
