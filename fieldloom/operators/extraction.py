@@ -186,6 +186,17 @@ def call_model(df: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame],
     return called.select(*df.columns, *[F.col(f"_answer.{c}").alias(f"{prefix}_{c}") for c in ("text", "reason", "error")])
 
 
+def with_source_text(jobs: DataFrame, texts: DataFrame) -> DataFrame:
+    """``jobs`` with the text of their source (source_id, markdown).
+
+    A source's jobs, at most one per field, travel as one row, so its text is joined
+    once and copied to the jobs inside the task that asks the model.
+    """
+    own = [c for c in jobs.columns if c != "source_id"]
+    grouped = jobs.groupBy("source_id").agg(F.collect_list(F.struct(*own)).alias("_jobs"))
+    return grouped.join(texts, "source_id").select("source_id", *[c for c in texts.columns if c != "source_id"], F.inline("_jobs"))
+
+
 def run_extraction(jobs: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame] = rule_model) -> DataFrame:
     """Extract and validate every job.
 
