@@ -29,10 +29,10 @@ from fieldloom.llm.hashing import mix, rows_of_words, text_chunks, window_hashes
 from fieldloom.plans.order import cut_lineage
 
 SHINGLE = 5
-SKETCH = 64
+SKETCH = 48
 THRESHOLD = Fraction(85, 100)
 #: Overlap of sketches and estimated similarity that a candidate needs: five standard errors below the threshold.
-SHARE = Fraction(60, 100)
+SHARE = Fraction(55, 100)
 #: Documents, and values of their sets, of one chunk.
 CHUNK_DOCS = 512
 CHUNK_VALUES = 1_000_000
