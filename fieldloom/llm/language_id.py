@@ -1,7 +1,8 @@
 """Language of a text by sparse multinomial logistic regression on letter n-grams.
 
-Features are hashed letter n-grams, weighted by their share of the text and the inverse
-document frequency over all learning rows.  The model is trained by
+Features are hashed letter n-grams, weighted by the root of their count, so that a line
+repeated a thousand times does not drown the rest, and the inverse document frequency
+over all learning rows; a text's weights have one length.  The model is trained by
 follow-the-regularised-leader with an elastic-net penalty on a bounded sample of the
 learning rows, and one temperature, fitted on rows of the sample that training leaves
 out, calibrates its probabilities.  A prediction reads the whole text and nothing else.
@@ -23,22 +24,35 @@ from fieldloom.llm.grams import gram_chunks
 
 SIZES = (1, 2, 3)
 BITS = 15
-#: Expected rows of a language in the training sample (by a hash of the id), and languages at most.
-SAMPLE_ROWS, MOST_LANGUAGES = 1_500, 500
+#: Expected rows of the training sample (by a hash of the id), of a language at least, and languages at most.
+SAMPLE_ROWS, LEAST_ROWS, MOST_LANGUAGES = 6_000, 300, 500
 EPOCHS = 2
 #: Follow-the-regularised-leader: step size, its offset, and the two penalties.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
-SCALE = 20.0
+SCALE = 5.0
 UNKNOWN = "und"
 #: A score below this is no trustworthy language.
 LEAST_SCORE = 0.35
 
 
+def features(hashes: list[np.ndarray], start: int, grams: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashed grams of a row, root of the count of each)."""
+    counts = np.bincount(np.concatenate([h[start : start + grams] for h in hashes]), minlength=1 << BITS)
+    found = np.flatnonzero(counts)
+    return found, np.sqrt(counts[found])
+
+
+def weighted(grams: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = tf * idf[grams]
+    return x * (SCALE / max(float(np.sqrt(x @ x)), 1e-12))
+
+
 @dataclass
 class Model:
     languages: list[str]
-    weights: np.ndarray  # language by hashed gram, with the inverse document frequency folded in
+    weights: np.ndarray  # hashed gram by language
     bias: np.ndarray
+    idf: np.ndarray
     temperature: float
 
     def probabilities(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,9 +60,9 @@ class Model:
         out, found = [np.zeros((0, len(self.languages)))], [np.zeros(0, np.int64)]
         for rows, hashes, starts, grams, letters in gram_chunks(column, SIZES, BITS):
             logits = np.empty((rows, len(self.languages)))
-            for c in range(len(self.languages)):
-                total = sum(np.add.reduceat(self.weights[c][h], starts) for h in hashes)
-                logits[:, c] = self.bias[c] + total / np.maximum(grams * len(SIZES), 1)
+            for i in range(rows):
+                ids, tf = features(hashes, starts[i], grams[i])
+                logits[i] = self.bias + weighted(ids, tf, self.idf) @ self.weights[ids]
             out.append(softmax(logits / self.temperature))
             found.append(letters)
         return np.concatenate(out), np.concatenate(found)
@@ -85,31 +99,33 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def _sample(rows: DataFrame, languages: dict[str, int]) -> list[tuple[int, str, np.ndarray, np.ndarray]]:
-    """(order, language, grams, shares) of the sampled rows."""
+    """(order, language, grams, roots of counts) of the sampled rows."""
     cut = None
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
-    for name, n in languages.items():
-        wanted = (F.col("lang") == name) & (place < min(1 << 32, -(-SAMPLE_ROWS * (1 << 32) // n)))
+    total = sum(languages.values())
+    for name, n in languages.items():  # in proportion, so that the model knows how frequent a language is
+        size = max(LEAST_ROWS, SAMPLE_ROWS * n // total)
+        wanted = (F.col("lang") == name) & (place < min(1 << 32, -(-size * (1 << 32) // n)))
         cut = wanted if cut is None else cut | wanted
 
     def featurise(batches):
         for batch in batches:
-            grams_of, shares_of = [], []
+            grams_of, tf_of = [], []
             for n, hashes, starts, grams, _ in gram_chunks(batch.column("text"), SIZES, BITS):
                 for i in range(n):
-                    ids, counts = np.unique(np.concatenate([h[starts[i] : starts[i] + grams[i]] for h in hashes]), return_counts=True)
+                    ids, tf = features(hashes, starts[i], grams[i])
                     grams_of.append(ids.astype("<u2" if BITS <= 16 else "<u4").tobytes())
-                    shares_of.append((counts / max(counts.sum(), 1)).astype("<f4").tobytes())
+                    tf_of.append(tf.astype("<f4").tobytes())
             yield pa.record_batch({
                 "place": batch.column("place"), "lang": batch.column("lang"),
-                "grams": pa.array(grams_of, pa.binary()), "shares": pa.array(shares_of, pa.binary()),
+                "grams": pa.array(grams_of, pa.binary()), "tf": pa.array(tf_of, pa.binary()),
             })
 
     found = rows.where(cut).select(place.alias("place"), "lang", "text").mapInArrow(
-        featurise, "place long, lang string, grams binary, shares binary"
+        featurise, "place long, lang string, grams binary, tf binary"
     )
     out = [
-        (r["place"], r["lang"], np.frombuffer(r["grams"], "<u2" if BITS <= 16 else "<u4").astype(np.int64), np.frombuffer(r["shares"], "<f4"))
+        (r["place"], r["lang"], np.frombuffer(r["grams"], "<u2" if BITS <= 16 else "<u4").astype(np.int64), np.frombuffer(r["tf"], "<f4"))
         for r in found.toLocalIterator()
     ]
     return sorted(out, key=lambda r: (r[0], r[1], r[2].tobytes()))
@@ -127,9 +143,9 @@ def _train(rows: list, idf: np.ndarray, languages: list[str]) -> tuple[np.ndarra
         return np.where(np.abs(zs) > L1, shrunk / ((BETA + np.sqrt(n[at])) / ALPHA + L2), 0.0)
 
     for _ in range(EPOCHS):
-        for _, name, grams, shares in rows:
+        for _, name, grams, tf in rows:
             at = np.append(grams, size - 1)
-            x = np.append(shares * idf[grams] * SCALE, 1.0)
+            x = np.append(weighted(grams, tf, idf), 1.0)
             w = weights_of(at)
             p = softmax(x @ w)
             p[number[name]] -= 1
@@ -138,7 +154,7 @@ def _train(rows: list, idf: np.ndarray, languages: list[str]) -> tuple[np.ndarra
             z[at] += g - sigma * w
             n[at] += g * g
     w = weights_of(np.arange(size))
-    return w[:-1].T * (idf * SCALE), w[-1]
+    return w[:-1], w[-1]
 
 
 def _temperature(logits: np.ndarray, truth: np.ndarray) -> float:
@@ -169,8 +185,8 @@ def learn(rows: DataFrame) -> Model | None:
     sample = _sample(rows, {r["lang"]: r["count"] for r in counts})
     held = [r for i, r in enumerate(sample) if i % 5 == 4]
     weights, bias = _train([r for i, r in enumerate(sample) if i % 5 != 4], idf, languages)
-    logits = np.array([weights[:, g] @ s + bias for _, _, g, s in held]).reshape(len(held), len(languages))
-    return Model(languages, weights, bias, _temperature(logits, np.array([languages.index(r[1]) for r in held], np.int64)))
+    logits = np.array([weighted(g, tf, idf) @ weights[g] + bias for _, _, g, tf in held]).reshape(len(held), len(languages))
+    return Model(languages, weights, bias, idf, _temperature(logits, np.array([languages.index(r[1]) for r in held], np.int64)))
 
 
 def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
