@@ -7,7 +7,7 @@ not count.  The sum of the weights and its ratio to the root of the number of wo
 enter a logistic curve.
 
 Terms, weights, exceptions and the curve are learned from a bounded sample of labelled
-rows: a weight is the log ratio of the shares of toxic and clean documents that hold the
+rows, in which near copies count once: a weight is the log ratio of the shares of toxic and clean documents that hold the
 term, less one standard error; a term must be more frequent in toxic documents than
 chance explains; an exception is a word pair around a term that occurs in clean documents
 almost alone.  The curve is fitted on one half of the sample with a lexicon of the other.
@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 from fieldloom.llm.grams import SPACE, disguised, letters
 from fieldloom.llm.hashing import text_chunks
 from fieldloom.llm.language_id import remainder
+from fieldloom.llm.near_dedup import shingle_sets
 from fieldloom.plans.order import cut_lineage
 
 #: Expected rows of each label in the sample, by a hash of the id.
@@ -106,8 +107,22 @@ def _sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     for toxic, size in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
         if counts.get(toxic):
             wanted = wanted | ((F.col("toxic") == toxic) & (place < min(1 << 32, -(-size * (1 << 32) // counts[toxic]))))
-    chosen = labels.where(wanted)
-    return cut_lineage(docs.join(F.broadcast(chosen), "doc_id").select("text", "toxic"))
+    found = docs.join(F.broadcast(labels.where(wanted)), "doc_id").select("text", "toxic")
+
+    def marked(batches):
+        for batch in batches:
+            sets = [v if len(v) else np.zeros(1, np.uint64) for v in shingle_sets(batch.column("text"))]
+            yield pa.record_batch({
+                "text": batch.column("text"), "toxic": batch.column("toxic").cast(pa.int32()),
+                **{f"m{i}": pa.array(np.array([v[min(i, len(v) - 1)] if i < 2 else v[-i + 1] if len(v) >= i else v[0] for v in sets]).view(np.int64)) for i in range(4)},
+            })
+
+    # Near copies would make all their words look toxic: of texts that share the smallest, second,
+    # largest or second largest shingle hash one stays.
+    found = found.mapInArrow(marked, "text string, toxic int, m0 long, m1 long, m2 long, m3 long")
+    for i in range(4):
+        found = found.groupBy(f"m{i}").agg(F.max(F.struct("toxic", "text", "m0", "m1", "m2", "m3")).alias("one")).select("one.*")
+    return cut_lineage(found.select("text", "toxic"))
 
 
 def _counted(sample: DataFrame, terms_of) -> DataFrame:
