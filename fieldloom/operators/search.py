@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldloom.functions import text as tx
-from fieldloom.plans.order import attach_row
+from fieldloom.plans.order import attach_row, cut_lineage
 
 # Points per field that contains a term, and for an empty query.
 FIELD_POINTS = [("title", 10), ("institution", 8), ("_variants", 7), ("description", 3), ("fulltext", 1)]
@@ -117,7 +117,7 @@ def batch_search(items: DataFrame, queries: DataFrame) -> DataFrame:
     vocabulary = index.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     words = queries.select("query_id", tx.words(F.col("query")).alias("_w"))
     wanted = words.select("query_id", F.size(F.array_distinct("_w")).alias("_needed"), F.explode(F.array_distinct("_w")).alias("term"))
-    expanded = expand_terms(wanted.select("term").distinct(), vocabulary)
+    expanded = cut_lineage(expand_terms(wanted.select("term").distinct(), vocabulary))  # used twice
     weights = expanded.groupBy("term").agg(F.sum("n").alias("_items"))
     # A term that no token contains drops out here, and its query with it.
     rarest = wanted.join(weights, "term").groupBy("query_id", "_needed").agg(
