@@ -3,7 +3,8 @@
 Every page scores its containers by the text they hold; the paths of its best containers,
 made of tags and generalised classes, are votes.  Votes are summed per host and path, and
 each host's winning path is used to extract the text of all its pages.  A page that has
-nothing at its host's path falls back on its own best container.
+nothing at its host's path falls back on its own best container, then on all of its text
+outside menus, headers and the like, at last without regard to classes.
 
 Votes are a few rows per page and are summed before they are shuffled, so a host with a third
 of all pages is no burden.  Winning paths are one row per host: up to ``BROADCAST_HOSTS``
@@ -73,7 +74,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
                 text = extract(page, path) if path else ""
                 if not text and (own := _best(page, 1)):
                     text = extract(page, own[0][0])
-                found.append(text or extract(page, None))
+                found.append(text or extract(page, None) or extract(page, None, by_class=False))
             yield pa.record_batch({
                 "page_id": batch.column("page_id"), "url": batch.column("url"), "text": pa.array(found, pa.string()),
                 "n_chars": pa.array([len(t) for t in found], pa.int64()),

@@ -19,11 +19,13 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
 CONTAINERS = frozenset("html body main article section div td blockquote center".split())
+# A class or id is furniture by its first or last word; by the second list only without a word of text.
 FURNITURE_WORDS = frozenset(
-    "ad ads advert adverts advertisement banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer header masthead menu menus"
-    " modal nav navbar navigation newsletter notice pager pagination popup promo promoted promotion related replies reply share sharing sidebar social"
-    " sponsor sponsored subscribe toolbar topbar widget".split()
+    "ad ads advert adverts advertisement breadcrumb breadcrumbs comment comments cookie cookies disqus footer menu menus nav navbar navigation newsletter"
+    " pager pagination popup promo promoted promotion related replies reply share sharing sidebar sponsor sponsored subscribe toolbar".split()
 )
+WEAK_FURNITURE_WORDS = frozenset("banner consent header masthead modal notice social topbar widget".split())
+LAYOUT_WORDS = frozenset("has with without no is".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 TEXT_WORDS = frozenset("article body content entry main post story text".split())
 #: An element that opens closes an open one of these, unless one of the barriers is between.
@@ -62,25 +64,32 @@ def _general(classes: str) -> str:
     return ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})[:2])
 
 
-def _is_furniture(name: str, attributes: dict[str, str]) -> bool:
+def _is_furniture(name: str, attributes: dict[str, str], by_class: bool) -> bool:
     if name in FURNITURE or attributes.get("role", "").lower() in FURNITURE_ROLES:
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
         return True
-    if name in ("html", "body", "main", "article"):
+    if not by_class or name in ("html", "body", "main", "article"):
         return False
-    words = {w.lower() for key in ("class", "id") for w in _PART.findall(attributes.get(key, ""))}
-    return bool(words & FURNITURE_WORDS) and not words & TEXT_WORDS
+    return any(_names_furniture(c) for key in ("class", "id") for c in attributes.get(key, "").split())
+
+
+def _names_furniture(name: str) -> bool:
+    words = [w.lower() for w in _PART.findall(name)]
+    if not words or words[0] in LAYOUT_WORDS:
+        return False
+    ends = {words[0], words[-1]}
+    return bool(ends & FURNITURE_WORDS) or bool(ends & WEAK_FURNITURE_WORDS and not set(words) & TEXT_WORDS)
 
 
-def _open(stack: list[Element], name: str, text: str) -> Element:
+def _open(stack: list[Element], name: str, text: str, by_class: bool) -> Element:
     attributes = _attributes(text)
     general = _general(attributes.get("class", ""))
     above = stack[-1] if stack else None
     path = (f"{above.path}>" if above else "") + name + (f".{general}" if general else "")
     words = {w.lower() for key in ("class", "id") for w in _PART.findall(attributes.get(key, ""))}
     weight = (1.5 if name in ("article", "main") else 1.0) * (1.25 if words & TEXT_WORDS else 1.0)
-    return Element(name, path, bool(above and above.furniture) or _is_furniture(name, attributes), weight)
+    return Element(name, path, bool(above and above.furniture) or _is_furniture(name, attributes, by_class), weight)
 
 
 def _close(stack: list[Element], names, barriers) -> None:
@@ -92,8 +101,11 @@ def _close(stack: list[Element], names, barriers) -> None:
             return
 
 
-def events(page: str) -> Iterator[tuple[str, list[Element], str]]:
-    """("open" or "close" or "text", open elements, name or decoded text); unread elements are left out."""
+def events(page: str, by_class: bool = True) -> Iterator[tuple[str, list[Element], str]]:
+    """("open" or "close" or "text", open elements, name or decoded text); unread elements are left out.
+
+    ``by_class`` tells whether classes and ids, too, mark furniture.
+    """
     stack: list[Element] = []
     at = 0
     while at < len(page):
@@ -128,7 +140,7 @@ def events(page: str) -> Iterator[tuple[str, list[Element], str]]:
         if name in VOID:
             yield "open", stack, name
             continue
-        stack.append(_open(stack, name, attributes))
+        stack.append(_open(stack, name, attributes, by_class))
         yield "open", stack, name
 
 
@@ -149,10 +161,10 @@ def containers(page: str) -> dict[str, float]:
     return scores
 
 
-def extract(page: str, path: str | None) -> str:
+def extract(page: str, path: str | None, by_class: bool = True) -> str:
     """Text of the containers at a path, a line for each block; of the whole page without one."""
     blocks, words, inside = [], [], None
-    for kind, stack, text in events(page):
+    for kind, stack, text in events(page, by_class):
         if path is None:
             here = not any(e.name == "head" for e in stack)
         elif inside is not None and len(stack) >= inside:

@@ -160,6 +160,18 @@ def test_hosts_agree_on_a_path(spark):
     assert got[9] == "few words"
 
 
+@pytest.mark.parametrize("page,want", [
+    ('<div class="content with-sidebar"><p>a</p><div class="post-comments"><p>no</p></div></div><div class="sidebar-left">no</div>', "a"),
+    ('<div id="main"><div class="post-header"><h1>t</h1></div><p>a</p><div class="article-footer">no</div><div id="share-bar">no</div></div>', "t\na"),
+    ('<div class="menu-open"><p>all there is</p></div>', "all there is"),
+    ('<div class="page-header">no</div><section><p>a</p><p class="notice">no</p><div class="comment-body">no</div></section>', "a"),
+    ("<main><article><p>a &lt;b&gt; &#233;</p></article></main><section id=comments>no</section>", "a <b> \u00e9"),
+])
+def test_extract_page_designs(spark, page, want):
+    row = html_extraction.extract_pages(frame(spark, [(1, "http://h.example/", page)], "page_id long, url string, html string")).first()
+    assert row.text == want
+
+
 def test_long_and_deep_pages_take_linear_time():
     deep = "<div>" * 3_000 + "x" + "</div>" * 3_000
     assert html_pages.extract(deep, None) == "x"
