@@ -66,14 +66,17 @@ _IS_HEAD = "regexp_matches(x, '(?i)^##\\s*(Beschreibung|Description|Kurzbeschrei
 _IS_FACT = "(contains(x, ':') AND regexp_matches(x, 'Institution|URL|Datum|Status|Kategorie'))"
 
 
-@query("profile_teasers", f"""SELECT profile_id, CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(substring(t, 1, 197), ' [^ ]*$', '') || '...' END AS teaser FROM (
+_TEASERS = f"""SELECT profile_id, CASE WHEN length(t) <= 200 THEN t ELSE regexp_replace(substring(t, 1, 197), ' [^ ]*$', '') || '...' END AS teaser FROM (
     SELECT profile_id, array_to_string(list_filter(list_transform(CASE WHEN len(s) > 0 THEN s ELSE f END, lambda x: {_BARE}), lambda x: x <> ''), ' ') AS t FROM (
     SELECT *, list_filter(list_concat(list_filter(lines[:gap - 1], lambda x: NOT starts_with(x, '#')), rest[:coalesce(nullif(list_position(list_transform(rest, lambda x: starts_with(x, '##') AND NOT {_IS_FACT}), true), 0) - 1, len(rest))]),
         lambda x: NOT {_IS_FACT}) AS f,
       list_filter(tail[:coalesce(nullif(list_position(list_transform(tail, lambda x: starts_with(x, '##') AND NOT {_IS_HEAD}), true), 0) - 1, len(tail))], lambda x: NOT {_IS_HEAD} AND {_BARE} <> '') AS s FROM (
     SELECT *, lines[gap + 1:] AS rest, CASE WHEN start > 0 THEN lines[start + 1:] ELSE [] END AS tail FROM (
     SELECT *, coalesce(nullif(list_position(list_transform(lines, lambda x: trim(x) = ''), true), 0), len(lines) + 1) AS gap, coalesce(list_position(list_transform(lines, lambda x: {_IS_HEAD}), true), 0) AS start
-    FROM (SELECT profile_id, string_split(coalesce(markdown_content, ''), chr(10)) AS lines FROM fx_profile)))))""")
+    FROM (SELECT profile_id, string_split(coalesce(markdown_content, ''), chr(10)) AS lines FROM fx_profile)))))"""
+
+
+@query("profile_teasers", _TEASERS)
 def profile_teasers(t):
     return t.fx_profile.select("profile_id", md.teaser("markdown_content").alias("teaser"))
 
@@ -83,9 +86,12 @@ def cleaned_markdown(t):
     return t.fx_profile.select("profile_id", md.clean_markdown(F.col("markdown_content")).alias("text"))
 
 
-@query("linked_institutions", """SELECT profile_id, array_to_string(list_transform(string_split(markdown_content, chr(10)), lambda x:
+_LINKED = """SELECT profile_id, array_to_string(list_transform(string_split(markdown_content, chr(10)), lambda x:
     CASE WHEN regexp_matches(x, '^(\\*\\*Institution:\\*\\*|\\*\\*Institution\\*\\*:|Institution:)\\s*.', 'i') AND trim(regexp_replace(x, '^[^ ]* *', '')) NOT IN ('-', '')
-    THEN regexp_extract(x, '^([^ ]* *)', 1) || '[' || trim(regexp_replace(x, '^[^ ]* *', '')) || '](/kb/suche.html?q=' || replace(url_encode(trim(regexp_replace(x, '^[^ ]* *', ''))), '%2F', '/') || ')' ELSE x END), chr(10)) AS markdown_content FROM fx_profile""")
+    THEN regexp_extract(x, '^([^ ]* *)', 1) || '[' || trim(regexp_replace(x, '^[^ ]* *', '')) || '](/kb/suche.html?q=' || replace(url_encode(trim(regexp_replace(x, '^[^ ]* *', ''))), '%2F', '/') || ')' ELSE x END), chr(10)) AS markdown_content FROM fx_profile"""
+
+
+@query("linked_institutions", _LINKED)
 def linked_institutions(t):
     return t.fx_profile.select("profile_id", md.linkify_institutions(F.col("markdown_content"), "/kb").alias("markdown_content"))
 
@@ -96,6 +102,16 @@ def template_filters(t):
     return t.fx_profile.selectExpr("profile_id", "get_title(markdown_content) AS title", "get_institution(markdown_content) AS institution", "striptags(markdown_content) AS plain")
 
 
+@query("more_template_filters", f"""SELECT profile_id, {_title('p.markdown_content')} AS title, l.markdown_content AS linked, teaser, strftime(generated_at, '%d.%m.%Y') AS day
+    FROM fx_profile p JOIN ({_LINKED}) l USING (profile_id) JOIN ({_TEASERS}) USING (profile_id)""")
+def more_template_filters(t):
+    filters.register_filters(t.spark)
+    stamp = "date_format(generated_at, \"yyyy-MM-dd'T'HH:mm:ss\")"
+    return t.fx_profile.selectExpr(
+        "profile_id", "title_with_institution(markdown_content) AS title", "linkify_institutions(markdown_content, '/kb') AS linked",
+        "get_description(markdown_content) AS teaser", f"date_text({stamp}, 'dd.MM.yyyy') AS day")
+
+
 @query("profile_html")
 def profile_html(t):
     return t.fx_profile.select("profile_id", render.markdown_to_html("markdown_content").alias("html_content"))
