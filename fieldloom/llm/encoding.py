@@ -20,7 +20,7 @@ import pyarrow as pa
 from fieldloom.llm.hashing import byte_values, span_hashes, text_chunks
 
 #: Distinct pieces (20 bytes each), and their ids, that a Python worker remembers; beyond it the memo starts anew.
-MEMO_PIECES, MEMO_IDS = 1_500_000, 6_000_000
+MEMO_PIECES, MEMO_IDS = 1_000_000, 4_000_000
 #: Bytes of text that are cut together, and unknown pieces that are encoded together; both bound a worker's memory.
 TOGETHER_BYTES, TOGETHER_PIECES = 1 << 20, 10_000
 

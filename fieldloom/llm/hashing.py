@@ -57,7 +57,9 @@ def text_chunks(column: pa.Array, limit: int = CHUNK_BYTES):
     """(first row, end row, bytes, row offsets) of slices of about ``limit`` bytes; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    column = column.cast(pa.large_string())
+    if column.null_count:  # filling copies the texts
+        column = pc.fill_null(column, "")
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     if not len(column):
