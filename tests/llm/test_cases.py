@@ -297,6 +297,29 @@ def test_windows_keep_the_mixture():
     assert given[0] > given[2] > given[1] and abs(given.sum() - 1) < 1e-9
 
 
+def test_windows_of_all_parts_keep_the_mixture(spark, monkeypatch):
+    """However a very long document and a source in few rows are spread, all full windows have the sources' proportions."""
+    monkeypatch.setattr(packing, "LEAST_WINDOWS", 8)
+    rows = [(0, LONG, "long")] + [(i, prose(250, i), "hot") for i in range(1, 61)] + [(i, prose(700, i), None) for i in range(61, 71)]
+    docs = frame(spark, rows, "doc_id long, text string, source string")
+    pieces = packing.pack_documents(docs, tokenizer_path("byte_bpe_50k.json"), units=5).collect()
+    source = {i: s for i, _, s in rows}
+    whole, windows = {}, {}
+    for p in pieces:
+        whole[source[p.doc_id]] = whole.get(source[p.doc_id], 0) + p.length
+        held = windows.setdefault(p.sequence_id, {})
+        held[source[p.doc_id]] = held.get(source[p.doc_id], 0) + p.length
+    full = [w for w in windows.values() if sum(w.values()) == packing.WINDOW]
+    assert len({i >> 32 for i in windows}) == 5 and len(full) > 20
+    total = sum(whole.values())
+    assert all(abs(w.get(s, 0) / packing.WINDOW - n / total) < 0.05 for w in full for s, n in whole.items())
+
+
+def test_ranges_of_a_line():
+    starts = packing.range_starts(0, 7, 1_000, 7)
+    assert starts[0] == 0 and starts[-1] == 1_000 and (starts[1:-1] % packing.LEAST_PIECE == 0).all() and np.abs(starts - np.arange(8) * 1_000 / 7).max() < 32
+
+
 def test_personal_data(spark):
     texts = [
         None, "", "a@b.co, x.y@z.org.uk", "@b.c a@b a@.b", "10.0.0.1 300.1.1.1 1.2.3.4.5.6.7.8", "4111 1111 1111 1111 and 4111111111111112", "+1 (555) 123-4567 +123",
