@@ -28,6 +28,8 @@ WEAK_FURNITURE_WORDS = frozenset("banner consent header masthead modal notice so
 LAYOUT_WORDS = frozenset("has with without no is".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar".split())
 TEXT_WORDS = frozenset("article body content entry main post story text".split())
+#: Share of a container's text that one inside must hold to be raised to it; by name of the outer one.
+NEARLY = {"article": 0.0, "main": 0.8, "": 0.9}
 #: An element that opens closes an open one of these, unless one of the barriers is between.
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -144,9 +146,15 @@ def events(page: str, by_class: bool = True) -> Iterator[tuple[str, list[Element
         yield "open", stack, name
 
 
-def containers(page: str) -> dict[str, float]:
-    """Score of each container path: its own text, and less of what containers inside it hold; links count against it."""
-    scores: dict[str, float] = {}
+class Container(NamedTuple):
+    score: float  # its own text, and less of what containers inside it hold; links count against it
+    size: int  # letters in it that are not furniture
+    weight: float
+
+
+def containers(page: str) -> dict[str, Container]:
+    """The containers of a page by path."""
+    found: dict[str, Container] = {}
     for kind, stack, text in events(page):
         if kind != "text" or (stack and stack[-1].furniture) or any(e.name == "head" for e in stack):
             continue
@@ -156,23 +164,37 @@ def containers(page: str) -> dict[str, float]:
         share = -0.5 if any(e.name == "a" for e in stack) else 1.0
         for element in reversed(stack):
             if element.name in CONTAINERS:
-                scores[element.path] = scores.get(element.path, 0.0) + share * size * element.weight
+                score, letters, weight = found.get(element.path, (0.0, 0, element.weight))
+                found[element.path] = Container(score + share * size * element.weight, letters + size, max(weight, element.weight))
                 share /= 2
-    return scores
+    return found
+
 
+def raised(path: str, found: dict[str, Container]) -> str:
+    """The highest container around a path that holds nearly the same text; an article around it is one in any case."""
+    best, above = path, path
+    while ">" in above:
+        above = above.rpartition(">")[0]
+        if above in found:
+            name = re.split("[>.]", above[above.rfind(">") + 1 :])[0]
+            if found[path].size >= NEARLY.get(name, NEARLY[""]) * found[above].size:
+                best = above
+    return best
 
-def extract(page: str, path: str | None, by_class: bool = True) -> str:
-    """Text of the containers at a path, a line for each block; of the whole page without one."""
+
+def extract(page: str, path: str | tuple[str, ...] | None, by_class: bool = True) -> str:
+    """Text of the containers at a path, or at several, a line for each block; of the whole page without one."""
+    paths = (path,) if isinstance(path, str) else path
     blocks, words, inside = [], [], None
     for kind, stack, text in events(page, by_class):
-        if path is None:
-            here = not any(e.name == "head" for e in stack)
+        if paths is None:
+            here = True
         elif inside is not None and len(stack) >= inside:
             here = True
         else:
-            inside = next((i + 1 for i, e in enumerate(stack) if e.path == path), None)
+            inside = next((i + 1 for i, e in enumerate(stack) if e.path in paths), None)
             here = inside is not None
-        here = here and not (stack and stack[-1].furniture)
+        here = here and not (stack and stack[-1].furniture) and not any(e.name == "head" for e in stack)
         if kind == "text":
             if here:
                 words.append(text)

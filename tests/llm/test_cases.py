@@ -172,6 +172,27 @@ def test_extract_page_designs(spark, page, want):
     assert row.text == want
 
 
+@pytest.mark.parametrize("page,want", [
+    ("<article><h1>{t}</h1><div class=entry-content><p>{x}</p></div></article>", "{t}\n{x}"),
+    ("<body><article><h1>{t}</h1><p>{l}</p><section><p>{x}</p></section><section><p>{x}</p></section></article><footer>no</footer></body>", "{t}\n{l}\n{x}\n{x}"),
+    ("<body><h1>{t}</h1><div class=content><p>{x}</p></div><nav>no</nav></body>", "{t}\n{x}"),
+])
+def test_titles_and_leads_around_the_best_container(spark, page, want):
+    parts = {"t": "title" * 10, "l": "lead " * 39 + "lead", "x": "words " * 199 + "words"}
+    rows = [(i, "http://h.example/", page.format(**parts)) for i in range(3)]
+    got = html_extraction.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()
+    assert [r.text for r in got] == [want.format(**parts)] * 3
+
+
+def test_pages_of_another_design_than_their_host(spark):
+    most = "<body><div class=col><div class=box><p>{}</p></div><div class=talk>{}</div></div></body>".format("words " * 100, "so " * 100)
+    around = "<body><div class=col><p>{}</p><div class=box><p>end</p></div></div></body>".format("lead " * 100)
+    apart = "<body><div class=col><div class=box><p>teaser</p></div></div><div class=story><p>{}</p></div></body>".format("tale " * 100)
+    rows = [(i, "http://h.example/", most) for i in range(20)] + [(30, "http://h.example/", around), (31, "http://h.example/", apart)]
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got[0] == ("words " * 100).strip() and got[30] == ("lead " * 100).strip() + "\nend" and got[31] == "teaser\n" + ("tale " * 100).strip()
+
+
 def test_long_and_deep_pages_take_linear_time():
     deep = "<div>" * 3_000 + "x" + "</div>" * 3_000
     assert html_pages.extract(deep, None) == "x"
