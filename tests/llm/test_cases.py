@@ -353,6 +353,12 @@ def test_personal_data(spark):
     assert pii.find_personal_data(frame(spark, [])).collect() == []
 
 
+def test_addresses_with_thousands_of_zeros():
+    text = f"at {'0' * 5_000}10.0.0.{'0' * 5_000}7 and {'0' * 5_000}256.1.1.{'9' * 5_000}"
+    assert [(s.start, s.end, s.kind) for s in pii.base_spans(text)] == [(3, 3 + 10_008, "ip")]
+    assert pii._variants("1.2.3." + "0" * 5_000 + "7", "ip")[0][0] == "1.2.3.263"
+
+
 def test_redaction_keeps_clean_texts(spark):
     docs = frame(spark, [(1, "write to bob@mail.org now"), (2, None), (3, LONG), (4, "")])
     got = {r.doc_id: r for r in pii.redact(docs).collect()}
