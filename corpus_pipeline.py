@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from fieldloom.llm import decontamination, language_id, near_dedup, packing, pii
 from fieldloom.llm.catalog import tokenizer_path
 from fieldloom.llm.token_files import shared_folder
+from fieldloom.plans.order import cut_lineage
 from fieldloom.plans.ship import ship_package
 
 #: A document with a greater share of words in benchmark passages, or with so many of them, is rejected.
 MOST_HIT_WORDS = 0
+KEY = "_row_key"
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,19 +36,38 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.where(known).select(*docs.columns)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key of each row from its id and text, which are null or repeated in some."""
+    doc, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
+    return docs.withColumn(KEY, F.xxhash64(doc, doc.isNull(), text, text.isNull()))
+
+
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each group of near copies."""
+    """One document, that of the smallest id, of each group of near copies; one without an id only if none has one."""
     ship_package(spark)
-    copies = near_dedup.near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("copy")).distinct()
-    return docs.join(copies, F.col("doc_id").cast("long") == F.col("copy"), "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = near_dedup.near_duplicates(keyed.select(F.col(KEY).alias("doc_id"), "text")).where("n_shingles > 0")
+    rows = cut_lineage(found.groupBy(F.col("doc_id").alias("of")).agg(F.first("component_id").alias("group"), F.count(F.lit(1)).alias("n")))
+    # Only groups of several rows, whose ids decide, go on.
+    several = rows.groupBy("group").agg(F.sum("n").alias("rows")).where("rows > 1").select("group")
+    rows = rows.join(several, "group")
+    ids = keyed.select(F.col(KEY).alias("of"), F.col("doc_id").cast("long").alias("id")).join(rows, "of").groupBy("of", "group", "n").agg(F.min("id").alias("id"))
+    best = ids.groupBy("group").agg(F.min(F.struct(F.col("id").isNull(), "id", "of")).alias("best"))
+    verdicts = ids.join(best, "group").select("of", (F.col("best.of") == F.col("of")).alias("first"), "n")
+    verdicts = verdicts.where("NOT first OR n > 1").select("of", "first")
+    judged = keyed.join(verdicts, F.col(KEY) == F.col("of"), "left")
+    # Rows of equal id and text: one of them stays.
+    once = judged.where("first").dropDuplicates([KEY])
+    return judged.where("first IS NULL").unionByName(once).select(*docs.columns)
 
 
 def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.contaminated_documents(docs, benchmark)
-    hit = found.where((F.col("n_hit") > MOST_HIT_WORDS) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("hit")).distinct()
-    return docs.join(hit, F.col("doc_id").cast("long") == F.col("hit"), "left_anti").select(*docs.columns)
+    keyed = _keyed(docs)
+    found = decontamination.contaminated_documents(keyed.select(F.col(KEY).alias("doc_id"), "text"), benchmark)
+    hit = found.where(F.col("n_hit") > MOST_HIT_WORDS).select(F.col("doc_id").alias("hit")).distinct()
+    return keyed.join(hit, F.col(KEY) == F.col("hit"), "left_anti").select(*docs.columns)
 
 
 def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -372,3 +372,15 @@ def test_boosting_learns_and_calibrates():
     p = trees.probability(x[2200:])
     assert ((p > 0.5) == y[2200:]).mean() > 0.8 and abs(p.mean() - y[2200:].mean()) < 0.05
     assert boosting.threshold_of(p, y[2200:], 1.01) > 1
+
+
+def test_stages_judge_rows_without_an_id_or_with_a_repeated_one(spark, tmp_path):
+    import corpus_pipeline
+
+    other, third = prose(120, 77), prose(120, 78)
+    rows = [(None, BASE), (3, BASE), (3, BASE), (3, other), (None, third), (None, third), (5, None), (None, None), (None, None)]
+    got = corpus_pipeline.one_of_each(spark, frame(spark, rows), "").select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(3, BASE), (3, other), (None, third), (5, None), (None, None), (None, None)], key=str)
+    spark.createDataFrame([("b1", BASE)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.without_benchmarks(spark, frame(spark, [(None, BASE), (3, BASE), (3, other), (None, third)]), str(tmp_path)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, got), key=str) == sorted([(3, other), (None, third)], key=str)
