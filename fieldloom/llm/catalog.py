@@ -114,3 +114,24 @@ def op9_pii(read):
     from fieldloom.llm.pii import find_personal_data
 
     return find_personal_data(read("documents"))
+
+
+@_query(twins.SOURCE_DIVERGENCE)
+def op11_source_divergence(read):
+    from fieldloom.llm.divergence import source_divergence
+
+    return source_divergence(read("documents"))
+
+
+@_query()
+def op12_document_fingerprints(read):
+    from fieldloom.llm.fingerprints import document_fingerprints
+
+    return document_fingerprints(read("documents"))
+
+
+@_query(twins.VECTOR_CODES)
+def op13_vector_codes(read):
+    from fieldloom.llm.codes import compressed_vectors
+
+    return compressed_vectors(read("embeddings"))

@@ -74,3 +74,72 @@ WITH v AS (
 ), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
+
+_TERMS = r"regexp_extract_all({}, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_P = "1 + (CAST(1000000000 AS HUGEINT) * ({} + 1)) // ({} + v)"
+
+SOURCE_DIVERGENCE = f"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc, {_TERMS.format(_LOWER)} AS w FROM documents
+),
+t AS (SELECT lang, source, doc, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, CAST(count(*) AS HUGEINT) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT doc) >= 3),
+l AS (SELECT lang, CAST(count(*) AS HUGEINT) AS v, sum(n) AS total FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, CAST(count(*) AS HUGEINT) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n, {_P.format("coalesce(c.n, 0)", "g.total")} AS p, {_P.format("k.n", "l.total")} AS q
+  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+),
+s AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+),
+r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+),
+o AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, rank FROM o WHERE part = 'pair' OR rank <= 200
+"""
+
+
+def _round(entries: str) -> str:
+    """(r, p, c, d, k): each part with its nearest of the ``entries`` (p, k, c)."""
+    square = "list_sum(list_transform(range(1, len(x.c) + 1), lambda i: (x.c[i] - e.c[i]) * (x.c[i] - e.c[i])))"
+    return f"""
+  SELECT r, p, c, m // 64 AS d, m % 64 AS k
+  FROM (SELECT x.r, x.p, any_value(x.c) AS c, CAST(min({square} * 64 + e.k) AS BIGINT) AS m FROM x JOIN {entries} e ON e.p = x.p GROUP BY x.r, x.p)"""
+
+
+def _means(entries: str, assigned: str) -> str:
+    """The entries after a round: floors of means, unused ones as they were."""
+    return f"""
+  SELECT e.p, e.k, coalesce(n.c, e.c) AS c FROM {entries} e LEFT JOIN (
+    SELECT p, k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+      SELECT p, k, i, CAST(sum(y) AS BIGINT) AS s, count(*) AS n
+      FROM (SELECT p, k, unnest(c) AS y, unnest(range(1, len(c) + 1)) AS i FROM {assigned}) GROUP BY p, k, i
+    ) GROUP BY p, k
+  ) n ON n.p = e.p AND n.k = e.k"""
+
+
+VECTOR_CODES = f"""
+WITH f AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+v AS (SELECT *, row_number() OVER (ORDER BY vec_id NULLS LAST, e) AS r FROM f),
+x AS MATERIALIZED (SELECT r, p, e[p * (len(e) // 16) + 1 : (p + 1) * (len(e) // 16)] AS c FROM v, range(16) t(p)),
+c0 AS MATERIALIZED (SELECT p, r - 1 AS k, c FROM x WHERE r <= 64),
+a0 AS MATERIALIZED ({_round("c0")}),
+c1 AS MATERIALIZED ({_means("c0", "a0")}),
+a1 AS MATERIALIZED ({_round("c1")}),
+c2 AS MATERIALIZED ({_means("c1", "a1")}),
+a2 AS MATERIALIZED ({_round("c2")}),
+o AS (SELECT r, string_agg(printf('%02x', k), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM a2 GROUP BY r),
+b AS (SELECT sha256(string_agg(CAST(y AS VARCHAR), ',' ORDER BY p, k, i)) AS s FROM (SELECT p, k, unnest(c) AS y, unnest(range(1, len(c) + 1)) AS i FROM c2))
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, b.s AS codebooks_sha256
+FROM v JOIN o ON o.r = v.r, b
+"""
