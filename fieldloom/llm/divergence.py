@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldloom.plans.order import cut_lineage
+from fieldloom.llm.tables import stored
 
 #: Documents of a language that must hold a term, and ranks of part ``term``.
 LEAST_DOCS, RANKS = 3, 200
@@ -48,18 +48,18 @@ _COUNTS = "lang string, source string, term string, count long, docs long"
 
 
 def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Term and document counts of the groups; a row without a term for each group."""
+    """Term and document counts of the groups."""
     counts: dict[tuple[str, str], tuple[Counter, Counter]] = {}
     held = 0
 
     def rows() -> Iterator[pa.RecordBatch]:
         for (lang, source), (words, docs) in counts.items():
-            n = len(words) + 1
+            n = len(words)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()),
-                    pa.array([None, *words], pa.binary()).cast(pa.string()),
-                    pa.array([0, *words.values()], pa.int64()), pa.array([0, *(docs[w] for w in words)], pa.int64()),
+                    pa.array(list(words), pa.binary()).cast(pa.string()),
+                    pa.array(list(words.values()), pa.int64()), pa.array([docs[w] for w in words], pa.int64()),
                 ],
                 ["lang", "source", "term", "count", "docs"],
             )
@@ -143,10 +143,13 @@ def _probability(count: Column, total: Column, terms: Column) -> Column:
     return F.call_function("div", scaled, (total + terms).cast("decimal(18,0)")) + 1
 
 
+def _texts(docs: DataFrame, *columns: str) -> DataFrame:
+    return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in columns))
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, count, docs); each group has a row whose term is null."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    read = docs.select(text("lang").alias("lang"), text("source").alias("source"), text("text").cast("binary").alias("text"))
+    """(lang, source, term, count, docs)."""
+    read = _texts(docs, "lang", "source", "text").withColumn("text", F.col("text").cast("binary"))
     counts = read.mapInArrow(_count_terms, _COUNTS)
     return counts.groupBy("lang", "source", "term").agg(F.sum("count").alias("count"), F.sum("docs").alias("docs"))
 
@@ -158,37 +161,40 @@ def source_divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int
     probabilities lie from theirs; part ``term`` ranks, up to ``ranks``, the terms that are
     likelier in the source than in the whole language.
     """
-    counts = cut_lineage(term_counts(docs))
-    kept = counts.where("term IS NOT NULL").groupBy("lang", "term").agg(
-        F.sum("count").alias("lang_count"), F.sum("docs").alias("docs"), F.count(F.lit(1)).alias("entries")
-    )
-    kept = kept.where(F.col("docs") >= least_docs).drop("docs")
-    langs = kept.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("terms"), F.sum("lang_count").alias("lang_total"), F.ceil(F.sum("entries") / block).cast("int").alias("blocks")
+    # A window holds the counts of one term: a row for each source of the language.
+    term = Window.partitionBy("lang", "term")
+    counts = term_counts(docs).withColumns({
+        "lang_count": F.sum("count").over(term), "lang_docs": F.sum("docs").over(term),
+        "once": F.row_number().over(term.orderBy("source")) == 1,
+    })
+    entries = stored(counts.where(F.col("lang_docs") >= least_docs).drop("docs", "lang_docs"), "divergence-terms")
+    langs = stored(
+        entries.groupBy("lang").agg(
+            F.count_if("once").alias("terms"), F.sum(F.when(F.col("once"), F.col("lang_count"))).alias("lang_total"),
+            F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"),
+        ),
+        "divergence-languages",
     )
-    # A block holds a bounded number of terms, whatever the language's share of the table.
-    dealt = kept.join(langs, "lang").withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
-    place = F.row_number().over(Window.partitionBy("lang", "block").orderBy(F.desc("lang_count"), "term")) - 1
-    placed = dealt.withColumn("place", place).drop("entries", "blocks")
-    entries = cut_lineage(counts.where("term IS NOT NULL").drop("docs").join(placed, ["lang", "term"]))
-
-    groups = counts.where("term IS NULL").select("lang", "source")
     totals = entries.groupBy("lang", "source").agg(F.sum("count").alias("total"))
-    sizes = entries.groupBy("lang").agg(F.first("terms").alias("terms"), (F.max("block") + 1).alias("blocks"))
-    groups = groups.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left")
-    total, terms = F.coalesce("total", F.lit(0)), F.col("terms")
-    groups = cut_lineage(groups.select("lang", "source", total.alias("total"), "terms", F.coalesce("blocks", F.lit(1)).alias("blocks")))
+    groups = _texts(docs, "lang", "source").distinct().join(totals, ["lang", "source"], "left").join(langs, "lang", "left")
+    groups = stored(groups.fillna(0, ["total"]).fillna(1, ["blocks"]), "divergence-groups")
 
-    known = entries.join(groups.select("lang", "source", "total"), ["lang", "source"]).withColumn("p", _probability(F.col("count"), F.col("total"), F.col("terms")))
-    q = _probability(F.col("lang_count"), F.col("lang_total"), F.col("terms"))
+    total, terms = F.col("total"), F.col("terms")
+    known = entries.join(groups, ["lang", "source"]).withColumn("p", _probability(F.col("count"), total, terms))
+    q = _probability(F.col("lang_count"), F.col("lang_total"), terms)
     typical = known.withColumn("q", q).where("p > q").select("lang", "source", F.col("term").alias("item"), F.expr("(p - q) * (p - q) div q").alias("value"))
 
+    # A block holds a bounded number of terms, whatever the language's share of the table.
+    dealt = known.withColumn("block", F.pmod(F.xxhash64("term"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("lang", "source", "term", "count", "lang_count", "p", "block").repartition("lang", "block")
+    place = F.dense_rank().over(Window.partitionBy("lang", "block").orderBy(F.desc("lang_count"), "term")) - 1
     bit = F.expr("shiftleft(1L, place & 63)")
-    words = known.groupBy("lang", "source", "block", "count", F.shiftright("place", 6).alias("word")).agg(F.first("p").alias("p"), F.bit_or(bit).alias("bits"))
+    words = dealt.withColumn("place", place).groupBy("lang", "block", "source", "count", F.shiftright("place", 6).alias("word"))
+    words = words.agg(F.first("p").alias("p"), F.bit_or(bit).alias("bits"))
     # The complement of a group's bitsets: one row for each block, with the probability of a term it lacks.
     lacking = groups.select(
         "lang", "source", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(-1).alias("word"),
-        F.coalesce(_probability(F.lit(0), F.col("total"), F.col("terms")), F.lit(1)).alias("p"), F.lit(0).cast("long").alias("bits"),
+        F.coalesce(_probability(F.lit(0), total, terms), F.lit(1)).alias("p"), F.lit(0).cast("long").alias("bits"),
     )
     levels = words.select(*lacking.columns).unionByName(lacking)
     sums = levels.groupBy("lang", "block").applyInArrow(_block_sums, "lang string, source string, item string, value long")
