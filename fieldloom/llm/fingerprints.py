@@ -18,11 +18,13 @@ gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldloom.plans.order import cut_lineage, sorted_blocks
+from fieldloom.llm.tables import stored
+from fieldloom.plans.order import attach_row, sorted_blocks
 
 SHINGLE = 5
 #: Bins of 8 bits: 2 to the power BIN_BITS.
@@ -106,59 +108,68 @@ def likeness(one: Column, other: Column) -> Column:
     return F.when(empty[0] + empty[1] > 0, (empty[0] * empty[1]).cast("double")).otherwise(estimate)
 
 
-def _neighbours(keys: DataFrame) -> DataFrame:
-    """Add to each row of ``keys`` (id, sum, key, n_chars), all different, the key and length of the row before it.
+def _order(id_: Column, sum_: Column) -> Column:
+    """Of rows with and without id; compares as rows are sorted."""
+    return F.struct(id_.isNull().alias("last"), id_.alias("id"), sum_.alias("sum"))
 
-    The first row follows the last.  Rows are sorted by range; one row of each block
-    crosses blocks.
+
+def _in_blocks(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """Add ``block`` and ``guard`` to ``rows`` (id, sum, ...), in ranges of equally many of the ``keys`` (id, sum).
+
+    A block ends with a copy, the guard, of the first row of the next block (the last block
+    with that of the first), so that each row's follower is in its block.  Blocks are four
+    times as many as shuffle partitions, which deals them evenly enough.
     """
-    placed = sorted_blocks(keys, [F.col("id").asc_nulls_last(), F.col("sum")])
-    within = Window.partitionBy("_block").orderBy("_pos")
-    before = lambda w: F.lag(F.struct("key", "n_chars")).over(w)
-    ends = placed.groupBy("_block").agg(F.max_by(F.struct("key", "n_chars"), "_pos").alias("end"))
-    across = Window.orderBy("_block")
-    last = Window.orderBy(F.desc("_block"))
-    ends = ends.select("_block", F.lag("end").over(across).alias("left"), F.first("end").over(last).alias("end"))
-    rows = placed.withColumn("before", before(within)).join(ends, "_block")
-    return rows.select("key", "copies", F.coalesce("before", "left", "end").alias("before"))
+    blocks = 4 * max(1, int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    placed = sorted_blocks(keys, [F.col("id").asc_nulls_last(), F.col("sum")], blocks)
+    # One row: the first key of each block.
+    bounds = placed.where("_pos = 0").agg(F.sort_array(F.collect_list(_order(F.col("id"), F.col("sum")))).alias("bounds"))
+    size = math.isqrt(blocks) + 1
+    coarse = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("bounds") / size).cast("int") - 1, F.lit(0))), lambda i: F.get("bounds", i * size))
+    bounds = bounds.withColumn("coarse", coarse)
+    at = F.col("at")
+    rows = attach_row(rows.withColumn("at", _order(F.col("id"), F.col("sum"))), bounds)
+    rows = rows.withColumn("group", F.size(F.filter("coarse", lambda b: b <= at)) - 1)
+    rows = rows.withColumn("block", F.col("group") * size + F.size(F.filter(F.slice("bounds", F.col("group") * size + 1, size), lambda b: b <= at)) - 1)
+    own = F.struct(F.col("block").alias("block"), F.lit(False).alias("guard"))
+    ahead = F.struct(F.pmod(F.col("block") - 1, F.size("bounds")).alias("block"), F.lit(True).alias("guard"))
+    opens = F.get("bounds", F.col("block")) == at
+    rows = rows.withColumn("to", F.explode(F.when(opens, F.array(own, ahead)).otherwise(F.array(own))))
+    return rows.select("id", "sum", "text", "copies", "to.block", "to.guard").repartition("block")
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of ``docs`` (doc_id, text).
 
     The edited text is the first half of a text and the beginning of the next document.
+    Texts cross the network once, to the block of their id.
     """
-    id_, sum_ = F.col("id"), F.col("sum")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     read = docs.select(F.col("doc_id").cast("long").alias("id"), text.alias("text")).withColumn("sum", F.sha2("text", 256))
-    read = read.withColumn("key", F.concat_ws(":", F.coalesce(id_.cast("string"), F.lit("-")), sum_))
-    keys = read.groupBy("id", "sum", "key").agg(F.count(F.lit(1)).alias("copies"), F.max(F.char_length("text")).alias("n_chars"))
-    follows = cut_lineage(_neighbours(keys))
-
-    # Equal rows are one from here on; the partial aggregate makes them so before the shuffle.
-    once = read.groupBy("key").agg(F.first("id").alias("doc_id"), F.first("text").alias("text"))
-    known = once.join(follows, "key")
-    half = lambda n: F.floor(n / 2).cast("int")
-    prefix = lambda n: F.substring(F.col("text"), F.lit(1), half(n))
-    begins = known.select(F.col("before.key").alias("key"), prefix(F.col("before.n_chars")).alias("tail"), F.col("key").alias("next"))
-    n = F.char_length("text")
-    rows = once.join(begins, "key").join(follows.select("key", "copies"), "key").withColumn("n_chars", n)
+    keys = stored(read.groupBy("id", "sum").agg(F.count(F.lit(1)).alias("copies")), "fingerprint-keys")
+    # Equal rows become one, inside tasks first; where there are none, their table is empty.
+    several = stored(keys.where("copies > 1").select(F.col("id").alias("k"), F.col("sum").alias("s"), "copies"), "fingerprint-repeated")
+    same = F.col("id").eqNullSafe(F.col("k")) & (F.col("sum") == F.col("s"))
+    once = read.join(several.drop("copies"), same, "left_anti").select("id", "sum", "text", F.lit(1).cast("long").alias("copies"))
+    merged = read.join(several, same).groupBy("id", "sum").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))
+    blocks = _in_blocks(once.unionByName(merged), keys.select("id", "sum"))
+
+    rows = with_fingerprint(blocks, "text", "print")
+    order = Window.partitionBy("block").orderBy("guard", F.col("id").asc_nulls_last(), "sum")
+    rows = rows.withColumn("follower", F.lead(F.struct("text", "print")).over(order)).where("NOT guard")
     # Of equal rows all but the last are followed by their like.
-    turns = F.when(F.col("copies") > 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(True)))
-    rows = rows.withColumn("ends", F.explode(turns))
-    tail = F.when(F.col("ends"), F.col("tail")).otherwise(prefix(F.col("n_chars")))
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars") - half(F.col("n_chars"))), tail))
-    rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
-    rows = with_fingerprint(with_fingerprint(rows, "text", "print").drop("text"), "edited", "edited_print").drop("edited")
-    rows = cut_lineage(rows.drop("tail"))
-
-    ours = rows.where("ends").select(F.col("key").alias("next"), F.col("print").alias("next_print"))
-    compared = rows.where("ends").join(ours, "next")
-    compared = compared.unionByName(rows.where("NOT ends").withColumn("next_print", F.col("print")))
-    each = F.when(F.col("ends"), F.lit(1)).otherwise(F.col("copies") - 1).cast("int")
-    compared = compared.withColumn("_copy", F.explode(F.sequence(F.lit(1), each)))
-    return compared.select(
-        "doc_id", F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("print")).alias("fingerprint"),
+    like = F.struct(F.struct("text", "print").alias("follower"), (F.col("copies") - 1).alias("times"))
+    next_ = F.struct(F.col("follower"), F.lit(1).cast("long").alias("times"))
+    turns = F.when(F.col("copies") > 1, F.array(next_, like)).otherwise(F.array(next_))
+    rows = rows.drop("guard").withColumn("turn", F.explode(turns)).select("id", "text", "print", "turn.follower", "turn.times")
+    rows = rows.withColumn("n_chars", F.char_length("text"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars") - half), F.substring("follower.text", F.lit(1), half))
+    rows = rows.withColumn("edited", edited).withColumn("next_print", F.col("follower.print")).drop("text", "follower")
+    rows = with_fingerprint(rows.withColumn("edited_sha256", F.sha2("edited", 256)), "edited", "edited_print").drop("edited")
+    compared = rows.select(
+        F.col("id").alias("doc_id"), F.col("n_chars").cast("long").alias("n_chars"), "edited_sha256", as_text(F.col("print")).alias("fingerprint"),
         as_text(F.col("edited_print")).alias("edited_fingerprint"), likeness(F.col("print"), F.col("edited_print")).alias("near_edited"),
-        likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        likeness(F.col("print"), F.col("next_print")).alias("near_next"), "times",
     )
+    return compared.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "times"))).drop("_copy", "times")
