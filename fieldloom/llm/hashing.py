@@ -3,16 +3,22 @@
 Words are maximal runs of bytes that are not separators.  All separators are ASCII,
 so words can be found in the UTF-8 bytes.  A prefix sum of ``value(byte) * base**i``
 gives the hash of any span by one subtraction; there is no Python loop over words.
+Such sums modulo 2^64 have pairs of unequal strings of 1,024 bytes and more that collide
+whatever the base and values are, so longer spans are hashed by BLAKE2b instead.
 Hashes are 64 bits wide; equal words always get equal hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 1 << 20
+#: Longer spans are not hashed by sums.
+SUMMED_BYTES = 128
 
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0x94D049BB133111EB
 _POWERS: dict[int, np.ndarray] = {}
@@ -103,7 +109,14 @@ def byte_values(fold_case: bool = False, one_space: bool = False) -> np.ndarray:
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Hash of the bytes of each span; spans of any length and order."""
     sums, inverse = _span_sums(values[data], _BASE)
-    return mix((sums[ends] - sums[starts]) * _powers(inverse, len(data) + 1)[starts])
+    hashes = mix((sums[ends] - sums[starts]) * _powers(inverse, len(data) + 1)[starts])
+    long = np.flatnonzero(ends - starts > SUMMED_BYTES)
+    if len(long):
+        _, first, same = np.unique(values, return_index=True, return_inverse=True)
+        alike = data if len(first) == 256 else first.astype(np.uint8)[same][data]
+        for i in long.tolist():
+            hashes[i] = int.from_bytes(hashlib.blake2b(alike[starts[i] : ends[i]], digest_size=8).digest(), "little")
+    return hashes
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_case: bool = False) -> np.ndarray:

@@ -253,3 +253,36 @@ def test_only_moved_entries_decide():
 def test_large_components_are_exact():
     parts, entries = np.array([[1 << 26, -(1 << 26)]]), np.array([[-(1 << 26), 1 << 26], [(1 << 26) - 1, 0]])
     assert codes.distances(parts, entries).tolist() == [[2 * (1 << 27) ** 2, 1 + (1 << 26) ** 2]]
+
+
+# Long words
+
+
+def _twins(n):
+    """Two unequal strings of n letters that sums of value * base**i modulo 2^64 do not tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1 << 10, 1 << 11, 1 << 12])
+def test_long_words_do_not_collide(spark, n):
+    import brute
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from fieldloom.llm import encoding, near_dedup, repeats
+
+    s, t = _twins(n)
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        path = catalog.tokenizer_path(name)
+        tokenizer = Tokenizer.from_file(path)
+        texts = ["x " + s, "x " + t, "X " + t, "x " + s]
+        got = [r.tolist() for r in encoding.Encoder(path).rows(pa.array(texts))]
+        assert got == [tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    rest = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, f"{s} {rest}"), (2, f"{t} {rest}"), (3, s), (4, t), (5, s.upper()), (6, s)]
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {d: c for d, (_, c, _) in brute.near_duplicates(rows).items()} and found[4] == 4 and found[5] == found[6] == 3
+    rows = [(1, s + " " + " ".join(["y"] * 49)), (2, t + " " + " ".join(["y"] * 49))]
+    removed = {r.doc_id: r.n_removed for r in repeats.repeated_words(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert removed == {1: 0, 2: 0}
