@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
-from fieldloom.plans.order import cut_lineage
+from fieldloom.llm.tables import stored
 
 
-def _state(pairs: DataFrame) -> tuple:
-    return tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _written(pairs: DataFrame) -> tuple[DataFrame, tuple]:
+    """The pairs as a table, and a count and sum that tell two tables apart, observed while it is written."""
+    seen = Observation()
+    total = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
+    table = stored(pairs.observe(seen, F.count(F.lit(1)).alias("pairs"), total.alias("total")), "components")
+    return table, (seen.get["pairs"], seen.get["total"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,21 +20,20 @@ def components(edges: DataFrame) -> DataFrame:
 
     The steps only group and join edges, so neither a node with very many edges nor a
     large component is held by one task, and their number grows with the logarithm of
-    the table.  Each round is checkpointed.  Loops (a = b) and repeated edges do no harm;
-    an edge with a null end is dropped.
+    the table.  Each round is one job that writes a table.  Loops (a = b) and repeated
+    edges do no harm; an edge with a null end is dropped.
     """
-    pairs = cut_lineage(
+    pairs, state = _written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    state = _state(pairs)
     while state[0]:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         lowest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = cut_lineage(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
-        state, before = _state(pairs), state
+        before = state
+        pairs, state = _written(small.unionByName(lowest.select("u", F.col("m").alias("v"))).distinct())
         if state == before:
             break
     tops = pairs.select(F.col("v").alias("node")).distinct()

@@ -125,7 +125,7 @@ def _sample(rows: DataFrame, languages: dict[str, int]) -> list[tuple[int, str,
         featurise, "place long, lang string, grams binary, tf binary"
     )
     out = [
-        (r["place"], r["lang"], np.frombuffer(r["grams"], "<u2" if BITS <= 16 else "<u4").astype(np.int64), np.frombuffer(r["tf"], "<f4"))
+        (r["place"], r["lang"], np.frombuffer(r["grams"], "<u2" if BITS <= 16 else "<u4"), np.frombuffer(r["tf"], "<f4"))
         for r in found.toLocalIterator()
     ]
     return sorted(out, key=lambda r: (r[0], r[1], r[2].tobytes()))
