@@ -7,9 +7,10 @@ ratio runs in Arrow batches.
 
 from __future__ import annotations
 
-import heapq
 import re
+import zlib
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -74,84 +75,225 @@ def matched_length(a: str, b: str) -> int:
     return total
 
 
+#: Letters are counted in so many classes, by code point; names of a cell are bounded together.
+CLASSES, CELL = 89, 64
+#: Words are noted in so many bits of a summary.
+WORD_BITS = 4096
+
+
+def letter_counts(text: str) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+    return np.bincount(points % CLASSES, minlength=CLASSES).astype(np.int32)
+
+
+def word_set(text: str) -> set[str]:
+    return set(_WORD.findall(text))
+
+
+def word_bits(words) -> np.ndarray:
+    """Which bits of a summary the words set."""
+    return np.array([zlib.crc32(w.encode()) % WORD_BITS for w in words], np.int64)
+
+
+def ratio_caps(common: np.ndarray, shortest: np.ndarray, longest: np.ndarray, width: int) -> np.ndarray:
+    """The greatest difflib ratio of a text of ``width`` letters with a name of those lengths and at most ``common`` letters in common."""
+    best = np.clip(common, shortest, longest)
+    return 2.0 * np.minimum(common, best) / (width + best)
+
+
+class Summary:
+    """What bounds the scores of groups of names: letters, lengths and, for blocks, words."""
+
+    def __init__(self, counts: np.ndarray, shortest: np.ndarray, longest: np.ndarray, words: np.ndarray | None = None):
+        self.counts, self.shortest, self.longest, self.words = counts, shortest, longest, words
+
+    def caps(self, needle: str) -> np.ndarray:
+        """No name of a group scores more; without ``words``, shared words are left out."""
+        mine = letter_counts(needle)
+        kinds = np.flatnonzero(mine)
+        common = np.minimum(self.counts[:, kinds], mine[kinds]).sum(axis=1)
+        caps = 0.6 * ratio_caps(common, self.shortest, self.longest, len(needle))
+        # Containment needs all letters of the shorter text.
+        caps[common >= np.minimum(self.shortest, len(needle))] = 1.0
+        if self.words is not None:
+            mine = word_set(needle)
+            if mine:
+                found = self.words[:, word_bits(mine)].sum(axis=1)
+                caps = np.maximum(caps, 0.7 * found / len(mine))
+        return caps
+
+
+class Substrings:
+    """Suffix automaton of a text, as tables over an alphabet of letter numbers.
+
+    Reading names letter by letter gives, for all names at once, the longest piece of the
+    text that ends at each letter.
+    """
+
+    def __init__(self, text: str, letters: dict[str, int]):
+        size = len(letters) + 1
+        codes = [letters.get(c, -1) for c in text]
+        moves, link, length, first = [{}], [-1], [0], [-1]
+        last = 0
+        for end, c in enumerate(codes):
+            new = len(moves)
+            moves.append({})
+            link.append(0)
+            length.append(length[last] + 1)
+            first.append(end)
+            at, last = last, new
+            if c < 0:  # no name has this letter
+                at = -1
+            while at >= 0 and c not in moves[at]:
+                moves[at][c] = new
+                at = link[at]
+            if at < 0:
+                continue
+            other = moves[at][c]
+            if length[other] != length[at] + 1:
+                twin = len(moves)
+                moves.append(dict(moves[other]))
+                link.append(link[other])
+                length.append(length[at] + 1)
+                first.append(first[other])
+                while at >= 0 and moves[at].get(c) == other:
+                    moves[at][c] = twin
+                    at = link[at]
+                link[other] = twin
+                other = twin
+            link[new] = other
+        self.first = np.array(first, np.int32)
+        self.next = np.zeros((len(moves), size), np.int32)
+        self.most = np.full((len(moves), size), -1, np.int32)
+        for state in sorted(range(len(moves)), key=length.__getitem__):
+            if state:
+                self.next[state], self.most[state] = self.next[link[state]], self.most[link[state]]
+            for c, to in moves[state].items():
+                self.next[state, c], self.most[state, c] = to, length[state]
+
+    def longest(self, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(length, place in the text, place in the name) of the longest common piece with each name: leftmost in the text, then in the name.
+
+        Names are runs of ``codes``, in falling order of their lengths.
+        """
+        n = len(starts)
+        size, of_text, of_name = (np.zeros(n, np.int32) for _ in range(3))
+        state, run = np.zeros(n, np.int32), np.zeros(n, np.int32)
+        for j in range(int(lengths[0]) if n else 0):
+            active = int(np.searchsorted(-lengths, -j, side="left"))  # names longer than j
+            s, letter = state[:active], codes[starts[:active] + j]
+            run = np.minimum(run[:active], self.most[s, letter]) + 1
+            state = self.next[s, letter]
+            begin = self.first[state] - run + 1
+            better = (run > size[:active]) | ((run == size[:active]) & (run > 0) & (begin < of_text[:active]))
+            at = np.flatnonzero(better)
+            size[at], of_text[at], of_name[at] = run[at], begin[at], j + 1 - run[at]
+        return size, of_text, of_name
+
+
 class NameBlock:
-    """A bounded set of names prepared for exact best-k lookups."""
+    """A bounded set of names prepared for exact best-k lookups.
+
+    Names stand in the order of their lengths and letters and are bounded in cells of
+    neighbours.  A lookup visits cells by falling bound, and leaves when no cell reaches the
+    k-th best score.
+    """
 
     def __init__(self, entity_ids, names):
-        self.ids = np.asarray(entity_ids)
-        self.names = list(names)
+        names = list(names)
+        counts = np.array([letter_counts(n) for n in names], np.int32)
+        order = sorted(range(len(names)), key=lambda i: (len(names[i]), "".join(sorted(set(names[i]))), names[i]))
+        self.ids, self.names, self.counts = np.asarray(entity_ids)[order], [names[i] for i in order], counts[order]
+        self.entities, self.entity = np.unique(self.ids, return_inverse=True)
         self.lengths = np.array([len(n) for n in self.names], dtype=np.int64)
         self.letters = {c: i for i, c in enumerate(sorted({c for n in self.names for c in n}))}
-        # One column per place in the name; the last letter index pads short names.
-        self.codes = np.full((int(self.lengths.max()), len(self.names)), len(self.letters), dtype=np.intp)
+        self.codes = np.array([self.letters[c] for n in self.names for c in n], np.int32)
+        self.starts = np.cumsum(self.lengths) - self.lengths
         self.words, self.posting = [], {}
         for row, name in enumerate(self.names):
-            self.codes[: len(name), row] = [self.letters[c] for c in name]
-            found = set(_WORD.findall(name))
+            found = word_set(name)
             self.words.append(len(found))
             for word in found:
                 self.posting.setdefault(word, []).append(row)
+        edges = np.arange(0, len(names), CELL)
+        self.cells = Summary(np.maximum.reduceat(self.counts, edges), np.minimum.reduceat(self.lengths, edges), np.maximum.reduceat(self.lengths, edges))
 
-    def common(self, needle: str) -> np.ndarray:
-        """Length of the longest common subsequence with every name.
+    def summary(self) -> tuple[int, int, np.ndarray, np.ndarray]:
+        """(shortest, longest, letter counts, word bits) of the whole block."""
+        bits = np.zeros(WORD_BITS, bool)
+        bits[word_bits(self.posting)] = True
+        return int(self.lengths.min()), int(self.lengths.max()), self.counts.max(axis=0), bits
 
-        Matched pieces form a common subsequence, so this bounds ``matched_length``.
-        Bit i of a word stands for letter i of the needle; longer needles are cut into
-        words, whose lengths add up to an upper bound.
-        """
-        total = np.zeros(len(self.names), dtype=np.int64)
-        for start in range(0, len(needle), 63):
-            piece = needle[start : start + 63]
-            masks = np.zeros(len(self.letters) + 1, dtype=np.uint64)
-            for i, c in enumerate(piece):
-                if c in self.letters:
-                    masks[self.letters[c]] |= np.uint64(1 << i)
-            full = np.uint64((1 << len(piece)) - 1)
-            state = np.full(len(self.names), full, dtype=np.uint64)
-            for codes in self.codes:
-                hit = state & masks[codes]
-                state = ((state + hit) | (state - hit)) & full
-            total += len(piece) - np.bitwise_count(state).astype(np.int64)
-        return np.minimum(total, self.lengths)
-
-    def best(self, needle: str, k: int) -> list[tuple[int, float]]:
-        """The k entities of the block closest to ``needle``, ties by entity id.
-
-        The common subsequence caps the ratio, so names are visited by falling cap
-        and the visit ends once no remaining cap reaches the k-th best score.
-        """
-        if not needle:
-            return [(int(e), 0.0) for e in sorted(set(self.ids.tolist()))[:k]]
-        common = self.common(needle)
-        native = np.zeros(len(self.names))
-        mine = set(_WORD.findall(needle))
+    def _shared(self, needle: str) -> np.ndarray:
+        """0.7 x word overlap with every name."""
+        native, mine = np.zeros(len(self.names)), word_set(needle)
         shared: dict[int, int] = {}
         for word in mine:
             for row in self.posting.get(word, ()):
                 shared[row] = shared.get(row, 0) + 1
         for row, n in shared.items():
             native[row] = 0.7 * (n / (len(mine) + self.words[row] - n))
-        # Containment makes the shorter name the whole common subsequence.
-        for row in np.flatnonzero(common == np.minimum(self.lengths, len(needle))):
-            name = self.names[row]
-            if name == needle:
-                native[row] = 1.0
-            elif name in needle or needle in name:
-                native[row] = max(native[row], 0.8)
-        cap = np.maximum(native, 0.6 * (2.0 * common / (self.lengths + len(needle))))
-        order = np.lexsort((self.ids, -cap))
-        scores: dict[int, float] = {}
-        bound, since, width = -1.0, 0, len(needle)
-        for row, top, score, entity in zip(order.tolist(), cap[order].tolist(), native[order].tolist(), self.ids[order].tolist()):
-            if top < bound:
-                break
-            # A ratio cannot lift an entity that already scores its cap.
-            if top > score and top > scores.get(entity, -1.0):
-                name = self.names[row]
-                score = max(score, 0.6 * (2.0 * matched_length(needle, name) / (width + len(name))))
-            if score > scores.get(entity, -1.0):
-                scores[entity] = score
-                since += 1
-            if since >= 32 and len(scores) >= k:
-                bound, since = heapq.nlargest(k, scores.values())[-1], 0
-        return sorted(scores.items(), key=lambda item: (-item[1], item[0]))[:k]
+        return native
+
+    def best(self, needle: str, k: int, floor: float = -1.0) -> list[tuple[int, float]]:
+        """The k entities of the block closest to ``needle``, ties by entity id; entities below ``floor`` may be left out."""
+        if not needle:
+            return [(int(e), 0.0) for e in sorted(set(self.ids.tolist()))[:k]]
+        width, mine, substrings = len(needle), letter_counts(needle), Substrings(needle, self.letters)
+        native, caps, kinds = self._shared(needle), self.cells.caps(needle), np.flatnonzero(mine)
+        np.maximum.at(caps, np.arange(len(native)) // CELL, native)
+        cells = np.argsort(-caps, kind="stable")
+        best = np.full(len(self.entities), -1.0)
+        bound, at, step = floor, 0, 4
+        place = max(len(best) - k, 0)
+
+        def kth() -> float:
+            return max(floor, float(np.partition(best, place)[place])) if len(best) >= k else floor
+
+        while at < len(cells) and caps[cells[at]] >= bound:
+            some = cells[at : at + step]
+            some = some[caps[some] >= bound]
+            at, step = at + step, step * 2
+            rows = (some[:, None] * CELL + np.arange(CELL)).ravel()
+            rows = rows[rows < len(self.names)]
+            common = np.minimum(self.counts[rows[:, None], kinds], mine[kinds]).sum(axis=1)
+            cap = np.maximum(native[rows], 0.6 * ratio_caps(common, self.lengths[rows], self.lengths[rows], width))
+            keep = (cap >= bound) | (common >= np.minimum(self.lengths[rows], width))
+            rows, common = rows[keep], common[keep]
+            order = np.argsort(-self.lengths[rows], kind="stable")
+            rows, common = rows[order], common[order]
+            size, a, b = substrings.longest(self.codes, self.starts[rows], self.lengths[rows])
+            length = self.lengths[rows]
+            # The pieces left and right of the longest one are no longer than the shorter side; difflib drops letters of long names.
+            sides = np.where(size > 0, np.minimum(a, b) + np.minimum(width - a - size, length - b - size), 0)
+            sides = np.where(length < 200, np.minimum(sides, common - size), common)
+            matched = np.where(length < 200, size, 0)
+            contained = (size == np.minimum(length, width)) & (size > 0)
+            score = np.maximum(native[rows], np.where(contained, np.where(length == width, 1.0, 0.8), 0.0))
+            score = np.maximum(score, 0.6 * (2.0 * matched / (length + width)))
+            cap = np.maximum(score, 0.6 * (2.0 * (matched + sides) / (length + width)))
+            entity = self.entity[rows]
+            np.maximum.at(best, entity, score)
+            bound = kth()
+            # What is left depends on the pieces beside the longest one.
+            rest = np.flatnonzero((cap > score) & (cap >= bound) & (cap > best[entity]))
+            rest = rest[np.argsort(-cap[rest], kind="stable")]
+            for first in range(0, len(rest), 32):
+                if cap[rest[first]] < bound:
+                    break
+                part = rest[first : first + 32]
+                totals = [
+                    s + _sides(needle[:x], name[:y]) + _sides(needle[x + s :], name[y + s :]) if len(name) < 200 else matched_length(needle, name)
+                    for name, s, x, y in zip([self.names[r] for r in rows[part].tolist()], size[part].tolist(), a[part].tolist(), b[part].tolist(), strict=True)
+                ]
+                np.maximum.at(best, entity[part], 0.6 * (2.0 * np.array(totals) / (width + length[part])))
+                bound = kth()
+        found = np.flatnonzero(best >= max(floor, 0.0))
+        found = found[np.lexsort((self.entities[found], -best[found]))][:k]
+        return list(zip(self.entities[found].tolist(), best[found].tolist(), strict=True))
+
+
+@lru_cache(maxsize=100_000)
+def _sides(left: str, right: str) -> int:
+    """``matched_length`` of what stands beside a longest piece; such rests repeat between names."""
+    return matched_length(left, right) if left and right else 0

@@ -1,17 +1,71 @@
 """Best-k matching of two tables without pairing all rows.
 
-Both sides are cut into bounded blocks by hash.  A task receives one block of each
-side, keeps the k best partners per left row and emits only those; the k best over
-all tasks follow from them.  Rows are copied once per block of the other side, so
-the work spreads over tasks whatever the sizes, and nothing is broadcast.
+Names are cut into bounded blocks of neighbours, by length and letters, and each block has
+a summary that bounds what any of its names can score.  A mention first meets the block
+of the greatest bound, which gives it a k-th best score, and then only the blocks whose
+bound reaches that.  A task emits k rows per mention; inside a block the same bounds, by
+cells, leave most names unseen (``functions/similarity.py``).
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
-from fieldloom.functions.similarity import NameBlock
+from fieldloom.functions.similarity import NameBlock, Summary, WORD_BITS
+from fieldloom.plans.order import cut_lineage, global_rank
+
+#: Summaries (about 1 kB each) that travel in one row.
+STRIP = 512
+
+_SUMMARY = "t string, s long, shortest int, longest int, counts binary, words binary"
+_STRIPS = "array<struct<s:long,shortest:int,longest:int,counts:binary,words:binary>>"
+
+
+def _summarise(table: pd.DataFrame) -> pd.DataFrame:
+    shortest, longest, counts, words = NameBlock(table["entity_id"], table["name"]).summary()
+    row = (table["t"].iloc[0], int(table["s"].iloc[0]), shortest, longest, counts.astype("<i4").tobytes(), np.packbits(words).tobytes())
+    return pd.DataFrame([row], columns=["t", "s", "shortest", "longest", "counts", "words"])
+
+
+def _bounds(strip) -> tuple[np.ndarray, Summary]:
+    """(blocks, their bounds) of a strip of summaries."""
+    rows = [tuple(r) if not hasattr(r, "asDict") else tuple(r.asDict().values()) for r in (x.values() if isinstance(x, dict) else x for x in strip)]
+    s, shortest, longest, counts, words = zip(*rows, strict=True)
+    bits = np.unpackbits(np.frombuffer(b"".join(words), np.uint8).reshape(len(rows), -1), axis=1, count=WORD_BITS).astype(bool)
+    letters = np.frombuffer(b"".join(counts), "<i4").reshape(len(rows), -1)
+    return np.array(s), Summary(letters, np.array(shortest), np.array(longest), bits)
+
+
+def _per_strip(frame: pd.DataFrame, visit) -> list[tuple]:
+    """``visit(row, blocks, caps)`` for each mention of a batch; a strip is read once for all its mentions."""
+    out, known = [], {}
+    for row in frame.itertuples(index=False):
+        key = (row.entity_type, row.strip)
+        if key not in known:
+            known.clear()  # one strip at a time
+            known[key] = _bounds(row.summaries)
+        blocks, summary = known[key]
+        # An empty mention scores 0 everywhere.
+        caps = summary.caps(row.needle) if row.needle else np.zeros(len(blocks))
+        out.extend(visit(row, blocks, caps))
+    return out
+
+
+def _aims(batches):
+    """The block of the greatest bound in each strip."""
+    for frame in batches:
+        rows = _per_strip(frame, lambda r, s, caps: [(r.entity_type, r.needle, int(s[caps.argmax()]), float(caps.max()))])
+        yield pd.DataFrame(rows, columns=["t", "needle", "s", "cap"])
+
+
+def _further(batches):
+    """All other blocks whose bound reaches the k-th best score so far."""
+    for frame in batches:
+        reach = lambda r, s, caps: [(r.entity_type, r.needle, int(x), r.floor) for x in s[(caps >= r.floor) & (s != r.seen)].tolist()]
+        rows = _per_strip(frame, reach)
+        yield pd.DataFrame(rows, columns=["t", "needle", "s", "floor"])
 
 
 def closest_names(mentions: DataFrame, names: DataFrame, k: int, block_mentions: int = 2_000, block_names: int = 20_000) -> DataFrame:
@@ -23,29 +77,46 @@ def closest_names(mentions: DataFrame, names: DataFrame, k: int, block_mentions:
     numbers of blocks are columns of the plan; nothing is counted on the driver.
     """
     tasks = max(int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    names = names.select("entity_type", "entity_id", "name").where("name <> ''").distinct()
-    needles = mentions.groupBy("entity_type").agg(F.count(F.lit(1)).alias("_needles"))
-    sizes = names.groupBy("entity_type").agg(F.count(F.lit(1)).alias("_names")).join(needles, "entity_type")
-    left = F.greatest(F.least(F.lit(tasks), F.ceil(F.col("_needles") / 50)), F.ceil(F.col("_needles") / block_mentions)).cast("int")
-    sizes = sizes.select("entity_type", left.alias("_left"), F.ceil(F.col("_names") / block_names).cast("int").alias("_right"))
-
-    def block(column: str, n: str):
-        return F.pmod(F.xxhash64(column), F.col(n)).cast("int")
-
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    m = mentions.join(sizes, "entity_type").select(F.col("entity_type").alias("t"), "needle", block("needle", "_left").alias("b"), every("_right").alias("s"))
-    n = names.join(sizes, "entity_type").select(F.col("entity_type").alias("t"), "entity_id", "name", block("name", "_right").alias("s"), every("_left").alias("b"))
-
-    def match(key, some: pd.DataFrame, inventory: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(some) and len(inventory):
-            prepared = NameBlock(inventory["entity_id"], inventory["name"])
-            for needle in some["needle"]:
-                rows.extend((key[0], needle, entity, score) for entity, score in prepared.best(needle, k))
-        return pd.DataFrame(rows, columns=["entity_type", "needle", "entity_id", "score"])
-
-    found = m.groupBy("t", "b", "s").cogroup(n.groupBy("t", "b", "s")).applyInPandas(
-        match, "entity_type string, needle string, entity_id long, score double")
+    names = names.select(F.col("entity_type").alias("t"), "entity_id", "name").where("name <> ''").distinct()
+    letters = F.array_join(F.array_sort(F.array_distinct(F.split("name", ""))), "")
+    ranked = global_rank(names, [F.col("t"), F.length("name"), letters, F.col("name"), F.col("entity_id")])
+    blocks = cut_lineage(ranked.select("t", "entity_id", "name", F.floor((F.col("rank") - 1) / block_names).alias("s")))
+    summaries = blocks.groupBy("t", "s").applyInPandas(_summarise, _SUMMARY)
+    strips = summaries.groupBy("t", F.floor(F.col("s") / STRIP).alias("strip")).agg(
+        F.collect_list(F.struct("s", "shortest", "longest", "counts", "words")).cast(_STRIPS).alias("summaries"))
+    strips = cut_lineage(strips.withColumnRenamed("t", "entity_type"))
+    mentions = cut_lineage(mentions.select("entity_type", "needle"))
+
+    def match(pairs: DataFrame) -> DataFrame:
+        """The k best of each (t, needle, s, floor) in its block; mentions of a block are dealt to slices."""
+        sizes = pairs.groupBy("t", "s").agg(F.count(F.lit(1)).alias("_n"))
+        left = F.greatest(F.least(F.lit(2 * tasks), F.ceil(F.col("_n") / 50)), F.ceil(F.col("_n") / block_mentions)).cast("int")
+        sizes = sizes.select("t", "s", left.alias("_slices"))
+        some = pairs.join(sizes, ["t", "s"]).withColumn("b", F.pmod(F.xxhash64("needle"), F.col("_slices")).cast("int")).drop("_slices")
+        wanted = blocks.join(sizes, ["t", "s"]).withColumn("b", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+
+        def best(key, some: pd.DataFrame, inventory: pd.DataFrame) -> pd.DataFrame:
+            rows = []
+            if len(some) and len(inventory):
+                prepared = NameBlock(inventory["entity_id"], inventory["name"])
+                for needle, floor in zip(some["needle"], some["floor"], strict=True):
+                    rows.extend((key[0], needle, entity, score) for entity, score in prepared.best(needle, k, floor))
+            return pd.DataFrame(rows, columns=["entity_type", "needle", "entity_id", "score"])
+
+        # Rows are small and their work is not: the partitions must not be merged by size.
+        some, wanted = (side.repartition(4 * tasks, "t", "s", "b") for side in (some, wanted))
+        return some.groupBy("t", "s", "b").cogroup(wanted.groupBy("t", "s", "b")).applyInPandas(
+            best, "entity_type string, needle string, entity_id long, score double")
+
+    aimed = mentions.join(strips, "entity_type").mapInPandas(_aims, "t string, needle string, s long, cap double")
+    aimed = cut_lineage(aimed.groupBy("t", "needle").agg(F.max_by("s", F.struct("cap", -F.col("s"))).alias("s")))
+    first = cut_lineage(match(aimed.withColumn("floor", F.lit(-1.0))))
+    floors = first.groupBy("entity_type", "needle").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).otherwise(-1.0).alias("floor"))
+    seen = aimed.select(F.col("t").alias("entity_type"), "needle", F.col("s").alias("seen")).join(floors, ["entity_type", "needle"], "left")
+    # A strip with one block holds the one that was seen.
+    open_ = seen.fillna(-1.0, ["floor"]).join(strips, "entity_type").where((F.size("summaries") > 1) | (F.col("summaries")[0]["s"] != F.col("seen")))
+    more = open_.mapInPandas(_further, "t string, needle string, s long, floor double")
+    found = first.unionByName(match(cut_lineage(more)))
     return found.groupBy("entity_type", "needle", "entity_id").agg(F.max("score").alias("score"))
 
 

@@ -4,9 +4,11 @@ import random
 import re
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.functions.similarity import NameBlock, Substrings, Summary
 from fieldloom.operators import entities as e
 
 REAL = [
@@ -97,3 +99,55 @@ def test_institution_fields_are_the_fallback(spark):
     prompts = spark.createDataFrame([(1, "name", None), (2, "Host_University", None)], "prompt_id long, internal_name string, entity_type string")
     assert [r[0] for r in e.link_prompts(prompts, "university").collect()] == [2]
     assert [r[0] for r in e.link_prompts(prompts.withColumn("entity_type", F.lit("university")), "university").orderBy("prompt_id").collect()] == [1, 2]
+
+
+def _spellings(seed, n):
+    rnd = random.Random(seed)
+    words = ["universität", "institut", "berlin", "ulm", "für", "technik", "tu", "hochschule", "der", "kunst"]
+    return [" ".join(rnd.choices(words, k=rnd.randint(1, 4))) + rnd.choice(["", " 1", "x"]) for _ in range(n)]
+
+
+@pytest.mark.parametrize("floor", [-1.0, 0.5])
+def test_a_block_equals_brute_force(floor):
+    """Names of several cells, some with 200 letters and more, for which difflib drops frequent letters."""
+    rows = [(i // 2, n) for i, n in enumerate(_spellings(1, 300))] + [(500, "a" * 250 + " institut"), (501, "b" * 199), (502, "ab ab " * 40 + "ab")]
+    block = NameBlock([i for i, _ in rows], [n for _, n in rows])
+    for needle in [*_spellings(2, 25), "zzz", "ulm", "a" * 70 + " institut " + "b" * 30, "ß日本", "a" * 300 + " institut", "ab " * 80 + "ab", ""]:
+        best = {}
+        for i, n in rows:
+            best[i] = max(best.get(i, 0.0), score(needle, [n]))
+        want = sorted(((i, s) for i, s in best.items() if s >= floor), key=lambda p: (-p[1], p[0]))[:10]
+        got = block.best(needle, 10, floor)
+        assert got == want if needle else got == [(i, 0.0) for i in range(10)]
+
+
+def test_bounds_hold():
+    """No name of a block or cell scores more than its bound."""
+    names = _spellings(3, 200) + ["x" * 240, "sup-1"]
+    block = NameBlock(range(len(names)), names)
+    shortest, longest, counts, words = block.summary()
+    whole = Summary(counts[None, :], np.array([shortest]), np.array([longest]), words[None, :])
+    for needle in _spellings(4, 30) + ["sup-1", "q", "office 12 ulm"]:
+        assert whole.caps(needle)[0] >= max(score(needle, [n]) for n in names) - 1e-12
+
+
+def test_blocks_of_unlike_names(spark):
+    """Mentions that meet few of many blocks still get all of their closest names."""
+    rows = [(f"{chr(97 + b) * 3}{i:03d}{chr(97 + b) * (2 * b)}", []) for b in range(8) for i in range(60)]
+    got = candidates(spark, rows, ["aaa001", "hhh002" + "h" * 14], k=5, block_names=60)
+    for text, found in got.items():
+        assert found == sorted(((i, score(text, [n])) for i, (n, _) in enumerate(rows)), key=lambda p: (-p[1], p[0]))[:5]
+
+
+def test_longest_common_pieces():
+    rnd = random.Random(7)
+    names = sorted(("".join(rnd.choices("abc", k=rnd.randint(1, 12))) for _ in range(80)), key=len, reverse=True)
+    letters = {c: i for i, c in enumerate("abc")}
+    lengths = np.array([len(n) for n in names])
+    codes = np.array([letters[c] for n in names for c in n], np.int32)
+    for _ in range(60):
+        text = "".join(rnd.choices("abcd", k=rnd.randint(1, 14)))
+        found = Substrings(text, letters).longest(codes, np.cumsum(lengths) - lengths, lengths)
+        for name, size, a, b in zip(names, *(f.tolist() for f in found), strict=True):
+            want = SequenceMatcher(None, text, name, autojunk=False).find_longest_match()
+            assert size == want.size and (not size or (a, b) == (want.a, want.b))
