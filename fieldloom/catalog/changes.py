@@ -111,6 +111,12 @@ def delete_counts(t):
     return c.delete_counts(_gone_sources(t), "source_id", sources=t.fx_source, extractions=t.fx_extraction, profiles=t.fx_profile)
 
 
+@query("delete_not_found", "SELECT DISTINCT id AS source_id FROM gone WHERE id NOT IN (SELECT source_id FROM fx_source)",
+    "gone AS (SELECT source_id * 20 AS id FROM fx_profile WHERE profile_id % 3 = 0)")
+def delete_not_found(t):
+    return c.not_found(_gone_sources(t), "source_id", t.fx_source)
+
+
 def _without_entities(t):
     return c.delete_entities(t.fx_entity.where("entity_id % 6 = 0"), t.fx_entity, t.fx_variant, t.fx_extraction, t.fx_review)
 
@@ -155,22 +161,29 @@ def translations_without_base(t):
     return c.upsert_translations(rows, t.fx_profile, t.sql(_RENDERED), "en", F.expr(_NOW))[1]
 
 
-# Category 3 loses its prompts, so its sources fail.
-_ACTIVE = "SELECT DISTINCT category_id FROM fx_category_prompt JOIN fx_prompt USING (prompt_id) WHERE is_active AND category_id <> 3"
+_ACTIVE = "SELECT DISTINCT category_id FROM fx_category_prompt JOIN fx_prompt USING (prompt_id) WHERE is_active"
+# Extra sources of a category without prompts, which fail.
+_MORE = "more AS (SELECT * FROM fx_source UNION ALL SELECT * REPLACE (-source_id AS source_id, 99 AS category_id) FROM fx_source WHERE source_id % 50 = 1)"
+
+
+def _more_sources(t):
+    kinds = {c: t.fx_source.schema[c].dataType for c in ("source_id", "category_id")}
+    stray = t.fx_source.where("source_id % 50 = 1").withColumns({"source_id": (-F.col("source_id")).cast(kinds["source_id"]), "category_id": F.lit(99).cast(kinds["category_id"])})
+    return t.fx_source.unionByName(stray)
 
 
 def _reextract(t):
-    return c.reextract_all(t.fx_source, t.fx_extraction, t.fx_profile, t.fx_category_prompt.where("category_id <> 3"), t.fx_prompt)
+    return c.reextract_all(_more_sources(t), t.fx_extraction, t.fx_profile, t.fx_category_prompt, t.fx_prompt)
 
 
 @query("reextracted_sources", f"""SELECT source_id, CASE WHEN NOT hit THEN status WHEN ok THEN 'crawled' ELSE 'failed' END AS status,
     CASE WHEN NOT hit THEN error_message WHEN NOT ok THEN 'no prompts for this category' END AS error_message
-    FROM (SELECT *, status IN ('completed', 'extracting') AS hit, coalesce(category_id IN ({_ACTIVE}), false) AS ok FROM fx_source)""")
+    FROM (SELECT *, status IN ('completed', 'extracting') AS hit, coalesce(category_id IN ({_ACTIVE}), false) AS ok FROM more)""", _MORE)
 def reextracted_sources(t):
     return _reextract(t)["sources"].select("source_id", "status", "error_message")
 
 
-@query("reextract_jobs", f"{_JOBS} AND s.status IN ('completed', 'extracting') AND s.category_id <> 3")
+@query("reextract_jobs", f"{_JOBS} AND s.status IN ('completed', 'extracting')")
 def reextract_jobs(t):
     return _reextract(t)["jobs"]
 
@@ -181,20 +194,24 @@ def reextract_kept(t):
     return _reextract(t)["extractions"].select("extraction_id")
 
 
+# Some move to a category without prompts.
+_NEW_CATEGORY = "CASE WHEN source_id % 45 = 2 THEN 99 ELSE source_id % 5 + 1 END"
+
+
 def _moved(t):
-    moves = t.fx_source.where("source_id % 9 = 2").select("source_id", (F.col("source_id") % 5 + 1).alias("category_id"))
-    return c.change_category(t.fx_source, moves, t.fx_extraction, t.fx_profile, t.fx_category_prompt.where("category_id <> 3"), t.fx_prompt)
+    moves = t.fx_source.where("source_id % 9 = 2").select("source_id", F.expr(_NEW_CATEGORY).alias("category_id"))
+    return c.change_category(t.fx_source, moves, t.fx_extraction, t.fx_profile, t.fx_category_prompt, t.fx_prompt)
 
 
 @query("moved_sources", f"""SELECT source_id, new_cat AS category_id, CASE WHEN run THEN 'crawled' ELSE status END AS status, CASE WHEN run THEN NULL ELSE error_message END AS error_message FROM (
     SELECT *, hit AND status IN ('completed', 'crawled', 'extracting') AND new_cat IN ({_ACTIVE}) AS run FROM (
-    SELECT *, source_id % 9 = 2 AS hit, CASE WHEN source_id % 9 = 2 THEN source_id % 5 + 1 ELSE category_id END AS new_cat FROM fx_source))""")
+    SELECT *, source_id % 9 = 2 AS hit, CASE WHEN source_id % 9 = 2 THEN {_NEW_CATEGORY} ELSE category_id END AS new_cat FROM fx_source))""")
 def moved_sources(t):
     return _moved(t)["sources"].select("source_id", "category_id", "status", "error_message")
 
 
-@query("moved_source_jobs", """SELECT s.source_id, m.prompt_id FROM fx_source s JOIN fx_category_prompt m ON m.category_id = s.source_id % 5 + 1 JOIN fx_prompt p ON p.prompt_id = m.prompt_id
-    WHERE p.is_active AND s.source_id % 9 = 2 AND s.status IN ('completed', 'crawled', 'extracting') AND s.markdown_content <> '' AND m.category_id <> 3""")
+@query("moved_source_jobs", f"""SELECT s.source_id, m.prompt_id FROM fx_source s JOIN fx_category_prompt m ON m.category_id = ({_NEW_CATEGORY}) JOIN fx_prompt p ON p.prompt_id = m.prompt_id
+    WHERE p.is_active AND s.source_id % 9 = 2 AND s.status IN ('completed', 'crawled', 'extracting') AND s.markdown_content <> ''""")
 def moved_source_jobs(t):
     return _moved(t)["jobs"]
 

@@ -6,12 +6,13 @@ from fieldloom.catalog.registry import query
 from fieldloom.operators import configuration as g
 
 _CATS = """SELECT category_id AS config, CASE WHEN category_id % 11 = 0 THEN NULL ELSE internal_name END AS internal_name, display_name,
-    CASE WHEN category_id % 7 = 0 THEN NULL ELSE 'x' END AS template, category_id % 13 <> 0 AS has_groups, true AS has_active FROM {cfg_category}"""
+    CASE WHEN category_id % 7 = 0 THEN NULL ELSE 'x' END AS template, category_id % 13 <> 0 AS has_groups, true AS has_active FROM {cfg_category}
+    UNION ALL SELECT -1, 'lonely', 'Without prompts', 'x', true, true UNION ALL SELECT -2, NULL, 'Broken', NULL, false, true"""
 _PROMPTS = """SELECT m.category_id AS config, m.prompt_id AS position, CASE WHEN p.prompt_id % 50 = 7 THEN NULL WHEN p.prompt_id % 40 = 3 THEN 'same' ELSE p.internal_name END AS internal_name, p.display_name,
     CASE WHEN p.prompt_id % 60 = 11 THEN NULL ELSE p.field_group END AS field_group, CASE WHEN p.prompt_id % 30 = 1 THEN NULL ELSE p.extract_prompt END AS prompt_template,
-    CASE WHEN p.prompt_id % 60 = 1 THEN 'text' END AS extract_prompt FROM {cfg_mapping} m JOIN {cfg_prompt} p ON p.prompt_id = m.prompt_id WHERE m.category_id % 9 <> 4"""
-_GROUPS = """SELECT m.category_id AS config, p.field_group AS group_name, CASE WHEN p.prompt_id % 25 = 2 THEN 'ghost' ELSE p.internal_name END AS field FROM {cfg_mapping} m JOIN {cfg_prompt} p ON p.prompt_id = m.prompt_id WHERE m.prompt_id % 3 = 0"""
-_ACTIVE = "SELECT DISTINCT category_id AS config, CASE WHEN prompt_id % 70 = 5 THEN 'extra' ELSE 'standard' END AS group_name FROM {cfg_mapping} WHERE prompt_id % 5 = 0"
+    CASE WHEN p.prompt_id % 60 = 1 THEN 'text' END AS extract_prompt FROM {cfg_mapping} m JOIN {cfg_prompt} p ON p.prompt_id = m.prompt_id"""
+_GROUPS = """SELECT m.category_id AS config, p.field_group AS group_name, CASE WHEN p.prompt_id % 25 = 2 THEN 'ghost' ELSE p.internal_name END AS field FROM {cfg_mapping} m JOIN {cfg_prompt} p ON p.prompt_id = m.prompt_id"""
+_ACTIVE = "SELECT DISTINCT category_id AS config, CASE WHEN prompt_id % 70 = 5 THEN 'extra' ELSE 'standard' END AS group_name FROM {cfg_mapping}"
 
 
 def _d(text: str) -> str:

@@ -128,15 +128,17 @@ def new_reviews(t):
 
 
 @query("normalization_prompts", """SELECT text, 'Text erwähnt: "' || text || '"' || chr(10) || chr(10) || 'Bekannte Hochschule/Universitäten:' || chr(10)
-      || string_agg('- ' || canonical_name || coalesce(' (auch: ' || names || ')', ''), chr(10) ORDER BY rank) || chr(10) || chr(10)
+      || coalesce(string_agg('- ' || canonical_name || coalesce(' (auch: ' || names || ')', ''), chr(10) ORDER BY rank), 'Keine bekannten Entitäten') || chr(10) || chr(10)
       || 'Ist der Text eine dieser Entitäten?' || chr(10) || chr(10) || chr(10) || 'Kontext: ' || text || chr(10) || chr(10)
       || 'Antwortformat:' || chr(10) || 'MATCH: [Offizieller Name] (Confidence: 0.9-1.0)' || chr(10) || 'LIKELY: [Wahrscheinlicher Name] (Confidence: 0.6-0.89)' || chr(10)
       || 'NO_MATCH (Confidence: 0.0-0.59)' || chr(10) || chr(10) || 'Beispiel:' || chr(10) || 'Text: "TU Berlin"' || chr(10)
       || 'MATCH: Technische Universität Berlin (Confidence: 0.95)' || chr(10) AS prompt
-    FROM (SELECT 'part ' || l_partkey AS text, l_suppkey AS entity_id, row_number() OVER (PARTITION BY l_partkey ORDER BY max(l_discount) DESC, l_suppkey) AS rank
-          FROM lineitem GROUP BY l_partkey, l_suppkey) JOIN fx_entity USING (entity_id)
+    FROM (SELECT DISTINCT 'part ' || l_partkey AS text FROM lineitem UNION SELECT 'unknown ' || p_name FROM part)
+    LEFT JOIN (SELECT 'part ' || l_partkey AS text, l_suppkey AS entity_id, row_number() OVER (PARTITION BY l_partkey ORDER BY max(l_discount) DESC, l_suppkey) AS rank
+          FROM lineitem GROUP BY l_partkey, l_suppkey) USING (text) LEFT JOIN fx_entity USING (entity_id)
     LEFT JOIN (SELECT entity_id, string_agg(variant_name, ', ' ORDER BY variant_name) AS names FROM fx_variant GROUP BY entity_id) USING (entity_id)
-    WHERE rank <= 50 GROUP BY text""")
+    WHERE rank <= 50 OR rank IS NULL GROUP BY text""")
 def normalization_prompts(t):
     scores = t.lineitem.groupBy(F.concat(F.lit("part "), F.col("l_partkey").cast("string")).alias("text"), F.col("l_suppkey").alias("entity_id")).agg(F.max("l_discount").alias("score"))
-    return e.normalization_prompts(top_k(scores, "text", 50), t.fx_entity, t.fx_variant, "university", F.col("text"))
+    mentions = scores.select("text").unionByName(t.part.select(F.concat(F.lit("unknown "), F.col("p_name")).alias("text")))
+    return e.normalization_prompts(top_k(scores, "text", 50), t.fx_entity, t.fx_variant, "university", F.col("text"), mentions)

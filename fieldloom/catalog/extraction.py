@@ -141,7 +141,7 @@ def run_extraction(t):
     jobs = x.dependency_context(jobs, t.sql(_EDGES), t.fx_extraction)
     texts = t.fx_source.select("source_id", F.col("markdown_content").alias("markdown"))
     fields = t.fx_prompt.select("prompt_id", "extract_prompt", F.replace("validate_prompt", F.lit(" ({institution})"), F.lit("")).alias("validate_prompt"))
-    return x.run_extraction(x.with_source_text(jobs.drop("missing").join(fields, "prompt_id"), texts))
+    return x.run_extraction(jobs.drop("missing").join(fields, "prompt_id"), texts=texts)
 
 
 _TO_TRANSLATE = f"""SELECT e.extraction_id, p.display_name, coalesce(c.display_name_en, c.display_name) AS category, p.translation_context, e.validated_result

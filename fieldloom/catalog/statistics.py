@@ -7,10 +7,10 @@ from fieldloom.catalog.records import _JOBS, _MISSING, _STATE, _VALUE
 from fieldloom.operators import records as r, statistics as s
 
 
-@query("count_by_status", """SELECT status, (SELECT count(*) FROM fx_source f WHERE f.status = v.status AND f.status <> 'crawled') AS n
+@query("count_by_status", """SELECT status, (SELECT count(*) FROM fx_source f WHERE f.status = v.status) AS n
     FROM (VALUES ('pending'), ('crawled'), ('extracting'), ('completed'), ('failed')) v(status)""")
 def count_by_status(t):
-    return s.count_by_status(t.fx_source.where("status <> 'crawled'"))
+    return s.count_by_status(t.fx_source)
 
 
 @query("count_by_category", "SELECT category_id, count(*) AS n FROM fx_source WHERE status = 'completed' AND category_id IS NOT NULL GROUP BY category_id")

@@ -119,6 +119,11 @@ def delete_cascade(ids: DataFrame, key: str, **tables: DataFrame) -> dict[str, D
     return {name: df.join(gone, key, "left_anti") for name, df in tables.items()}
 
 
+def not_found(ids: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """The asked-for keys that ``table`` does not hold, each once."""
+    return ids.select(key).distinct().join(table, key, "left_anti")
+
+
 def delete_counts(ids: DataFrame, key: str, **tables: DataFrame) -> DataFrame:
     """Rows each table loses, and asked-for keys that do not exist ('not_found')."""
     gone = ids.select(key).distinct()
@@ -127,7 +132,7 @@ def delete_counts(ids: DataFrame, key: str, **tables: DataFrame) -> DataFrame:
         part = df.join(gone, key, "left_semi").agg(n_rows()).select(F.lit(name).alias("table"), "n")
         out = part if out is None else out.unionByName(part)
     first = next(iter(tables.values()))
-    lost = gone.join(first, key, "left_anti").agg(n_rows()).select(F.lit("not_found").alias("table"), "n")
+    lost = not_found(ids, key, first).agg(n_rows()).select(F.lit("not_found").alias("table"), "n")
     return out.unionByName(lost)
 
 

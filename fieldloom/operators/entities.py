@@ -8,6 +8,7 @@ from fieldloom.functions import answers, text as tx
 from fieldloom.functions.similarity import name_key
 from fieldloom.operators.statistics import n_rows
 from fieldloom.plans.blocks import closest_names
+from fieldloom.plans.order import attach_row
 
 # Words that mark an institution field when no field has a type.
 INSTITUTION_WORDS = ["institution", "hochschule", "university", "universitaet"]
@@ -41,10 +42,10 @@ def exact_entity_match(mentions: DataFrame, index: DataFrame) -> DataFrame:
 
 def link_prompts(prompts: DataFrame, entity_type: str) -> DataFrame:
     """Fields of the type; when there is none, fields named like an institution."""
-    typed = prompts.where(F.col("entity_type") == entity_type).select("prompt_id")
-    if not typed.isEmpty():
-        return typed
-    return prompts.where(F.lower("internal_name").rlike("|".join(INSTITUTION_WORDS))).select("prompt_id")
+    typed = F.coalesce(F.col("entity_type") == entity_type, F.lit(False))
+    some = prompts.agg(F.coalesce(F.bool_or(typed), F.lit(False)).alias("_some"))
+    named = F.lower("internal_name").rlike("|".join(INSTITUTION_WORDS))
+    return attach_row(prompts, some).where(F.when(F.col("_some"), typed).otherwise(named)).select("prompt_id")
 
 
 def auto_link_batch(extractions, prompts, entities, variants, entity_type: str, use_raw: bool = True) -> DataFrame:
@@ -151,10 +152,18 @@ MATCH: Technische Universität Berlin (Confidence: 0.95)
 """
 
 
-def normalization_prompts(candidates: DataFrame, entities: DataFrame, variants: DataFrame, entity_type: str, context: Column | None = None) -> DataFrame:
+# Fixed value: stands for the candidates where there are none.
+_NO_CANDIDATES = "Keine bekannten Entitäten"
+
+
+def normalization_prompts(
+    candidates: DataFrame, entities: DataFrame, variants: DataFrame, entity_type: str, context: Column | None = None, mentions: DataFrame | None = None,
+) -> DataFrame:
     """One matching prompt per mention from its ranked candidates.
 
-    ``candidates``: text, entity_id, rank (at most k rows per mention).
+    ``candidates``: text, entity_id, rank (at most k rows per mention).  ``mentions``
+    (text) without candidates, or whose candidates have no name, get a prompt that says so;
+    by default the mentions are those with candidates.
     """
     # Three names of an entity are shown; more are not gathered.
     first = Window.partitionBy("entity_id").orderBy("variant_name")
@@ -165,6 +174,8 @@ def normalization_prompts(candidates: DataFrame, entities: DataFrame, variants:
     line = F.concat(F.lit("- "), F.col("canonical_name"), also)
     grouped = lines.where("canonical_name <> ''").groupBy("text").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda s: s["line"]), "\n").alias("_list"))
+    asked = (candidates if mentions is None else mentions).select("text").distinct()
+    grouped = asked.join(grouped, "text", "left").fillna(_NO_CANDIDATES, ["_list"])
     kind = _type_name(F.lit(entity_type))
     head = F.concat(
         F.lit('Text erwähnt: "'), F.col("text"), F.lit('"\n\nBekannte '), kind, F.lit("en:\n"), F.col("_list"),

@@ -88,6 +88,11 @@ def compose_message(prompt: Column, context: Column) -> Column:
     ).otherwise(task)
 
 
+def with_ground(ground: str | None, task: str) -> str:
+    """``compose_message`` of a text and a task that are within their sizes."""
+    return task if ground is None else f"Kontext:\n{ground}\n\nAufgabe:\n{task}"
+
+
 def clamp_temperature(value: Column, default: float = 0.3) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(2.0), F.coalesce(value, F.lit(default))))
 
@@ -159,59 +164,64 @@ def rule_model(batch: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"text": texts, "finish_reason": reasons})
 
 
-def call_model(df: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame], message: str, prefix: str) -> DataFrame:
-    """Run ``model_fn`` over Arrow batches; adds <prefix>_text, _reason and _error.
+def call_model(df: DataFrame, texts: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame], task: str, prefix: str) -> DataFrame:
+    """Ask ``model_fn`` each task of a source together with the source's text; adds <prefix>_text, _reason and _error.
 
-    ``model_fn`` gets a frame with ``message`` and returns ``text`` and ``finish_reason``
-    per row.  Only messages travel to Python.  A batch that raises becomes error rows
-    instead of a failed job.  Answers may differ from call to call, so Spark is told
+    ``df``: source_id and a task that is null where nothing is to be asked.  ``texts``:
+    source_id, markdown.  A source's rows, at most one per field, travel as one, so its text
+    is joined once and goes to Python once.  ``model_fn`` gets a frame with ``message``
+    and returns ``text`` and ``finish_reason`` per row.  A batch that raises becomes error
+    rows instead of a failed job.  Answers may differ from call to call, so Spark is told
     not to repeat or move the call.
     """
 
-    def ask(messages: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame({"text": None, "reason": None, "error": None}, index=messages.index, dtype=object)
-        asked = messages.notna()
-        if asked.any():
+    def ask(ground: pd.Series, tasks: pd.Series) -> pd.Series:
+        messages = [None if t is None else with_ground(g, t) for g, own in zip(ground, tasks, strict=True) for t in own]
+        out = [(None, None, None)] * len(messages)
+        asked = [i for i, m in enumerate(messages) if m is not None]
+        if asked:
             try:
-                got = model_fn(messages[asked].to_frame("message"))
-                out.loc[asked, "text"] = got["text"].to_numpy()
-                out.loc[asked, "reason"] = got["finish_reason"].to_numpy()
+                got = model_fn(pd.DataFrame({"message": [messages[i] for i in asked]}))
+                for i, text, reason in zip(asked, got["text"], got["finish_reason"], strict=True):
+                    out[i] = (text, reason, None)
             except Exception as problem:
-                out.loc[asked, "error"] = str(problem)
-        return out
-
-    ask.__annotations__ = {"messages": pd.Series, "return": pd.DataFrame}
-    answer = F.pandas_udf(ask, "text string, reason string, error string").asNondeterministic()
-    called = df.withColumn("_answer", answer(F.col(message)))
-    return called.select(*df.columns, *[F.col(f"_answer.{c}").alias(f"{prefix}_{c}") for c in ("text", "reason", "error")])
-
-
-def with_source_text(jobs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``jobs`` with the text of their source (source_id, markdown).
-
-    A source's jobs, at most one per field, travel as one row, so its text is joined
-    once and copied to the jobs inside the task that asks the model.
-    """
-    own = [c for c in jobs.columns if c != "source_id"]
-    grouped = jobs.groupBy("source_id").agg(F.collect_list(F.struct(*own)).alias("_jobs"))
-    return grouped.join(texts, "source_id").select("source_id", *[c for c in texts.columns if c != "source_id"], F.inline("_jobs"))
-
-
-def run_extraction(jobs: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame] = rule_model) -> DataFrame:
+                for i in asked:
+                    out[i] = (None, None, str(problem))
+        rows, at = [], 0
+        for own in tasks:
+            rows.append([dict(zip(("text", "reason", "error"), r, strict=True)) for r in out[at : at + len(own)]])
+            at += len(own)
+        return pd.Series(rows)
+
+    ask.__annotations__ = {"ground": pd.Series, "tasks": pd.Series, "return": pd.Series}
+    answer = F.pandas_udf(ask, "array<struct<text:string,reason:string,error:string>>").asNondeterministic()
+    own = [c for c in df.columns if c not in ("source_id", task)]
+    grouped = df.groupBy("source_id").agg(F.collect_list(F.struct(*own)).alias("_rows"), F.collect_list(F.struct(F.col(task).alias("t"))).alias("_tasks"))
+    ground = F.when(tx.not_blank(F.col("markdown")), F.substring("markdown", 1, MAX_CONTEXT)).alias("_ground")
+    joined = grouped.join(texts.select("source_id", ground), "source_id")
+    called = joined.select("source_id", "_rows", answer("_ground", F.transform("_tasks", lambda x: F.substring(x["t"], 1, MAX_PROMPT))).alias("_answers"))
+    each = called.select("source_id", F.inline(F.arrays_zip("_rows", "_answers")))
+    return each.select("source_id", "_rows.*", *[F.col(f"_answers.{c}").alias(f"{prefix}_{c}") for c in ("text", "reason", "error")])
+
+
+def run_extraction(jobs: DataFrame, model_fn: Callable[[pd.DataFrame], pd.DataFrame] = rule_model, texts: DataFrame | None = None) -> DataFrame:
     """Extract and validate every job.
 
-    ``jobs``: source_id, prompt_id, markdown, extract_prompt, validate_prompt, context.
-    Rows with a missing required dependency still run, as the missing key stays visible.
+    ``jobs``: source_id, prompt_id, extract_prompt, validate_prompt, context; ``texts``:
+    source_id, markdown, by default the ``markdown`` of a source's jobs.  Rows with a missing
+    required dependency still run, as the missing key stays visible.
     """
-    ask = compose_message(inject_context(F.col("extract_prompt"), F.col("context")), F.col("markdown"))
-    first = call_model(jobs.withColumn("_message", ask), model_fn, "_message", "extract")
+    if texts is None:
+        texts = jobs.select("source_id", "markdown").dropDuplicates(["source_id"])
+        jobs = jobs.drop("markdown")
+    first = call_model(jobs.withColumn("_task", inject_context(F.col("extract_prompt"), F.col("context"))), texts, model_fn, "_task", "extract")
     no_logs = F.lit(None).cast("array<double>")
     first = first.withColumn("raw_result", F.col("extract_text")).withColumn(
-        "raw_confidence", answers.response_confidence(F.col("extract_reason"), no_logs, F.col("extract_text"))).drop("_message")
+        "raw_confidence", answers.response_confidence(F.col("extract_reason"), no_logs, F.col("extract_text")))
     checked = format_validation(first)
     usable = F.col("extract_error").isNull() & (F.col("raw_result") != "") & F.col("format_error").isNull()
-    checked = checked.withColumn("_message", F.when(usable, compose_message(F.col("validate_text"), F.col("markdown"))))
-    second = call_model(checked.drop("validate_text"), model_fn, "_message", "validate")
+    checked = checked.withColumn("_task", F.when(usable, F.col("validate_text"))).drop("validate_text", "extract_prompt", "validate_prompt", "context", "extract_text")
+    second = call_model(checked, texts, model_fn, "_task", "validate")
     parsed = second.withColumn("_v", answers.parse_validation(F.col("validate_text")))
     return extraction_outcome(parsed.select("*", "_v.quality", "_v.score", "_v.notes", "_v.result"))
 

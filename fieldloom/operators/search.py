@@ -2,11 +2,13 @@
 
 Items: id, title, description, institution, category, category_id, fulltext,
 entity_variants.  One query is a set of literals, so the scan stays native.  Many
-queries at once share one index of the items' tokens and are joined on their rarest term.
+queries at once are found together by an automaton of their longest terms, and meet the
+items of their rarest one.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from fieldloom.functions import text as tx
@@ -78,56 +80,68 @@ def relevance_percent(results: DataFrame, by: list[str] | None = None) -> DataFr
     return rows.withColumn("percent", share.cast("int")).drop("_max")
 
 
-def _grams(token: Column) -> Column:
-    """Distinct runs of one to three characters."""
-    none = F.array().cast("array<string>")
+def term_hits(texts: DataFrame, terms: DataFrame, slice_texts: int = 2_000, block_terms: int = 20_000) -> DataFrame:
+    """(term, id): every distinct ``terms`` (term) that the text of an item (id, text) contains.
 
-    def of_size(n: int) -> Column:
-        cut = F.transform(F.sequence(F.lit(1), F.length(token) - (n - 1)), lambda i: F.substring(token, i, F.lit(n)))
-        return F.when(F.length(token) >= n, cut).otherwise(none)
-
-    return F.array_distinct(F.concat(*(of_size(n) for n in (1, 2, 3))))
-
-
-def expand_terms(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, token, n): the tokens of a vocabulary (token, n) that contain each distinct term.
-
-    A term has no white space, so it lies within a token.  Tokens meet terms in the term's
-    rarest gram of up to three characters, so a frequent gram on both sides does not matter.
+    Terms are cut into bounded blocks, and each block's automaton reads each text once,
+    whatever the number of its terms.  The numbers of blocks and slices are columns of the plan.
     """
-    own = terms.select("term", F.explode(F.filter(_grams(F.col("term")), lambda g: F.length(g) == F.least(F.length("term"), F.lit(3)))).alias("gram"))
-    of_token = vocabulary.select("token", "n", F.explode(_grams(F.col("token"))).alias("gram")).join(own.select("gram").distinct(), "gram", "left_semi")
-    rarity = of_token.groupBy("gram").agg(F.count(F.lit(1)).alias("_tokens"))
-    rarest = own.join(rarity, "gram").groupBy("term").agg(F.min_by("gram", F.struct("_tokens", "gram")).alias("gram"))
-    return of_token.join(rarest, "gram").where(F.col("token").contains(F.col("term"))).select("term", "token", "n")
-
-
-def batch_search(items: DataFrame, queries: DataFrame) -> DataFrame:
+    count = lambda df, size, name: df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int").alias(name))
+    tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = attach_row(count(texts.select("id"), slice_texts, "_slices"), count(terms, block_terms, "_blocks"))
+    sizes = sizes.withColumn("_slices", F.greatest("_slices", F.lit(2 * tasks)))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = attach_row(texts.select("id", "text"), sizes).withColumn("s", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int")).withColumn("b", every("_blocks"))
+    right = attach_row(terms.select("term"), sizes).withColumn("b", F.pmod(F.xxhash64("term"), F.col("_blocks")).cast("int")).withColumn("s", every("_slices"))
+
+    def read(some: pa.Table, wanted: pa.Table) -> pa.Table:
+        import ahocorasick
+
+        found_terms, found_ids = [], []
+        automaton = ahocorasick.Automaton()
+        for term in wanted.column("term").to_pylist():
+            automaton.add_word(term, term)
+        if len(automaton) and some.num_rows:
+            automaton.make_automaton()
+            for item, text in zip(some.column("id").to_pylist(), some.column("text").to_pylist(), strict=True):
+                hits = {term for _, term in automaton.iter(text)}
+                found_terms.extend(hits)
+                found_ids.extend([item] * len(hits))
+        return pa.table({"term": pa.array(found_terms, pa.string()), "id": pa.array(found_ids, some.schema.field("id").type)})
+
+    # Partitions of few bytes but much work must not be merged by size.
+    left, right = (side.select(*columns).repartition(4 * tasks, "s", "b") for side, columns in ((left, ["id", "text", "s", "b"]), (right, ["term", "s", "b"])))
+    kind = texts.schema["id"].dataType.simpleString()
+    return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(read, f"term string, id {kind}")
+
+
+def batch_search(items: DataFrame, queries: DataFrame, pivots: int = 3) -> DataFrame:
     """(query_id, id, relevance) for many queries in one pass over the items.
 
     ``queries``: query_id, query.  Repeated terms of a query count repeatedly.  A query
     without terms stands for every item: it gets one row with a NULL id.
 
-    Each item is found by the rarest term of a query; the other terms are tested on the
-    found items only, so a frequent term never meets all its items and queries.
+    The ``pivots`` longest terms of all queries are found in one pass and counted.  A query
+    meets the items of the rarest of its own; its other terms are tested on these items
+    only, so a short and frequent term never meets all its items and queries.
     """
-    low = _lowered(items)
+    low = cut_lineage(_lowered(items).select("id", *(f"_l_{n}" for n in ("title", "description", "institution", "category", "fulltext", "_variants"))))
     names = [n for n in low.columns if n.startswith("_l_")]
-    index = low.select("id", F.explode(F.array_distinct(tx.words(F.concat_ws(" ", *names)))).alias("token"))
-    vocabulary = index.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
-    words = queries.select("query_id", tx.words(F.col("query")).alias("_w"))
-    wanted = words.select("query_id", F.size(F.array_distinct("_w")).alias("_needed"), F.explode(F.array_distinct("_w")).alias("term"))
-    expanded = cut_lineage(expand_terms(wanted.select("term").distinct(), vocabulary))  # used twice
-    weights = expanded.groupBy("term").agg(F.sum("n").alias("_items"))
-    # A term that no token contains drops out here, and its query with it.
-    rarest = wanted.join(weights, "term").groupBy("query_id", "_needed").agg(
+    words = cut_lineage(queries.select("query_id", tx.words(F.col("query")).alias("_w")))
+    longest = F.slice(F.array_sort(F.array_distinct("_w"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1, pivots)
+    wanted = words.select("query_id", F.size(longest).alias("_needed"), F.explode(longest).alias("term"))
+    # Terms hold no white space, so none is found across two fields.
+    texts = low.select("id", F.concat_ws("\n", *names).alias("text"))
+    hits = cut_lineage(term_hits(texts, wanted.select("term").distinct()))
+    counts = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_items"))
+    rarest = wanted.join(counts, "term").groupBy("query_id", "_needed").agg(
         F.count(F.lit(1)).alias("_known"), F.min_by("term", F.struct("_items", "term")).alias("term")).where("_known = _needed")
-    found = rarest.select("query_id", "term").join(expanded.select("term", "token"), "term").join(index, "token").select("query_id", "id").distinct()
-    rows = found.join(low.select("id", *names), "id").join(words, "query_id")
+    found = rarest.select("query_id", "term").join(hits, "term").select("query_id", "id")
+    rows = found.join(low, "id").join(words, "query_id")
     total = F.aggregate("_w", F.lit(0).cast("long"), lambda acc, term: acc + _points(term))
-    hits = rows.where(F.forall("_w", _any_field)).select("query_id", "id", total.alias("relevance"))
+    matched = rows.where(F.forall("_w", _any_field)).select("query_id", "id", total.alias("relevance"))
     blank = words.where(F.size("_w") == 0).select("query_id", F.lit(None).cast(items.schema["id"].dataType).alias("id"), F.lit(EMPTY_QUERY).cast("long").alias("relevance"))
-    return hits.unionByName(blank)
+    return matched.unionByName(blank)
 
 
 def autocomplete(items: DataFrame, entities: DataFrame, variants: DataFrame, prefix: str, size: int = 8) -> DataFrame:

@@ -108,12 +108,15 @@ def test_waves_with_several_dependencies_and_cycles(spark):
         (1, 0): 1, (1, 4): 1, (1, 1): 2, (1, 2): 2, (1, 3): 3, (1, 5): 4, (1, 6): 4, (1, 7): 4, (2, 0): 1, (2, 1): 1, (2, 2): 1}
 
 
-def test_terms_meet_all_tokens_that_hold_them(spark):
+def test_terms_are_found_in_all_texts_that_hold_them(spark):
     rnd = random.Random(9)
-    tokens = sorted({"".join(rnd.choices("abcä", k=rnd.randint(1, 9))) for _ in range(200)})
+    texts = [(i, " ".join("".join(rnd.choices("abcä", k=rnd.randint(1, 9))) for _ in range(rnd.randint(0, 6)))) for i in range(120)]
     terms = sorted({"".join(rnd.choices("abcä", k=rnd.randint(1, 5))) for _ in range(40)})
-    got = search.expand_terms(spark.createDataFrame([(w,) for w in terms], "term string"), spark.createDataFrame([(w, 1) for w in tokens], "token string, n int"))
-    assert sorted((r["term"], r["token"]) for r in got.collect()) == sorted((a, b) for a in terms for b in tokens if a in b)
+    frames = spark.createDataFrame(texts, "id long, text string"), spark.createDataFrame([(w,) for w in terms], "term string")
+    want = sorted((w, i) for w in terms for i, text in texts if w in text)
+    for sizes in ({}, {"slice_texts": 5, "block_terms": 7}):
+        assert sorted((r["term"], r["id"]) for r in search.term_hits(*frames, **sizes).collect()) == want
+    assert search.term_hits(frames[0], frames[1].where("false")).isEmpty() and search.term_hits(frames[0].where("false"), frames[1]).isEmpty()
 
 
 def test_hot_page_keeps_only_its_best_links(spark):
