@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from fieldloom.llm.grams import gram_chunks
+from fieldloom.llm.memory import returning
 
 SIZES = (1, 2, 3)
 BITS = 15
@@ -89,7 +90,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
         used = np.flatnonzero(seen_in)
         yield pa.record_batch({"gram": pa.array(np.append(used, -1), pa.int32()), "n": pa.array(np.append(seen_in[used], texts), pa.int64())})
 
-    counts = rows.select("text").mapInArrow(count, "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    counts = rows.select("text").mapInArrow(returning(count), "gram int, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     found = {r["gram"]: r["n"] for r in counts}
     out = np.zeros(1 << BITS, np.int64)
     total = found.pop(-1, 0)
@@ -122,7 +123,7 @@ def _sample(rows: DataFrame, languages: dict[str, int]) -> list[tuple[int, str,
             })
 
     found = rows.where(cut).select(place.alias("place"), "lang", "text").mapInArrow(
-        featurise, "place long, lang string, grams binary, tf binary"
+        returning(featurise), "place long, lang string, grams binary, tf binary"
     )
     out = [
         (r["place"], r["lang"], np.frombuffer(r["grams"], "<u2" if BITS <= 16 else "<u4"), np.frombuffer(r["tf"], "<f4"))
@@ -208,7 +209,7 @@ def predict(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ("doc_
             yield pa.record_batch({**kept, "lang_pred": pa.array(best, pa.string()), "score": pa.array(score, pa.float64())})
 
     schema = ", ".join([*(f"{n} {t}" for n, t in rows.drop("text").dtypes), "lang_pred string", "score double"])
-    found = rows.mapInArrow(judge, schema)
+    found = rows.mapInArrow(returning(judge), schema)
     return found.select(*(F.col(n).alias(c) for c, n in zip(keep, names, strict=True)), "lang_pred", "score")
 
 

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldloom.llm.components import components
 from fieldloom.llm.hashing import mix, rows_of_words, text_chunks, window_hashes, word_hashes, word_spans
+from fieldloom.llm.memory import returning
 from fieldloom.plans.order import cut_lineage
 
 SHINGLE = 5
@@ -222,7 +223,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     its component is null and it is kept; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut_lineage(docs.mapInArrow(_sketches, "doc_id long, n long, c1 long, c2 long, sketch array<long>"))
+    found = cut_lineage(docs.mapInArrow(returning(_sketches), "doc_id long, n long, c1 long, c2 long, sketch array<long>"))
     linkable = found.where("n > 0 AND doc_id IS NOT NULL")
     classes = linkable.groupBy("c1", "c2", "n").agg(F.min("doc_id").alias("node"))
     nodes = linkable.join(classes.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").select(
@@ -245,7 +246,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .select("value", F.ceil(F.col("members") / CHUNK_DOCS).alias("chunks"))
     )
     listed = rarest.join(lists, "value").join(nodes, "node")
-    candidates = _in_chunk_pairs(listed, "value").mapInArrow(_estimated_forest, "a long, b long")
+    candidates = _in_chunk_pairs(listed, "value").mapInArrow(returning(_estimated_forest), "a long, b long")
 
     clusters = components(candidates).withColumnRenamed("component", "cluster")
     sized = clusters.join(nodes.select("node", "n"), "node")
@@ -253,8 +254,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         F.greatest(F.ceil(F.count(F.lit(1)) / CHUNK_DOCS), F.ceil(F.sum("n") / CHUNK_VALUES)).alias("chunks")
     )
     texts = sized.join(chunks, "cluster").select("node", "cluster", "chunks").join(docs.withColumnRenamed("doc_id", "node"), "node")
-    sets = texts.mapInArrow(_sets, "cluster long, node long, chunks long, shingles binary")
-    links = _in_chunk_pairs(sets, "cluster").mapInArrow(_confirmed_forest, "a long, b long")
+    sets = texts.mapInArrow(returning(_sets), "cluster long, node long, chunks long, shingles binary")
+    links = _in_chunk_pairs(sets, "cluster").mapInArrow(returning(_confirmed_forest), "a long, b long")
 
     linked = components(links).withColumnRenamed("component", "component_id")
     of_class = classes.join(linked, "node", "left").select("c1", "c2", "n", F.coalesce("component_id", "node").alias("component_id"))

@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from fieldloom.llm.encoding import encoder, vocabulary
+from fieldloom.llm.memory import returning
 from fieldloom.plans.order import attach_row
 
 WINDOW = 2048
@@ -210,7 +211,7 @@ def pack_documents(
         F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.xxhash64("text"))), F.lit(units)).cast("int").alias("part"),
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"),
     )
-    encoded = rows.mapInArrow(encode, "part int, source string, entry binary").repartition(partitions, "part")
+    encoded = rows.mapInArrow(returning(encode), "part int, source string, entry binary").repartition(partitions, "part")
 
     # An entry holds whether the document's id is null, the id, and its tokens: the sums need all
     # columns that dealing needs, so both uses share one exchange.
