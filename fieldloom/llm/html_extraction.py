@@ -4,7 +4,7 @@ Every page scores its containers by the text they hold; the paths of its best co
 made of tags and generalised classes, are votes.  Votes are summed per host and path, and
 each host's winning path is raised to the highest container around it that holds nearly the
 same text on nearly all pages that vote for it, so a title or lead outside an inner container
-stays.  That path is used to extract the text of all the host's pages.  A page whose own best
+stays.  A path is carried as a hash.  That path is used to extract the text of all the host's pages.  A page whose own best
 container is around its host's path takes its own; one whose own best container is elsewhere,
 named as main text and more than ``FAR_MORE`` times as long, takes both.  A page that has
 nothing at its host's path falls back on its own best container, then on all of its text
@@ -24,7 +24,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from fieldloom.llm.html_pages import Container, containers, extract, raised
+from fieldloom.llm.html_pages import Container, Page, around, containers, extract, raised
 
 #: Paths that a page votes for, and hosts whose paths are sent to all tasks.
 VOTES, BROADCAST_HOSTS = 3, 100_000
@@ -37,8 +37,8 @@ def host_of(url: Column) -> Column:
 
 
 def _best(found: dict[str, Container], n: int) -> list[tuple[str, float]]:
-    scores = sorted(((c.score, path) for path, c in found.items() if c.score > 0), key=lambda s: (-s[0], s[1]))[:n]
-    return [(path, score / scores[0][0]) for score, path in scores]
+    scores = sorted(((c.score, c.level, path) for path, c in found.items() if c.score > 0), key=lambda s: (-s[0], s[1], s[2]))[:n]
+    return [(path, score / scores[0][0]) for score, _, path in scores]
 
 
 def _paths(found: dict[str, Container], path: str | None) -> tuple[str, ...]:
@@ -46,9 +46,9 @@ def _paths(found: dict[str, Container], path: str | None) -> tuple[str, ...]:
     own = next((p for p, _ in _best(found, 1)), None)
     if own is None:
         return (path,) if path else ()
-    if path not in found or path.startswith(f"{own}>"):
+    if path not in found or own in around(path, found):
         return (raised(own, found),)
-    elsewhere = own != path and not own.startswith(f"{path}>")
+    elsewhere = own != path and path not in around(own, found)
     if elsewhere and found[own].weight > 1 and found[own].size > FAR_MORE * found[path].size:
         return path, raised(own, found)
     return (path,)
@@ -62,22 +62,23 @@ def vote_paths(pages: DataFrame) -> DataFrame:
             rows = []
             for host, page in zip(batch.column("host").to_pylist(), batch.column("html"), strict=True):
                 found = containers(page.as_py() or "")
-                rows += [(host, path, raised(path, found), share) for path, share in _best(found, VOTES)]
+                rows += [(host, path, top := raised(path, found), found[top].level, share) for path, share in _best(found, VOTES)]
             yield pa.record_batch({
                 "host": pa.array([r[0] for r in rows], pa.string()), "path": pa.array([r[1] for r in rows], pa.string()),
-                "raised": pa.array([r[2] for r in rows], pa.string()), "share": pa.array([r[3] for r in rows], pa.float64()),
+                "raised": pa.array([r[2] for r in rows], pa.string()), "level": pa.array([r[3] for r in rows], pa.int32()),
+                "share": pa.array([r[4] for r in rows], pa.float64()),
             })
 
     # Shares are summed as whole numbers, so the order of the rows can't change a winner.
-    found = pages.select("host", "html").mapInArrow(votes, "host string, path string, raised string, share double")
-    sums = found.groupBy("host", "path", "raised").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes"), F.count(F.lit(1)).alias("n"))
+    found = pages.select("host", "html").mapInArrow(votes, "host string, path string, raised string, level int, share double")
+    sums = found.groupBy("host", "path", "raised", "level").agg(F.sum(F.round(F.col("share") * 1_000_000).cast("long")).alias("votes"), F.count(F.lit(1)).alias("n"))
     # A page that raises a path to a container agrees to all between them; at most a row per level of the path.
     same = Window.partitionBy("host", "path")
     agreed = sums.select(
-        "host", "path", "raised", F.sum("votes").over(same).alias("votes"),
-        (F.sum("n").over(same.orderBy(F.length("raised")).rowsBetween(Window.unboundedPreceding, 0)) >= AGREE * F.sum("n").over(same)).alias("agreed"),
+        "host", "path", "raised", "level", F.sum("votes").over(same).alias("votes"),
+        (F.sum("n").over(same.orderBy("level").rowsBetween(Window.unboundedPreceding, 0)) >= AGREE * F.sum("n").over(same)).alias("agreed"),
     )
-    return agreed.where("agreed").groupBy("host").agg(F.max_by("raised", F.struct("votes", "path", -F.length("raised"))).alias("path"))
+    return agreed.where("agreed").groupBy("host").agg(F.max_by("raised", F.struct("votes", "path", -F.col("level"))).alias("path"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
         for batch in batches:
             found = []
             for page, path in zip(batch.column("html"), batch.column("path"), strict=True):
-                page, path = page.as_py() or "", path.as_py()
+                page, path = Page(page.as_py() or ""), path.as_py()
                 paths = _paths(containers(page), path)
                 text = extract(page, paths) if paths else ""
                 found.append(text or extract(page, None) or extract(page, None, by_class=False))

@@ -1,20 +1,27 @@
-"""A page as a stream of elements and text, without a tree.
+"""A page as a stream of elements and text, read once.
 
 The few repairs that a stream needs are made: void elements, paragraphs, list items and
 table parts that end where the next begins, end tags without a start, ends that are missing.
+What an element takes from those around it (its path as a hash, what it is left out for, which
+open element a repair would end) is kept on it, so time and memory are linear in the page,
+however deep it is.
+
+A form is furniture, unless it holds most of the page's letters and no article or main lies
+outside the forms: pages of some frameworks lie in a form as a whole.  Labels, buttons and
+fieldsets inside it stay furniture.  Headers are furniture inside an article, too.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
-from collections.abc import Iterator
 from typing import NamedTuple
 
 # Elements by what they mean for the text of a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 UNREAD = frozenset("script style noscript template iframe svg math canvas object audio video head title textarea select".split())
-FURNITURE = frozenset("nav header footer aside form button menu dialog fieldset label input".split())
+FURNITURE = frozenset("nav header footer aside button menu dialog fieldset label input".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split()
 )
@@ -50,11 +57,41 @@ _PART = re.compile(r"[A-Za-z]+")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in UNREAD - {"head"}}
 
 
-class Element(NamedTuple):
-    name: str
-    path: str  # names and generalised classes from the root
-    furniture: bool  # this element or one above it is no main text
-    weight: float  # of text in it, as a container
+#: What a repair ends (elements, barriers), and by name of the element that opens.
+_RULES = [({"p"}, PARAGRAPH_BARRIERS), ({"head"}, frozenset()), *({tuple(map(frozenset, rule)): rule for rule in CLOSES.values()}.values())]
+_ENDED_BY = {name: 0 for name in BREAKS_PARAGRAPH} | {"body": 1} | {name: _RULES.index(rule) for name, rule in CLOSES.items()}
+_IN_RULES = frozenset().union(*(names | barriers for names, barriers in _RULES))
+_NONE_OPEN = (-1,) * len(_RULES)
+
+#: Why an element and all in it are left out: by name or role, by class or id, as part of the head.
+_BY_NAME, _BY_CLASS, _HEAD = 1, 2, 4
+
+
+class Element:
+    """An element and what it takes from those around it."""
+
+    __slots__ = ("name", "path", "level", "marks", "weight", "form", "linked", "prose", "container", "outer", "reach")
+
+    def __init__(self, above: Element | None, name: str, text: str, position: int):
+        attributes = _attributes(text)
+        general = _general(attributes.get("class", ""))
+        step = name + (f".{general}" if general else "")
+        self.name = name
+        # Names and generalised classes from the root, as a hash of the path above and this step.
+        self.path = hashlib.blake2b(f"{above.path if above else ''}>{step}".encode("utf-8", "replace"), digest_size=16).hexdigest()
+        self.level = above.level + 1 if above else 0
+        self.marks = (above.marks if above else 0) | _marks(name, attributes)
+        words = {w.lower() for key in ("class", "id") for w in _PART.findall(attributes.get(key, ""))}
+        self.weight = (1.5 if name in ("article", "main") else 1.0) * (1.25 if words & TEXT_WORDS else 1.0)
+        self.form = above.form if above and above.form else self if name == "form" else None
+        self.linked = bool(above and above.linked) or name == "a"
+        self.prose = bool(above and above.prose) or name in ("article", "main")
+        self.outer = above.container if above else None
+        self.container = self if name in CONTAINERS else self.outer
+        reach = above.reach if above else _NONE_OPEN
+        if name in _IN_RULES:
+            reach = tuple(position if name in names else -1 if name in barriers else at for at, (names, barriers) in zip(reach, _RULES, strict=True))
+        self.reach = reach  # for each repair, the place of the open element that it would end
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -66,14 +103,16 @@ def _general(classes: str) -> str:
     return ".".join(sorted({re.sub(r"\d+", "#", c.lower()) for c in classes.split()})[:2])
 
 
-def _is_furniture(name: str, attributes: dict[str, str], by_class: bool) -> bool:
+def _marks(name: str, attributes: dict[str, str]) -> int:
+    if name == "head":
+        return _HEAD
     if name in FURNITURE or attributes.get("role", "").lower() in FURNITURE_ROLES:
-        return True
+        return _BY_NAME
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
-    if not by_class or name in ("html", "body", "main", "article"):
-        return False
-    return any(_names_furniture(c) for key in ("class", "id") for c in attributes.get(key, "").split())
+        return _BY_NAME
+    if name in ("html", "body", "main", "article"):
+        return 0
+    return _BY_CLASS if any(_names_furniture(c) for key in ("class", "id") for c in attributes.get(key, "").split()) else 0
 
 
 def _names_furniture(name: str) -> bool:
@@ -84,124 +123,170 @@ def _names_furniture(name: str) -> bool:
     return bool(ends & FURNITURE_WORDS) or bool(ends & WEAK_FURNITURE_WORDS and not set(words) & TEXT_WORDS)
 
 
-def _open(stack: list[Element], name: str, text: str, by_class: bool) -> Element:
-    attributes = _attributes(text)
-    general = _general(attributes.get("class", ""))
-    above = stack[-1] if stack else None
-    path = (f"{above.path}>" if above else "") + name + (f".{general}" if general else "")
-    words = {w.lower() for key in ("class", "id") for w in _PART.findall(attributes.get(key, ""))}
-    weight = (1.5 if name in ("article", "main") else 1.0) * (1.25 if words & TEXT_WORDS else 1.0)
-    return Element(name, path, bool(above and above.furniture) or _is_furniture(name, attributes, by_class), weight)
+def _letters(text: str) -> int:
+    return sum(map(len, text.split()))
 
 
-def _close(stack: list[Element], names, barriers) -> None:
-    for at in range(len(stack) - 1, -1, -1):
-        if stack[at].name in names:
-            del stack[at:]
-            return
-        if stack[at].name in barriers:
-            return
+class Page:
+    """The elements of a page in the order they open, and its text in pieces.
 
+    A piece is (element that holds it, decoded text); text None ends a block.  Elements that
+    are never read are left out.
+    """
 
-def events(page: str, by_class: bool = True) -> Iterator[tuple[str, list[Element], str]]:
-    """("open" or "close" or "text", open elements, name or decoded text); unread elements are left out.
+    def __init__(self, page: str):
+        self.elements: list[Element] = []
+        self.pieces: list[tuple[Element | None, str | None]] = []
+        self._forms: dict[bool, frozenset[Element]] = {}
+        stack: list[Element] = []
+        n_open: dict[str, int] = {}
 
-    ``by_class`` tells whether classes and ids, too, mark furniture.
-    """
-    stack: list[Element] = []
-    at = 0
-    while at < len(page):
-        token = _TOKEN.search(page, at)
-        end = token.start() if token else len(page)
-        if end > at:
-            yield "text", stack, html.unescape(page[at:end])
-        if token is None:
-            return
-        at = token.end()
-        name = (token[2] or token[5] or "").lower()
-        if not name:
-            continue
-        attributes = token[3] or token[6] or ""
-        if token[1] or token[4]:
-            if any(e.name == name for e in stack):
-                while stack and stack.pop().name != name:
-                    pass
-                yield "close", stack, name
-            continue
-        if name in _ENDS and not attributes.rstrip().endswith("/"):
-            stop = _ENDS[name].search(page, at)
-            at = page.find(">", stop.end()) + 1 if stop else len(page)
-            at = at or len(page)
-            continue
-        if name in BREAKS_PARAGRAPH:
-            _close(stack, {"p"}, PARAGRAPH_BARRIERS)
-        if name in CLOSES:
-            _close(stack, *CLOSES[name])
-        if name == "body":
-            _close(stack, {"head"}, ())
-        if name in VOID:
-            yield "open", stack, name
-            continue
-        stack.append(_open(stack, name, attributes, by_class))
-        yield "open", stack, name
+        def end_from(position: int) -> None:
+            while len(stack) > position:
+                n_open[stack.pop().name] -= 1
+
+        def mark(name: str) -> None:
+            if name == "br":
+                self.pieces.append((stack[-1] if stack else None, " "))
+            elif name not in INLINE and self.pieces and self.pieces[-1][1] is not None:
+                self.pieces.append((None, None))
+
+        at = 0
+        while at < len(page):
+            token = _TOKEN.search(page, at)
+            end = token.start() if token else len(page)
+            if end > at:
+                self.pieces.append((stack[-1] if stack else None, html.unescape(page[at:end])))
+            if token is None:
+                return
+            at = token.end()
+            name = (token[2] or token[5] or "").lower()
+            if not name:
+                continue
+            attributes = token[3] or token[6] or ""
+            if token[1] or token[4]:
+                if n_open.get(name):
+                    while stack[-1].name != name:
+                        end_from(len(stack) - 1)
+                    end_from(len(stack) - 1)
+                    mark(name)
+                continue
+            if name in _ENDS and not attributes.rstrip().endswith("/"):
+                stop = _ENDS[name].search(page, at)
+                at = page.find(">", stop.end()) + 1 if stop else len(page)
+                at = at or len(page)
+                continue
+            for rule in (0 if name in BREAKS_PARAGRAPH else None, _ENDED_BY.get(name)):
+                if rule is not None and stack and stack[-1].reach[rule] >= 0:
+                    end_from(stack[-1].reach[rule])
+            if name not in VOID:
+                stack.append(Element(stack[-1] if stack else None, name, attributes, len(stack)))
+                n_open[name] = n_open.get(name, 0) + 1
+                self.elements.append(stack[-1])
+            mark(name)
+
+    def forms(self, by_class: bool) -> frozenset[Element]:
+        """The forms that hold the page's text."""
+        if by_class not in self._forms:
+            marks = _BY_NAME | _HEAD | (_BY_CLASS if by_class else 0)
+            total, outside, held = 0, 0, {}
+            if any(element.form for element in self.elements):
+                for element, text in self.pieces:
+                    if text is None or (element and element.marks & marks):
+                        continue
+                    size = _letters(text)
+                    total += size
+                    if element and element.form:
+                        held[element.form] = held.get(element.form, 0) + size
+                    elif element and element.prose:
+                        outside += size
+            self._forms[by_class] = frozenset(form for form, size in held.items() if 2 * size > total and not outside)
+        return self._forms[by_class]
+
+    def is_left_out(self, element: Element | None, by_class: bool = True) -> bool:
+        """Whether it is no main text; ``by_class`` tells whether classes and ids, too, mark furniture."""
+        if element is None:
+            return False
+        if element.marks & (_BY_NAME | _HEAD | (_BY_CLASS if by_class else 0)):
+            return True
+        return element.form is not None and element.form not in self.forms(by_class)
 
 
 class Container(NamedTuple):
     score: float  # its own text, and less of what containers inside it hold; links count against it
     size: int  # letters in it that are not furniture
-    weight: float
+    weight: float  # of text in it
+    name: str
+    level: int
+    outer: str | None  # path of the container around it
 
 
-def containers(page: str) -> dict[str, Container]:
+def containers(page: Page | str) -> dict[str, Container]:
     """The containers of a page by path."""
-    found: dict[str, Container] = {}
-    for kind, stack, text in events(page):
-        if kind != "text" or (stack and stack[-1].furniture) or any(e.name == "head" for e in stack):
-            continue
-        size = sum(map(len, text.split()))
-        if not size:
+    page = page if isinstance(page, Page) else Page(page)
+    held: dict[Element, list] = {}
+    for element, text in page.pieces:
+        if text is None or element is None or element.container is None or page.is_left_out(element):
             continue
-        share = -0.5 if any(e.name == "a" for e in stack) else 1.0
-        for element in reversed(stack):
-            if element.name in CONTAINERS:
-                score, letters, weight = found.get(element.path, (0.0, 0, element.weight))
-                found[element.path] = Container(score + share * size * element.weight, letters + size, max(weight, element.weight))
-                share /= 2
+        size = _letters(text)
+        if size:
+            sums = held.setdefault(element.container, [0.0, 0])
+            sums[0] += -0.5 * size if element.linked else size
+            sums[1] += size
+    found: dict[str, Container] = {}
+    # Elements inside others open later, so each has all its text when its turn comes.
+    for element in reversed(page.elements):
+        if element in held:
+            text, size = held[element]
+            score, letters, weight = found[element.path][:3] if element.path in found else (0.0, 0, element.weight)
+            outer = element.outer
+            found[element.path] = Container(
+                score + text * element.weight, letters + size, max(weight, element.weight), element.name, element.level, outer.path if outer else None)
+            if outer:
+                sums = held.setdefault(outer, [0.0, 0])
+                sums[0] += text / 2
+                sums[1] += size
     return found
 
 
+def around(path: str, found: dict[str, Container]) -> list[str]:
+    """The containers around the one at a path, inner ones first."""
+    above = []
+    while (path := found[path].outer) is not None:
+        above.append(path)
+    return above
+
+
 def raised(path: str, found: dict[str, Container]) -> str:
     """The highest container around a path that holds nearly the same text; an article around it is one in any case."""
-    best, above = path, path
-    while ">" in above:
-        above = above.rpartition(">")[0]
-        if above in found:
-            name = re.split("[>.]", above[above.rfind(">") + 1 :])[0]
-            if found[path].size >= NEARLY.get(name, NEARLY[""]) * found[above].size:
-                best = above
+    best = path
+    for above in around(path, found):
+        if found[path].size >= NEARLY.get(found[above].name, NEARLY[""]) * found[above].size:
+            best = above
     return best
 
 
-def extract(page: str, path: str | tuple[str, ...] | None, by_class: bool = True) -> str:
+def extract(page: Page | str, path: str | tuple[str, ...] | None, by_class: bool = True) -> str:
     """Text of the containers at a path, or at several, a line for each block; of the whole page without one."""
+    page = page if isinstance(page, Page) else Page(page)
     paths = (path,) if isinstance(path, str) else path
-    blocks, words, inside = [], [], None
-    for kind, stack, text in events(page, by_class):
-        if paths is None:
-            here = True
-        elif inside is not None and len(stack) >= inside:
-            here = True
-        else:
-            inside = next((i + 1 for i, e in enumerate(stack) if e.path in paths), None)
-            here = inside is not None
-        here = here and not (stack and stack[-1].furniture) and not any(e.name == "head" for e in stack)
-        if kind == "text":
-            if here:
-                words.append(text)
-        elif text == "br":
-            words.append(" ")
-        elif text not in INLINE:
+    inside: set[Element] = set()
+    if paths:
+        # Elements that open while one at a path is open are deeper; the first that is not is outside it.
+        level = None
+        for element in page.elements:
+            if level is not None and element.level <= level:
+                level = None
+            if level is None and element.path in paths:
+                level = element.level
+            if level is not None:
+                inside.add(element)
+    blocks, words = [], []
+    for element, text in page.pieces:
+        if text is None:
             blocks.append(words)
             words = []
+        elif (paths is None or element in inside) and not page.is_left_out(element, by_class):
+            words.append(text)
     blocks.append(words)
     return "\n".join(line for block in blocks if (line := " ".join("".join(block).split())))

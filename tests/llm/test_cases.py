@@ -1,6 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns for each operator."""
 
 import hashlib
+import time
 import zlib
 
 import brute
@@ -193,6 +194,36 @@ def test_pages_of_another_design_than_their_host(spark):
     assert got[0] == ("words " * 100).strip() and got[30] == ("lead " * 100).strip() + "\nend" and got[31] == "teaser\n" + ("tale " * 100).strip()
 
 
+def test_pages_inside_a_form(spark):
+    """A form that holds the page is a container; one beside the article, or with less text, is furniture."""
+    text = "<div class=content><h1>Title</h1><p>A body of some words in a form.</p></div>"
+    wrapped = f"<html><body><nav>Menu of the site</nav><form action=/p>{text}<label>Your name</label><button>Go</button></form></body></html>"
+    beside = "<body><main><p>Short text.</p></main><form><p>A longer text that explains what is sent with this form.</p></form></body>"
+    small = "<body><div><p>The text of this page is longer than its form.</p></div><form>Sign up here</form></body>"
+    rows = [(1, "http://w.example/1", wrapped), (2, "http://b.example/1", beside), (3, "http://s.example/1", small)]
+    got = {r.page_id: r.text for r in html_extraction.extract_pages(frame(spark, rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Title\nA body of some words in a form.", 2: "Short text.", 3: "The text of this page is longer than its form."}
+
+
+@pytest.mark.parametrize("page, text", [
+    ("<div class=a1>" * 50_000 + "x" + "</div>" * 50_000, "x"),
+    ("<div>" * 50_000 + "x", "x"),
+    ("<p><button>" + "<b>" * 50_000 + "<ul>" * 50_000 + "z", ""),
+    ("<ul><li>" * 25_000 + "y" + "</b>" * 50_000, "y"),
+])
+def test_deep_pages_take_linear_time(page, text):
+    def seconds(size):
+        start = time.process_time()
+        read = html_pages.Page(page[:size])
+        best = html_extraction._paths(html_pages.containers(read), None)
+        html_pages.extract(read, best or None)
+        return time.process_time() - start
+
+    assert html_pages.extract(page, None) == text
+    # Quadratic work would take 25 times as long on five times the page.
+    assert min(seconds(len(page)) for _ in range(2)) < 12 * max(min(seconds(len(page) // 5) for _ in range(2)), 0.05)
+
+
 def test_long_and_deep_pages_take_linear_time():
     deep = "<div>" * 3_000 + "x" + "</div>" * 3_000
     assert html_pages.extract(deep, None) == "x"
