@@ -20,6 +20,7 @@ _AREAS = (
     "configuration",
     "jobs",
     "streams",
+    "versions",
 )
 _QUERIES: dict[str, Callable] = {}
 _TWINS: dict[str, str] = {}
