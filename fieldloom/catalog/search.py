@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from fieldloom.catalog.registry import query
 from fieldloom.functions import text as tx
 from fieldloom.operators import search as s
+from fieldloom.operators.grams import GramIndex
+from fieldloom.streaming.sinks import work_folder
 
 _ITEMS = """SELECT CAST(doc_id AS STRING) AS id, 'Profile ' || lang || CAST(doc_id AS STRING) AS title, lang || ' from ' || source AS description,
     CASE WHEN doc_id % 7 = 0 THEN '' ELSE 'Inst ' || CAST(doc_id % 20 AS STRING) END AS institution, 'Group ' || CAST(doc_id % 5 AS STRING) AS category,
@@ -60,6 +62,20 @@ def batch_search(t):
     return s.batch_search(_items(t), t.sql(_QUERIES))
 
 
+@query("indexed_search", _BATCH, _LOW)
+def indexed_search(t):
+    """The same queries on a stored index whose second update replaces texts and takes items out."""
+    items = t.sql(_ITEMS).join(t.documents.select(F.col("doc_id").cast("string").alias("id"), "lang"), "id")
+    later = F.col("lang") == "de"
+    state = lambda rows, version, live: rows.select("*", F.lit(version).alias("version"), F.lit(live).alias("live"))
+    before = items.withColumn("fulltext", F.when(later, F.reverse("fulltext")).otherwise(F.col("fulltext")))
+    extra = items.where(F.col("lang") == "en").withColumn("id", F.concat(F.lit("x"), "id"))
+    index = GramIndex(t.spark, f"{work_folder(t.spark)}/grams")
+    index.update(0, state(before, 1, True).unionByName(state(extra, 1, True)))
+    index.update(1, state(items.where(later), 2, True).unionByName(state(extra, 2, False)))
+    return index.search(t.sql(_QUERIES))
+
+
 @query("autocomplete", """SELECT rank, type, name FROM (
     SELECT DISTINCT 1 AS rank, 'institution' AS type, institution AS name FROM low WHERE contains(i, 'up')
     UNION ALL SELECT 2, entity_type, canonical_name FROM fx_entity WHERE (contains(lower(canonical_name), 'up') OR entity_id IN (SELECT entity_id FROM fx_variant WHERE contains(lower(variant_name), 'up')))

@@ -128,20 +128,37 @@ def batch_search(items: DataFrame, queries: DataFrame, pivots: int = 3) -> DataF
     low = cut_lineage(_lowered(items).select("id", *(f"_l_{n}" for n in ("title", "description", "institution", "category", "fulltext", "_variants"))))
     names = [n for n in low.columns if n.startswith("_l_")]
     words = cut_lineage(queries.select("query_id", tx.words(F.col("query")).alias("_w")))
-    longest = F.slice(F.array_sort(F.array_distinct("_w"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1, pivots)
-    wanted = words.select("query_id", F.size(longest).alias("_needed"), F.explode(longest).alias("term"))
+    wanted = pivot_terms(words, pivots)
     # Terms hold no white space, so none is found across two fields.
     texts = low.select("id", F.concat_ws("\n", *names).alias("text"))
     hits = cut_lineage(term_hits(texts, wanted.select("term").distinct()))
-    counts = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_items"))
-    rarest = wanted.join(counts, "term").groupBy("query_id", "_needed").agg(
-        F.count(F.lit(1)).alias("_known"), F.min_by("term", F.struct("_items", "term")).alias("term")).where("_known = _needed")
-    found = rarest.select("query_id", "term").join(hits, "term").select("query_id", "id")
+    found = rarest_terms(wanted, hits).join(hits, "term").select("query_id", "id")
     rows = found.join(low, "id").join(words, "query_id")
+    return scored(rows).unionByName(blank_queries(words, items.schema["id"].dataType))
+
+
+def pivot_terms(words: DataFrame, pivots: int) -> DataFrame:
+    """(query_id, _needed, term): the longest terms of each query, and how many they are."""
+    longest = F.slice(F.array_sort(F.array_distinct("_w"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 1, pivots)
+    return words.select("query_id", F.size(longest).alias("_needed"), F.explode(longest).alias("term"))
+
+
+def rarest_terms(wanted: DataFrame, hits: DataFrame) -> DataFrame:
+    """(query_id, term): the term with the fewest items of each query of which all wanted terms have some."""
+    counts = hits.groupBy("term").agg(F.count(F.lit(1)).alias("_items"))
+    known = wanted.join(counts, "term").groupBy("query_id", "_needed")
+    rarest = known.agg(F.count(F.lit(1)).alias("_known"), F.min_by("term", F.struct("_items", "term")).alias("term"))
+    return rarest.where("_known = _needed").select("query_id", "term")
+
+
+def scored(rows: DataFrame) -> DataFrame:
+    """(query_id, id, relevance) of pairs that hold every term in ``_w``."""
     total = F.aggregate("_w", F.lit(0).cast("long"), lambda acc, term: acc + _points(term))
-    matched = rows.where(F.forall("_w", _any_field)).select("query_id", "id", total.alias("relevance"))
-    blank = words.where(F.size("_w") == 0).select("query_id", F.lit(None).cast(items.schema["id"].dataType).alias("id"), F.lit(EMPTY_QUERY).cast("long").alias("relevance"))
-    return matched.unionByName(blank)
+    return rows.where(F.forall("_w", _any_field)).select("query_id", "id", total.alias("relevance"))
+
+
+def blank_queries(words: DataFrame, id_type) -> DataFrame:
+    return words.where(F.size("_w") == 0).select("query_id", F.lit(None).cast(id_type).alias("id"), F.lit(EMPTY_QUERY).cast("long").alias("relevance"))
 
 
 def autocomplete(items: DataFrame, entities: DataFrame, variants: DataFrame, prefix: str, size: int = 8) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from fieldloom.functions.html import with_markdown
 from fieldloom.operators import capture, changes, jobs, records
+from fieldloom.operators.grams import GramIndex
 from fieldloom.streaming.sinks import ChangeLog, run_available, utc_instant, utc_wall
 
 
@@ -173,3 +174,20 @@ def index_stream(profile_changes: DataFrame, folder: str, build: Callable[[DataF
     run_available(profile_changes, folder, on_batch)
     # An older version that arrives late stays behind the newer one.
     return log.latest(["id"], order=("version_ts", "batch")).where("live").drop("live", "version_ts")
+
+
+def gram_index_stream(profile_changes: DataFrame, folder: str, build: Callable[[DataFrame], DataFrame]) -> GramIndex:
+    """A searchable index kept current from profile versions: a batch adds one segment of the items it changes.
+
+    Input as for ``index_stream``; ``build`` gives what ``search`` reads.
+    """
+    index = GramIndex(profile_changes.sparkSession, f"{folder}/grams")
+    names = [c for c in profile_changes.columns if c != "source_id"]
+
+    def on_batch(batch: DataFrame, n: int) -> None:
+        last = batch.groupBy("source_id").agg(F.max_by(F.struct(*names), "version_ts").alias("p")).select("source_id", "p.*")
+        marks = last.select(F.col("source_id").cast("string").alias("id"), F.unix_micros("version_ts").alias("version"), F.col("published").alias("live"))
+        index.update(n, marks.join(build(last.where("published")), "id", "left"))
+
+    run_available(profile_changes, folder, on_batch)
+    return index
