@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from fieldloom.catalog.registry import query
 from fieldloom.operators import configuration as g
+from fieldloom.sources import config
+from fieldloom.streaming.sinks import work_folder
 
 _CATS = """SELECT category_id AS config, CASE WHEN category_id % 11 = 0 THEN NULL ELSE internal_name END AS internal_name, display_name,
     CASE WHEN category_id % 7 = 0 THEN NULL ELSE 'x' END AS template, category_id % 13 <> 0 AS has_groups, true AS has_active FROM {cfg_category}
@@ -34,6 +36,42 @@ def config_violations(t):
     return g.validate_config(t.sql(_CATS), t.sql(_PROMPTS), t.sql(_GROUPS), t.sql(_ACTIVE))
 
 
+_SIZES = """SELECT config, b, s, row_number() OVER (PARTITION BY config ORDER BY s) AS place, CASE WHEN s % 10 = 3 THEN 'same' WHEN s % 10 <> 7 THEN 'size_' || CAST(s AS VARCHAR) END AS internal_name
+    FROM (SELECT DISTINCT p_brand AS config, CAST(substring(p_brand, 7) AS INTEGER) AS b, p_size AS s FROM part) WHERE b % 4 <> 3 AND b % 9 <> 4"""
+
+
+@query("definition_violations", """SELECT config, 'unreadable definition' AS problem, CASE WHEN b % 4 = 3 THEN 'while parsing a flow node' ELSE 'missing category section' END AS detail FROM c WHERE b % 4 = 3 OR b % 9 = 4
+    UNION ALL SELECT config, 'missing category field', 'internal_name' FROM good WHERE b % 11 = 0 UNION ALL SELECT config, 'missing category field', 'template' FROM good WHERE b % 7 = 0
+    UNION ALL SELECT config, 'missing category field', 'field_groups' FROM good WHERE b % 6 = 0 UNION ALL SELECT config, 'missing prompt field', place || ': internal_name' FROM p WHERE internal_name IS NULL
+    UNION ALL SELECT config, 'missing prompt field', place || ': field_group' FROM p WHERE s % 11 = 0 UNION ALL SELECT config, 'no prompt text', CAST(place AS VARCHAR) FROM p WHERE s % 8 = 5
+    UNION ALL SELECT config, 'duplicate prompt', internal_name FROM p WHERE internal_name IS NOT NULL GROUP BY ALL HAVING count(*) > 1
+    UNION ALL SELECT config, 'unknown prompt in group', 'standard.' || field FROM f WHERE field LIKE 'ghost%'
+    UNION ALL SELECT config, 'active group without fields', 'standard' FROM good WHERE config NOT IN (SELECT config FROM f WHERE field IS NOT NULL)
+    UNION ALL SELECT config, 'active group without fields', 'hollow' FROM good WHERE b % 5 = 0""",
+    f"""c AS (SELECT DISTINCT p_brand AS config, CAST(substring(p_brand, 7) AS INTEGER) AS b FROM part), good AS (SELECT * FROM c WHERE b % 4 <> 3 AND b % 9 <> 4), p AS ({_SIZES}),
+    f AS (SELECT config, CASE WHEN s % 9 = 2 THEN 'ghost_' || CAST(s AS VARCHAR) ELSE internal_name END AS field FROM p WHERE b % 6 <> 0)""")
+def definition_violations(t):
+    """Definitions made of the brands and sizes of ``part``, some broken, are written as files, read back and checked."""
+    b, s = F.substring("p_brand", 7, 9).cast("int"), F.col("p_size")
+    name = F.when(s % 10 == 3, "same").when(s % 10 != 7, F.concat(F.lit("size_"), s))
+    prompt = F.struct(
+        name.alias("internal_name"), F.concat(F.lit("Size "), s).alias("display_name"), F.when(s % 11 != 0, "standard").alias("field_group"),
+        F.when(s % 4 != 1, F.concat(F.lit("Find "), s)).alias("prompt_template"), F.when(s % 8 == 1, F.concat(F.lit("Old "), s)).alias("extract_prompt"))
+    sizes = t.part.select(F.col("p_brand").alias("config"), b.alias("b"), "p_size", prompt.alias("prompt"), F.when(s % 9 == 2, F.concat(F.lit("ghost_"), s)).otherwise(name).alias("field")).distinct()
+    # A brand has one prompt per size.
+    brands = sizes.groupBy("config", "b").agg(F.array_sort(F.collect_list(F.struct("p_size", "prompt", "field"))).alias("rows"))
+    b = F.col("b")
+    groups = F.struct(F.col("rows.field").alias("standard"), F.array().cast("array<string>").alias("hollow"))
+    category = F.struct(
+        F.when(b % 11 != 0, F.lower("config")).alias("internal_name"), F.col("config").alias("display_name"), F.when(b % 7 != 0, "# $title").alias("steckbrief_template"),
+        F.when(b % 6 != 0, groups).alias("field_groups"), F.when(b % 5 == 0, F.array(F.lit("standard"), F.lit("hollow"))).otherwise(F.array(F.lit("standard"))).alias("active_groups"))
+    whole = F.to_json(F.struct(category.alias("category"), F.col("rows.prompt").alias("prompts")))
+    text = F.when(b % 4 == 3, '{"category": [').when(b % 9 == 4, '{"prompts": []}').otherwise(whole)
+    folder = f"{work_folder(t.spark)}/definitions"
+    config.write_category_configs(brands.select("config", text.alias("text")), folder)
+    return g.validate_config(**config.config_tables(config.read_category_configs(t.spark, folder, written=True)))
+
+
 _DECLARED = """SELECT 'field_' || CAST(p_partkey + CASE WHEN p_partkey % 5 = 0 THEN 1000000 ELSE 0 END AS STRING) AS internal_name, 'New ' || p_name AS display_name, 'fresh' AS field_group,
     p_size % 2 = 0 AS translatable, CASE WHEN p_size % 4 = 0 THEN 'location' END AS entity_type FROM {part} WHERE p_partkey % 3 <> 1"""
 

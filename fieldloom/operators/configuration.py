@@ -13,8 +13,11 @@ from fieldloom.operators.statistics import n_rows
 KEY_FIELDS = ["type", "founded", "coordinates", "state"]
 
 
-def validate_config(categories: DataFrame, prompts: DataFrame, groups: DataFrame, active: DataFrame) -> DataFrame:
-    """Violations as (config, problem, detail); no row means the definitions are sound."""
+def validate_config(categories: DataFrame, prompts: DataFrame, groups: DataFrame, active: DataFrame, unreadable: DataFrame | None = None) -> DataFrame:
+    """Violations as (config, problem, detail); no row means the definitions are sound.
+
+    ``unreadable``: config, error of definitions that could not be parsed.
+    """
 
     def rows(df: DataFrame, problem: str, detail: Column) -> DataFrame:
         return df.select("config", F.lit(problem).alias("problem"), detail.cast("string").alias("detail"))
@@ -40,7 +43,8 @@ def validate_config(categories: DataFrame, prompts: DataFrame, groups: DataFrame
     unknown = rows(fields.join(known, ["config", "field"], "left_anti"), "unknown prompt in group", F.concat_ws(".", "group_name", "field"))
     filled = fields.select("config", "group_name").distinct()
     hollow = rows(active.join(filled, ["config", "group_name"], "left_anti"), "active group without fields", F.col("group_name"))
-    return reduce(DataFrame.unionByName, [category, empty, prompt, text, twice, unknown, hollow])
+    broken = [] if unreadable is None else [rows(unreadable, "unreadable definition", F.col("error"))]
+    return reduce(DataFrame.unionByName, [category, empty, prompt, text, twice, unknown, hollow, *broken])
 
 
 def sync_prompts(current: DataFrame, declared: DataFrame, force: bool = False) -> DataFrame:

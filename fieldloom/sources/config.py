@@ -36,11 +36,11 @@ _PROMPT_KEYS = (
 ).split()
 
 
-def _parse(path: str, text: str) -> dict:
+def _parse(name: str, text: str) -> dict:
     import yaml
 
     row = dict.fromkeys(("config", "error", "internal_name", "display_name", "display_name_en", "template", "field_groups", "active_groups", "prompts"))
-    row["config"] = path.rsplit("/", 1)[-1]
+    row["config"] = name
     try:
         data = yaml.safe_load(text) or {}
         category = data.get("category")
@@ -59,14 +59,27 @@ def _parse(path: str, text: str) -> dict:
     return row
 
 
-def read_category_configs(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per file with nested groups and prompts; unreadable files carry ``error``."""
+def write_category_configs(definitions: DataFrame, folder: str) -> None:
+    """One file per row of ``definitions`` (config, text), in a folder named by ``config``, which is unique."""
+    rows = definitions.select("config", "text").repartition("config")
+    rows.write.mode("overwrite").partitionBy("config").text(folder)
+
+
+def read_category_configs(spark: SparkSession, folder: str, written: bool = False) -> DataFrame:
+    """One row per definition with nested groups and prompts; unreadable files carry ``error``.
+
+    A definition is a file ``*.yaml`` of the folder, or what ``write_category_configs`` wrote to it.
+    """
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame([_parse(p, t) for p, t in zip(batch["path"], batch["value"])])
+            yield pd.DataFrame([_parse(name, text) for name, text in zip(batch["name"], batch["value"])])
 
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.yaml").select(F.col("_metadata.file_path").alias("path"), "value")
+    if written:
+        files = spark.read.schema("value string, config string").text(folder, wholetext=True).select(F.col("config").alias("name"), "value")
+    else:
+        files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.yaml").select(
+            F.element_at(F.split("_metadata.file_path", "/"), -1).alias("name"), "value")
     return files.mapInPandas(parse, _SCHEMA)
 
 
@@ -97,4 +110,5 @@ def config_tables(configs: DataFrame) -> dict[str, DataFrame]:
         "prompts": prompts.select("config", "position", "internal_name", "display_name", "field_group", "prompt_template", "extract_prompt"),
         "groups": groups.select("config", "group_name", F.explode_outer("fields").alias("field")),
         "active": good.select("config", F.explode("active_groups").alias("group_name")),
+        "unreadable": configs.where("error IS NOT NULL").select("config", "error"),
     }

@@ -77,11 +77,21 @@ def test_category_configs(spark, tmp_path):
     assert [(r["internal_name"], r["extract_prompt"], r["field_type"], r["display_order"]) for r in rows] == [("title", "Find", "list", 10), ("other", "Old", "text", 20), ("other", "", "text", 30)]
     assert [(r["translatable"], r["required_confidence"]) for r in rows] == [(True, 0.6), (False, 0.9), (True, 0.6)]
     assert rows[0]["validate_prompt"] == config.DEFAULT_VALIDATE_PROMPT
-    found = {(r["problem"], r["detail"]) for r in configuration.validate_config(**config.config_tables(configs)).collect()}
+    found = {(r["problem"], r["detail"]) for r in configuration.validate_config(**config.config_tables(configs)).where("config = 'guide.yaml'").collect()}
+    broken = configuration.validate_config(**config.config_tables(configs)).where("config <> 'guide.yaml'").collect()
+    assert {(r["config"], r["problem"]) for r in broken} == {("bad.yaml", "unreadable definition"), ("none.yaml", "unreadable definition")}
     assert found == {("unknown prompt in group", "base.ghost"), ("active group without fields", "more"), ("duplicate prompt", "other"),
                      ("missing prompt field", "3: field_group"), ("no prompt text", "3")}
 
 
+def test_written_configs_are_read_back(spark, tmp_path):
+    texts = [("guide", CONFIG), ("007", CONFIG), ("a b#/c", "category: ["), ("empty", ""), ("list", "[1]")]
+    config.write_category_configs(spark.createDataFrame(texts, "config string, text string"), str(tmp_path / "out"))
+    configs = config.read_category_configs(spark, str(tmp_path / "out"), written=True)
+    assert {r["config"]: r["error"] is None for r in configs.collect()} == {"guide": True, "007": True, "a b#/c": False, "empty": False, "list": False}
+    assert config.declared_prompts(configs).count() == 6
+
+
 def test_integrity_checks_find_one_bad_row(spark):
     df = spark.createDataFrame([(1, 5, "pending"), (1, 6, "odd"), (2, None, "failed")], "id long, parent long, status string")
     parents = spark.createDataFrame([(5,)], "pid long")
