@@ -183,7 +183,7 @@ def _lexicon(sample: DataFrame) -> Lexicon:
             - maths.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
         )
 
-    terms = _counted(sample, _words_and_stems).where(F.col("toxic_docs") >= max(LEAST_DOCS, n_toxic // 200))
+    terms = _counted(sample, _words_and_stems).where(F.col("toxic_docs") >= LEAST_DOCS)
     toxic, clean, rate = F.col("toxic_docs"), F.col("clean_docs"), n_toxic / (n_toxic + n_clean)
     evidence = toxic * F.log(toxic / ((toxic + clean) * rate)) + F.when(
         clean > 0, clean * F.log(clean / ((toxic + clean) * (1 - rate)))
