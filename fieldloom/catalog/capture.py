@@ -161,6 +161,19 @@ def polite_fetch_plan(t):
     return capture.polite_fetch_plan(requests)
 
 
+@query("allowed_fetch_plan", f"""SELECT request_id, host, ready_us,
+    max(ready_us - j * 500000) OVER (PARTITION BY host ORDER BY ready_us, request_id ROWS UNBOUNDED PRECEDING) + j * 500000 AS start_us
+    FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY ready_us, request_id) AS j FROM (
+        SELECT page_id AS request_id, {_HOST.format('url')} AS host, CAST(length(html) * 1000 AS BIGINT) AS ready_us FROM pages
+        WHERE length({_HOST.format('url')}) % 2 = 1 OR regexp_extract(url, '^[a-z]+://[^/]*(/[^/]*/)', 1) <> '/fr/'))""")
+def allowed_fetch_plan(t):
+    """Only pages that robots rules allow are given a time, two a second and host."""
+    hosts = t.pages.select(web.host(F.col("url")).alias("host")).distinct()
+    robots = hosts.where(F.length("host") % 2 == 0).withColumn("robots", F.lit(_ROBOTS))
+    requests = t.pages.select(F.col("page_id").alias("request_id"), "url", (F.length("html") * 1000).cast("long").alias("ready_us"))
+    return capture.allowed_fetch_plan(requests, robots, "fieldloom", 2.0)
+
+
 _PAGE_ROWS = """SELECT page_id - page_id % 4 AS source_id, page_id % 4 AS pos, url, 'T' || CAST(page_id AS STRING) AS title,
     CASE WHEN page_id % 13 = 5 THEN NULL ELSE html END AS markdown, length(html) AS html_size FROM {pages}"""
 

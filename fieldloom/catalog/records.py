@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 from fieldloom.catalog.registry import query
 from fieldloom.operators import records as r
 from fieldloom.plans.order import attach_row
+from fieldloom.sources.sinks import write_observed
+from fieldloom.streaming.sinks import work_folder
 
 _VALUE = "validated_result IS NOT NULL AND validated_result <> ''"
 _NOTBLANK = "trim(coalesce(validated_result, '')) <> ''"
@@ -237,3 +239,12 @@ def dangling_links(t):
 @query("outside_enum", "SELECT event_id, event_type FROM events WHERE event_type NOT IN ('view', 'click', 'purchase')")
 def outside_enum(t):
     return r.outside_enum(t.events, "event_type", ["view", "click", "purchase"]).select("event_id", "event_type")
+
+
+@query("observed_violations", """SELECT count(*) AS "rows", count(*) FILTER (event_type NOT IN ('view', 'click', 'purchase')) AS outside_enum,
+    count(*) FILTER (user_id NOT IN (SELECT s_suppkey FROM supplier)) AS dangling, count(*) FILTER (value < 10) AS low FROM events""")
+def observed_violations(t):
+    """Violations counted by the pass that writes the rows."""
+    rows = r.with_dangling(t.events, "user_id", t.fx_entity, "entity_id", "_dangling")
+    outside = ~F.col("event_type").isin("view", "click", "purchase")
+    return write_observed(rows, f"{work_folder(t.spark)}/events", outside_enum=outside, dangling=F.col("_dangling"), low=F.col("value") < 10)

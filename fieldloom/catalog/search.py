@@ -85,6 +85,27 @@ def autocomplete(t):
     return s.autocomplete(_items(t), t.fx_entity, t.fx_variant, "uP")
 
 
+# Every first letter pair and triple of the benchmark's words, keys of suppliers, parts of names.
+_PREFIX_SQL = """pre AS (SELECT DISTINCT substr(w, 1, k) AS prefix FROM (SELECT unnest(string_split_regex(text, '\\s+')) AS w FROM benchmark), (VALUES (1), (2), (3)) n(k) WHERE w <> ''
+    UNION SELECT CAST(s_suppkey AS VARCHAR) FROM supplier UNION SELECT 'iNST ' || CAST(s_suppkey % 20 AS VARCHAR) FROM supplier UNION SELECT substr(s_name, 1, 12) FROM supplier)"""
+
+
+@query("autocomplete_batch", f"""SELECT prefix, CAST(place AS INTEGER) AS place, rank, type, name FROM (
+    SELECT prefix, rank, type, name, row_number() OVER (PARTITION BY prefix ORDER BY rank, name, type, key) AS place FROM (
+      SELECT DISTINCT prefix, 1 AS rank, 'institution' AS type, institution AS name, '' AS key FROM pre JOIN (SELECT DISTINCT institution, i FROM low WHERE i <> '') ON contains(i, lower(prefix))
+      UNION ALL SELECT DISTINCT prefix, 2, entity_type, canonical_name, CAST(entity_id AS VARCHAR) FROM pre
+        JOIN (SELECT *, lower(canonical_name) AS n FROM fx_entity UNION ALL SELECT e.*, lower(variant_name) FROM fx_entity e JOIN fx_variant USING (entity_id)) ON contains(n, lower(prefix))
+        WHERE NOT (contains(lower(canonical_name), lower(prefix)) AND canonical_name IN (SELECT institution FROM low))
+      UNION ALL SELECT DISTINCT prefix, 3, 'category', category, '' FROM pre JOIN (SELECT DISTINCT category, c FROM low) ON contains(c, lower(prefix)))
+    WHERE length(prefix) >= 2) WHERE place <= 8""", _LOW + ", " + _PREFIX_SQL)
+def autocomplete_batch(t):
+    """Suggestions for a table of prefixes."""
+    words = t.benchmark.select(F.explode(F.split("text", r"\s+")).alias("w")).where("w <> ''")
+    keys = t.supplier.select(F.explode(F.array(F.col("s_suppkey").cast("string"), F.concat(F.lit("iNST "), (F.col("s_suppkey") % 20).cast("string")), F.substring("s_name", 1, 12))).alias("prefix"))
+    prefixes = words.select(F.explode(F.array(*[F.substring("w", 1, k) for k in (1, 2, 3)])).alias("prefix")).unionByName(keys)
+    return s.autocomplete_batch(_items(t), t.fx_entity, t.fx_variant, prefixes)
+
+
 @query("highlighted", """SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '(the)', '<mark>\\1</mark>', 'gi'),
     '(a\\.)', '<mark>\\1</mark>', 'gi'), '(é)', '<mark>\\1</mark>', 'gi') AS text FROM documents""")
 def highlighted(t):

@@ -24,9 +24,14 @@ def _captured(t):
     return s.capture_stream(_stream(t, "pages"), sources, t.fx_category_prompt, t.fx_prompt, work_folder(t.spark), F.expr(_NOW))
 
 
-@query("stream_captured_sources", """SELECT page_id AS source_id, url, 'crawled' AS status, 1 AS pages_crawled, TIMESTAMP '2024-06-01 00:00:00' AS crawled_at FROM pages""")
+@query("stream_captured_sources", """SELECT page_id AS source_id, url, 'crawled' AS status, 1 AS pages_crawled, TIMESTAMP '2024-06-01 00:00:00' AS crawled_at,
+    '# [METADATA]' || chr(10) || 'Source-UUID: ' || url || chr(10) || 'Primary-URL: ' || url || chr(10) || 'Crawled-Pages: 1' || chr(10) || 'Crawl-Timestamp: 2024-06-01T00:00:00Z'
+      || chr(10) || 'Total-Size: ' || length(html) AS head, true AS size_fits FROM pages""")
 def stream_captured_sources(t):
-    return _captured(t)[0].select("source_id", "url", "status", F.col("pages_crawled").cast("int").alias("pages_crawled"), "crawled_at")
+    """The text's own head and the stored size are compared too; its body is the converter's, tested by hand."""
+    return _captured(t)[0].select(
+        "source_id", "url", "status", F.col("pages_crawled").cast("int").alias("pages_crawled"), "crawled_at",
+        F.substring_index("markdown_content", "\n", 6).alias("head"), (F.col("markdown_size") == F.length("markdown_content")).alias("size_fits"))
 
 
 @query("stream_capture_jobs", """SELECT page_id AS source_id, prompt_id FROM pages JOIN fx_category_prompt m ON m.category_id = page_id % 5 + 1 JOIN fx_prompt USING (prompt_id) WHERE is_active""")

@@ -105,6 +105,18 @@ def polite_fetch_plan(requests: DataFrame) -> DataFrame:
     return joined.select("request_id", "host", "ready_us", start.alias("start_us"))
 
 
+def allowed_fetch_plan(pages: DataFrame, robots: DataFrame, agent: str, requests_per_second: float = 1.0) -> DataFrame:
+    """Fetch times of the pages that their hosts allow.
+
+    ``pages``: request_id, url, ready_us.  A page that is not allowed takes no place in its
+    host's queue; a page without an address has no host and no time.
+    """
+    gap = F.lit(round(1_000_000 / requests_per_second)).cast("long")
+    known = pages.where("url IS NOT NULL").select("request_id", "url", "ready_us")
+    allowed = robots_filter(known, robots, agent)
+    return polite_fetch_plan(allowed.select("request_id", web.host(F.col("url")).alias("host"), "ready_us", gap.alias("gap_us")))
+
+
 def consolidate_pages(pages: DataFrame, captured_at: Column, limit: int = 200_000) -> DataFrame:
     """One Markdown text per source from its captured pages.
 

@@ -159,15 +159,23 @@ def render_profiles(extractions, prompts, sources, categories, today: Column, la
     return rows.select("source_id", text.alias("markdown_content"))
 
 
+#: Collation of title lists; the root order of Unicode, which German shares.
+TITLE_ORDER = "UNICODE"
+
+
 def latest_profiles(profiles: DataFrame, n: int = 6) -> DataFrame:
     return profiles.where("published").orderBy(F.desc("generated_at"), "profile_id").limit(n)
 
 
 def category_listing(profiles: DataFrame, sources: DataFrame, order: str = "newest") -> DataFrame:
-    """Published profiles per category in reading order."""
+    """Published profiles per category in reading order.
+
+    Titles are in the order of a locale, as readers see them: letters before case and
+    accents ("Ähre" beside "Ahre", not after "Zoo"); equal titles by id.
+    """
     rows = profiles.where("published").join(sources.select("source_id", "category_id"), "source_id").withColumn(
         "title", md.profile_title(F.col("markdown_content")))
-    keys = {"newest": F.desc("generated_at"), "oldest": F.asc("generated_at"), "title": F.lower("title")}
+    keys = {"newest": F.desc("generated_at"), "oldest": F.asc("generated_at"), "title": F.collate(F.lower("title"), TITLE_ORDER)}
     return rows.orderBy("category_id", keys[order], "profile_id")
 
 

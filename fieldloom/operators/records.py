@@ -241,3 +241,10 @@ def dangling(df: DataFrame, key: str, parent: DataFrame, parent_key: str) -> Dat
 
 def outside_enum(df: DataFrame, column: str, allowed: list[str]) -> DataFrame:
     return df.where(F.col(column).isNotNull() & ~F.col(column).isin(allowed))
+
+
+def with_dangling(df: DataFrame, key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
+    """All rows, ``name`` true where ``key`` is set and no parent has it; a condition to count while the rows are written."""
+    known = parent.select(F.col(parent_key).alias("_parent")).where("_parent IS NOT NULL").distinct()
+    joined = df.join(known, F.col(key) == F.col("_parent"), "left")
+    return joined.withColumn(name, F.col(key).isNotNull() & F.col("_parent").isNull()).drop("_parent")

@@ -9,7 +9,7 @@ items of their rarest one.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from fieldloom.functions import text as tx
 from fieldloom.plans.order import attach_row, cut_lineage
@@ -80,39 +80,53 @@ def relevance_percent(results: DataFrame, by: list[str] | None = None) -> DataFr
     return rows.withColumn("percent", share.cast("int")).drop("_max")
 
 
-def term_hits(texts: DataFrame, terms: DataFrame, slice_texts: int = 2_000, block_terms: int = 20_000) -> DataFrame:
-    """(term, id): every distinct ``terms`` (term) that the text of an item (id, text) contains.
+def _blocks_of_terms(texts: DataFrame, terms: DataFrame, slice_texts: int, block_terms: int):
+    """Slices of ``texts`` (id, text, more) beside bounded blocks of ``terms`` (term), each pair a group of its own.
 
-    Terms are cut into bounded blocks, and each block's automaton reads each text once,
-    whatever the number of its terms.  The numbers of blocks and slices are columns of the plan.
+    The numbers of blocks and slices are columns of the plan.
     """
     count = lambda df, size, name: df.agg(F.greatest(F.ceil(F.count(F.lit(1)) / size), F.lit(1)).cast("int").alias(name))
     tasks = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = attach_row(count(texts.select("id"), slice_texts, "_slices"), count(terms, block_terms, "_blocks"))
     sizes = sizes.withColumn("_slices", F.greatest("_slices", F.lit(2 * tasks)))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = attach_row(texts.select("id", "text"), sizes).withColumn("s", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int")).withColumn("b", every("_blocks"))
+    left = attach_row(texts, sizes).withColumn("s", F.pmod(F.xxhash64("id"), F.col("_slices")).cast("int")).withColumn("b", every("_blocks"))
     right = attach_row(terms.select("term"), sizes).withColumn("b", F.pmod(F.xxhash64("term"), F.col("_blocks")).cast("int")).withColumn("s", every("_slices"))
+    # Partitions of few bytes but much work must not be merged by size.
+    left, right = (side.select(*columns).repartition(4 * tasks, "s", "b") for side, columns in ((left, [*texts.columns, "s", "b"]), (right, ["term", "s", "b"])))
+    return left.groupBy("s", "b").cogroup(right.groupBy("s", "b"))
 
-    def read(some: pa.Table, wanted: pa.Table) -> pa.Table:
-        import ahocorasick
 
+def _automaton(terms: pa.Table):
+    import ahocorasick
+
+    automaton = ahocorasick.Automaton()
+    for term in terms.column("term").to_pylist():
+        automaton.add_word(term, term)
+    if len(automaton):
+        automaton.make_automaton()
+    return automaton
+
+
+def term_hits(texts: DataFrame, terms: DataFrame, slice_texts: int = 2_000, block_terms: int = 20_000) -> DataFrame:
+    """(term, id): every distinct ``terms`` (term) that the text of an item (id, text) contains.
+
+    Terms are cut into bounded blocks, and each block's automaton reads each text once,
+    whatever the number of its terms.
+    """
+
+    def read(some: pa.Table, wanted: pa.Table) -> pa.Table:
         found_terms, found_ids = [], []
-        automaton = ahocorasick.Automaton()
-        for term in wanted.column("term").to_pylist():
-            automaton.add_word(term, term)
-        if len(automaton) and some.num_rows:
-            automaton.make_automaton()
+        automaton = _automaton(wanted)
+        if len(automaton):
             for item, text in zip(some.column("id").to_pylist(), some.column("text").to_pylist(), strict=True):
                 hits = {term for _, term in automaton.iter(text)}
                 found_terms.extend(hits)
                 found_ids.extend([item] * len(hits))
         return pa.table({"term": pa.array(found_terms, pa.string()), "id": pa.array(found_ids, some.schema.field("id").type)})
 
-    # Partitions of few bytes but much work must not be merged by size.
-    left, right = (side.select(*columns).repartition(4 * tasks, "s", "b") for side, columns in ((left, ["id", "text", "s", "b"]), (right, ["term", "s", "b"])))
     kind = texts.schema["id"].dataType.simpleString()
-    return left.groupBy("s", "b").cogroup(right.groupBy("s", "b")).applyInArrow(read, f"term string, id {kind}")
+    return _blocks_of_terms(texts.select("id", "text"), terms, slice_texts, block_terms).applyInArrow(read, f"term string, id {kind}")
 
 
 def batch_search(items: DataFrame, queries: DataFrame, pivots: int = 3) -> DataFrame:
@@ -178,6 +192,45 @@ def autocomplete(items: DataFrame, entities: DataFrame, variants: DataFrame, pre
     return rows.orderBy("rank", "name").limit(size)
 
 
+def autocomplete_batch(items: DataFrame, entities: DataFrame, variants: DataFrame, prefixes: DataFrame, size: int = 8) -> DataFrame:
+    """(prefix, place, rank, type, name): what ``autocomplete`` suggests for each distinct ``prefixes`` (prefix).
+
+    Names meet the prefixes in blocks, one pass of an automaton each.  A block sends on, per
+    prefix and rank, the first ``2 * size`` names only: an entity gives way to an institution
+    of its name that the prefix also finds, and if ``size`` institutions are found, no entity
+    is needed.  So what a prefix gathers is bounded by the blocks, not by its hits.
+    """
+    wanted = prefixes.select("prefix", F.lower("prefix").alias("term")).distinct().where(F.length("term") >= 2)
+    kind = F.coalesce("entity_type", F.lit("entity"))
+    own = entities.select(F.lower("canonical_name").alias("text"), F.lit(2).alias("rank"), kind.alias("type"), F.col("canonical_name").alias("name"), F.col("entity_id").cast("string").alias("key"))
+    known = entities.select("entity_id", kind.alias("type"), F.col("canonical_name").alias("name"))
+    other = variants.join(known, "entity_id").select(F.lower("variant_name").alias("text"), F.lit(2).alias("rank"), "type", "name", F.col("entity_id").cast("string").alias("key"))
+    listed = lambda column, rank, name: items.select(F.lower(column).alias("text"), F.lit(rank).alias("rank"), F.lit(name).alias("type"), F.col(column).alias("name"), F.lit("").alias("key"))
+    names = own.unionByName(other).unionByName(listed("institution", 1, "institution")).unionByName(listed("category", 3, "category"))
+    names = names.where("text <> '' AND name IS NOT NULL").distinct().withColumn("id", F.xxhash64("text", "key"))
+
+    def first(some: pa.Table, terms: pa.Table) -> pa.Table:
+        automaton, kept, found = _automaton(terms), {}, []
+        if len(automaton):
+            order = [(c, "ascending") for c in ("rank", "name", "type", "key")]
+            for row in some.sort_by(order).to_pylist():
+                suggestion = (row["rank"], row["type"], row["name"], row["key"])
+                for term in {term for _, term in automaton.iter(row["text"])}:
+                    had = kept.setdefault((term, row["rank"]), set())
+                    if len(had) < 2 * size and suggestion not in had:
+                        had.add(suggestion)
+                        found.append((term, *suggestion))
+        return pa.table({n: pa.array([f[i] for f in found], k) for i, (n, k) in enumerate(
+            {"term": pa.string(), "rank": pa.int32(), "type": pa.string(), "name": pa.string(), "key": pa.string()}.items())})
+
+    hits = _blocks_of_terms(names, wanted.select("term").distinct(), 20_000, 20_000).applyInArrow(first, "term string, rank int, type string, name string, key string")
+    hits = cut_lineage(hits.distinct())
+    institutions = hits.where("rank = 1").select("term", "name", F.lit(2).alias("rank"))
+    best = Window.partitionBy("term").orderBy("rank", "name", "type", "key")
+    placed = hits.join(institutions, ["term", "rank", "name"], "left_anti").withColumn("place", F.row_number().over(best)).where(F.col("place") <= size)
+    return wanted.join(placed, "term").select("prefix", "place", "rank", "type", "name")
+
+
 def highlight(text: Column, terms: Column) -> Column:
     """Escaped text with every term marked, longest term first."""
     longest = F.array_sort(terms, lambda a, b: F.length(b) - F.length(a))

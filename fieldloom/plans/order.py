@@ -47,6 +47,23 @@ def sorted_blocks(df: DataFrame, keys: list[Column], blocks: int | None = None)
     return cut_lineage(placed)
 
 
+def places(ordered: DataFrame, group: str, name: str = "place") -> DataFrame:
+    """1-based place of each row among those of its ``group``, read from the order of a frame sorted by ``group`` first.
+
+    Rows are numbered where they lie; one row per part and one per group are joined to
+    them, so a group with a third of all rows is never gathered.
+    """
+    at = F.monotonically_increasing_id()
+    rows = cut_lineage(ordered.withColumn("_part", F.shiftright(at, 33)).withColumn("_pos", at.bitwiseAND(F.lit((1 << 33) - 1))))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    numbered = rows.join(F.broadcast(starts), "_part").withColumn("_rank", F.col("_start") + F.col("_pos"))
+    first = numbered.groupBy(F.col(group).alias("_group")).agg(F.min("_rank").alias("_first"))
+    joined = numbered.join(first, F.col(group).eqNullSafe(F.col("_group")))
+    return joined.withColumn(name, F.col("_rank") - F.col("_first") + 1).drop("_part", "_pos", "_start", "_rank", "_group", "_first")
+
+
 def global_rank(df: DataFrame, keys: list[Column], name: str = "rank") -> DataFrame:
     """Exact 1-based rank of every row in the order of ``keys``."""
     placed = sorted_blocks(df, keys)
