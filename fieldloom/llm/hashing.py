@@ -5,7 +5,8 @@ so words can be found in the UTF-8 bytes.  A prefix sum of ``value(byte) * base*
 gives the hash of any span by one subtraction; there is no Python loop over words.
 Such sums modulo 2^64 have pairs of unequal strings of 1,024 bytes and more that collide
 whatever the base and values are, so longer spans are hashed by BLAKE2b instead.
-Hashes are 64 bits wide; equal words always get equal hashes.
+Hashes are 64 bits wide; equal words always get equal hashes.  A second, independent hash
+(``second``) makes 128 bits of two, where unequal spans must be told apart at any size.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ CHUNK_BYTES = 1 << 20
 #: Longer spans are not hashed by sums.
 SUMMED_BYTES = 128
 
+#: Bases of spans of bytes and of windows of words, of the first and the second hash.
 _BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0x94D049BB133111EB
+_SECOND_BASE, _SECOND_WORD_BASE = 0xD1342543DE82EF95, 0xAF251AF3B0F025B5
 _POWERS: dict[int, np.ndarray] = {}
 
 
@@ -36,6 +39,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 _VALUES = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 _FOLDED = _VALUES.copy()
 _FOLDED[65:91] = _VALUES[97:123]
+_SECOND_VALUES = mix(np.arange(1001, 1257, dtype=np.uint64)) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -106,16 +110,17 @@ def byte_values(fold_case: bool = False, one_space: bool = False) -> np.ndarray:
     return values
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray) -> np.ndarray:
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, values: np.ndarray, second: bool = False) -> np.ndarray:
     """Hash of the bytes of each span; spans of any length and order."""
-    sums, inverse = _span_sums(values[data], _BASE)
+    sums, inverse = _span_sums(values[data], _SECOND_BASE if second else _BASE)
     hashes = mix((sums[ends] - sums[starts]) * _powers(inverse, len(data) + 1)[starts])
     long = np.flatnonzero(ends - starts > SUMMED_BYTES)
     if len(long):
         _, first, same = np.unique(values, return_index=True, return_inverse=True)
         alike = data if len(first) == 256 else first.astype(np.uint8)[same][data]
         for i in long.tolist():
-            hashes[i] = int.from_bytes(hashlib.blake2b(alike[starts[i] : ends[i]], digest_size=8).digest(), "little")
+            key = b"second" if second else b""
+            hashes[i] = int.from_bytes(hashlib.blake2b(alike[starts[i] : ends[i]], digest_size=8, key=key).digest(), "little")
     return hashes
 
 
@@ -123,11 +128,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold_cas
     return span_hashes(data, starts, ends, _FOLDED if fold_case else _VALUES)
 
 
-def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def window_hashes(words: np.ndarray, size: int, second: bool = False) -> np.ndarray:
     """Hash of every run of ``size`` words, over row borders too."""
     if len(words) < size or size < 1:
         return np.zeros(0, dtype=np.uint64)
-    sums, inverse = _span_sums(words, _WORD_BASE)
+    sums, inverse = _span_sums(words, _SECOND_WORD_BASE if second else _WORD_BASE)
     n = len(words) - size + 1
     return mix((sums[size:] - sums[:n]) * _powers(inverse, n))
 
@@ -137,11 +142,11 @@ def rows_of_words(bounds: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
 
 
-def hashed_words(column: pa.Array, fold_case: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word of the column in order, word bounds of its rows)."""
+def hashed_words(column: pa.Array, fold_case: bool = False, second: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word of the column in order, word bounds of its rows); the second hash tells A-Z from a-z."""
     hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(1, np.int64)]
     for _, _, data, offsets in text_chunks(column):
         starts, ends, bounds = word_spans(data, offsets)
-        hashes.append(word_hashes(data, starts, ends, fold_case))
+        hashes.append(span_hashes(data, starts, ends, _SECOND_VALUES, True) if second else word_hashes(data, starts, ends, fold_case))
         counts.append(np.diff(bounds))
     return np.concatenate(hashes), np.cumsum(np.concatenate(counts))

@@ -7,7 +7,9 @@ hold a pair of equal, aligned anchors: runs of ``window - P + 1`` words that sta
 word positions with a residue in C, at the same distance from the start of either
 window.  So only anchors are hashed and counted over the corpus; where an anchor
 occurs in two documents, it is extended to all windows around it, and only those
-windows are compared over the corpus.  The result is exact.
+windows are compared over the corpus.  A shared anchor only proposes; windows are equal if
+two independent hashes of 64 bits are, made of two independent hashes of their words, so
+unequal windows do not meet at any size of a corpus.
 
 Documents are dealt to units by a hash of their id.  A unit sends each of its anchor
 or window hashes once, packed by hash bucket, so a passage in a third of all rows
@@ -42,10 +44,10 @@ def is_difference_cover(cover: tuple[int, ...], period: int) -> bool:
     return {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def _unit(table: pa.Table, size: int):
+def _unit(table: pa.Table, size: int, second: bool = False):
     """(window hashes, row of each, position in the row's words) of all windows inside rows that have an id."""
-    words, bounds = hashed_words(table.column("text"))
-    hashes = window_hashes(words, size)
+    words, bounds = hashed_words(table.column("text"), second=second)
+    hashes = window_hashes(words, size, second)
     rows = rows_of_words(bounds)
     inside = rows[: len(hashes)] == rows[size - 1 : size - 1 + len(hashes)]
     inside &= ~table.column("doc_id").is_null().to_numpy(zero_copy_only=False)[rows[: len(hashes)]]
@@ -57,6 +59,23 @@ def _ids(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").fill_null(_NO_DOC).to_numpy()
 
 
+def _groups(hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+    """A number from 0 for each pair, the same for equal pairs."""
+    order = np.lexsort((checks, hashes))
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (hashes[order][1:] != hashes[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+    numbers = np.empty(len(order), dtype=np.int64)
+    numbers[order] = np.cumsum(new) - 1
+    return numbers
+
+
+def _least(numbers: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Smallest doc of each number."""
+    least = np.full(int(numbers.max()) + 1 if len(numbers) else 0, _NO_DOC)
+    np.minimum.at(least, numbers, docs)
+    return least
+
+
 def _first_docs(hashes: np.ndarray, docs: np.ndarray):
     """(distinct hashes, smallest and largest doc of each)."""
     if not len(hashes):
@@ -67,56 +86,37 @@ def _first_docs(hashes: np.ndarray, docs: np.ndarray):
     return hashes[new], docs[new], docs[np.append(new[1:], len(docs)) - 1]
 
 
-def _packed(part: int, buckets: int, hashes: np.ndarray, docs: np.ndarray) -> pa.Table:
-    """One row per bucket with entries; the hashes of a bucket stay in order."""
-    bucket = ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    names, starts = np.unique(bucket[order], return_index=True)
+def _runs(name: str, keys: np.ndarray, **entries: np.ndarray) -> dict[str, pa.Array]:
+    """One row per key with the packed values of its entries, in their order."""
+    order = np.argsort(keys, kind="stable")
+    names, starts = np.unique(keys[order], return_index=True)
     ends = np.append(starts, len(order))[1:]
-    hashes, docs = hashes[order], docs[order]
-    return pa.table({
-        "bucket": pa.array(names, pa.int32()), "part": pa.array(np.full(len(names), part), pa.int32()),
-        "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-        "docs": pa.array([docs[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-    })
-
-
-_PACKED = "bucket int, part int, hashes binary, docs binary"
-_ANSWERS = "part int, hashes binary, docs binary"
+    packed = {n: values[order] for n, values in entries.items()}
+    return {name: pa.array(names, pa.int32())} | {
+        n: pa.array([values[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()) for n, values in packed.items()
+    }
 
 
-def _entries(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    parts, hashes, docs = (table.column(c).to_pylist() for c in ("part", "hashes", "docs"))
-    return (
-        np.repeat(np.array(parts, np.int64), [len(h) // 8 for h in hashes]),
-        np.frombuffer(b"".join(hashes), np.uint64), np.frombuffer(b"".join(docs), np.int64),
-    )
+def _packed(part: int, buckets: int, hashes: np.ndarray, **more: np.ndarray) -> pa.Table:
+    """One row per bucket with entries; the hashes of a bucket stay in order."""
+    runs = _runs("bucket", ((hashes >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64), hashes=hashes, **more)
+    bucket = runs.pop("bucket")
+    return pa.table({"bucket": bucket, "part": pa.array(np.full(len(bucket), part), pa.int32()), **runs})
 
 
-def _answers(parts: np.ndarray, hashes: np.ndarray, docs: np.ndarray) -> pa.Table:
-    order = np.argsort(parts, kind="stable")
-    names, starts = np.unique(parts[order], return_index=True)
-    ends = np.append(starts, len(order))[1:]
-    hashes, docs = hashes[order], docs[order]
-    return pa.table({
-        "part": pa.array(names, pa.int32()),
-        "hashes": pa.array([hashes[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-        "docs": pa.array([docs[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-    })
+_PACKED = "bucket int, part int, hashes binary, docs binary"
+_ANSWERS = "part int, hashes binary"
+_PACKED_WINDOWS = "bucket int, part int, hashes binary, checks binary, docs binary"
+_ANSWERED_WINDOWS = "part int, hashes binary, checks binary, docs binary"
 
 
-def _known(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    _, hashes, docs = _entries(table)
-    order = np.argsort(hashes)
-    return hashes[order], docs[order]
+def _entries(table: pa.Table, name: str, kind=np.uint64) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
-def _lookup(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    """Index into ``known`` (sorted), -1 where absent."""
-    if not len(known):
-        return np.full(len(hashes), -1)
-    at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-    return np.where(known[at] == hashes, at, -1)
+def _parts(table: pa.Table) -> np.ndarray:
+    """Part of each entry."""
+    return np.repeat(np.array(table.column("part").to_pylist(), np.int64), [len(h) // 8 for h in table.column("hashes").to_pylist()])
 
 
 def repeated_words(
@@ -147,20 +147,22 @@ def repeated_words(
     def send_anchors(table: pa.Table) -> pa.Table:
         hashes, rows, at, _ = anchors_of(table)
         found, least, most = _first_docs(hashes[at], _ids(table)[rows[at]])
-        return _packed(table.column("part")[0].as_py(), units, found, (least != most).astype(np.int64))
+        return _packed(table.column("part")[0].as_py(), units, found, docs=(least != most).astype(np.int64))
 
     def shared_anchors(table: pa.Table) -> pa.Table:
-        parts, hashes, own = _entries(table)
+        hashes, own = _entries(table, "hashes"), _entries(table, "docs", np.int64)
         values, index, counts = np.unique(hashes, return_inverse=True, return_counts=True)
         shared = (counts > 1) | (np.bincount(index, weights=own, minlength=len(values)) > 0)
         keep = shared[index]
-        return _answers(parts[keep], hashes[keep], own[keep])
+        return pa.table(_runs("part", _parts(table)[keep], hashes=hashes[keep]))
 
     def send_windows(table: pa.Table, shared: pa.Table) -> pa.Table:
+        none = np.zeros(0, np.uint64)
         if not table.num_rows:
-            return _packed(0, units, np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            return _packed(0, units, none, checks=none, docs=none)
         hashes, rows, at, bounds = anchors_of(table)
-        hit = at[_lookup(_known(shared)[0], hashes[at]) >= 0]
+        known = np.sort(_entries(shared, "hashes"))
+        hit = at[known[np.minimum(np.searchsorted(known, hashes[at]), len(known) - 1)] == hashes[at]] if len(known) else at[:0]
         # An anchor at word p lies in the windows that start from p - (window - anchor) to p.
         marks = np.zeros(len(rows) + 2, dtype=np.int64)
         np.add.at(marks, np.maximum(hit - (window - anchor), bounds[rows[hit]]), 1)
@@ -168,25 +170,30 @@ def repeated_words(
         near = np.cumsum(marks) > 0
         hashes, rows, at, _ = _unit(table, window)
         at = at[near[at]]
-        found, least, _ = _first_docs(hashes[at], _ids(table)[rows[at]])
-        return _packed(table.column("part")[0].as_py(), units, found, least)
+        if not len(at):
+            return _packed(0, units, none, checks=none, docs=none)
+        hashes, checks = hashes[at], _unit(table, window, second=True)[0][at]
+        numbers = _groups(hashes, checks)
+        least = _least(numbers, _ids(table)[rows[at]])
+        one = np.empty(len(least), dtype=np.int64)
+        one[numbers] = np.arange(len(numbers))
+        return _packed(table.column("part")[0].as_py(), units, hashes[one], checks=checks[one], docs=least)
 
     def first_elsewhere(table: pa.Table) -> pa.Table:
-        parts, hashes, least = _entries(table)
-        values, index = np.unique(hashes, return_inverse=True)
-        first = np.full(len(values), _NO_DOC)
-        np.minimum.at(first, index, least)
-        keep = first[index] < least
-        return _answers(parts[keep], hashes[keep], first[index][keep])
+        hashes, checks, least = _entries(table, "hashes"), _entries(table, "checks"), _entries(table, "docs", np.int64)
+        numbers = _groups(hashes, checks)
+        first = _least(numbers, least)[numbers]
+        keep = first < least
+        return pa.table(_runs("part", _parts(table)[keep], hashes=hashes[keep], checks=checks[keep], docs=first[keep]))
 
     def remove(table: pa.Table, elsewhere: pa.Table) -> pa.Table:
         hashes, rows, at, bounds = _unit(table, window)
-        ids, known = _ids(table), _known(elsewhere)
-        docs_at, hashes = ids[rows[at]], hashes[at]
-        found, least, _ = _first_docs(hashes, docs_at)
-        found_at = _lookup(known[0], found)
-        least = np.where(found_at >= 0, known[1][found_at], least) if len(known[0]) else least
-        hit = at[docs_at > least[np.searchsorted(found, hashes)]] if len(found) else at[:0]
+        docs_at = _ids(table)[rows[at]]
+        hashes, checks = hashes[at], _unit(table, window, second=True)[0][at]
+        # Windows of this unit beside those that start in a smaller document of another.
+        numbers = _groups(np.append(hashes, _entries(elsewhere, "hashes")), np.append(checks, _entries(elsewhere, "checks")))
+        least = _least(numbers, np.append(docs_at, _entries(elsewhere, "docs", np.int64)))
+        hit = at[docs_at > least[numbers[: len(at)]]]
         marks = np.zeros(len(rows) + 1, dtype=np.int64)
         np.add.at(marks, hit, 1)
         np.add.at(marks, hit + window, -1)
@@ -208,8 +215,8 @@ def repeated_words(
 
     by_unit = text.groupBy("part")
     shared = by_unit.applyInArrow(send_anchors, _PACKED).groupBy("bucket").applyInArrow(shared_anchors, _ANSWERS)
-    windows = by_unit.cogroup(shared.groupBy("part")).applyInArrow(send_windows, _PACKED)
-    elsewhere = windows.groupBy("bucket").applyInArrow(first_elsewhere, _ANSWERS)
+    windows = by_unit.cogroup(shared.groupBy("part")).applyInArrow(send_windows, _PACKED_WINDOWS)
+    elsewhere = windows.groupBy("bucket").applyInArrow(first_elsewhere, _ANSWERED_WINDOWS)
     return by_unit.cogroup(elsewhere.groupBy("part")).applyInArrow(
         remove, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     )

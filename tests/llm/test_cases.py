@@ -85,6 +85,22 @@ def test_repeated_words(spark):
     assert short == {d: n for d, (_, n, _) in brute.repeated_words(shifted, 3).items()}
 
 
+def test_windows_of_equal_hash_and_other_words_are_no_repeat():
+    """Whatever the first hash says, the second tells windows apart; both must agree to remove."""
+    from fieldloom.llm import hashing
+
+    column = pa.array(["a b c", "a b d", "A b c", "x" * 200 + " b c", "x" * 199 + "y b c", None, "a  b\nc"])
+    first, bounds = hashing.hashed_words(column)
+    second, again = hashing.hashed_words(column, second=True)
+    assert (bounds == again).all() and len(set(second.tolist())) == len(set(first.tolist())) == 7
+    assert (hashing.window_hashes(first, 3) != hashing.window_hashes(second, 3, True)).all()
+    hashes, checks = np.array([5, 5, 5, 7], np.uint64), np.array([1, 2, 1, 1], np.uint64)
+    numbers = repeats._groups(hashes, checks)
+    assert numbers[0] == numbers[2] and len(set(numbers.tolist())) == 3
+    assert repeats._least(numbers, np.array([9, 1, 4, 3]))[numbers].tolist() == [4, 1, 4, 3]
+    assert repeats._least(repeats._groups(hashes[:0], checks[:0]), hashes[:0].astype(np.int64)).tolist() == []
+
+
 def test_repeated_words_of_odd_rows(spark):
     rows = [(None, LONG), (5, LONG), (5, LONG), (None, None), (6, "a b\x1cc d")]
     got = sorted((r.doc_id is None, r.doc_id, r.n_words, r.n_removed) for r in repeats.repeated_words(frame(spark, rows)).collect() if r.doc_id)
