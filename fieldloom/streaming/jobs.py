@@ -15,10 +15,14 @@ from fieldloom.streaming.sinks import ChangeLog, run_available, utc_instant, utc
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str = "*.parquet", files_per_batch: int = 100) -> DataFrame:
-    """Parquet files of a folder as a stream; the schema is that of the files already there."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
-    return reader.option("pathGlobFilter", pattern).parquet(folder)
+    """Parquet files of a folder as a stream; the schema is that of the files already there.
+
+    What ``pattern`` names may be files or folders of part files.
+    """
+    # In braces the name is a glob too, and files of folders that it names are read as well.
+    paths = f"{folder.rstrip('/')}/{{{pattern}}}"
+    schema = spark.read.parquet(paths).schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(paths)
 
 
 # --- pages to captured sources and extract jobs -------------------------------

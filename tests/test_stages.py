@@ -226,3 +226,14 @@ def test_capture_stream_with_failed_and_unknown_pages(spark, tmp_path):
     assert got[2]["error_message"] == "empty page" and got[1]["category_id"] == 1
     assert got[1]["markdown_content"].endswith("## Page-Type: PRIMARY\n\ntext\n") and "Crawl-Timestamp: 2024-06-01T00:00:00Z" in got[1]["markdown_content"]
     assert sorted(map(tuple, made.collect())) == [(1, 1), (1, 2), (3, 1), (3, 2)]
+
+
+def test_streams_read_tables_that_are_files_or_folders_of_parts(spark, tmp_path):
+    rows = spark.range(0, 30, 1, 3).select("id", F.concat(F.lit("t"), "id").alias("text"))
+    rows.write.parquet(str(tmp_path / "in" / "a.parquet"))
+    rows.where("id < 5").coalesce(1).write.parquet(str(tmp_path / "one"))
+    (file,) = (tmp_path / "one").glob("part-*.parquet")
+    (tmp_path / "in" / "b.parquet").write_bytes(file.read_bytes())
+    for name, n in (("a.parquet", 30), ("b.parquet", 5), ("*.parquet", 35)):
+        got = streams.collect_stream(streams.file_stream(spark, str(tmp_path / "in"), name, 2), str(tmp_path / f"work{n}"))
+        assert got.count() == n and got.where("text = concat('t', id)").count() == n
