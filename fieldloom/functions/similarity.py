@@ -86,6 +86,14 @@ def letter_counts(text: str) -> np.ndarray:
     return np.bincount(points % CLASSES, minlength=CLASSES).astype(np.int32)
 
 
+def counts_of(names: list[str]) -> np.ndarray:
+    """``letter_counts`` of many names, one row each."""
+    sizes = np.array([len(n) for n in names], np.int64)
+    points = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32) % CLASSES
+    rows = np.repeat(np.arange(len(names)), sizes)
+    return np.bincount(rows * CLASSES + points, minlength=len(names) * CLASSES).reshape(-1, CLASSES).astype(np.int32)
+
+
 def word_set(text: str) -> set[str]:
     return set(_WORD.findall(text))
 
@@ -191,17 +199,62 @@ class Substrings:
         return size, of_text, of_name
 
 
+class Prefixes:
+    """The distinct beginnings of the names of a block, level by level: a letter is read once for all names that share it and what stands before."""
+
+    def __init__(self, order: np.ndarray, codes: np.ndarray, starts: np.ndarray, lengths: np.ndarray):
+        """``order`` sorts the names; names are runs of ``codes``, none empty."""
+        starts, lengths = starts[order], lengths[order]
+        same = np.ones(len(order), bool)  # the row begins as the one before it
+        same[:1] = False
+        node, last, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64), 0
+        self.levels = []
+        for depth in range(int(lengths.max(initial=0))):
+            rows = np.flatnonzero(lengths > depth)
+            letters = codes[starts[rows] + depth]
+            before = np.maximum(rows - 1, 0)
+            same[rows] &= lengths[before] > depth
+            shared = np.flatnonzero(same[rows])
+            same[rows[shared]] = codes[starts[before[shared]] + depth] == letters[shared]
+            fresh = ~same[rows]
+            self.levels.append((letters[fresh], node[rows][fresh]))
+            node[rows] = np.cumsum(fresh) - 1
+            last[rows] = total + node[rows]
+            total += int(fresh.sum())
+        self.total, self.last = total, np.empty(len(order), np.int64)
+        self.last[order] = last
+
+    def subsequence(self, text: str, letters: dict[str, int]) -> np.ndarray:
+        """Length of the longest common subsequence of ``text``, of at most 64 letters, with each name, in bits of one number (Hyyrö)."""
+        places = [0] * len(letters)
+        for i, c in enumerate(text):
+            if c in letters:
+                places[letters[c]] |= 1 << i
+        masks, values = np.array(places, np.uint64), np.empty(self.total, np.uint64)
+        at, state = 0, np.full(1, np.iinfo(np.uint64).max, np.uint64)
+        for codes, parents in self.levels:
+            state = state[parents]
+            met = state & masks[codes]
+            state = (state + met) | (state - met)
+            values[at : at + len(state)] = state
+            at += len(state)
+        unused = np.uint64((1 << len(text)) - 1)
+        return len(text) - np.bitwise_count(values[self.last] & unused).astype(np.int64)
+
+
 class NameBlock:
     """A bounded set of names prepared for exact best-k lookups.
 
-    Names stand in the order of their lengths and letters and are bounded in cells of
-    neighbours.  A lookup visits cells by falling bound, and leaves when no cell reaches the
-    k-th best score.
+    What difflib matches is a common subsequence, whose greatest length bounds a name's
+    score.  A lookup of at most 64 letters finds these lengths for all names, by their
+    distinct beginnings, and visits names by falling bound until none reaches the k-th best
+    score.  For a longer one, names stand in the order of their lengths and letters, are
+    bounded in cells of neighbours, and cells are visited so.
     """
 
     def __init__(self, entity_ids, names):
         names = list(names)
-        counts = np.array([letter_counts(n) for n in names], np.int32)
+        counts = counts_of(names)
         order = sorted(range(len(names)), key=lambda i: (len(names[i]), "".join(sorted(set(names[i]))), names[i]))
         self.ids, self.names, self.counts = np.asarray(entity_ids)[order], [names[i] for i in order], counts[order]
         self.entities, self.entity = np.unique(self.ids, return_inverse=True)
@@ -209,6 +262,7 @@ class NameBlock:
         self.letters = {c: i for i, c in enumerate(sorted({c for n in self.names for c in n}))}
         self.codes = np.array([self.letters[c] for n in self.names for c in n], np.int32)
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.prefixes = None
         self.words, self.posting = [], {}
         for row, name in enumerate(self.names):
             found = word_set(name)
@@ -239,29 +293,46 @@ class NameBlock:
         """The k entities of the block closest to ``needle``, ties by entity id; entities below ``floor`` may be left out."""
         if not needle:
             return [(int(e), 0.0) for e in sorted(set(self.ids.tolist()))[:k]]
-        width, mine, substrings = len(needle), letter_counts(needle), Substrings(needle, self.letters)
-        native, caps, kinds = self._shared(needle), self.cells.caps(needle), np.flatnonzero(mine)
-        np.maximum.at(caps, np.arange(len(native)) // CELL, native)
-        cells = np.argsort(-caps, kind="stable")
+        width, mine, substrings = len(needle), letter_counts(needle), None
+        native, kinds = self._shared(needle), np.flatnonzero(mine)
         best = np.full(len(self.entities), -1.0)
         bound, at, step = floor, 0, 4
-        place = max(len(best) - k, 0)
+        if width <= 64:
+            if self.prefixes is None:
+                order = np.array(sorted(range(len(self.names)), key=self.names.__getitem__), np.int64)
+                self.prefixes = Prefixes(order, self.codes, self.starts, self.lengths)
+            matchable = self.prefixes.subsequence(needle, self.letters)
+            caps = np.maximum(native, 0.6 * (2.0 * matchable / (self.lengths + width)))
+            # Containment needs all letters of the shorter text.
+            caps[matchable >= np.minimum(self.lengths, width)] = 1.0
+            visits = np.flatnonzero(caps >= floor)
+            visits = visits[np.argsort(-caps[visits], kind="stable")]
+            step *= CELL
+        else:
+            caps = self.cells.caps(needle)
+            np.maximum.at(caps, np.arange(len(native)) // CELL, native)
+            visits = np.argsort(-caps, kind="stable")
 
         def kth() -> float:
-            return max(floor, float(np.partition(best, place)[place])) if len(best) >= k else floor
+            top = best[best >= bound]  # the k-th best never falls
+            return max(bound, float(np.partition(top, len(top) - k)[len(top) - k])) if len(top) >= k else bound
 
-        while at < len(cells) and caps[cells[at]] >= bound:
-            some = cells[at : at + step]
+        while at < len(visits) and caps[visits[at]] >= bound:
+            some = visits[at : at + step]
             some = some[caps[some] >= bound]
             at, step = at + step, step * 2
-            rows = (some[:, None] * CELL + np.arange(CELL)).ravel()
-            rows = rows[rows < len(self.names)]
-            common = np.minimum(self.counts[rows[:, None], kinds], mine[kinds]).sum(axis=1)
-            cap = np.maximum(native[rows], 0.6 * ratio_caps(common, self.lengths[rows], self.lengths[rows], width))
-            keep = (cap >= bound) | (common >= np.minimum(self.lengths[rows], width))
-            rows, common = rows[keep], common[keep]
+            if width <= 64:
+                rows, common = some, matchable[some]
+            else:
+                rows = (some[:, None] * CELL + np.arange(CELL)).ravel()
+                rows = rows[rows < len(self.names)]
+                common = np.minimum(self.counts[rows[:, None], kinds], mine[kinds]).sum(axis=1)
+                cap = np.maximum(native[rows], 0.6 * ratio_caps(common, self.lengths[rows], self.lengths[rows], width))
+                keep = (cap >= bound) | (common >= np.minimum(self.lengths[rows], width))
+                rows, common = rows[keep], common[keep]
             order = np.argsort(-self.lengths[rows], kind="stable")
             rows, common = rows[order], common[order]
+            substrings = substrings or Substrings(needle, self.letters)
             size, a, b = substrings.longest(self.codes, self.starts[rows], self.lengths[rows])
             length = self.lengths[rows]
             # The pieces left and right of the longest one are no longer than the shorter side; difflib drops letters of long names.
@@ -278,10 +349,11 @@ class NameBlock:
             # What is left depends on the pieces beside the longest one.
             rest = np.flatnonzero((cap > score) & (cap >= bound) & (cap > best[entity]))
             rest = rest[np.argsort(-cap[rest], kind="stable")]
-            for first in range(0, len(rest), 32):
-                if cap[rest[first]] < bound:
-                    break
-                part = rest[first : first + 32]
+            first, batch = 0, 32
+            while first < len(rest) and cap[rest[first]] >= bound:
+                part = rest[first : first + batch]
+                part = part[cap[part] >= bound]
+                first, batch = first + batch, 2 * batch
                 totals = [
                     s + _sides(needle[:x], name[:y]) + _sides(needle[x + s :], name[y + s :]) if len(name) < 200 else matched_length(needle, name)
                     for name, s, x, y in zip([self.names[r] for r in rows[part].tolist()], size[part].tolist(), a[part].tolist(), b[part].tolist(), strict=True)

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.functions.similarity import NameBlock, Substrings, Summary
+from fieldloom.functions.similarity import NameBlock, Prefixes, Substrings, Summary
 from fieldloom.operators import entities as e
 
 REAL = [
@@ -151,3 +151,35 @@ def test_longest_common_pieces():
         for name, size, a, b in zip(names, *(f.tolist() for f in found), strict=True):
             want = SequenceMatcher(None, text, name, autojunk=False).find_longest_match()
             assert size == want.size and (not size or (a, b) == (want.a, want.b))
+
+
+def test_lookups_read_few_names_and_common_subsequences_are_exact(monkeypatch):
+    def longest(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = _next(row, x, b)
+        return row[-1]
+
+    def _next(row, x, b):
+        out = [0]
+        for j, y in enumerate(b):
+            out.append(row[j] + 1 if x == y else max(out[-1], row[j + 1]))
+        return out
+
+    rnd = random.Random(3)
+    names = ["".join(rnd.choice("abc é") for _ in range(rnd.randint(1, 12))) for _ in range(300)]
+    block = NameBlock(range(300), names)
+    order = np.array(sorted(range(300), key=block.names.__getitem__), np.int64)
+    prefixes = Prefixes(order, block.codes, block.starts, block.lengths)
+    for text in ["a", "abca cab", "zz", "é" * 64, "ab" * 32]:
+        assert prefixes.subsequence(text, block.letters).tolist() == [longest(text, n) for n in block.names]
+
+    nations = ["algeria", "brazil", "china", "egypt", "france", "japan", "kenya", "peru", "romania", "vietnam"]
+    block = NameBlock(range(6000), [f"{nations[i % 10]} institute {i}" for i in range(6000)])
+    read, own = [], Substrings.longest
+    monkeypatch.setattr(Substrings, "longest", lambda self, codes, starts, lengths: read.append(len(starts)) or own(self, codes, starts, lengths))
+    for needle in ["office 40123 peru", "office 88 brazil", "china instiute"]:
+        found = block.best(needle, 50)
+        scores = sorted(((-score(needle, [n]), int(e)) for n, e in zip(block.names, block.ids)))[:50]
+        assert [(e, -s) for s, e in scores] == found
+    assert sum(read) < 4000  # bounds by letter counts alone have 11,966 of 18,000 names read, these 1,112
