@@ -279,7 +279,10 @@ def set_flag(table: DataFrame, names: DataFrame, key: str, column: str, value: b
 def edit_links(links: DataFrame, add: DataFrame, remove: DataFrame) -> DataFrame:
     """Add and remove mapping or dependency rows; existing rows stay once."""
     keys = add.columns
-    kept = links.join(remove.select(*keys), keys, "left_anti")
+    # Rows of few bytes: tasks of a size in bytes would hold too many of them to sort.
+    tasks = 4 * int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    links, remove, add = (df.repartition(tasks, *keys) for df in (links, remove.select(*keys), add))
+    kept = links.join(remove, keys, "left_anti")
     fresh = add.distinct().join(kept.select(*keys), keys, "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 

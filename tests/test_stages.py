@@ -237,3 +237,14 @@ def test_streams_read_tables_that_are_files_or_folders_of_parts(spark, tmp_path)
     for name, n in (("a.parquet", 30), ("b.parquet", 5), ("*.parquet", 35)):
         got = streams.collect_stream(streams.file_stream(spark, str(tmp_path / "in"), name, 2), str(tmp_path / f"work{n}"))
         assert got.count() == n and got.where("text = concat('t', id)").count() == n
+
+
+def test_edited_links_are_dealt_to_tasks_by_rows(spark):
+    links = spark.createDataFrame([(1, 2, 10), (1, 2, 20), (None, 3, 30), (2, 3, 40), (4, None, 50)], "category_id long, prompt_id long, display_order long")
+    add = spark.createDataFrame([(1, 2), (7, 7), (7, 7), (None, 3), (2, 3)], "category_id long, prompt_id long")
+    remove = spark.createDataFrame([(2, 3), (None, 3)], "category_id long, prompt_id long")
+    out = changes.edit_links(links, add, remove)
+    got = sorted([tuple(r) for r in out.collect()], key=str)
+    assert got == sorted([(1, 2, 10), (1, 2, 20), (None, 3, 30), (4, None, 50), (7, 7, None), (None, 3, None), (2, 3, None)], key=str)
+    # Not merged by size: a task would hold all rows that fit a number of compressed bytes.
+    assert out.rdd.getNumPartitions() >= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
