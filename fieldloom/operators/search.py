@@ -195,10 +195,9 @@ def autocomplete(items: DataFrame, entities: DataFrame, variants: DataFrame, pre
 def autocomplete_batch(items: DataFrame, entities: DataFrame, variants: DataFrame, prefixes: DataFrame, size: int = 8) -> DataFrame:
     """(prefix, place, rank, type, name): what ``autocomplete`` suggests for each distinct ``prefixes`` (prefix).
 
-    Names meet the prefixes in blocks, one pass of an automaton each.  A block sends on, per
-    prefix and rank, the first ``2 * size`` names only: an entity gives way to an institution
-    of its name that the prefix also finds, and if ``size`` institutions are found, no entity
-    is needed.  So what a prefix gathers is bounded by the blocks, not by its hits.
+    A name is cut into its pieces of the lengths that the prefixes have, and pieces meet
+    equal prefixes, so the work grows with the names and their lengths, whatever the number
+    of prefixes.  Of the names of a frequent prefix, each task sends on ``size`` only.
     """
     wanted = prefixes.select("prefix", F.lower("prefix").alias("term")).distinct().where(F.length("term") >= 2)
     kind = F.coalesce("entity_type", F.lit("entity"))
@@ -207,24 +206,16 @@ def autocomplete_batch(items: DataFrame, entities: DataFrame, variants: DataFram
     other = variants.join(known, "entity_id").select(F.lower("variant_name").alias("text"), F.lit(2).alias("rank"), "type", "name", F.col("entity_id").cast("string").alias("key"))
     listed = lambda column, rank, name: items.select(F.lower(column).alias("text"), F.lit(rank).alias("rank"), F.lit(name).alias("type"), F.col(column).alias("name"), F.lit("").alias("key"))
     names = own.unionByName(other).unionByName(listed("institution", 1, "institution")).unionByName(listed("category", 3, "category"))
-    names = names.where("text <> '' AND name IS NOT NULL").distinct().withColumn("id", F.xxhash64("text", "key"))
-
-    def first(some: pa.Table, terms: pa.Table) -> pa.Table:
-        automaton, kept, found = _automaton(terms), {}, []
-        if len(automaton):
-            order = [(c, "ascending") for c in ("rank", "name", "type", "key")]
-            for row in some.sort_by(order).to_pylist():
-                suggestion = (row["rank"], row["type"], row["name"], row["key"])
-                for term in {term for _, term in automaton.iter(row["text"])}:
-                    had = kept.setdefault((term, row["rank"]), set())
-                    if len(had) < 2 * size and suggestion not in had:
-                        had.add(suggestion)
-                        found.append((term, *suggestion))
-        return pa.table({n: pa.array([f[i] for f in found], k) for i, (n, k) in enumerate(
-            {"term": pa.string(), "rank": pa.int32(), "type": pa.string(), "name": pa.string(), "key": pa.string()}.items())})
-
-    hits = _blocks_of_terms(names, wanted.select("term").distinct(), 20_000, 20_000).applyInArrow(first, "term string, rank int, type string, name string, key string")
-    hits = cut_lineage(hits.distinct())
+    names = names.where("text <> '' AND name IS NOT NULL").distinct()
+    terms = wanted.select("term").distinct()
+    lengths = terms.agg(F.collect_set(F.length("term")).alias("_lengths"))  # one row, of as many numbers as there are lengths
+    starts = lambda n: F.sequence(F.lit(1), F.length("text") - n + 1)
+    pieces = F.transform(F.filter("_lengths", lambda n: n <= F.length("text")), lambda n: F.transform(starts(n), lambda i: F.col("text").substr(i, n)))
+    cut = attach_row(names, lengths).select(F.explode(F.array_distinct(F.flatten(pieces))).alias("term"), "rank", "type", "name", "key")
+    # Rows of few bytes: tasks of a size in bytes would hold too many of them to sort.
+    tasks = 4 * int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = cut.repartition(tasks, "term").join(terms.repartition(tasks, "term"), "term", "left_semi")
+    hits = cut_lineage(found.distinct())
     institutions = hits.where("rank = 1").select("term", "name", F.lit(2).alias("rank"))
     best = Window.partitionBy("term").orderBy("rank", "name", "type", "key")
     placed = hits.join(institutions, ["term", "rank", "name"], "left_anti").withColumn("place", F.row_number().over(best)).where(F.col("place") <= size)

@@ -102,3 +102,12 @@ def test_reports_of_empty_tables(spark, tmp_path):
     assert got == {"total": 3, "translatable": 3, "translated": 2, "pending": 2, "failed": 1, "skipped": 0, "progress": 66.7}
     numbers = {r["metric"]: r["value"] for r in kept.dashboard().collect()}
     assert (numbers["total_extractions"], numbers["low_confidence"], numbers["linked_extractions"], numbers["avg_confidence"]) == (4.0, 2.0, 1.0, 55.0)
+
+
+def test_suggestions_behind_many_entities_of_an_institutions_name(spark):
+    items = spark.createDataFrame([("abx", None)], "institution string, category string")
+    entities = spark.createDataFrame([(i, None, "abx") for i in range(40)] + [(50, "location", "aby")], "entity_id long, entity_type string, canonical_name string")
+    variants = spark.createDataFrame([(50, "ab" * 30), (50, "xÄab")], "entity_id long, variant_name string")
+    prefixes = spark.createDataFrame([("aB",), ("Äa",), ("ab" * 30,), ("ab" * 40,)], "prefix string")
+    got = {(r["prefix"], r["place"], r["rank"], r["name"]) for r in search.autocomplete_batch(items, entities, variants, prefixes).collect()}
+    assert got == {("aB", 1, 1, "abx"), ("aB", 2, 2, "aby"), ("Äa", 1, 2, "aby"), ("ab" * 30, 1, 2, "aby")}
