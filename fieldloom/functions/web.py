@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 from fieldloom.functions.text import strip
@@ -43,15 +45,25 @@ def base_url(url: Column) -> Column:
     return F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``; the value is computed once however often it is used, in filters too."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def normalize_url(url: Column) -> Column:
     """Trim, default to https and require a host; NULL when that fails."""
-    trimmed = strip(url)
-    full = F.when(trimmed.startswith("http://") | trimmed.startswith("https://"), trimmed).otherwise(
-        F.concat(F.lit("https://"), trimmed)
-    )
-    name = host(full)
-    usable = (F.length(trimmed) > 0) & (F.length(name) > 0) & (name.contains("[") == name.contains("]"))
-    return F.when(usable, full)
+
+    def checked(trimmed: Column, full: Column, name: Column) -> Column:
+        usable = (F.length(trimmed) > 0) & (F.length(name) > 0) & (name.contains("[") == name.contains("]"))
+        return F.when(usable, full)
+
+    def completed(trimmed: Column) -> Column:
+        full = F.when(trimmed.startswith("http://") | trimmed.startswith("https://"), trimmed).otherwise(
+            F.concat(F.lit("https://"), trimmed)
+        )
+        return _once(full, lambda full: _once(host(full), lambda name: checked(trimmed, full, name)))
+
+    return _once(strip(url), completed)
 
 
 def _drop_dots(path: Column) -> Column:

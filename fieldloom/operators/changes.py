@@ -231,16 +231,18 @@ def register_sources(sources: DataFrame, requests: DataFrame) -> tuple[DataFrame
     request of an address wins.
     """
     clean = requests.withColumn("_url", web.normalize_url(F.col("url")))
-    invalid = clean.where("_url IS NULL").select("request_id", "url", F.lit("invalid url").alias("error"))
     valid = clean.where("_url IS NOT NULL")
     first = valid.groupBy("_url").agg(F.min("request_id").alias("request_id"))
     fresh = first.join(sources.select(F.col("url").alias("_url")), "_url", "left_anti").select("request_id")
     accepted = valid.join(fresh, "request_id", "left_semi")
-    taken = valid.join(fresh, "request_id", "left_anti").select("request_id", "url", F.lit("url already registered").alias("error"))
+    # Invalid ones have no key here and so are refused by the same join.
+    marked = clean.withColumn("_id", F.when(F.col("_url").isNotNull(), F.col("request_id")))
+    reason = F.when(F.col("_url").isNull(), "invalid url").otherwise("url already registered")
+    refused = marked.join(fresh.withColumnRenamed("request_id", "_id"), "_id", "left_anti").select("request_id", "url", reason.alias("error"))
     key = new_key(F.lit("source_id"), F.col("_url")).alias("source_id")
     new = accepted.select("request_id", key, F.col("_url").alias("url"), "category_id", F.lit("pending").alias("status"))
     jobs = accepted.select("request_id", key, F.col("_url").alias("url"), F.lit("crawl").alias("job_type"), F.coalesce("rate_limit", F.lit(1.0)).alias("rate_limit"))
-    return new, jobs, invalid.unionByName(taken)
+    return new, jobs, refused
 
 
 def apply_updates(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:

@@ -248,3 +248,17 @@ def test_edited_links_are_dealt_to_tasks_by_rows(spark):
     assert got == sorted([(1, 2, 10), (1, 2, 20), (None, 3, 30), (4, None, 50), (7, 7, None), (None, 3, None), (2, 3, None)], key=str)
     # Not merged by size: a task would hold all rows that fit a number of compressed bytes.
     assert out.rdd.getNumPartitions() >= 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_requests_are_read_twice_and_their_addresses_trimmed_once(spark, capsys):
+    requests = spark.createDataFrame(
+        [(1, " a.org/x "), (2, "https://a.org/x"), (3, " "), (4, None), (5, "b.org"), (5, "c.org"), (None, "d.org"), (6, "old.org")], "request_id long, url string").withColumn(
+        "category_id", F.lit(1)).withColumn("rate_limit", F.lit(None).cast("double"))
+    sources = spark.createDataFrame([("https://old.org",), (None,)], "url string")
+    refused = changes.register_sources(sources, requests)[2]
+    got = sorted([tuple(r) for r in refused.collect()], key=str)
+    taken = "url already registered"
+    assert got == sorted([(2, "https://a.org/x", taken), (3, " ", "invalid url"), (4, None, "invalid url"), (None, "d.org", taken), (6, "old.org", taken)], key=str)
+    capsys.readouterr()
+    refused.explain()
+    assert capsys.readouterr().out.count("regexp_replace") < 8
