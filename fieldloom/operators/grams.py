@@ -167,5 +167,6 @@ class GramIndex:
         hits = cut_lineage(self.lookup(wanted.select("term").distinct()))
         found = search.rarest_terms(wanted, hits).join(hits, "term").select("query_id", *_PLACE)
         items = self._items(self._segments()).where("live").select(*_PLACE, "id", *self.texts)
-        rows = found.join(items, _PLACE).join(words, "query_id")
+        # Texts meet their queries last, so that no text is shuffled once for each of its queries.
+        rows = found.join(words, "query_id").join(items, _PLACE)
         return search.scored(rows).unionByName(search.blank_queries(words, items.schema["id"].dataType))

@@ -147,7 +147,8 @@ def batch_search(items: DataFrame, queries: DataFrame, pivots: int = 3) -> DataF
     texts = low.select("id", F.concat_ws("\n", *names).alias("text"))
     hits = cut_lineage(term_hits(texts, wanted.select("term").distinct()))
     found = rarest_terms(wanted, hits).join(hits, "term").select("query_id", "id")
-    rows = found.join(low, "id").join(words, "query_id")
+    # Texts meet their queries last, so that no text is shuffled once for each of its queries.
+    rows = found.join(words, "query_id").join(low, "id")
     return scored(rows).unionByName(blank_queries(words, items.schema["id"].dataType))
 
 

@@ -111,3 +111,15 @@ def test_suggestions_behind_many_entities_of_an_institutions_name(spark):
     prefixes = spark.createDataFrame([("aB",), ("Äa",), ("ab" * 30,), ("ab" * 40,)], "prefix string")
     got = {(r["prefix"], r["place"], r["rank"], r["name"]) for r in search.autocomplete_batch(items, entities, variants, prefixes).collect()}
     assert got == {("aB", 1, 1, "abx"), ("aB", 2, 2, "aby"), ("Äa", 1, 2, "aby"), ("ab" * 30, 1, 2, "aby")}
+
+
+def test_texts_are_dealt_once_and_not_for_each_query(spark, capsys):
+    items = spark.createDataFrame([(str(i), f"Title {i}", f"word{i % 7} common") for i in range(50)], "id string, title string, fulltext string")
+    items = items.select("*", *[F.lit("").alias(c) for c in ("description", "institution", "category")], F.array().cast("array<string>").alias("entity_variants"))
+    queries = spark.createDataFrame([(1, "word3 common"), (2, "title common"), (3, "none")], "query_id long, query string")
+    found = search.batch_search(items, queries)
+    assert found.groupBy("query_id").count().orderBy("query_id").collect() == [(1, 7), (2, 50)]
+    capsys.readouterr()
+    found.explain("formatted")
+    nodes = re.split(r"\n\n", capsys.readouterr().out)
+    assert sum("Exchange" in n.split("\n")[0] and "_l_fulltext" in n for n in nodes) == 1
