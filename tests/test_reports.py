@@ -106,7 +106,7 @@ def test_reports_of_empty_tables(spark, tmp_path):
 
 def test_suggestions_behind_many_entities_of_an_institutions_name(spark):
     items = spark.createDataFrame([("abx", None)], "institution string, category string")
-    entities = spark.createDataFrame([(i, None, "abx") for i in range(40)] + [(50, "location", "aby")], "entity_id long, entity_type string, canonical_name string")
+    entities = spark.createDataFrame([(i, None, "abx") for i in range(100, 1100)] + [(50, "location", "aby")], "entity_id long, entity_type string, canonical_name string")
     variants = spark.createDataFrame([(50, "ab" * 30), (50, "xÄab")], "entity_id long, variant_name string")
     prefixes = spark.createDataFrame([("aB",), ("Äa",), ("ab" * 30,), ("ab" * 40,)], "prefix string")
     got = {(r["prefix"], r["place"], r["rank"], r["name"]) for r in search.autocomplete_batch(items, entities, variants, prefixes).collect()}
