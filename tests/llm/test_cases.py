@@ -406,6 +406,52 @@ def test_addresses_with_thousands_of_zeros():
     assert pii._variants("1.2.3." + "0" * 5_000 + "7", "ip")[0][0] == "1.2.3.263"
 
 
+def test_trees_learn_from_all_texts(spark, monkeypatch):
+    """As many spans as a bounded sample would not hold, in several parts: the trees of all of them, and thresholds that keep the precision."""
+    rng = np.random.default_rng(11)
+
+    def number(n):
+        return "".join(str(d) for d in rng.integers(0, 10, n))
+
+    def card():
+        digits = number(15)
+        return digits + next(d for d in "0123456789" if pii.luhn(digits + d))
+
+    def text(i):
+        made = [f"{VOCABULARY[int(k)]}@{VOCABULARY[int(k) // 2]}.org" for k in rng.integers(0, 400, 6)] + [f"+1 {number(10)}"] * (i % 3)
+        made += [card() for _ in range(i % 5)] + [f"{rng.integers(1, 255)}.{i % 256}.0.{number(2)}"] + [number(int(k)) for k in rng.integers(6, 18, 3)]
+        return ", ".join(f"{VOCABULARY[int(rng.integers(400))]} {m}" for m in made)
+
+    texts = [text(i) for i in range(450)] + ["write bob at mail dot org", None, ""]
+    docs = frame(spark, list(enumerate(texts)) + [(0, texts[0]), (None, texts[1])])
+    monkeypatch.setattr(pii, "TASK_EXAMPLES", 40)
+    monkeypatch.setattr(pii, "PART_EXAMPLES", 700)
+    judge = pii.learn(docs)
+    held = {r.text: r.held for r in docs.selectExpr("text", "pmod(xxhash64(text), 4) = 3 AS held").collect()}
+    found = [(held[t], y, x) for t in [*texts, texts[0], texts[1]] if t for y, x in pii._examples(t)]
+    kept, y, x = np.array([f[0] for f in found]), np.array([f[1] for f in found]), pii.coarse(np.array([f[2] for f in found], float))
+    assert len(found) > 20_000
+    want = boosting.boost(x[~kept], y[~kept])
+    for name in ("features", "thresholds", "values", "base"):
+        assert np.array_equal(getattr(judge.trees, name), getattr(want, name)), name
+    chance = judge.trees.probability(x)
+    for i, name in enumerate(pii.KINDS):
+        chosen = kept & (x[:, 0] == i) & (chance >= judge.thresholds[name])
+        assert judge.thresholds[name] > 1 or y[chosen].mean() >= pii.PRECISION
+
+
+def test_equal_probabilities_are_selected_together():
+    p, y = np.array([0.9, 0.9, 0.9, 0.9, 0.95]), np.array([1, 1, 1, 0, 1])
+    assert boosting.threshold_of(p, y, 0.9) == 0.95 and boosting.threshold_of(p, y, 0.8) == 0.9
+    assert boosting.threshold_of(np.array([0.9, 0.9, 0.95]), np.array([1, 0, 1]), 0.9, times=np.array([99, 1, 1])) == 0.9
+    assert boosting.threshold_of(p[:0], y[:0], 0.9) > 1
+
+
+def test_features_of_long_spans_take_few_values():
+    values = pii.coarse(np.arange(1_000_000, dtype=float))
+    assert (values[:129] == np.arange(129)).all() and len(np.unique(values)) < 1_000 and (np.diff(values) >= 0).all() and (values >= np.arange(1_000_000) * 0.98).all()
+
+
 def test_redaction_keeps_clean_texts(spark):
     docs = frame(spark, [(1, "write to bob@mail.org now"), (2, None), (3, LONG), (4, "")])
     got = {r.doc_id: r for r in pii.redact(docs).collect()}
