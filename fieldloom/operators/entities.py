@@ -96,10 +96,10 @@ def entity_candidates(mentions: DataFrame, entities: DataFrame, variants: DataFr
     keyed = mentions.select("text", kind.alias("entity_type"), name_key(F.col("text")).alias("needle")).distinct()
     found = closest_names(keyed.select("entity_type", "needle").distinct(), names, k, **blocks)
     small = known.groupBy("entity_type").agg((F.count(F.lit(1)) <= k).alias("_whole"))
-    found = found.join(small, "entity_type").withColumn("_order", F.when(F.col("_whole"), 0.0).otherwise(-F.col("score")))
-    place = Window.partitionBy("entity_type", "needle").orderBy("_order", "entity_id")
-    best = found.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
-    return keyed.join(best, ["entity_type", "needle"]).select("text", "entity_id", "score", "rank")
+    offered = F.when(F.col("_whole"), F.sort_array("closest")).otherwise(F.col("closest"))
+    best = found.join(small, "entity_type").select("entity_type", "needle", offered.alias("_best"))
+    ranked = keyed.join(best, ["entity_type", "needle"]).select("text", F.posexplode("_best").alias("_place", "_hit"))
+    return ranked.select("text", "_hit.entity_id", "_hit.score", (F.col("_place") + 1).alias("rank"))
 
 
 def resolve_model_name(answers_df: DataFrame, index: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fieldloom.functions import similarity
 from fieldloom.functions.similarity import NameBlock, Prefixes, Substrings, Summary
 from fieldloom.operators import entities as e
 
@@ -183,3 +184,42 @@ def test_lookups_read_few_names_and_common_subsequences_are_exact(monkeypatch):
         scores = sorted(((-score(needle, [n]), int(e)) for n, e in zip(block.names, block.ids)))[:50]
         assert [(e, -s) for s, e in scores] == found
     assert sum(read) < 4000  # bounds by letter counts alone have 11,966 of 18,000 names read, these 1,112
+
+
+def test_lookups_together_equal_brute_force_and_match_no_names_one_by_one(monkeypatch):
+    """Lookups of all lengths in one call; names of less than 200 letters are never matched in a call of their own."""
+    rows = [(i // 2, n) for i, n in enumerate(_spellings(11, 400))] + [(500, "a"), (501, "ulm"), (502, "日本 institut"), (503, "b" * 199), (3, "ulm")]
+    needles = [*_spellings(12, 150), "", "a", "u", "zzz", "日本", "ulm", "institut " * 5, "kunst ulm " * 6 + "tech", "x" * 64, "ulm"]
+    floors = [[-1.0, 0.3, 0.75][i % 3] for i in range(len(needles))]
+    block = NameBlock([i for i, _ in rows], [n for _, n in rows])
+    calls, own = [], similarity.matched_length
+    monkeypatch.setattr(similarity, "matched_length", lambda a, b: calls.append(b) or own(a, b))
+    assert len(block.best(needles[0], 10)) == 10 and not calls
+    found = {place: list(zip(entities.tolist(), scores.tolist())) for place, entities, scores in block.best_of(needles, 10, floors)}
+    assert sorted(found) == list(range(len(needles))) and not calls
+    for place, (needle, floor) in enumerate(zip(needles, floors)):
+        best = {}
+        for i, n in rows:
+            best[i] = max(best.get(i, 0.0), score(needle, [n]))
+        want = sorted(((i, s) for i, s in best.items() if s >= floor or not needle), key=lambda p: (-p[1], p[0]))[:10]
+        assert found[place] == want
+
+
+def test_types_of_one_and_of_several_blocks(spark):
+    """A type whose names share one block with another's, one cut into many, one offered whole; NULL and empty mentions."""
+    rows = [(i, kind, n) for kind, first, size in [("few", 0, 4), ("large", 100, 150), ("one", 1000, 15)] for i, n in enumerate(_spellings(first + 13, size), first)]
+    ents = spark.createDataFrame(rows, "entity_id long, entity_type string, canonical_name string")
+    vars_ = spark.createDataFrame([(i, n + " tu") for i, _, n in rows if i % 3 == 0], "entity_id long, variant_name string")
+    texts = [*_spellings(14, 12), "Ulm ", "ulm", "", None, "kunst " * 15]
+    mentions = spark.createDataFrame([(t, kind) for t in texts for kind in ("few", "large", "one", "none")], "text string, entity_type string")
+    got = {}
+    for r in e.entity_candidates(mentions, ents, vars_, 5, block_mentions=6, block_names=40).collect():
+        kind = next(k for i, k, _ in rows if i == r["entity_id"])
+        got.setdefault((r["text"], kind), []).append((r["rank"], r["entity_id"], r["score"]))
+    want = {}
+    for text in {t for t in texts if t is not None}:
+        for kind in ("few", "large", "one"):
+            scored = [(i, score(text, [n] + [n + " tu"] * (i % 3 == 0))) for i, k, n in rows if k == kind]
+            scored.sort(key=lambda p: p[0] if kind == "few" else (-p[1], p[0]))
+            want[text, kind] = [(rank, i, s) for rank, (i, s) in enumerate(scored[:5], 1)]
+    assert {key: sorted(found) for key, found in got.items()} == want
